@@ -11,8 +11,10 @@ from tabloom.functions.text import quoted
 
 
 def add_rows(existing: DataFrame, new: DataFrame, mode: str = "append") -> DataFrame:
-    """Existing rows with the new ones, or the new ones alone."""
-    aligned = new.select(*[quoted(c).cast(f.dataType).alias(c) for c, f in zip(existing.columns, existing.schema.fields)])
+    """Existing rows with the new ones, or the new ones alone; columns go by position."""
+    if len(new.columns) != len(existing.columns):
+        raise ValueError("both sides need the same number of columns")
+    aligned = new.select(*[quoted(c).cast(f.dataType).alias(f.name) for c, f in zip(new.columns, existing.schema.fields)])
     if mode == "append":
         return existing.unionByName(aligned)
     if mode == "replace":

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -70,9 +73,6 @@ def detect_delimiter(head: str) -> str:
 
 
 def _split_first_record(head: str, delimiter: str) -> list[str]:
-    import csv
-    import io
-
     return next(csv.reader(io.StringIO(head, newline=""), delimiter=delimiter), [])
 
 
@@ -183,32 +183,25 @@ def read_json_array(spark: SparkSession, path: str, sample: int = JSON_SAMPLE, a
     head = first_bytes(spark, path, 4096).decode("utf-8", "replace").removeprefix("\ufeff").lstrip()
     if head and not head.startswith("["):
         raise ValueError("a JSON import must be an array of objects: [ {…}, {…} ]")
-    # The single-variant reader gives one record per element, without a schema pass.
-    records = spark.read.option("multiLine", "true").option("singleVariantColumn", "v").json(path)
+    fields = _array_fields(spark, path, sample)
+    raw = [f"c{i}" for i in range(len(fields))]
+    # With a schema there is no pass over the data to find one.
+    schema = T.StructType([T.StructField(f, T.VariantType()) for f in fields])
+    records = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     if position:
         records = positioned(records)
-    fields = _array_fields(spark, path, sample, records)
+    records = records.toDF(*raw, *([POSITION] if position else []))
     cells = []
-    for f in fields:
-        value = F.try_variant_get("v", _path_of(f), "variant")
+    for c, f in zip(raw, fields):
+        value = F.col(c)
         if not as_variant:
             value = F.when(~F.is_variant_null(value), F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))
         cells.append(value.alias(f))
     return records.select(*cells, *([F.col(POSITION)] if position else []))
 
 
-def _path_of(field: str) -> str:
-    return '$["' + field.replace("\\", "\\\\").replace('"', '\\"') + '"]'
-
-
-def _array_fields(spark: SparkSession, path: str, sample: int, records: DataFrame) -> list[str]:
-    """Field names of the first records in file order.
-
-    Key order is lost in variants, so the beginning of the first file is read
-    as text for the order; a name missing there joins at the end.
-    """
-    import json
-
+def _array_fields(spark: SparkSession, path: str, sample: int) -> list[str]:
+    """Field names of the first records of the first file, in file order."""
     text = first_bytes(spark, path, 4 << 20).decode("utf-8", "ignore").removeprefix("\ufeff")
     decoder, names, at = json.JSONDecoder(), {}, text.find("[") + 1
     for _ in range(sample):
@@ -219,12 +212,12 @@ def _array_fields(spark: SparkSession, path: str, sample: int, records: DataFram
         except ValueError:
             break
         if not isinstance(record, dict):
-            break
+            raise ValueError(f"record {len(names) + 1} is not a JSON object")
         names.update(dict.fromkeys(record))
-    if not names:
-        first = records.limit(sample).select(F.explode(F.json_object_keys(F.to_json("v"))).alias("f")).distinct()
-        names = dict.fromkeys(sorted(r.f for r in first.collect()))
-    return list(names)
+    if names or not text.strip():
+        return list(names)
+    # A first record beyond the peeked part: let the reader find the fields.
+    return spark.read.option("multiLine", "true").json(path).columns
 
 
 def read_lake(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
