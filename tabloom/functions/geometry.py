@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tabloom.functions.text import trim_json_numbers
+from tabloom.functions.text import let, trim_json_numbers
 
 NESTED = "array<array<array<array<double>>>>"
 
@@ -24,14 +24,22 @@ SHAPES = {
 }
 
 
+_NAMES = {wkt: geo for wkt, (geo, _, _) in SHAPES.items()}
+_DEPTHS = {geo: depth for geo, _, depth in SHAPES.values()}
+_PREFIXES = {geo: short for geo, short, _ in SHAPES.values()}
+
+
+def _pick(table: dict, key: Column) -> Column:
+    """A value by key from a small fixed table, NULL for other keys."""
+    pairs = [F.lit(x) for item in table.items() for x in item]
+    return F.try_element_at(F.create_map(*pairs), key)
+
+
 def shape_name(text: Column) -> Column:
     """The GeoJSON type name, NULL for anything else."""
-    word = F.upper(F.when(_is_json(text), F.get_json_object(text, "$.type")).otherwise(
-        F.regexp_extract(text, r"^\s*(?i:SRID=\d+;)?\s*([A-Za-z]+)", 1)))
-    name = F.when(word == "POINT", "Point")
-    for wkt, (geo, _, _) in list(SHAPES.items())[1:]:
-        name = name.when(word == wkt, geo)
-    return name
+    word = F.when(_is_json(text), F.get_json_object(text, "$.type")).otherwise(
+        F.regexp_extract(text, r"^\s*(?i:SRID=\d+;)?\s*([A-Za-z]+)", 1))
+    return _pick(_NAMES, F.upper(word))
 
 
 def _is_json(text: Column) -> Column:
@@ -45,28 +53,32 @@ def srid(text: Column) -> Column:
 
 def _wkt_brackets(text: Column, name: Column) -> Column:
     """WKT coordinates as JSON arrays, one level per pair of parentheses."""
-    body = F.regexp_extract(text, r"(?s)^[^(]*(\(.*\))\s*$", 1)
-    body = F.regexp_replace(F.trim(body), r"\s*([(),])\s*", "$1")
-    flat = F.concat(F.lit("("), F.regexp_replace(body, r"[()]", ""), F.lit(")"))
-    body = F.when(name == "MultiPoint", flat).otherwise(body)
-    body = F.regexp_replace(body, r"([^(),]+)", "[$1]")
-    json = F.translate(F.regexp_replace(body, r"\s+", ","), "()", "[]")
+    body = F.regexp_replace(F.trim(F.regexp_extract(text, r"(?s)^[^(]*(\(.*\))\s*$", 1)), r"\s*([(),])\s*", "$1")
+    body = let(body, lambda b: F.when(name == "MultiPoint", F.concat(
+        F.lit("("), F.regexp_replace(b, r"[()]", ""), F.lit(")"))).otherwise(b))
+    json = F.translate(F.regexp_replace(F.regexp_replace(body, r"([^(),]+)", "[$1]"), r"\s+", ","), "()", "[]")
     # "(1 2)" became "[[1,2]]", which for a point is one level too many.
-    return F.when(name == "Point", F.substring(json, F.lit(2), F.length(json) - 2)).otherwise(json)
+    return let(json, lambda j: F.when(name == "Point", F.substring(j, F.lit(2), F.length(j) - 2)).otherwise(j))
+
+
+def read_shape(text: Column) -> Column:
+    """struct(name, nested): the type name and the nested coordinates, which
+    are NULL for text that is no plain shape."""
+    def coordinates(name: Column) -> Column:
+        coords = F.when(_is_json(text), F.get_json_object(text, "$.coordinates")).otherwise(_wkt_brackets(text, name))
+        wraps = 4 - _pick(_DEPTHS, name)
+        wrapped = F.concat(F.repeat(F.lit("["), wraps), coords, F.repeat(F.lit("]"), wraps))
+        parsed = let(wrapped, lambda w: F.from_json(F.when(F.try_parse_json(w).isNotNull(), w), NESTED))
+        whole = let(parsed, lambda n: F.when(
+            ~F.exists(vertices(n), lambda p: F.coalesce(F.size(p) < 2, F.lit(True))), n))
+        return F.struct(name.alias("name"), whole.alias("nested"))
+
+    return let(shape_name(text), coordinates)
 
 
 def parse_shape(text: Column) -> Column:
     """Nested coordinates, NULL for text that is no plain shape."""
-    name = shape_name(text)
-    coords = F.when(_is_json(text), F.get_json_object(text, "$.coordinates")).otherwise(_wkt_brackets(text, name))
-    levels = F.lit(None).cast("int")
-    for _, (geo, _, depth) in SHAPES.items():
-        levels = F.when(name == geo, depth).otherwise(levels)
-    wraps = 4 - levels
-    wrapped = F.concat(F.repeat(F.lit("["), wraps), coords, F.repeat(F.lit("]"), wraps))
-    nested = F.from_json(F.when(F.try_parse_json(wrapped).isNotNull(), wrapped), NESTED)
-    broken = F.exists(F.flatten(F.flatten(nested)), lambda p: F.coalesce(F.size(p) < 2, F.lit(True)))
-    return F.when(nested.isNotNull() & ~broken, nested)
+    return read_shape(text)["nested"]
 
 
 def vertices(nested: Column) -> Column:
@@ -97,27 +109,24 @@ def _ordinate(x: Column) -> Column:
 def geo_canon(text: Column) -> Column:
     """One text per shape, however it was written: coordinates rounded to
     seven decimals, rings in one orientation.  Collections stay as text."""
-    name = shape_name(text)
-    nested = parse_shape(text)
-    turned = F.when(name.isin("Polygon", "MultiPolygon"), orient(nested)).otherwise(nested)
-
     def ring_text(ring: Column) -> Column:
         return F.array_join(F.transform(ring, lambda p: F.array_join(F.transform(p, _ordinate), " ")), ",")
 
-    parts = F.transform(turned, lambda polygon: F.array_join(F.transform(polygon, ring_text), "|"))
-    prefix = F.lit("")
-    for _, (geo, short, _) in SHAPES.items():
-        prefix = F.when(name == geo, short).otherwise(prefix)
-    multi = F.concat(F.lit("MY("), F.array_join(F.transform(parts, lambda p: F.concat(F.lit("Y("), p, F.lit(")"))), ";"),
-                     F.lit(")"))
-    single = F.concat(prefix, F.lit("("), F.array_join(parts, ";"), F.lit(")"))
-    return F.when(nested.isNull(), F.trim(text)).when(name == "MultiPolygon", multi).otherwise(single)
+    def write(shape: Column) -> Column:
+        name, nested = shape["name"], shape["nested"]
+        areal = name.isin("Polygon", "MultiPolygon")
+        turned = F.when(areal, orient(nested)).otherwise(nested)
+        parts = F.transform(turned, lambda polygon: F.array_join(F.transform(polygon, ring_text), "|"))
+        inner = F.when(name == "MultiPolygon", F.transform(parts, lambda p: F.concat(F.lit("Y("), p, F.lit(")")))).otherwise(parts)
+        shown = F.concat(_pick(_PREFIXES, name), F.lit("("), F.array_join(inner, ";"), F.lit(")"))
+        return F.when(nested.isNull(), F.trim(text)).otherwise(shown)
 
+    return let(read_shape(text), write)
 
-def geojson(text: Column) -> Column:
-    """The shape as GeoJSON text, NULL when it cannot be read."""
-    name = shape_name(text)
-    nested = parse_shape(text)
+
+def geojson_of(shape: Column, text: Column) -> Column:
+    """GeoJSON text of a shape already read by ``read_shape``."""
+    name, nested = shape["name"], shape["nested"]
     coords = (
         F.when(name == "Point", F.to_json(nested[0][0][0]))
         .when(name.isin("LineString", "MultiPoint"), F.to_json(nested[0][0]))
@@ -128,6 +137,11 @@ def geojson(text: Column) -> Column:
     return F.when(_is_json(text) & nested.isNotNull(), F.trim(text)).otherwise(written)
 
 
+def geojson(text: Column) -> Column:
+    """The shape as GeoJSON text, NULL when it cannot be read."""
+    return let(read_shape(text), lambda shape: geojson_of(shape, text))
+
+
 def bounds(nested: Column) -> Column:
     """The bounding box of a shape as struct(min_x, min_y, max_x, max_y)."""
     xs = F.transform(vertices(nested), lambda p: p[0])

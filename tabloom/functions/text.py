@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # How much of a long cell a preview keeps, in bytes.
@@ -9,6 +11,15 @@ TEXT_PREVIEW = 256 * 1024
 BINARY_PREVIEW = 64 * 1024
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once.
+
+    Long expressions that name their input many times would otherwise repeat
+    it in the plan.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def _exponent_parts(java: Column) -> tuple[Column, Column]:
     """Digits and decimal exponent of a double's scientific text (d.ddE±x)."""
     mantissa = F.regexp_replace(F.regexp_extract(java, r"^-?([0-9.]+)E", 1), r"\.0$", "")
@@ -119,22 +130,16 @@ def quoted(name: str) -> Column:
 
 
 def time_text(col: Column, dtype: T.DataType | str) -> Column:
-    """Date, time or timestamp text; zero fractions are trimmed."""
+    """Date, time or timestamp text; zero fractions are trimmed, as casts do."""
     kind = dtype if isinstance(dtype, str) else {
         T.DateType: "date", T.TimestampType: "timestamp", T.TimestampNTZType: "datetime"}[type(dtype)]
     if kind == "date":
-        return F.date_format(col, "yyyy-MM-dd")
+        return col.cast("date").cast("string")
     if kind == "time":
-        return trim_fraction(F.date_format(col, "HH:mm:ss.SSSSSS"))
-    text = trim_fraction(F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        return F.substring(col.cast("string"), 12, 15)
     if kind == "timestamp":
-        return F.concat(text, F.date_format(col, "xxx"))
-    return text
-
-
-def trim_fraction(text: Column) -> Column:
-    """Drop a fraction's trailing zeros, and the point when nothing is left."""
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        return F.concat(col.cast("string"), F.date_format(col, "xxx"))
+    return col.cast("string")
 
 
 def preview(col: Column, dtype: T.DataType) -> Column:
@@ -238,9 +243,9 @@ def bytes_text(n: Column) -> Column:
     """A byte count for people."""
     gib, mib, kib = 1 << 30, 1 << 20, 1 << 10
     return (
-        F.when(n >= gib, F.format_string("%.1f GB", n.cast("double") / gib))
-        .when(n >= mib, F.format_string("%.1f MB", n.cast("double") / mib))
-        .when(n >= kib, F.format_string("%.0f KB", n.cast("double") / kib))
+        F.when(n >= gib, F.format_string("%.1f GB", F.bround(n.cast("double") / gib, 1)))
+        .when(n >= mib, F.format_string("%.1f MB", F.bround(n.cast("double") / mib, 1)))
+        .when(n >= kib, F.format_string("%.0f KB", F.bround(n.cast("double") / kib, 0)))
         .otherwise(F.format_string("%d bytes", n.cast("bigint")))
     )
 

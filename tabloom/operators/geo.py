@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tabloom.functions import geometry
-from tabloom.functions.text import quoted
+from tabloom.functions.text import quoted, trim_json_numbers
 
 # Fixed value: the most vertices shown as a full shape.
 MAX_POINTS = 200_000
@@ -17,19 +17,20 @@ def shapes(df: DataFrame, column: str, max_points: int = MAX_POINTS) -> DataFram
     A shape with more than ``max_points`` vertices is shown by its extent.
     """
     col = quoted(column)
-    parsed = df.withColumn("__nested", geometry.parse_shape(col)).withColumn(
-        "__box", geometry.bounds(F.col("__nested")))
-    box = F.col("__box")
+    parsed = df.withColumn("__shape", geometry.read_shape(col)).withColumn(
+        "__box", geometry.bounds(F.col("__shape.nested")))
+    box, nested = F.col("__box"), F.col("__shape.nested")
     corners = [("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y"), ("min_x", "min_y")]
     extent_text = F.concat(
         F.lit('{"type":"Polygon","coordinates":['),
-        geometry.trim_json_numbers(F.to_json(F.array(*[F.array(box[x], box[y]) for x, y in corners]))), F.lit("]}"))
-    points = F.size(geometry.vertices(F.col("__nested")))
-    readable = F.col("__nested").isNotNull()
+        trim_json_numbers(F.to_json(F.array(*[F.array(box[x], box[y]) for x, y in corners]))), F.lit("]}"))
+    points = F.size(geometry.vertices(nested))
+    readable = nested.isNotNull()
     return parsed.select(
         *[quoted(c) for c in df.columns], geometry.srid(col).alias("srid"), F.when(readable, points).alias("points"),
         F.when(readable & (points > max_points), "extent").alias("display"),
-        F.when(readable & (points > max_points), extent_text).otherwise(geometry.geojson(col)).alias("geojson"),
+        F.when(readable & (points > max_points), extent_text).otherwise(
+            geometry.geojson_of(F.col("__shape"), col)).alias("geojson"),
         *[F.when(readable, box[n]).alias(n) for n in ("min_x", "min_y", "max_x", "max_y")])
 
 

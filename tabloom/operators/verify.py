@@ -84,7 +84,7 @@ def verify(source: DataFrame, target: DataFrame, canons: Mapping[str, Canon] | N
         right = target.agg(F.count(F.lit(1)).alias("rows"))
         names: list[str] = []
     else:
-        left, right = digest(source, canons, row_hash=row_hash), digest(target, canons, row_hash=row_hash)
+        left, right = (digest(side, canons, portable=False, row_hash=row_hash) for side in (source, target))
         names = list(canons) + (["row"] if row_hash else [])
     pair = left.select(F.struct(*left.columns).alias("s")).withColumn(
         "t", right.select(F.struct(*right.columns)).scalar())

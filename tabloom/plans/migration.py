@@ -143,7 +143,7 @@ def fold_rest(df: DataFrame, planned: Sequence[str]):
 def copy_table(df: DataFrame, p: TablePlan, root: str) -> tuple[DataFrame, dict]:
     """Convert and load one table; the digest of the source is taken in the same scan."""
     canons = {c.source: c.src for c in p.included()}
-    aggs = digest_columns(df.select(*[quoted(n) for n in canons]), canons)
+    aggs = digest_columns(df.select(*[quoted(n) for n in canons]), canons, portable=False)
     watch = Observation(f"copy-{p.target}")
     watched = df.observe(watch, *[c.alias("rows" if n == "rows" else f"sum_{n}") for n, c in aggs.items()])
     spark = df.sparkSession
@@ -162,7 +162,7 @@ def verify_copy(source: DataFrame, target: DataFrame, p: TablePlan, mode: str =
 def verify_digest(spark: SparkSession, seen: Mapping, target: DataFrame, p: TablePlan) -> DataFrame:
     """A verdict from the digest taken while copying: only the target is read."""
     back = target.select(*[quoted(c.target).alias(c.source) for c in p.included()])
-    got = digest(back, {c.source: c.src for c in p.included()})
+    got = digest(back, {c.source: c.src for c in p.included()}, portable=False)
     names = [c.source for c in p.included()]
     differing = F.filter(F.array(*[
         F.when(F.col(f"sum_{n}") != F.lit(str(seen[f"sum_{n}"])).cast("decimal(38,0)"), n) for n in names]),

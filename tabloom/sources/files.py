@@ -204,7 +204,7 @@ def _array_fields(spark: SparkSession, path: str, sample: int) -> list[str]:
     """Field names of the first records of the first file, in file order."""
     text = first_bytes(spark, path, 4 << 20).decode("utf-8", "ignore").removeprefix("\ufeff")
     decoder, names, at = json.JSONDecoder(), {}, text.find("[") + 1
-    for _ in range(sample):
+    for number in range(1, sample + 1):
         while at < len(text) and text[at] in " \t\r\n,":
             at += 1
         try:
@@ -212,7 +212,7 @@ def _array_fields(spark: SparkSession, path: str, sample: int) -> list[str]:
         except ValueError:
             break
         if not isinstance(record, dict):
-            raise ValueError(f"record {len(names) + 1} is not a JSON object")
+            raise ValueError(f"record {number} is not a JSON object")
         names.update(dict.fromkeys(record))
     if names or not text.strip():
         return list(names)

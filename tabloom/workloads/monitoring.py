@@ -120,8 +120,7 @@ def cron_gaps(t):
   first_look AS (SELECT t.schedule, tick, min(looked) AS looked FROM ticks t JOIN looks l ON l.schedule = t.schedule AND looked >= tick GROUP BY 1, 2)
   SELECT schedule, looked AS "at", max(tick) AS tick, count(*) AS collapsed FROM first_look GROUP BY 1, 2""")
 def missed_ticks(t):
-    base = cron.timetable_frame(t.spark, {"x": ("0 */6 * * *", "UTC")}).drop("schedule")
-    tables = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("schedule")).join(F.broadcast(base))
+    tables = cron.with_timetable(t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("schedule")), "0 */6 * * *")
     ticks = cron.cron_ticks(tables, "2024-01-01 00:00:00", "2024-01-31 00:00:00")
     looks = t.events.select(F.concat(F.lit("s"), "user_id").alias("schedule"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("at")).distinct()
     return cron.due(ticks, looks).select("schedule", F.col("at").cast("timestamp_ntz"), F.col("tick").cast("timestamp_ntz"), "collapsed")

@@ -125,8 +125,7 @@ def canon_numbers(t):
                            c.canon_number(F.concat(F.lit("$"), F.format_number(price.cast("decimal(18,4)"), 4))).alias("money"))
 
 
-@query("canon_floats", """SELECT event_id, regexp_replace(regexp_replace(printf('%.14e', value), '(\\.\\d*?)0+e', '\\1e'), '\\.e', 'e') AS wide,
-  regexp_replace(regexp_replace(printf('%.6e', CAST(value AS FLOAT)::VARCHAR::DOUBLE), '(\\.\\d*?)0+e', '\\1e'), '\\.e', 'e') AS narrow FROM events""")
+@query("canon_floats", """SELECT event_id, CAST(value AS VARCHAR) AS wide, CAST(CAST(value AS FLOAT) AS VARCHAR) AS narrow FROM events""")
 def canon_floats(t):
     x = F.col("value")
     return t.events.select("event_id", c.canon_float(x, T.DoubleType()).alias("wide"),
@@ -148,7 +147,8 @@ def canon_intervals(t):
     words = c.canon_interval(F.format_string("%d days %02d:00:00", d, h))
     iso = c.canon_interval(F.format_string("P%dDT%dH", d, h))
     clock = c.canon_interval(F.format_string("+%02d %02d:00:00.000", d, h))
-    return t.lineitem.select("l_orderkey", "l_linenumber", ((words == iso) & (iso == clock)).alias("same"), words.alias("form"))
+    forms = t.lineitem.select("l_orderkey", "l_linenumber", F.array(words, iso, clock).alias("forms"))
+    return forms.select("l_orderkey", "l_linenumber", (F.size(F.array_distinct("forms")) == 1).alias("same"), F.col("forms")[0].alias("form"))
 
 
 @query("canon_json_text", """SELECT event_id, '{"a":' || regexp_replace(CAST(value AS VARCHAR), '\\.0$', '') || ',"props":' || replace(props, ' ', '') || '}' AS doc FROM events""")
@@ -209,7 +209,7 @@ def _h(expr):
 
 
 _INT = "CAST({} AS VARCHAR)"
-_FLT = "regexp_replace(regexp_replace(printf('%.14e', {}), '(\\.\\d*?)0+e', '\\1e'), '\\.e', 'e')"
+_FLT = "CAST({} AS VARCHAR)"
 _DAY = "strftime({}, '%Y-%m-%d')"
 
 
