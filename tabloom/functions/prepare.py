@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tabloom.functions.text import let
 
 # The words read as true and false, in any case.
 TRUE_WORDS = ("1", "t", "true", "y", "yes", "on")
@@ -31,20 +30,18 @@ def parse_time(text: Column) -> Column:
     ``wall`` is the clock as written, ``instant`` the moment in UTC; text
     without an offset is taken as UTC.
     """
-    def read(s: Column) -> Column:
-        offset = s.rlike(WITH_OFFSET)
-        bare = F.when(offset, F.regexp_replace(s, OFFSET_END, "")).when(s.rlike(WITHOUT_OFFSET), s)
-        shift = F.regexp_extract(s, OFFSET_END, 1)
-        minutes = F.when(offset & (shift != "Z"),
-                         F.when(shift.startswith("-"), -1).otherwise(1)
-                         * (F.substring(shift, 2, 2).try_cast("int") * 60
-                            + F.coalesce(F.regexp_extract(shift, r"^...:?(\d{2})$", 1).try_cast("int"), F.lit(0)))
-                         ).otherwise(0)
-        return let(F.struct(bare.try_cast("timestamp_ntz").alias("wall"), minutes.alias("minutes"), offset.alias("offset")), lambda x: F.struct(
-            (x["wall"] - F.make_dt_interval(F.lit(0), F.lit(0), x["minutes"])).alias("utc"), x["wall"].alias("wall"),
-            F.when(x["wall"].isNotNull(), x["offset"]).alias("has_offset")))
-
-    return let(F.trim(text), read)
+    s = F.trim(text)
+    plain, offset = s.rlike(WITHOUT_OFFSET), s.rlike(WITH_OFFSET)
+    # Built without higher-order functions: a caller that takes one field
+    # pays for that field only.
+    wall = F.when(plain, s).when(offset, F.regexp_replace(s, OFFSET_END, "")).try_cast("timestamp_ntz")
+    shift = F.regexp_extract(s, OFFSET_END, 1)
+    minutes = F.when(shift == "Z", 0).otherwise(
+        F.when(shift.startswith("-"), -1).otherwise(1)
+        * (F.substring(shift, 2, 2).try_cast("int") * 60
+           + F.coalesce(F.regexp_extract(shift, r"^...:?(\d{2})$", 1).try_cast("int"), F.lit(0))))
+    utc = F.when(plain, wall).when(offset, wall - F.make_dt_interval(F.lit(0), F.lit(0), minutes))
+    return F.struct(utc.alias("utc"), wall.alias("wall"), F.when(wall.isNotNull(), ~plain).alias("has_offset"))
 
 
 def prepare(text: Column, kind: str, null_text: str | None = None, empty_as_null: bool = False) -> Column:

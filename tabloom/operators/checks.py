@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tabloom.functions.text import quoted
 from tabloom.model import TableMeta
 from tabloom.operators.joins import orphan_keys
+from tabloom.plans.types import conversion_loss
 
 
 def _long(df: DataFrame, counts: Mapping[str, Column], label: str) -> DataFrame:
@@ -56,16 +57,8 @@ def overflows(col: Column, dtype: T.DataType, target: T.DataType) -> Column:
     """Whether a value does not fit ``target`` whole."""
     if isinstance(target, (T.VarcharType, T.CharType)):
         return F.length(col.cast("string")) > target.length
-    cast = col.try_cast(target)
-    lost = col.isNotNull() & cast.isNull()
-    if isinstance(target, T.NumericType) and isinstance(dtype, (T.NumericType, T.StringType)):
-        wide = col if isinstance(dtype, (T.DoubleType, T.FloatType)) else F.trim(col.cast("string")).try_cast("decimal(38,18)")
-        lost = lost | F.coalesce(cast.try_cast(wide_type(dtype)) != wide, F.lit(False))
-    return F.coalesce(lost, F.lit(False))
-
-
-def wide_type(dtype: T.DataType) -> str:
-    return "double" if isinstance(dtype, (T.DoubleType, T.FloatType)) else "decimal(38,18)"
+    lost, altered = conversion_loss(col, dtype, target)
+    return lost | altered
 
 
 def fits(df: DataFrame, targets: Mapping[str, T.DataType]) -> DataFrame:

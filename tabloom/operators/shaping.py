@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabloom.functions.text import quoted
+from tabloom.functions.text import let, quoted
 from tabloom.model import OVERFLOW
 
 FIELD_MAP = "map<string,variant>"
@@ -33,25 +33,30 @@ KV_COLUMNS = {
 
 def type_name_of(value: Column) -> Column:
     """The document type of a VARIANT value."""
-    shape = F.schema_of_variant(value)
-    whole = F.try_variant_get(value, "$", "bigint")
-    is_object = shape.startswith("OBJECT")
-    name = (
-        F.when(value.isNull() | (shape == "VOID"), "null")
-        .when(shape == "STRING", "string")
-        .when(shape == "BOOLEAN", "bool")
-        .when(shape.rlike("^(TINYINT|SMALLINT|INT|BIGINT)$"),
-              F.when(whole.between(-2147483648, 2147483647), "int").otherwise("long"))
-        .when(shape.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "double")
-        .when(shape.rlike("^(TIMESTAMP|DATE)"), "date")
-        .when(shape == "BINARY", "binData")
-        .when(shape.startswith("ARRAY"), "array")
-    )
-    for key, wrapped in WRAPPED_TYPES.items():
-        name = name.when(is_object & shape.rlike(rf"^OBJECT<`?\{key}`?: "), wrapped)
-    kind = F.try_variant_get(value, "$.type", "string")
-    geo = kind.isin(*GEO_TYPES) & (shape.contains("coordinates: ") | shape.contains("geometries: "))
-    return name.when(is_object & F.coalesce(geo, F.lit(False)), "geojson").when(is_object, "object").otherwise("mixed")
+    def of_object(shape: Column) -> Column:
+        kind = F.try_variant_get(value, "$.type", "string")
+        geo = kind.isin(*GEO_TYPES) & (shape.contains("coordinates: ") | shape.contains("geometries: "))
+        name = F.when(F.coalesce(geo, F.lit(False)), "geojson")
+        for key, wrapped in WRAPPED_TYPES.items():
+            name = name.when(shape.startswith(f"OBJECT<{key}: ") | shape.startswith(f"OBJECT<`{key}`: "), wrapped)
+        return name.otherwise("object")
+
+    def of_shape(shape: Column) -> Column:
+        whole = F.try_variant_get(value, "$", "bigint")
+        return (
+            F.when(shape == "STRING", "string")
+            .when(shape.isin("BIGINT", "INT", "SMALLINT", "TINYINT"),
+                  F.when(whole.between(-2147483648, 2147483647), "int").otherwise("long"))
+            .when(shape == "BOOLEAN", "bool")
+            .when(value.isNull() | (shape == "VOID"), "null")
+            .when(shape.startswith("D") & ~shape.startswith("DATE") | (shape == "FLOAT"), "double")
+            .when(shape.startswith("ARRAY"), "array")
+            .when(shape.startswith("OBJECT"), of_object(shape))
+            .when(shape.startswith("TIMESTAMP") | (shape == "DATE"), "date")
+            .when(shape == "BINARY", "binData")
+            .otherwise("mixed"))
+
+    return let(F.schema_of_variant(value), of_shape)
 
 
 def _fields(df: DataFrame, doc: str, order: Column | None) -> DataFrame:

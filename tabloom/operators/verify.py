@@ -13,8 +13,12 @@ from tabloom.plans.types import canon_of
 
 
 def hash60(text: Column) -> Column:
-    """Sixty bits of MD5, which other engines can compute as well."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+    """Sixty bits of MD5, which other engines can compute as well.
+
+    Never NULL, so a sum needs to look at it only once.
+    """
+    digits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
+    return F.coalesce(digits.cast("bigint"), F.lit(0)).cast("decimal(20,0)")
 
 
 def _hash(text: Column, portable: bool) -> Column:
@@ -63,10 +67,10 @@ def fingerprint(df: DataFrame, order: Sequence[Sort] | None = None) -> DataFrame
     """
     names = "".join(n + "\x1f" for n in df.columns) + "\x1e"
     spec = ",".join(f"{s.column} {'desc' if s.desc else 'asc'}" for s in order or ())
+    half = lambda at: F.coalesce(F.conv(F.substring("d", at, 15), 16, 10).cast("bigint"), F.lit(0)).cast("decimal(20,0)")
     one = df.select(F.md5(row_digest(df)).alias("d")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.conv(F.substring("d", 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).alias("a"),
-        F.coalesce(F.sum(F.conv(F.substring("d", 17, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).alias("b"))
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(half(1)), F.lit(0)).alias("a"),
+        F.coalesce(F.sum(half(17)), F.lit(0)).alias("b"))
     parts = [F.lit(names), F.lit(spec), F.col("n").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")]
     return one.select(F.col("n").alias("rows"), F.sha2(F.concat_ws("\x1e", *parts), 256).alias("hash"))
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.functions.convert import spark_type_of
 from tabloom.functions.text import quoted
@@ -174,6 +174,42 @@ def propose_types(df: DataFrame, narrow: bool = True) -> DataFrame:
     return row.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
+# The bounds of the integer types.
+INT_BOUNDS = {T.ByteType: 1 << 7, T.ShortType: 1 << 15, T.IntegerType: 1 << 31, T.LongType: 1 << 63}
+
+
+def conversion_loss(col: Column, src: T.DataType, dtype: T.DataType) -> tuple[Column, Column]:
+    """(lost, altered): a value does not convert, or converts to another number.
+
+    Numbers are compared with the bounds of their target, which is cheaper
+    than a cast that fails.
+    """
+    no = F.lit(False)
+    if isinstance(dtype, (T.VarcharType, T.CharType, T.StringType)) or src == dtype:
+        return no, no
+    numbers = isinstance(src, T.NumericType) and isinstance(dtype, T.NumericType)
+    if numbers and type(dtype) in INT_BOUNDS:
+        bound = INT_BOUNDS[type(dtype)]
+        if isinstance(src, T.IntegralType):
+            if INT_BOUNDS[type(src)] <= bound:
+                return no, no
+            return F.coalesce(~col.between(-bound, bound - 1), no), no
+        edge = float(bound) if not isinstance(src, T.DecimalType) else F.lit(str(bound)).cast("decimal(38,0)")
+        whole = F.floor(F.abs(col)) * F.signum(col) if isinstance(src, T.DecimalType) else F.when(col < 0, F.ceil(col)).otherwise(F.floor(col))
+        inside = (col < edge) & (col > -edge - 1 if isinstance(src, T.DecimalType) else col > -edge)
+        return F.coalesce(~inside | F.isnan(col.cast("double")), no), F.coalesce(inside & (whole != col), no)
+    if numbers and isinstance(dtype, T.DoubleType) and not isinstance(src, T.DecimalType) and src != T.LongType():
+        return no, no
+    cast = col.try_cast(dtype)
+    lost = col.isNotNull() & cast.isNull()
+    if numbers:
+        return lost, F.coalesce(cast.try_cast(src) != col, no)
+    if isinstance(src, T.StringType) and isinstance(dtype, T.NumericType):
+        wide = F.trim(col).try_cast("decimal(38,18)")
+        return lost, F.coalesce(cast.try_cast("decimal(38,18)") != wide, no)
+    return lost, no
+
+
 def fit_report(df: DataFrame, targets: Mapping[str, T.DataType | str]) -> DataFrame:
     """What a change of types would lose: one row per column with counts of
     values that do not convert, change when converted back, are too long, or
@@ -184,14 +220,8 @@ def fit_report(df: DataFrame, targets: Mapping[str, T.DataType | str]) -> DataFr
         dtype = T._parse_datatype_string(target) if isinstance(target, str) else target
         col, src = quoted(name), types[name]
         length = getattr(dtype, "length", None) if isinstance(dtype, (T.VarcharType, T.CharType)) else None
-        cast = col.cast("string") if length else col.try_cast(dtype)
-        bad = F.count_if(col.isNotNull() & cast.isNull())
-        changed = F.lit(0).cast("bigint")
-        if isinstance(src, T.NumericType) and isinstance(dtype, T.NumericType):
-            changed = F.count_if(F.coalesce(cast.try_cast(src) != col, F.lit(False)))
-        elif isinstance(src, T.StringType) and isinstance(dtype, T.NumericType):
-            wide = F.trim(col).try_cast("decimal(38,18)")
-            changed = F.count_if(F.coalesce(cast.try_cast("decimal(38,18)") != wide, F.lit(False)))
+        lost, altered = conversion_loss(col, src, dtype)
+        bad, changed = F.count_if(lost), F.count_if(altered)
         long = F.count_if(F.length(col.cast("string")) > length) if length else F.lit(0).cast("bigint")
         fine = F.count_if(col.rlike(r"\.\d{6}\d*[1-9]")) if isinstance(src, T.StringType) and isinstance(
             dtype, (T.TimestampType, T.TimestampNTZType)) else F.lit(0).cast("bigint")
