@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -144,7 +145,7 @@ def copy_table(df: DataFrame, p: TablePlan, root: str) -> tuple[DataFrame, dict]
     """Convert and load one table; the digest of the source is taken in the same scan."""
     canons = {c.source: c.src for c in p.included()}
     aggs = digest_columns(df.select(*[quoted(n) for n in canons]), canons, portable=False)
-    watch = Observation(f"copy-{p.target}")
+    watch = Observation(f"copy-{uuid.uuid4().hex}")
     watched = df.observe(watch, *[c.alias("rows" if n == "rows" else f"sum_{n}") for n, c in aggs.items()])
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/{p.target}"

@@ -139,6 +139,9 @@ def write_json_array(df: DataFrame, path: str, single_file: bool = False, mode:
     if single_file:
         lines = lines.coalesce(1)
     _text(lines.mapInPandas(_as_array, _LINE), path, mode, gzip)
+    if single_file and df.sparkSession.read.text(path).limit(1).count() == 0:
+        # Without rows there was no task to write the brackets.
+        _text(df.sparkSession.range(0, 1, 1, 1).select(F.lit("[]").alias("value")), path, "overwrite", gzip)
 
 
 def doc_lines(df: DataFrame, json_columns: Sequence[str] = ()) -> DataFrame:

@@ -22,6 +22,7 @@ JSON_SAMPLE = 500
 _NO_NULL = "\x00\x01no null\x01\x00"
 
 POSITION = "__position"
+_ODD = "__odd_record"
 
 
 def positioned(df: DataFrame) -> DataFrame:
@@ -97,8 +98,10 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     first = _split_first_record(head, sep)
     names = header_names(first, len(first)) if header else numbered_names(len(first))
     raw = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in raw])
-    df = (spark.read.schema(schema)
+    # Rows of another width come with their raw text, which tells how many
+    # fields they had; the reader gives NULL for empty and for missing ones.
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw, _ODD]])
+    df = (spark.read.schema(schema).option("columnNameOfCorruptRecord", _ODD)
           .option("sep", sep).option("quote", '"').option("escape", '"').option("header", str(header).lower())
           .option("multiLine", str(multiline).lower()).option("mode", "PERMISSIVE").option("enforceSchema", "true")
           .option("nullValue", _NO_NULL).option("emptyValue", "").option("encoding", "UTF-8")
@@ -106,9 +109,14 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
           .csv(path))
     if position:
         df = positioned(df)
-    cols = [quoted(c).alias(n) for c, n in zip(raw, names)]
-    if not header and names:
-        cols[0] = F.regexp_replace(quoted(raw[0]), "^\ufeff", "").alias(names[0])
+    outside = F.regexp_replace(F.col(_ODD), '"(?:[^"]|"")*"', "")
+    fields = F.length(outside) - F.length(F.replace(outside, F.lit(sep), F.lit(""))) + 1
+    cols = []
+    for i, (c, n) in enumerate(zip(raw, names)):
+        col = F.when(quoted(c).isNotNull(), quoted(c)).when(F.col(_ODD).isNull() | (fields > i), "")
+        if i == 0 and not header:
+            col = F.regexp_replace(col, "^\ufeff", "")
+        cols.append(col.alias(n))
     return df.select(*cols, *([F.col(POSITION)] if position else []))
 
 
