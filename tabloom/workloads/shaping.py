@@ -82,20 +82,23 @@ def items_to_rows(t):
 
 
 def _kv(t):
-    """Records of every type, derived from the tables."""
-    hashes = t.events.select(F.concat(F.lit("event:"), "event_id").alias("key"), F.lit("hash").alias("type"), F.col("props").alias("payload"))
-    strings = t.customer.select(F.concat(F.lit("customer:"), "c_custkey"), F.lit("string"), F.col("c_name"))
-    turns = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    lists = turns.select(F.concat(F.lit("conv:"), "conv_id"), F.lit("list"), F.to_json(F.transform("turns", lambda x: x["text"])))
-    streams = turns.select(F.concat(F.lit("log:"), "conv_id"), F.lit("stream"), F.to_json(F.transform("turns", lambda x: F.struct(
-        F.concat(x["turn"].cast("string"), F.lit("-0")).alias("id"), F.create_map(F.lit("role"), x["role"]).alias("fields")))))
-    sets = t.part.groupBy("p_brand").agg(F.collect_set("p_type").alias("m")).select(
-        F.concat(F.lit("brand:"), "p_brand"), F.lit("set"), F.to_json("m"))
-    scored = t.part.select(F.concat(F.lit("price:"), "p_partkey"), F.lit("zset"),
-                           F.to_json(F.create_map("p_name", "p_retailprice")))
-    out = hashes
-    for part in (strings, lists, streams, sets, scored):
-        out = out.union(part)
+    """Records of every type, each derived from one row of a table."""
+    def record(df, prefix, key, kind, payload):
+        return df.select(F.concat(F.lit(prefix), key).alias("key"), F.lit(kind).alias("type"), payload.alias("payload"))
+
+    entry = F.array(F.struct(F.concat("turn", F.lit("-0")).alias("id"), F.create_map(F.lit("role"), "role").alias("fields")))
+    parts = [
+        record(t.events, "event:", "event_id", "hash", F.col("props")),
+        record(t.customer, "customer:", "c_custkey", "string", F.col("c_name")),
+        record(t.documents, "doc:", "doc_id", "list", F.to_json(F.split("text", "\n", -1))),
+        record(t.conversations, "log:", "conv_id", "stream", F.to_json(entry)),
+        record(t.part, "part:", "p_partkey", "set", F.to_json(F.array_distinct(F.split("p_name", " ")))),
+        record(t.part, "price:", "p_partkey", "zset", F.to_json(F.create_map("p_name", "p_retailprice"))),
+        record(t.nation, "nation:", "n_nationkey", "json", F.to_json(F.struct("n_name", "n_regionkey"))),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
@@ -109,13 +112,13 @@ def explode_string(t):
     return s.explode_kv(_kv(t), "string")
 
 
-@query("explode_list", """SELECT 'conv:' || conv_id AS key, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS "index",
-  text AS value FROM conversations""")
+@query("explode_list", """SELECT 'doc:' || doc_id AS key, generate_subscripts(lines, 1) - 1 AS "index", unnest(lines) AS value
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)""")
 def explode_list(t):
     return s.explode_kv(_kv(t), "list")
 
 
-@query("explode_set", "SELECT DISTINCT 'brand:' || p_brand AS key, p_type AS member FROM part")
+@query("explode_set", "SELECT DISTINCT 'part:' || p_partkey AS key, unnest(string_split(p_name, ' ')) AS member FROM part")
 def explode_set(t):
     return s.explode_kv(_kv(t), "set")
 
@@ -130,12 +133,17 @@ def explode_stream(t):
     return s.explode_kv(_kv(t), "stream").select("key", "id", F.col("fields")["role"].alias("role"))
 
 
+@query("explode_json", """SELECT 'nation:' || n_nationkey AS key, '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation""")
+def explode_json(t):
+    return s.explode_kv(_kv(t), "json")
+
+
 @query("match_keys", """SELECT name, kind, rows FROM (
   SELECT 'event:' || event_id AS name, 'hash' AS kind, 1::BIGINT AS rows FROM events
-  UNION ALL SELECT 'conv:' || conv_id, 'list', count(*) FROM conversations GROUP BY conv_id)
-  WHERE regexp_full_match(name, '[ec].*:.*7[13]') ORDER BY name LIMIT 5000""")
+  UNION ALL SELECT 'doc:' || doc_id, 'list', len(string_split(text, chr(10))) FROM documents)
+  WHERE regexp_full_match(name, '[ed].*:.*7[13]') ORDER BY name LIMIT 5000""")
 def match_keys(t):
-    return s.match_keys(_kv(t).where(F.col("type").isin("hash", "list")), "[ec]*:*7[13]")
+    return s.match_keys(_kv(t).where(F.col("type").isin("hash", "list")), "[ed]*:*7[13]")
 
 
 @query("document_set_unset", """SELECT event_id, '{"event_type":"seen","k":' || CASE WHEN event_id % 11 <> 0 THEN json_extract_string(props, '$.k')
