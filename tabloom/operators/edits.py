@@ -7,6 +7,7 @@ flag ``has_<column>`` for each value column that some change sets.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -109,12 +110,19 @@ def match_counts(df: DataFrame, changes: DataFrame, key: Sequence[str], small: b
         "change_id", F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"))
 
 
-def insert_conflicts(df: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Inserts whose key exists already, in the table or in the batch itself."""
+def insert_conflicts(df: DataFrame, changes: DataFrame, key: Sequence[str], small: bool | None = None) -> DataFrame:
+    """Inserts whose key exists already, in the table or in the batch itself.
+
+    Few inserts are broadcast to the table, which then is not shuffled.
+    """
     rows = changes.where(F.col("op") == "insert").select("change_id", *[quoted(f"key_{k}") for k in key])
     rows = rows.where(reduce(and_, [quoted(f"key_{k}").isNotNull() for k in key]))
     keys = df.select(*[quoted(k).alias(f"t{i}") for i, k in enumerate(key)])
-    taken = rows.join(keys, [quoted(f"key_{k}") == F.col(f"t{i}") for i, k in enumerate(key)], "left_semi")
+    on = [quoted(f"key_{k}") == F.col(f"t{i}") for i, k in enumerate(key)]
+    if _small(changes) if small is None else small:
+        taken = keys.join(F.broadcast(rows), on).select(*rows.columns).distinct()
+    else:
+        taken = rows.join(keys, on, "left_semi")
     # A row deleted earlier in the batch has freed its key.
     freed = changes.where(F.col("op") == "delete").groupBy(*[quoted(f"key_{k}").alias(f"d{i}") for i, k in enumerate(key)]).agg(
         F.min("change_id").alias("__deleted"))
@@ -125,12 +133,17 @@ def insert_conflicts(df: DataFrame, changes: DataFrame, key: Sequence[str]) -> D
     return taken.select("change_id").union(repeated.select("change_id")).distinct()
 
 
-def stale_changes(df: DataFrame, changes: DataFrame, key: Sequence[str], version: str, seen: str = "seen_version") -> DataFrame:
+def stale_changes(df: DataFrame, changes: DataFrame, key: Sequence[str], version: str, seen: str = "seen_version",
+                  small: bool | None = None) -> DataFrame:
     """Updates and deletes that were checked against another version of their row."""
     wanted = changes.where(F.col("op") != "insert").select("change_id", quoted(seen), *[quoted(f"key_{k}") for k in key])
     keys = df.select(*[quoted(k).alias(f"t{i}") for i, k in enumerate(key)], quoted(version).alias("__version"))
     on = [quoted(f"key_{k}").eqNullSafe(F.col(f"t{i}")) for i, k in enumerate(key)]
-    return wanted.join(keys, on + [quoted(seen).eqNullSafe(F.col("__version"))], "left_anti").select("change_id")
+    on.append(quoted(seen).eqNullSafe(F.col("__version")))
+    if _small(changes) if small is None else small:
+        current = keys.join(F.broadcast(wanted), on).select("change_id").distinct()
+        return wanted.select("change_id").join(current, "change_id", "left_anti")
+    return wanted.join(keys, on, "left_anti").select("change_id")
 
 
 def validate(df: DataFrame, changes: DataFrame, key: Sequence[str], version: str | None = None,
@@ -150,11 +163,11 @@ def validate(df: DataFrame, changes: DataFrame, key: Sequence[str], version: str
         F.max("change_id").alias("change_id")).where("change_id > deleted").orderBy("change_id").limit(1).collect()
     if gone:
         raise EditError(f"change {gone[0].change_id}: the row no longer exists or was modified by someone else")
-    taken = insert_conflicts(df, changes, key).orderBy("change_id").limit(1).collect()
+    taken = insert_conflicts(df, changes, key, small).orderBy("change_id").limit(1).collect()
     if taken:
         raise EditError(f"change {taken[0].change_id}: a row with this key already exists")
     if version is not None:
-        stale = stale_changes(df, changes, key, version).orderBy("change_id").limit(1).collect()
+        stale = stale_changes(df, changes, key, version, small=small).orderBy("change_id").limit(1).collect()
         if stale:
             raise EditError(f"change {stale[0].change_id}: the row was modified by someone else; reload it and try again")
 
@@ -220,8 +233,6 @@ _FALSE = {"false", "0", "b'0'", "'0'", "'f'", "'false'", "'n'"}
 
 def translate_default(default: str | None, canon_t: str) -> tuple[str | None, str]:
     """A column default as a Spark expression, or None with a note."""
-    import re
-
     text = (default or "").strip()
     while text.startswith("(") and text.endswith(")") and text.count("(") == text.count(")") and \
             not re.match(r"^\([^()]*\)\s*\W.*\)$", text):

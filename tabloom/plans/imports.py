@@ -16,7 +16,7 @@ from tabloom.sources.files import POSITION, record_number
 PREVIEW_ROWS, PREVIEW_TEXT = 20, 300
 
 
-class ImportError_(ValueError):
+class RecordError(ValueError):
     """A record that cannot be imported; nothing was loaded."""
 
     def __init__(self, record: int, column: str, reason: str):
@@ -113,7 +113,7 @@ def import_rows(records: DataFrame, mapping: Mapping[str, str], meta: TableMeta,
         first = (bad.orderBy(POSITION) if POSITION in records.columns else bad).limit(1).collect()
         if first:
             number = record_number(records, first[0][POSITION]) if POSITION in records.columns else 0
-            raise ImportError_(number, first[0]["column"], first[0]["reason"])
+            raise RecordError(number, first[0]["column"], first[0]["reason"])
     ready, targets = _prepared(records, columns, options)
     return ready.select(*[typed(F.col(f"p{i}")["value"], t).alias(n) for i, (n, t) in enumerate(targets)])
 

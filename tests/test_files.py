@@ -147,7 +147,7 @@ def test_import(spark, tmp_path):
 def test_import_names_record_and_column(spark, tmp_path):
     lines = [f"{i},{'maybe' if i in (700, 900) else 'no'}" for i in range(1, 1000)]
     df = src.read_delimited(spark, put(tmp_path, "b.csv", "id,ok\n" + "\n".join(lines) + "\n"), multiline=False, position=True)
-    with pytest.raises(im.ImportError_) as e:
+    with pytest.raises(im.RecordError) as e:
         im.import_rows(df, {"id": "id", "ok": "ok"}, META)
     assert (e.value.record, e.value.column) == (700, "ok") and "not a yes/no value" in e.value.reason
 

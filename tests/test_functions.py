@@ -12,6 +12,18 @@ from tabloom.model import Canon, kind_of
 S = T.StringType()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """One-row jobs spend their time compiling; the queries cover compiled code."""
+    fast = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    before = {k: spark.conf.get(k) for k in fast}
+    for k, value in fast.items():
+        spark.conf.set(k, value)
+    yield
+    for k, value in before.items():
+        spark.conf.set(k, value)
+
+
 def one(spark, value, dtype, fn):
     df = spark.createDataFrame([(value,)], T.StructType([T.StructField("x", dtype)]))
     return df.select(fn(F.col("x")).alias("r")).first().r
