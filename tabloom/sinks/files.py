@@ -112,33 +112,31 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "errorifexists", gzip: bo
     _text(json_lines(hide_row_key(df)), path, mode, gzip)
 
 
-def _as_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Frame a part file as one array; a comma goes before all but the first."""
-    started = False
-    yield pd.DataFrame({"value": ["["]})
-    for batch in batches:
-        if not len(batch):
-            continue
-        values = "  " + batch["value"]
-        if started:
-            values = "  ," + batch["value"]
-        else:
-            values.iloc[1:] = "  ," + batch["value"].iloc[1:]
-            started = True
-        yield pd.DataFrame({"value": values})
-    yield pd.DataFrame({"value": ["]"]})
-
-
 def write_json_array(df: DataFrame, path: str, single_file: bool = False, mode: str = "errorifexists",
                      gzip: bool = False) -> None:
     """Every part file is one valid JSON array.
 
     ``single_file`` funnels all rows through one task and is for small results.
     """
+    # Functions sent to workers are nested, so workers need no copy of this package.
+    def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        started = False
+        yield pd.DataFrame({"value": ["["]})
+        for batch in batches:
+            if not len(batch):
+                continue
+            # A comma goes before all rows but the first.
+            values = "  ," + batch["value"]
+            if not started:
+                values.iloc[0] = "  " + batch["value"].iloc[0]
+                started = True
+            yield pd.DataFrame({"value": values})
+        yield pd.DataFrame({"value": ["]"]})
+
     lines = json_lines(hide_row_key(df))
     if single_file:
         lines = lines.coalesce(1)
-    _text(lines.mapInPandas(_as_array, _LINE), path, mode, gzip)
+    _text(lines.mapInPandas(frame, _LINE), path, mode, gzip)
     if single_file and df.sparkSession.read.text(path).limit(1).count() == 0:
         # Without rows there was no task to write the brackets.
         _text(df.sparkSession.range(0, 1, 1, 1).select(F.lit("[]").alias("value")), path, "overwrite", gzip)
