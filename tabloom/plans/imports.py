@@ -82,22 +82,30 @@ def _prepared(records: DataFrame, mapping: Mapping[str, ColumnMeta], options: Im
     return records.where(~blank).select(*cells, *kept), targets
 
 
-def _error(i: int, name: str, type_name: str) -> Column:
-    """What is wrong with one prepared cell, NULL when nothing is."""
+def _is_bad(i: int, type_name: str) -> Column:
+    """Whether one prepared cell cannot become a value of its column."""
     cell = F.col(f"p{i}")
-    value = typed(cell["value"], type_name)
-    text = F.when(cell["error"].isNotNull(), cell["error"]).when(
-        cell["value"].isNotNull() & value.isNull(), F.concat(F.lit('"'), cell["value"], F.lit(f'" does not fit {type_name}')))
-    return F.when(text.isNotNull(), F.struct(F.lit(name).alias("column"), text.alias("reason")))
+    unfit = F.lit(False) if type_name == "string" else cell["value"].isNotNull() & typed(cell["value"], type_name).isNull()
+    return cell["error"].isNotNull() | unfit
 
 
 def import_errors(records: DataFrame, mapping: Mapping[str, ColumnMeta], options: ImportOptions = ImportOptions()) -> DataFrame:
-    """Every record with a bad value, with the first such column and the reason."""
+    """Every record with a bad value, with the first such column and the reason.
+
+    The scan only looks for the number of the first bad column; words are
+    made for the records that have one.
+    """
     ready, targets = _prepared(records, mapping, options)
-    first = F.coalesce(*[_error(i, n, t) for i, (n, t) in enumerate(targets)])
+    first = F.coalesce(*[F.when(_is_bad(i, t), i) for i, (_, t) in enumerate(targets)])
     kept = [F.col(POSITION)] if POSITION in records.columns else []
-    return ready.select(*kept, first.alias("__e")).where(F.col("__e").isNotNull()).select(
-        *kept, F.col("__e.column").alias("column"), F.col("__e.reason").alias("reason"))
+    bad = ready.withColumn("__bad", first).where(F.col("__bad").isNotNull())
+    name, reason = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (column, type_name) in enumerate(targets):
+        cell = F.col(f"p{i}")
+        name = F.when(F.col("__bad") == i, column).otherwise(name)
+        reason = F.when(F.col("__bad") == i, F.coalesce(cell["error"], F.concat(
+            F.lit('"'), cell["value"], F.lit(f'" does not fit {type_name}')))).otherwise(reason)
+    return bad.select(*kept, name.alias("column"), reason.alias("reason"))
 
 
 def import_rows(records: DataFrame, mapping: Mapping[str, str], meta: TableMeta,
