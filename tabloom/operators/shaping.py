@@ -31,8 +31,8 @@ KV_COLUMNS = {
 }
 
 
-def type_name_of(value: Column) -> Column:
-    """The document type of a VARIANT value."""
+def type_name_of(value: Column, shape: Column | None = None) -> Column:
+    """The document type of a VARIANT value, whose schema text may be given."""
     def of_object(shape: Column) -> Column:
         kind = F.try_variant_get(value, "$.type", "string")
         geo = kind.isin(*GEO_TYPES) & (shape.contains("coordinates: ") | shape.contains("geometries: "))
@@ -56,7 +56,7 @@ def type_name_of(value: Column) -> Column:
             .when(shape == "BINARY", "binData")
             .otherwise("mixed"))
 
-    return let(F.schema_of_variant(value), of_shape)
+    return of_shape(shape) if shape is not None else let(F.schema_of_variant(value), of_shape)
 
 
 def _fields(df: DataFrame, doc: str, order: Column | None) -> DataFrame:
@@ -64,8 +64,11 @@ def _fields(df: DataFrame, doc: str, order: Column | None) -> DataFrame:
     parsed = df.select(
         (order if order is not None else F.monotonically_increasing_id()).alias("__doc"),
         F.json_object_keys(quoted(doc)).alias("__keys"), F.from_json(quoted(doc), FIELD_MAP).alias("__map"))
-    return parsed.select("__doc", "__map", F.posexplode("__keys").alias("pos", "field")).select(
-        "__doc", "pos", "field", type_name_of(F.try_element_at("__map", F.col("field"))).alias("type"))
+    values = parsed.select("__doc", "__map", F.posexplode("__keys").alias("pos", "field")).select(
+        "__doc", "pos", "field", F.try_element_at("__map", F.col("field")).alias("__value"))
+    # The schema text is its own step, as the type looks at it many times.
+    shaped = values.withColumn("__shape", F.schema_of_variant("__value"))
+    return shaped.select("__doc", "pos", "field", type_name_of(F.col("__value"), F.col("__shape")).alias("type"))
 
 
 def infer_fields(df: DataFrame, doc: str, sample: int | None = None, order: Column | None = None) -> DataFrame:
