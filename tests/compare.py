@@ -45,7 +45,7 @@ def check(spark, con, name, folder):
     got_names, got, got_types = rows_of(df.toArrow())
     if name not in ORACLES:
         return "" if got else "no rows"
-    want_names, want, want_types = rows_of(con.execute(ORACLES[name]).to_arrow_table())
+    want_names, want, want_types = rows_of(con.sql(ORACLES[name]).to_arrow_table())
     if got_names != want_names:
         return f"columns {got_names} != {want_names}"
     plain = lambda t: {n: x.replace("large_", "").split("[us")[0] for n, x in t.items()}
