@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import TOKEN_SQL, WORD_SQL
 from tabloom.llm.decontaminate import WINDOW, find_benchmarks
 from tabloom.llm.licenses import scan_licenses
+from tabloom.llm.near import near_duplicates
 from tabloom.llm.quality import (DULL_WORDS, MAX_LOSS, MAX_REPEAT, MIN_WORDS, NOTICE_WORDS, NOTICES, SEPARATORS, SHOUT_WORDS,
                                  TERMINAL, judge_documents)
 
@@ -61,6 +62,11 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op2_near_dedup")
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op6_licenses")
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(table(spark, folder, "documents")).drop("spans")
