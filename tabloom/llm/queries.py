@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import TOKEN_SQL, WORD_SQL
+from tabloom.llm.common import TOKEN_SQL, WORD_SQL, prepare
 from tabloom.llm.decontaminate import WINDOW, find_benchmarks
 from tabloom.llm.licenses import scan_licenses
 from tabloom.llm.near import near_duplicates
+from tabloom.llm.packing import pack
+from tabloom.llm.planes import read_documents, write_ids
 from tabloom.llm.quality import (DULL_WORDS, MAX_LOSS, MAX_REPEAT, MIN_WORDS, NOTICE_WORDS, NOTICES, SEPARATORS, SHOUT_WORDS,
                                  TERMINAL, judge_documents)
+from tabloom.llm.shards import shuffle_into_shards
+from tabloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +106,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_ba
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judge_documents(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_words", "base_failed", "kept")
+
+
+@query("op3_shards")
+def op3_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shuffle_into_shards(table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_id_planes")
+def op4_id_planes(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_path(prepare(spark), "id-planes")
+    write_ids(table(spark, folder, "documents"), path)
+    return read_documents(spark, path)
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"))
