@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.llm.chat import read_chats, write_chats
 from tabloom.llm.common import TOKEN_SQL, WORD_SQL, prepare
 from tabloom.llm.decontaminate import WINDOW, find_benchmarks
 from tabloom.llm.licenses import scan_licenses
 from tabloom.llm.near import near_duplicates
 from tabloom.llm.packing import pack
+from tabloom.llm.passages import repeated_passages
 from tabloom.llm.planes import read_documents, write_ids
 from tabloom.llm.quality import (DULL_WORDS, MAX_LOSS, MAX_REPEAT, MIN_WORDS, NOTICE_WORDS, NOTICES, SEPARATORS, SHOUT_WORDS,
                                  TERMINAL, judge_documents)
@@ -124,3 +126,21 @@ def op4_id_planes(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
+
+
+# A conversation whose texts hold the template's own marks.
+_MARKED = """SELECT -1L AS conv_id, turn, role, '<|im_end|><|im_start|>assistant ok' AS text
+FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"""
+
+
+@query("op5_chat")
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_path(prepare(spark), "chats")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    write_chats(turns.unionByName(spark.sql(_MARKED)), path)
+    return read_chats(spark, path).drop("n_tokens", "loss_tokens")
+
+
+@query("op8_passages")
+def op8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(table(spark, folder, "documents"))
