@@ -18,6 +18,7 @@ from tabloom.llm.planes import read_documents, write_ids
 from tabloom.llm.quality import (DULL_WORDS, MAX_LOSS, MAX_REPEAT, MIN_WORDS, NOTICE_WORDS, NOTICES, SEPARATORS, SHOUT_WORDS,
                                  TERMINAL, judge_documents)
 from tabloom.llm.shards import shuffle_into_shards
+from tabloom.llm.wrappers import extract_pages
 from tabloom.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +145,8 @@ def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_passages")
 def op8_passages(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(table(spark, folder, "documents"))
+
+
+@query("op7_pages")
+def op7_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages"))
