@@ -77,6 +77,19 @@ def ddl(schema: StructType) -> str:
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
 
 
+def same_columns(df: DataFrame) -> list[Column]:
+    """The columns by quoted name."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def worker_state() -> types.ModuleType:
     """A place that lives as long as the worker process does."""
     return sys.modules.setdefault("_tabloom_worker", types.ModuleType("_tabloom_worker"))

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import lower_ascii, map_rows, prepare, stored
+from tabloom.llm.common import lower_ascii, map_rows, prepare, same_columns, stored
 from tabloom.llm.graphs import components
 
 SHINGLE = 5
@@ -194,3 +194,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id")).withColumn(
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` without near copies: of linked documents the smallest id stays, columns unchanged."""
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*same_columns(docs))

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import ddl, lower_ascii, map_rows, prepare, stored
+from tabloom.llm.common import ddl, free_name, lower_ascii, map_rows, prepare, same_columns, stored
 from tabloom.llm.graphs import components
 from tabloom.llm.near import SHINGLE, _probes, bands_of, link
 
@@ -182,11 +182,12 @@ def cut_passages(docs: DataFrame) -> DataFrame:
 
     A document left without words goes; ``n_chars`` is counted anew.
     """
-    spans = repeated_passages(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
+    name = free_name(docs, "_cut")
+    spans = repeated_passages(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(name))
     schema = docs.schema
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        cuts, keep = rows.pop("_cut"), []
+        cuts, keep = rows.pop(name), []
         for i, (text, cut) in enumerate(zip(rows["text"], cuts)):
             if cut:
                 ends = [0] + [c["end"] for c in cut]
@@ -199,4 +200,4 @@ def cut_passages(docs: DataFrame) -> DataFrame:
             keep.append(i)
         return {c: [v[i] for i in keep] for c, v in rows.items()}
 
-    return map_rows(docs.join(spans, "doc_id", "left").select(*docs.columns, "_cut"), run, ddl(schema))
+    return map_rows(docs.join(spans, "doc_id", "left").select(*same_columns(docs), name), run, ddl(schema))
