@@ -10,11 +10,12 @@ from tabloom.functions.text import quoted
 from tabloom.operators.browse import field_of
 
 
-def terms(df: DataFrame, key: str, metrics: Mapping[str, Column] | None = None, size: int | None = 10,
+def terms(df: DataFrame, key: str, metrics: Mapping[str, Column] | None = None, size: int | None = None,
           keyed: bool = False) -> DataFrame:
     """Buckets as rows: key, doc_count and the metrics by name.
 
     Largest buckets first, ties by key; keyed buckets are sorted by key.
+    ``size`` keeps that many of them.
     """
     field_of(df, key)
     metrics = metrics or {}
@@ -67,15 +68,18 @@ def summary_by_day(df: DataFrame, ts: str, aggs: Mapping[str, Column], keys: Seq
 def compact_sums(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add up the numeric columns of rows with the same key.
 
-    Other columns keep one of their values, as a summing table does.
+    Other columns keep the values of one of the rows, as a summing table does.
     """
-    out = []
+    sums, others = [], []
     for f in df.schema.fields:
-        if f.name in keys:
-            continue
-        col = quoted(f.name)
-        out.append((F.sum(col) if isinstance(f.dataType, T.NumericType) else F.min(col)).alias(f.name))
-    return df.groupBy(*[quoted(k) for k in keys]).agg(*out).select(*[quoted(c) for c in df.columns])
+        if f.name not in keys:
+            (sums if isinstance(f.dataType, T.NumericType) else others).append(f.name)
+    aggs = [F.sum(quoted(n)).alias(n) for n in sums]
+    if others:
+        # One row's values together: several minima would mix rows.
+        aggs.append(F.min(F.struct(*[quoted(n).alias(n) for n in others])).alias("__row"))
+    out = df.groupBy(*[quoted(k) for k in keys]).agg(*aggs)
+    return out.select(*[F.col("__row")[c].alias(c) if c in others else quoted(c) for c in df.columns])
 
 
 def ratio(part: Column, whole: Column, per: float = 1, digits: int = 2) -> Column:

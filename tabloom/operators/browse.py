@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal, InvalidOperation
 from functools import reduce
 from operator import and_, or_
 
@@ -12,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tabloom.functions.text import quoted, row_size
 from tabloom.model import ROW_KEY, SEARCHABLE, Filter, Sort, TableMeta, kind_of
 
-# Page size when none fits, the largest page, and the cell
-# bytes after which a page or a console result stops.
-DEFAULT_PAGE, MAX_PAGE = 200, 100_000
+# Page size when none is asked for, and the cell bytes after
+# which a page or a console result stops.
+DEFAULT_PAGE = 200
 PAGE_BUDGET, CONSOLE_BUDGET = 48 << 20, 128 << 20
 
 COMPARE = {
@@ -51,6 +53,58 @@ def argument(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
+_WIDTHS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def _unfit(value, dtype: T.DataType) -> Decimal | None:
+    """The number itself when a column of exact numbers cannot hold it."""
+    if isinstance(value, (bool, Column)) or value is None or not isinstance(dtype, (*_WIDTHS, T.DecimalType)):
+        return None
+    try:
+        number = Decimal(str(value).strip())
+    except InvalidOperation:
+        return None
+    if number.is_nan():
+        return None
+    if isinstance(dtype, T.DecimalType):
+        fits = number.is_finite() and number == round(number, dtype.scale) and abs(number) < Decimal(10) ** (dtype.precision - dtype.scale)
+    else:
+        half = 1 << (_WIDTHS[type(dtype)] - 1)
+        fits = number.is_finite() and number == int(number) and -half <= number < half
+    return None if fits else number
+
+
+def compare(op: str, col: Column, value, dtype: T.DataType) -> Column:
+    """A comparison that keeps the value's own size.
+
+    A value that the column cannot hold equals none of its values, and a range
+    moves to the nearest value that it can hold: the column stays bare, so
+    the condition still reaches the file reader.
+    """
+    number = _unfit(value, dtype)
+    if number is None:
+        return COMPARE[op](col, argument(value, dtype))
+    if op in ("=", "!="):
+        return col.isNotNull() & F.lit(op == "!=")
+    if isinstance(dtype, T.DecimalType):
+        step, top = Decimal(1).scaleb(-dtype.scale), Decimal(10) ** (dtype.precision - dtype.scale)
+        low, high = -top + step, top - step
+    else:
+        half = 1 << (_WIDTHS[type(dtype)] - 1)
+        step, low, high = Decimal(1), Decimal(-half), Decimal(half - 1)
+    if number < low or number > high:
+        return col.isNotNull() & F.lit((number > high) == (op in ("<", "<=")))
+    below = number.quantize(step, rounding="ROUND_FLOOR")
+    if op in ("<", "<="):
+        return col <= F.lit(str(below)).cast(dtype)
+    return col >= F.lit(str(below + step)).cast(dtype)
+
+
+def like_pattern(text: str) -> str:
+    """Only ``%`` and ``_`` are special, and a backslash only before one of them."""
+    return re.sub(r"\\(?![%_])", r"\\\\", text)
+
+
 def project(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """The asked columns in the asked order; unknown names are left out."""
     known = set(df.columns)
@@ -63,11 +117,14 @@ def predicate(df: DataFrame, f: Filter) -> Column:
     dtype = field_of(df, f.column).dataType
     col = quoted(f.column)
     if f.op in COMPARE:
-        return COMPARE[f.op](col, argument(f.value, dtype))
+        return compare(f.op, col, f.value, dtype)
     if f.op in ("in", "notin"):
         if not f.values:
             return F.lit(f.op == "notin")
-        found = col.isin(*[argument(v, dtype) for v in f.values])
+        held = [v for v in f.values if _unfit(v, dtype) is None]
+        if not held:
+            return col.isNotNull() & F.lit(f.op == "notin")
+        found = col.isin(*[argument(v, dtype) for v in held])
         return found if f.op == "in" else ~found
     if f.op == "null":
         return col.isNull()
@@ -76,14 +133,14 @@ def predicate(df: DataFrame, f: Filter) -> Column:
     if f.op == "between":
         if len(f.values) != 2:
             raise ValueError("between needs two values")
-        return col.between(argument(f.values[0], dtype), argument(f.values[1], dtype))
+        return compare(">=", col, f.values[0], dtype) & compare("<=", col, f.values[1], dtype)
     text = plain_text(col, dtype)
     wanted = str(f.value)
     folded = F.lower(text)
     if f.op == "like":
-        return folded.like(wanted.lower())
+        return folded.like(like_pattern(wanted.lower()))
     if f.op == "notlike":
-        return ~folded.like(wanted.lower())
+        return ~folded.like(like_pattern(wanted.lower()))
     if f.op == "contains":
         return folded.contains(wanted.lower())
     if f.op == "startswith":
@@ -142,7 +199,8 @@ def sort(df: DataFrame, sorts: Sequence[Sort], meta: TableMeta | None = None) ->
 
 
 def page_limit(limit: int | None) -> int:
-    return limit if limit and 0 < limit <= MAX_PAGE else DEFAULT_PAGE
+    """Any size asked for; the default when none is."""
+    return limit if limit and limit > 0 else DEFAULT_PAGE
 
 
 @dataclass(frozen=True)
@@ -168,22 +226,29 @@ def page_after(df: DataFrame, key: Sequence[str], last: Sequence | None, limit:
     """The page that follows a known last key.
 
     Works at any depth: the key condition is pushed to the reader, so no
-    earlier page is sorted again.
+    earlier page is sorted again.  NULL keys are part of the order: first
+    ascending, last descending.
     """
     for k in key:
         field_of(df, k, "key column")
     if last is not None:
         if len(last) != len(key):
             raise ValueError("the last key must have one value per key column")
-        compare = COMPARE["<" if desc else ">"]
+        types = [field_of(df, k).dataType for k in key]
+
+        def beyond(k: str, v, dtype: T.DataType, or_same: bool) -> Column:
+            col = quoted(k)
+            if v is None:
+                return (F.lit(True) if or_same else col.isNotNull()) if not desc else (col.isNull() if or_same else F.lit(False))
+            step = compare(("<" if desc else ">") + "=" * or_same, col, v, dtype)
+            return step | col.isNull() if desc else step
+
         steps = []
         for i, (k, v) in enumerate(zip(key, last)):
-            same = [quoted(a) == argument(b, field_of(df, a).dataType) for a, b in zip(key[:i], last[:i])]
-            steps.append(reduce(and_, same + [compare(quoted(k), argument(v, field_of(df, k).dataType))]))
-        first = quoted(key[0])
-        bound = argument(last[0], field_of(df, key[0]).dataType)
+            same = [quoted(a).eqNullSafe(argument(b, t)) for a, b, t in zip(key[:i], last[:i], types)]
+            steps.append(reduce(and_, same + [beyond(k, v, types[i], False)]))
         # The leading column alone gives the reader a plain range.
-        df = df.where(COMPARE["<=" if desc else ">="](first, bound)).where(reduce(or_, steps))
+        df = df.where(beyond(key[0], last[0], types[0], True)).where(reduce(or_, steps))
     return df.orderBy(*order_columns(df, [Sort(k, desc) for k in key])).limit(page_limit(limit))
 
 
@@ -223,10 +288,10 @@ def count(df: DataFrame, filters: Iterable[Filter] = (), search: str = "", where
 
 
 def count_estimate(df: DataFrame, estimate: int | None = None, filters: Iterable[Filter] = (), search: str = "",
-                   where: str = "", threshold: int = 1_000_000) -> DataFrame:
-    """The estimate of a large unfiltered table, else an exact count."""
+                   where: str = "", exact: bool = True) -> DataFrame:
+    """An exact count, or with ``exact=False`` the estimate of an unfiltered table that has one."""
     filters = list(filters)
-    if estimate is not None and estimate > threshold and not filters and not search.strip() and not where.strip():
+    if not exact and estimate is not None and not filters and not search.strip() and not where.strip():
         return df.sparkSession.range(1).select(F.lit(estimate).cast("bigint").alias("rows"), F.lit(False).alias("exact"))
     return count(df, filters, search, where)
 
@@ -249,8 +314,7 @@ def head(df: DataFrame, n: int, order: Sequence[Column] = ()) -> DataFrame:
 def clip(df: DataFrame, limit: int, order: Sequence[Column], budget: int = PAGE_BUDGET) -> DataFrame:
     """A page that stops after the row that takes its cells past ``budget``.
 
-    The running sum covers one page, at most ``MAX_PAGE`` rows: the page is
-    cut by ``limit`` first.
+    The running sum covers one page: the page is cut by ``limit`` first.
     """
     cut = df.withColumn("__size", row_size(df)).orderBy(*order).limit(page_limit(limit))
     before = F.sum("__size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
@@ -285,9 +349,10 @@ def row_cap(df: DataFrame, max_rows: int, order: Sequence[Column] = ()) -> Page:
 def sort_text(df: DataFrame, column: str, desc: bool = False, ties: Sequence[str] = ()) -> DataFrame:
     """Text in number order when every value is a number, else in text order."""
     number = F.trim(quoted(column)).try_cast("double")
-    mixed = df.where(number.isNull()).select(F.lit(True).alias("text")).limit(1).count() > 0
-    key = quoted(column) if mixed else number
-    return df.orderBy(key.desc_nulls_last() if desc else key.asc_nulls_first(), *[quoted(t) for t in ties])
+    # Part of the plan, so nothing runs before the rows are asked for.
+    numeric = df.agg(F.coalesce(F.bool_and(number.isNotNull() | quoted(column).isNull()), F.lit(True)).alias("numeric")).scalar()
+    keys = [F.when(numeric, number), F.when(~numeric, quoted(column))]
+    return df.orderBy(*[k.desc_nulls_last() if desc else k.asc_nulls_first() for k in keys], *[quoted(t) for t in ties])
 
 
 def sort_elements(df: DataFrame, kind: str, desc: bool = False) -> DataFrame:
@@ -312,11 +377,11 @@ def sort_in_partition(df: DataFrame, partition: dict, clustering: Sequence[Sort]
     directions or all reversed.
     """
     if not partition or not clustering:
-        raise ValueError("sort by a clustering column after filtering the whole partition key with =")
+        raise ValueError("an order needs one whole partition, chosen by =, and clustering columns")
     names = ", ".join(c.column for c in clustering)
     if len(sorts) > len(clustering) or any(s.column != c.column for s, c in zip(sorts, clustering)):
-        raise ValueError(f"sort by the clustering columns ({names}), in that order")
+        raise ValueError(f"the order must begin as the table is clustered: {names}")
     if len({s.desc != c.desc for s, c in zip(sorts, clustering)}) > 1:
-        raise ValueError("sort by the clustering columns all in their declared directions or all reversed")
+        raise ValueError("either all clustering columns keep their direction or all are turned round")
     kept = narrow(df, [Filter(k, "=", v) for k, v in partition.items()])
     return kept.orderBy(*order_columns(kept, sorts)) if sorts else kept

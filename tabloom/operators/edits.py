@@ -20,10 +20,6 @@ from tabloom.functions.text import quoted
 from tabloom.operators.browse import field_of
 from tabloom.session import materialize, work_path
 
-# Fixed value: the changes one save carries in the interactive editor.  A
-# batch up to this size is broadcast; a larger one is joined by shuffle.
-BROADCAST_CHANGES = 5_000
-
 
 class EditError(ValueError):
     """A change that cannot be applied; nothing was saved."""
@@ -81,10 +77,6 @@ def cast_inputs(df: DataFrame, changes: Sequence[Mapping[str, Any]], key: Sequen
     return reduce(DataFrame.unionByName, frames)
 
 
-def _small(changes: DataFrame) -> bool:
-    return changes.limit(BROADCAST_CHANGES + 1).count() <= BROADCAST_CHANGES
-
-
 def effective(df: DataFrame, changes: DataFrame) -> DataFrame:
     """Without the updates that set nothing, which are passed over."""
     flags = [quoted(f"has_{f.name}") for f in df.schema.fields if f"has_{f.name}" in changes.columns]
@@ -95,14 +87,15 @@ def effective(df: DataFrame, changes: DataFrame) -> DataFrame:
 def match_counts(df: DataFrame, changes: DataFrame, key: Sequence[str], small: bool | None = None) -> DataFrame:
     """How many rows each update and delete would hit; NULL keys match NULL.
 
-    Few changes are broadcast against the table.  Many are joined with the
-    table's keys counted beforehand, so a repeated key is one row.
+    Spark broadcasts the changes when their bytes are few, and the table is not
+    shuffled then.  With ``small=False`` the table's keys are counted before
+    the join, so a repeated key is one row.
     """
     wanted = changes.where(F.col("op") != "insert").select("change_id", *[quoted(f"key_{k}") for k in key])
     on = lambda left: [left[f"t{i}"].eqNullSafe(quoted(f"key_{k}")) for i, k in enumerate(key)]
     keys = df.select(*[quoted(k).alias(f"t{i}") for i, k in enumerate(key)])
-    if _small(changes) if small is None else small:
-        hits = keys.join(F.broadcast(wanted), on(keys)).groupBy("change_id").agg(F.count(F.lit(1)).alias("rows"))
+    if small is not False:
+        hits = keys.join(wanted, on(keys)).groupBy("change_id").agg(F.count(F.lit(1)).alias("rows"))
     else:
         counted = keys.groupBy(*keys.columns).agg(F.count(F.lit(1)).alias("__rows"))
         hits = counted.join(wanted, on(counted)).groupBy("change_id").agg(F.sum("__rows").alias("rows"))
@@ -113,14 +106,14 @@ def match_counts(df: DataFrame, changes: DataFrame, key: Sequence[str], small: b
 def insert_conflicts(df: DataFrame, changes: DataFrame, key: Sequence[str], small: bool | None = None) -> DataFrame:
     """Inserts whose key exists already, in the table or in the batch itself.
 
-    Few inserts are broadcast to the table, which then is not shuffled.
+    Inserts of few bytes are broadcast by Spark, and the table is not shuffled then.
     """
     rows = changes.where(F.col("op") == "insert").select("change_id", *[quoted(f"key_{k}") for k in key])
     rows = rows.where(reduce(and_, [quoted(f"key_{k}").isNotNull() for k in key]))
     keys = df.select(*[quoted(k).alias(f"t{i}") for i, k in enumerate(key)])
     on = [quoted(f"key_{k}") == F.col(f"t{i}") for i, k in enumerate(key)]
-    if _small(changes) if small is None else small:
-        taken = keys.join(F.broadcast(rows), on).select(*rows.columns).distinct()
+    if small is not False:
+        taken = keys.join(rows, on).select(*rows.columns).distinct()
     else:
         taken = rows.join(keys, on, "left_semi")
     # A row deleted earlier in the batch has freed its key.
@@ -140,8 +133,8 @@ def stale_changes(df: DataFrame, changes: DataFrame, key: Sequence[str], version
     keys = df.select(*[quoted(k).alias(f"t{i}") for i, k in enumerate(key)], quoted(version).alias("__version"))
     on = [quoted(f"key_{k}").eqNullSafe(F.col(f"t{i}")) for i, k in enumerate(key)]
     on.append(quoted(seen).eqNullSafe(F.col("__version")))
-    if _small(changes) if small is None else small:
-        current = keys.join(F.broadcast(wanted), on).select("change_id").distinct()
+    if small is not False:
+        current = keys.join(wanted, on).select("change_id").distinct()
         return wanted.select("change_id").join(current, "change_id", "left_anti")
     return wanted.join(keys, on, "left_anti").select("change_id")
 
@@ -156,25 +149,24 @@ def validate(df: DataFrame, changes: DataFrame, key: Sequence[str], version: str
     if wrong:
         r = wrong[0]
         if r.rows == 0:
-            raise EditError(f"change {r.change_id}: the row no longer exists or was modified by someone else")
-        raise EditError(f"change {r.change_id} would affect {r.rows} rows; nothing was saved")
+            raise EditError(f"change {r.change_id}: no row has this key any more")
+        raise EditError(f"change {r.change_id} hits {r.rows} rows instead of one, so the batch was refused")
     gone = changes.where(F.col("op") != "insert").groupBy(*[quoted(f"key_{k}") for k in key]).agg(
         F.min(F.when(F.col("op") == "delete", F.col("change_id"))).alias("deleted"),
         F.max("change_id").alias("change_id")).where("change_id > deleted").orderBy("change_id").limit(1).collect()
     if gone:
-        raise EditError(f"change {gone[0].change_id}: the row no longer exists or was modified by someone else")
+        raise EditError(f"change {gone[0].change_id}: no row has this key any more")
     taken = insert_conflicts(df, changes, key, small).orderBy("change_id").limit(1).collect()
     if taken:
-        raise EditError(f"change {taken[0].change_id}: a row with this key already exists")
+        raise EditError(f"change {taken[0].change_id}: its key is taken")
     if version is not None:
         stale = stale_changes(df, changes, key, version, small=small).orderBy("change_id").limit(1).collect()
         if stale:
-            raise EditError(f"change {stale[0].change_id}: the row was modified by someone else; reload it and try again")
+            raise EditError(f"change {stale[0].change_id}: the row has a newer version than the one that was edited")
 
 
 def edited(df: DataFrame, changes: DataFrame, key: Sequence[str], small: bool | None = None) -> DataFrame:
     """The table with valid changes applied, as a plan."""
-    small = _small(changes) if small is None else small
     set_names = [f.name for f in df.schema.fields if f"set_{f.name}" in changes.columns]
     # Several changes of one row become one: the last value set wins.
     wanted = changes.where(F.col("op") != "insert").groupBy(*[quoted(f"key_{k}") for k in key]).agg(
@@ -182,9 +174,8 @@ def edited(df: DataFrame, changes: DataFrame, key: Sequence[str], small: bool |
         *[F.max_by(F.struct(quoted(f"set_{n}").alias("v")), F.when(quoted(f"has_{n}"), F.col("change_id"))).alias(f"set_{n}")
           for n in set_names],
         *[F.coalesce(F.bool_or(quoted(f"has_{n}")), F.lit(False)).alias(f"has_{n}") for n in set_names])
-    side = F.broadcast(wanted) if small else wanted
     on = [quoted(k).eqNullSafe(quoted(f"key_{k}")) for k in key]
-    joined = df.join(side, on, "left").where(~F.col("__op").eqNullSafe(F.lit("delete")))
+    joined = df.join(wanted, on, "left").where(~F.col("__op").eqNullSafe(F.lit("delete")))
     kept = joined.select(*[
         F.when(F.coalesce(quoted(f"has_{f.name}"), F.lit(False)), quoted(f"set_{f.name}")["v"].cast(f.dataType))
         .otherwise(quoted(f.name)).alias(f.name) if f.name in set_names else quoted(f.name)
@@ -203,11 +194,10 @@ def apply_edits(df: DataFrame, changes: DataFrame, key: Sequence[str], target: s
     changes.  Nothing is written when any change fails.
     """
     batch = materialize(effective(df, changes), "changes")
-    small = _small(batch)
-    validate(df, batch, key, version, small)
+    validate(df, batch, key, version)
     applied = batch.count()
     path = target or work_path(df.sparkSession, "edited")
-    edited(df, batch, key, small).write.mode("errorifexists").parquet(path)
+    edited(df, batch, key).write.mode("errorifexists").parquet(path)
     return EditResult(df.sparkSession.read.schema(df.schema).parquet(path), applied, path)
 
 
@@ -222,39 +212,38 @@ class ColumnDef:
     generated: str | None = None
 
 
-# Default expressions of other engines and what Spark calls them.
-_NOW = {"now()", "getdate()", "sysdate", "systimestamp", "sysdatetime()", "localtimestamp", "current_timestamp",
-        "current_timestamp()", "sysdatetimeoffset()", "sysutcdatetime()", "getutcdate()"}
-_TODAY = {"current_date", "current_date()", "curdate()", "today()"}
-_UUID = {"uuid()", "gen_random_uuid()", "newid()", "uuid_generate_v4()", "sys_guid()", "generateuuidv4()", "uuid_string()"}
-_TRUE = {"true", "1", "b'1'", "'1'", "'t'", "'true'", "'y'"}
-_FALSE = {"false", "0", "b'0'", "'0'", "'f'", "'false'", "'n'"}
+# What other engines call the moment, the day and a new identifier, and their words for yes and no.
+_NOW = ("now getdate sysdate systimestamp sysdatetime localtimestamp current_timestamp sysdatetimeoffset sysutcdatetime "
+        "getutcdate").split()
+_TODAY = "current_date curdate today".split()
+_UUID = "uuid gen_random_uuid newid uuid_generate_v sys_guid generateuuidv uuid_string".split()
+_YES, _NO = ("true", "1", "t", "y"), ("false", "0", "f", "n")
+
+# Names of calls without their brackets and digits, the Spark call, and the kinds that take it (none: all).
+_CALLS = [(_NOW, "current_timestamp()", ("datetime", "timestamptz")), (_TODAY, "current_date()", ()), (_UUID, "uuid()", ())]
+_CONSTANT = re.compile(r"""(?ix) ^ [(\s]* (?P<prefix> [nb](?=') )? (?P<value> '(?:[^']|'')*' | [-+]?\d+(?:\.\d+)?(?:e[-+]?\d+)? | true | false | null )
+                           [)\s]* (?: ::[\w\s"]+ (?:\(\d+\))? )? [)\s]* $""")
+_CALL = re.compile(r"^[(\s]*([a-z_]+)\d*\s*(?:\(\d*\))?[)\s]*$", re.I)
 
 
 def translate_default(default: str | None, canon_t: str) -> tuple[str | None, str]:
-    """A column default as a Spark expression, or None with a note."""
+    """A column default as a Spark expression, or None with a note.
+
+    Constants are kept; calls go by a table of names; all else is left out.
+    """
     text = (default or "").strip()
-    while text.startswith("(") and text.endswith(")") and text.count("(") == text.count(")") and \
-            not re.match(r"^\([^()]*\)\s*\W.*\)$", text):
-        text = text[1:-1].strip()
-    text = re.sub(r"::[\w \"]+(\(\d+\))?$", "", text)
-    low = re.sub(r"\(\d+\)$", "", text.lower())
-    if not text or low == "null":
+    constant, call = _CONSTANT.match(text), _CALL.match(text)
+    if not text or (constant and constant["value"].lower() == "null"):
         return None, ""
-    dropped = f"the default {default} was not carried over"
     if canon_t == "bool":
-        return ("true", "") if low in _TRUE else ("false", "") if low in _FALSE else (None, dropped)
-    if re.fullmatch(r"[-+]?\d+(\.\d+)?([eE][-+]?\d+)?", text):
-        return text, ""
-    if re.fullmatch(r"[nN]?'([^']|'')*'", text):
-        return text[1:] if text[0] in "nN" else text, ""
-    if low in _NOW:
-        return ("current_timestamp()", "") if canon_t in ("datetime", "timestamptz") else (None, dropped)
-    if low in _TODAY:
-        return "current_date()", ""
-    if low in _UUID:
-        return "uuid()", ""
-    return None, dropped
+        word = constant["value"].strip("'").lower() if constant else ""
+        found = "true" if word in _YES else "false" if word in _NO else None
+    elif constant and constant["value"].lower() not in ("true", "false") and (constant["prefix"] or "").lower() != "b":
+        found = constant["value"]
+    else:
+        name = call[1].lower() if call else ""
+        found = next((spark for names, spark, kinds in _CALLS if name in names and (not kinds or canon_t in kinds)), None)
+    return found, "" if found else f"left without its default {default}, which has no counterpart here"
 
 
 def restructure(df: DataFrame, columns: Sequence[ColumnDef]) -> DataFrame:

@@ -187,7 +187,7 @@ def item_filter(df: DataFrame, f: Filter) -> Column:
         test = col.between(argument(f.values[0], dtype), argument(f.values[1], dtype))
     elif f.op in ("in", "notin"):
         if not 1 <= len(f.values) <= 100:
-            raise ValueError(f"{f.column}: in takes 1 to 100 values")
+            raise ValueError(f"{f.column}: give between 1 and 100 values to in")
         test = F.coalesce(col.isin(*[argument(v, dtype) for v in f.values]), F.lit(False))
         test = test if f.op == "in" else ~test
     elif f.op == "startswith":
@@ -214,7 +214,7 @@ def item_search(df: DataFrame, words: str) -> Column | None:
         elif isinstance(x.dataType, T.ArrayType) and isinstance(x.dataType.elementType, _TEXT):
             tests.append(F.coalesce(F.array_contains(quoted(x.name), needle), F.lit(False)))
     if not tests:
-        raise ValueError("no text attributes to search")
+        raise ValueError("the items have no attribute that holds text")
     return reduce(or_, tests)
 
 
@@ -232,14 +232,14 @@ def wide_column_filter(df: DataFrame, f: Filter) -> Column:
         return (col >= argument(f.values[0], dtype)) & (col <= argument(f.values[1], dtype))
     if f.op == "in":
         if not f.values:
-            raise ValueError(f"{f.column}: choose at least one value")
+            raise ValueError(f"{f.column}: in needs a value")
         return col.isin(*[argument(v, dtype) for v in f.values])
     if f.op == "contains":
         if isinstance(dtype, T.ArrayType):
             return F.array_contains(col, argument(f.value, dtype.elementType))
         if isinstance(dtype, T.MapType):
             return F.array_contains(F.map_values(col), argument(f.value, dtype.valueType))
-        raise ValueError(f"{f.column}: text cannot be searched inside; filter with = or a range instead")
+        raise ValueError(f"{f.column}: only whole values and ranges can be looked up here")
     raise ValueError(f"{f.column}: filters are =, <, <=, >, >=, between, in and (for collections) contains")
 
 

@@ -7,14 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from tabloom.functions import geometry
 from tabloom.functions.text import quoted, trim_json_numbers
 
-# Fixed value: the most vertices shown as a full shape.
-MAX_POINTS = 200_000
 
-
-def shapes(df: DataFrame, column: str, max_points: int = MAX_POINTS) -> DataFrame:
+def shapes(df: DataFrame, column: str, max_points: int | None = None) -> DataFrame:
     """Add GeoJSON, SRID, vertex count and bounding box for WKT, EWKT or GeoJSON text.
 
-    A shape with more than ``max_points`` vertices is shown by its extent.
+    With ``max_points``, a shape with more vertices is shown by its extent.
     """
     col = quoted(column)
     parsed = df.withColumn("__shape", geometry.read_shape(col)).withColumn(
@@ -26,10 +23,11 @@ def shapes(df: DataFrame, column: str, max_points: int = MAX_POINTS) -> DataFram
         trim_json_numbers(F.to_json(F.array(*[F.array(box[x], box[y]) for x, y in corners]))), F.lit("]}"))
     points = F.size(geometry.vertices(nested))
     readable = nested.isNotNull()
+    large = readable & (points > max_points) if max_points is not None else F.lit(False)
     return parsed.select(
         *[quoted(c) for c in df.columns], geometry.srid(col).alias("srid"), F.when(readable, points).alias("points"),
-        F.when(readable & (points > max_points), "extent").alias("display"),
-        F.when(readable & (points > max_points), extent_text).otherwise(
+        F.when(large, "extent").alias("display"),
+        F.when(large, extent_text).otherwise(
             geometry.geojson_of(F.col("__shape"), col)).alias("geojson"),
         *[F.when(readable, box[n]).alias(n) for n in ("min_x", "min_y", "max_x", "max_y")])
 

@@ -12,21 +12,16 @@ from tabloom.functions.geometry import EARTH_RADIUS, haversine
 from tabloom.functions.text import quoted
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint, given only after counting that the side is small."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def lookup(df: DataFrame, dim: DataFrame, on: Mapping[str, str], columns: Sequence[str], max_rows: int = 100_000) -> DataFrame:
+def lookup(df: DataFrame, dim: DataFrame, on: Mapping[str, str], columns: Sequence[str]) -> DataFrame:
     """Add columns of a dictionary by key; unknown keys give NULL.
 
-    A dictionary has one row per key.  It is broadcast when it has at most
-    ``max_rows`` rows and joined by shuffle otherwise.
+    A dictionary has one row per key.  Spark broadcasts it when its bytes are
+    few enough, and joins by shuffle otherwise.
     """
     keys = {f"__k{i}": v for i, v in enumerate(on.values())}
     right = dim.select(*[quoted(v).alias(k) for k, v in keys.items()], *[quoted(c) for c in columns])
     tests = [quoted(a) == F.col(k) for a, k in zip(on, keys)]
-    return df.join(broadcast_if_small(right, max_rows), tests, "left").drop(*keys)
+    return df.join(right, tests, "left").drop(*keys)
 
 
 def join_summary(parents: DataFrame, key: str, children: DataFrame, child_key: str, aggs: Mapping[str, Column],

@@ -11,9 +11,6 @@ from tabloom.model import OVERFLOW
 
 FIELD_MAP = "map<string,variant>"
 
-# A wider table cannot be planned; the fields must be named then.
-MAX_FIELDS = 10_000
-
 # The type names of shapes inside documents.
 GEO_TYPES = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection")
 
@@ -114,12 +111,6 @@ def _typed_field(name: str, type_name: str) -> Column:
     return F.when(~F.is_variant_null(value), F.to_json(value)).alias(name)
 
 
-def _field_list(rows, limit: int = MAX_FIELDS) -> list:
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} fields; name the columns to lay out")
-    return rows
-
-
 def docs_to_rows(df: DataFrame, doc: str, columns: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Documents as rows over typed columns.
 
@@ -128,8 +119,8 @@ def docs_to_rows(df: DataFrame, doc: str, columns: Mapping[str, str] | None = No
     JSON object in the ``…`` column, NULL when there are none.
     """
     if columns is None:
-        found = infer_fields(df, doc).select("field", "type").limit(MAX_FIELDS + 1).collect()
-        columns = {r.field: r.type for r in _field_list(found)}
+        # Field names are a schema: one row for each column of the result.
+        columns = {r.field: r.type for r in infer_fields(df, doc).select("field", "type").collect()}
     names = list(columns)
     parsed = df.select(*[quoted(k) for k in keep], F.from_json(quoted(doc), FIELD_MAP).alias("__map"))
     rest = F.map_filter("__map", lambda k, _: ~k.isin(*names)) if names else F.col("__map")
@@ -150,7 +141,7 @@ def hits_to_rows(df: DataFrame, source: str, hit_id: str, fixed: Mapping[str, st
         ranked = _fields(df, source, order).groupBy("field", "type").agg(F.min("__doc").alias("first")).groupBy("field").agg(
             F.min("first").alias("first"),
             F.collect_set(F.when(F.col("type") != "null", F.col("type"))).alias("types"))
-        for r in _field_list(ranked.orderBy("first", "field").limit(MAX_FIELDS + 1).collect()):
+        for r in ranked.orderBy("first", "field").collect():
             columns[r.field] = r.types[0] if len(r.types) == 1 else "mixed"
     parsed = df.select(quoted(hit_id).alias("__hit"), F.from_json(quoted(source), FIELD_MAP).alias("__map"))
     return parsed.select(F.col("__hit").cast("string").alias("_id"),
@@ -184,7 +175,7 @@ def items_to_rows(df: DataFrame, item: str, keys: Sequence[str], named: Sequence
     Text, numbers (as exact text) and booleans are plain cells, sets arrays
     of text, everything else JSON.
     """
-    layout = _field_list(item_columns(df, item, keys, named).limit(MAX_FIELDS + 1).collect())
+    layout = item_columns(df, item, keys, named).collect()
     parsed = df.select(F.from_json(quoted(item), "map<string,map<string,variant>>").alias("__item"))
 
     def cell(name: str, tag: str) -> Column:
@@ -257,14 +248,15 @@ def glob_regex(glob: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
-def match_keys(df: DataFrame, glob: str = "*", limit: int = 5_000, key: str = "key", type_column: str = "type",
+def match_keys(df: DataFrame, glob: str = "*", limit: int | None = None, key: str = "key", type_column: str = "type",
                payload: str = "payload") -> DataFrame:
-    """Keys matching a pattern, with their type and number of elements, by name."""
+    """Keys matching a pattern, with their type and number of elements, by name; all unless ``limit`` is given."""
     t, p = quoted(type_column), quoted(payload)
     size = (F.when(t.isin("hash", "zset"), F.size(F.json_object_keys(p)))
             .when(t.isin("list", "set", "stream"), F.json_array_length(p)))
-    return df.where(quoted(key).rlike(glob_regex(glob or "*"))).select(
-        quoted(key).alias("name"), t.alias("kind"), size.cast("bigint").alias("rows")).orderBy("name").limit(limit)
+    found = df.where(quoted(key).rlike(glob_regex(glob or "*"))).select(
+        quoted(key).alias("name"), t.alias("kind"), size.cast("bigint").alias("rows")).orderBy("name")
+    return found.limit(limit) if limit else found
 
 
 def fields_set(fields: Column, changes: Mapping[str, Column], unset: Sequence[str] = ()) -> Column:

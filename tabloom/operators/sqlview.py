@@ -8,9 +8,6 @@ from dataclasses import dataclass
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Rows a query shows unless asked, and at most.
-DEFAULT_ROWS, MAX_ROWS = 1_000, 200_000
-
 
 class ReadOnlyError(ValueError):
     """The text is not one statement that reads."""
@@ -43,11 +40,13 @@ def register(tables: Mapping[str, DataFrame]) -> None:
 
 
 def sql(spark: SparkSession, text: str, views: Mapping[str, DataFrame] | None = None, max_rows: int | None = None) -> QueryResult:
-    """A read query, its rows capped, with a flag that tells when more exist."""
+    """A read query: all its rows, or the first ``max_rows`` with a flag that tells when more exist."""
     register(views or {})
     check_read_only(spark, text)
-    cap = max_rows if max_rows and 0 < max_rows <= MAX_ROWS else DEFAULT_ROWS
+    cap = max_rows if max_rows and max_rows > 0 else None
     df = spark.sql(text.strip().rstrip(";"))
+    if cap is None:
+        return QueryResult(df, df.agg(F.count(F.lit(1)).alias("rows")).withColumn("truncated", F.lit(False)))
     info = df.limit(cap + 1).agg(F.count(F.lit(1)).alias("n")).select(
         F.least("n", F.lit(cap)).cast("bigint").alias("rows"), (F.col("n") > cap).alias("truncated"))
     return QueryResult(df.limit(cap), info)

@@ -18,18 +18,19 @@ def hash60(text: Column) -> Column:
     Never NULL, so a sum needs to look at it only once.
     """
     digits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10)
-    return F.coalesce(digits.cast("bigint"), F.lit(0)).cast("decimal(20,0)")
+    return F.coalesce(digits.cast("bigint"), F.lit(0)).cast("decimal(28,0)")
 
 
 def _hash(text: Column, portable: bool) -> Column:
-    return hash60(text) if portable else F.xxhash64(text).cast("decimal(20,0)")
+    return hash60(text) if portable else F.xxhash64(text).cast("decimal(28,0)")
 
 
 def digest_columns(df: DataFrame, canons: Mapping[str, Canon] | None = None, portable: bool = True,
                    row_hash: bool = False) -> dict[str, Column]:
     """The aggregates of a digest by name: ``rows`` and a sum per column.
 
-    Sums are decimals, which do not overflow: 2^60 times 10^18 rows fit.
+    Hashes are ``decimal(28,0)``, so that their sum is ``decimal(38,0)``: 2^64
+    times 10^18 rows fit.
     """
     canons = canons or {f.name: canon_of(f) for f in df.schema.fields}
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -61,13 +62,15 @@ def row_digest(df: DataFrame) -> Column:
 def fingerprint(df: DataFrame, order: Sequence[Sort] | None = None) -> DataFrame:
     """SHA-256 of a result: its column names, its rows and its order.
 
-    Rows are combined by sums, so no row has to wait for another.  A sort by
-    a unique key makes the sequence a function of the rows, which is why
-    ``order`` enters as the sort itself.
+    Rows are combined by sums, so no row has to wait for another.  The sequence
+    that is meant sorts by ``order`` and, among rows with equal keys, by all
+    cells; that makes it a function of the rows, which is why ``order`` enters
+    as the sort itself.  Rows with equal sort keys have no order of their own
+    in a DataFrame, so none is told apart.
     """
     names = "".join(n + "\x1f" for n in df.columns) + "\x1e"
     spec = ",".join(f"{s.column} {'desc' if s.desc else 'asc'}" for s in order or ())
-    half = lambda at: F.coalesce(F.conv(F.substring("d", at, 15), 16, 10).cast("bigint"), F.lit(0)).cast("decimal(20,0)")
+    half = lambda at: F.coalesce(F.conv(F.substring("d", at, 15), 16, 10).cast("bigint"), F.lit(0)).cast("decimal(28,0)")
     one = df.select(F.md5(row_digest(df)).alias("d")).agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(half(1)), F.lit(0)).alias("a"),
         F.coalesce(F.sum(half(17)), F.lit(0)).alias("b"))

@@ -50,7 +50,7 @@ def check_mapping(file_columns: Sequence[str], mapping: Mapping[str, str], meta:
         if column is None:
             raise ValueError(f"the table has no column {target!r}")
         if column.generated:
-            raise ValueError(f"column {target} is computed and takes no values")
+            raise ValueError(f"{target} is filled by its own expression and cannot be mapped")
         if target in used:
             raise ValueError(f"column {target} is mapped twice")
         used.add(target)

@@ -15,8 +15,6 @@ from tabloom.operators.verify import digest, digest_columns, verify
 from tabloom.plans.types import LakeType, canon_of, lake_type
 from tabloom.sinks.load import load, path_exists, read_loaded
 
-# Fixed value: the tables one migration may hold.
-MAX_TABLES = 1_000
 
 
 @dataclass(frozen=True)
@@ -92,8 +90,6 @@ def match_key_types(plans: Mapping[str, TablePlan]) -> dict[str, TablePlan]:
 
 def plan(tables: Mapping[str, tuple[DataFrame, TableMeta]], options: Options = Options()) -> list[TablePlan]:
     """Plans of all tables in load order, parents first."""
-    if len(tables) > MAX_TABLES:
-        raise ValueError(f"a migration takes at most {MAX_TABLES} tables")
     plans = match_key_types({n: plan_table(df, meta, options) for n, (df, meta) in tables.items()})
     seen: dict[str, str] = {}
     for p in plans.values():

@@ -19,13 +19,13 @@ _LINE = T.StructType([T.StructField("value", T.StringType())])
 def check_delimiter(delimiter: str) -> str:
     delimiter = "\t" if delimiter == "\\t" else delimiter
     if len(delimiter) != 1 or delimiter in '"\r\n':
-        raise ValueError("the delimiter must be a single character other than a quote or line break")
+        raise ValueError("use one single character as delimiter, and neither a quote nor a line end")
     return delimiter
 
 
 def csv_cell(text: Column, delimiter: str) -> Column:
     """Quoted when it holds the delimiter, a quote, a line break, or starts with a space."""
-    special = text.contains(delimiter) | text.rlike(r'["\r\n]|^\s') | (text == "\\.")
+    special = text.contains(delimiter) | text.rlike(r'["\r\n]|(?U)^\s') | (text == "\\.")
     return F.when(special, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
@@ -33,7 +33,11 @@ def csv_lines(df: DataFrame, delimiter: str = ",", null_text: str = "") -> DataF
     """Rows as CSV text, one line (or quoted lines) each."""
     cells = [csv_cell(F.coalesce(text_of(quoted(f.name), f.dataType), F.lit(null_text)), delimiter)
              for f in df.schema.fields]
-    return df.select(F.concat_ws(delimiter, *cells).alias("value"))
+    line = F.concat_ws(delimiter, *cells)
+    if len(cells) == 1:
+        # Readers skip an empty line, so an only cell that is empty is quoted.
+        line = F.when(line == "", '""').otherwise(line)
+    return df.select(line.alias("value"))
 
 
 def tsv_lines(df: DataFrame, null_text: str = "") -> DataFrame:

@@ -42,15 +42,18 @@ def load(df: DataFrame, target: str, mode: str = "append", fmt: str = "parquet")
     if mode not in ("append", "replace"):
         raise ValueError(f"unknown load mode {mode!r}")
     spark = df.sparkSession
-    staging = f"{target.rstrip('/')}/_staging-{uuid.uuid4().hex[:8]}"
-    df.write.format(fmt).save(staging)
-    generations = _generations(spark, target)
-    now = max(generations, default=0)
-    generation = now if mode == "append" and now else now + 1
-    parent = f"{target.rstrip('/')}/g={generation}"
-    fs, p = _fs(spark, parent)
-    fs.mkdirs(p)
-    rename(spark, staging, f"{parent}/b={uuid.uuid4().hex[:12]}")
+    staging, part = f"{target.rstrip('/')}/_staging-{uuid.uuid4().hex[:8]}", f"b={uuid.uuid4().hex[:12]}"
+    fs, held = _fs(spark, staging)
+    try:
+        df.write.format(fmt).save(f"{staging}/{part}")
+        now = max(_generations(spark, target), default=0)
+        if mode == "append" and now:
+            rename(spark, f"{staging}/{part}", f"{target.rstrip('/')}/g={now}/{part}")
+        else:
+            # The generation appears with its rows in it.
+            rename(spark, staging, f"{target.rstrip('/')}/g={now + 1}")
+    finally:
+        fs.delete(held, True)
     return read_loaded(spark, target, fmt, df.schema)
 
 

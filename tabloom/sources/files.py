@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -12,11 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tabloom.functions.text import quoted, tsv_unescape
 from tabloom.model import detect_format, header_names, numbered_names
 
-# The delimiters tried, in order of preference, how much of a
-# file is looked at, and how many JSON records teach the field names.
+# The delimiters tried, in order of preference, and how much of
+# a file is looked at to find the delimiter and the header.
 DELIMITERS = (",", ";", "\t", "|")
 PEEK_BYTES = 64 * 1024
-JSON_SAMPLE = 500
 
 # No file holds this text, so it makes every empty field stay a text.
 _NO_NULL = "\x00\x01no null\x01\x00"
@@ -82,12 +80,12 @@ def _named(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True,
-                   multiline: bool = True, position: bool = False) -> DataFrame:
+                   multiline: bool = False, position: bool = False) -> DataFrame:
     """CSV as text columns.
 
     Short rows are padded with NULL, long rows cut to the header's width,
-    empty fields stay empty text.  ``multiline=False`` lets large files split
-    and is right whenever fields hold no line breaks.
+    empty fields stay empty text.  Large files split; ``multiline=True`` is for
+    files whose fields hold line breaks, and makes each file one task.
     """
     head = first_bytes(spark, path).decode("utf-8", "replace").removeprefix("\ufeff")
     if delimiter == "\\t":
@@ -126,32 +124,44 @@ def read_tsv(spark: SparkSession, path: str, header: bool = True, position: bool
     line = head.split("\n", 1)[0].removesuffix("\r")
     first = [_unescape(p) for p in line.split("\t")] if head else []
     names = header_names(first, len(first)) if header else numbered_names(len(first))
-    raw = [f"c{i}" for i in range(len(names))]
-    df = (spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in raw]))
-          .option("sep", "\t").option("quote", "").option("escape", "").option("header", str(header).lower())
-          .option("lineSep", "\n").option("mode", "PERMISSIVE").option("enforceSchema", "true")
-          .option("nullValue", _NO_NULL).option("emptyValue", "").option("maxCharsPerColumn", "-1").csv(path))
+    # Read as lines: a delimited reader would pass over lines of blanks only.
+    df = spark.read.option("lineSep", "\n").text(path)
     if position:
         df = positioned(df)
-    cells = []
-    for i, (c, n) in enumerate(zip(raw, names)):
-        # The last cell of a line carries the carriage return of the line end.
-        ends = quoted(raw[i + 1]).isNull() if i + 1 < len(raw) else F.lit(True)
-        bare = F.when(ends, F.regexp_replace(quoted(c), "\r$", "")).otherwise(quoted(c))
-        if i == 0 and not header:
-            bare = F.regexp_replace(bare, "^\ufeff", "")
-        cells.append(tsv_unescape(bare).alias(n))
-    return df.select(*cells, *([F.col(POSITION)] if position else []))
+    if header:
+        df = _without_first_lines(df, head.split("\n", 1)[0])
+    cells = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
+    shown = []
+    for i, n in enumerate(names):
+        cell = F.get("__cells", F.lit(i))
+        shown.append(tsv_unescape(F.regexp_replace(cell, "^\ufeff", "") if i == 0 and not header else cell).alias(n))
+    return df.select(cells.alias("__cells"), *([F.col(POSITION)] if position else [])).select(
+        *shown, *([F.col(POSITION)] if position else []))
+
+
+def _without_first_lines(lines: DataFrame, first: str) -> DataFrame:
+    """Lines of files without the first line of each file that starts with the header ``first``.
+
+    Only a file's first block is looked at for it, so at most one row for
+    each file takes part in the join.
+    """
+    head = F.regexp_replace("value", "^\ufeff|\r$", "") == first.removesuffix("\r")
+    placed = lines.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__line"))
+    heads = placed.where(head & (F.col("_metadata.file_block_start") == 0)).groupBy("__file").agg(F.min("__line").alias("__line"))
+    return placed.join(heads, ["__file", "__line"], "left_anti").drop("__file", "__line")
 
 
 def _unescape(text: str) -> str:
     return "\\".join(p.replace("\\t", "\t").replace("\\n", "\n").replace("\\r", "\r") for p in text.split("\\\\"))
 
 
-def _first_seen_fields(lines: DataFrame, column: str, sample: int) -> list[str]:
-    head = lines.limit(sample).withColumn("__n", F.monotonically_increasing_id())
+def _first_seen_fields(lines: DataFrame, column: str, sample: int | None) -> list[str]:
+    """Field names by the record that first had them, then by their place in it."""
+    head = (lines.limit(sample) if sample else lines).withColumn("__n", F.monotonically_increasing_id())
+    # Record and place in one number, so that the minimum is a hash aggregate.
+    place = F.col("__n") * 1024 + F.least("pos", F.lit(1023))
     fields = head.select("__n", F.posexplode(F.json_object_keys(quoted(column))).alias("pos", "field")).groupBy(
-        "field").agg(F.min(F.struct("__n", "pos")).alias("first")).orderBy("first")
+        "field").agg(F.min(place).alias("first")).orderBy("first", "field")
     return [r.field for r in fields.collect()]
 
 
@@ -167,12 +177,13 @@ def _lay_out(lines: DataFrame, column: str, fields: Sequence[str], as_variant: b
     return parsed.select(*cells, *kept)
 
 
-def read_ndjson(spark: SparkSession, path: str, sample: int = JSON_SAMPLE, as_variant: bool = False,
+def read_ndjson(spark: SparkSession, path: str, sample: int | None = None, as_variant: bool = False,
                 position: bool = False) -> DataFrame:
     """One JSON object per line; blank lines are skipped.
 
-    Fields stand in the order first seen in the first ``sample`` records;
-    fields that appear only later are ignored.
+    Fields stand in the order first seen in all records.  With ``sample`` only
+    the first records teach the names, and fields that appear later are
+    ignored.
     """
     lines = spark.read.text(path)
     if position:
@@ -181,16 +192,17 @@ def read_ndjson(spark: SparkSession, path: str, sample: int = JSON_SAMPLE, as_va
     return _lay_out(lines, "value", _first_seen_fields(lines, "value", sample), as_variant)
 
 
-def read_json_array(spark: SparkSession, path: str, sample: int = JSON_SAMPLE, as_variant: bool = False,
+def read_json_array(spark: SparkSession, path: str, sample: int | None = None, as_variant: bool = False,
                     position: bool = False) -> DataFrame:
     """Files that each hold an array of objects: ``[ {…}, {…} ]``.
 
     A file is one JSON text and cannot be split, so large data belongs in
-    many files.
+    many files.  Fields are those of all records, or with ``sample`` of the
+    first ones.
     """
     head = first_bytes(spark, path, 4096).decode("utf-8", "replace").removeprefix("\ufeff").lstrip()
     if head and not head.startswith("["):
-        raise ValueError("a JSON import must be an array of objects: [ {…}, {…} ]")
+        raise ValueError("expected an array of objects at the top of the JSON file")
     fields = _array_fields(spark, path, sample)
     raw = [f"c{i}" for i in range(len(fields))]
     # With a schema there is no pass over the data to find one.
@@ -208,24 +220,16 @@ def read_json_array(spark: SparkSession, path: str, sample: int = JSON_SAMPLE, a
     return records.select(*cells, *([F.col(POSITION)] if position else []))
 
 
-def _array_fields(spark: SparkSession, path: str, sample: int) -> list[str]:
-    """Field names of the first records of the first file, in file order."""
-    text = first_bytes(spark, path, 4 << 20).decode("utf-8", "ignore").removeprefix("\ufeff")
-    decoder, names, at = json.JSONDecoder(), {}, text.find("[") + 1
-    for number in range(1, sample + 1):
-        while at < len(text) and text[at] in " \t\r\n,":
-            at += 1
-        try:
-            record, at = decoder.raw_decode(text, at)
-        except ValueError:
-            break
-        if not isinstance(record, dict):
-            raise ValueError(f"record {number} is not a JSON object")
-        names.update(dict.fromkeys(record))
-    if names or not text.strip():
-        return list(names)
-    # A first record beyond the peeked part: let the reader find the fields.
-    return spark.read.option("multiLine", "true").json(path).columns
+def _array_fields(spark: SparkSession, path: str, sample: int | None) -> list[str]:
+    """Field names of the records in all files, in the order first seen."""
+    files = spark.read.option("wholetext", "true").text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    records = files.where(F.trim("value") != "").select(F.explode(F.from_json("value", "array<string>")).alias("value"))
+    if sample:
+        records = records.limit(sample)
+    odd = records.where(F.json_object_keys("value").isNull()).limit(1).collect()
+    if odd:
+        raise ValueError("a record of the JSON array is not a JSON object")
+    return _first_seen_fields(records, "value", None)
 
 
 def read_lake(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:

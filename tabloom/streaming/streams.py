@@ -8,7 +8,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabloom.functions.text import quoted
-from tabloom.operators.aggregates import compact_sums
 from tabloom.operators.runs import block_of, previous
 from tabloom.session import work_path
 from tabloom.sinks.load import path_exists
@@ -33,38 +32,66 @@ def run_available(stream: DataFrame, commit: Callable[[DataFrame, int], None], c
     query.awaitTermination()
 
 
-def maintain_summary(stream: DataFrame, ts: str, aggs: Mapping[str, Column], target: str, keys: Sequence[str] = (),
-                     condition: Column | None = None, watermark: str | None = None) -> None:
-    """A summary by day kept up to date as rows arrive.
+# How parts of a summary become one, by function; an average is kept as a sum and a count.
+MERGES = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "total": F.sum, "number": F.sum}
 
-    Every batch appends its own partial sums under its batch number, so a
-    repeated batch replaces itself; ``read_summary`` adds them up.  With a
-    ``watermark``, rows older than it are dropped.
+
+def _parts(aggs: Mapping[str, tuple[str, Column]]) -> list[Column]:
+    """Partial aggregates, each named by the function that merges it."""
+    out = []
+    for name, (kind, col) in aggs.items():
+        if kind == "avg":
+            out += [F.sum(col).alias(f"total:{name}"), F.count(col).alias(f"number:{name}")]
+        elif kind in ("sum", "count", "min", "max"):
+            out.append(getattr(F, kind)(col).alias(f"{kind}:{name}"))
+        else:
+            raise ValueError(f"parts of {kind!r} cannot be merged")
+    return out
+
+
+def _merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    values = [c for c in parts.columns if c not in keys]
+    return parts.groupBy(*[quoted(k) for k in keys]).agg(*[MERGES[c.split(":", 1)[0]](quoted(c)).alias(c) for c in values])
+
+
+def maintain_summary(stream: DataFrame, ts: str, aggs: Mapping[str, tuple[str, Column]], target: str, keys: Sequence[str] = (),
+                     condition: Column | None = None) -> None:
+    """A summary by day kept up to date as rows arrive, late ones included.
+
+    ``aggs`` gives a function (sum, count, min, max or avg) and a column for
+    each name.  Every batch appends its own partial aggregates under its batch
+    number, so a repeated batch replaces itself; ``read_summary`` merges them.
     """
     rows = stream if condition is None else stream.where(condition)
-    if watermark:
-        rows = rows.withWatermark(ts, watermark)
+    made = _parts(aggs)
     root = target.rstrip("/")
 
     def commit(batch: DataFrame, epoch: int) -> None:
-        part = batch.groupBy(F.to_date(quoted(ts)).alias("day"), *[quoted(k) for k in keys]).agg(
-            *[c.alias(n) for n, c in aggs.items()])
+        part = batch.groupBy(F.to_date(quoted(ts)).alias("day"), *[quoted(k) for k in keys]).agg(*made)
         part.write.mode("overwrite").parquet(f"{root}/batch={epoch}")
 
     run_available(rows, commit, f"{root}/_checkpoint")
 
 
 def read_summary(spark: SparkSession, target: str, keys: Sequence[str] = ()) -> DataFrame:
-    """The parts of all batches, added up by day and key."""
-    parts = spark.read.parquet(target).drop("batch")
-    return compact_sums(parts, ["day", *keys])
+    """The parts of all batches merged by day and key, each by its own function."""
+    return _finished(_merged(spark.read.parquet(target).drop("batch"), ["day", *keys]), ["day", *keys])
+
+
+def _finished(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    out = [quoted(k) for k in keys]
+    for c in merged.columns:
+        kind, _, name = c.partition(":")
+        if c not in keys and kind != "number":
+            out.append((F.try_divide(quoted(c), quoted(f"number:{name}")) if kind == "total" else quoted(c)).alias(name))
+    return merged.select(*out)
 
 
 def compact_summary(spark: SparkSession, target: str, keys: Sequence[str] = ()) -> DataFrame:
     """The summary rewritten with one row per key, as a new folder."""
     path = work_path(spark, "summary")
-    read_summary(spark, target, keys).write.parquet(path)
-    return spark.read.parquet(path)
+    _merged(spark.read.parquet(target).drop("batch"), ["day", *keys]).write.parquet(path)
+    return read_summary(spark, path, keys)
 
 
 def windowed_summary(stream: DataFrame, ts: str, every: str, aggs: Mapping[str, Column], keys: Sequence[str] = (),

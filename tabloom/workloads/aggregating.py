@@ -16,7 +16,7 @@ def _sum(col):
 
 
 @query("terms_buckets", f"""SELECT l_returnflag AS key, count(*) AS doc_count, max(l_discount) AS max_discount, {_sum("l_quantity")} AS quantity,
-  {_sum("l_extendedprice")} AS revenue FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+  {_sum("l_extendedprice")} AS revenue FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1""")
 def terms_buckets(t):
     return a.terms(t.lineitem, "l_returnflag", {"revenue": money("l_extendedprice"), "quantity": money("l_quantity"),
                                                 "max_discount": F.max("l_discount")})

@@ -226,4 +226,4 @@ def sql_console_cube(t):
 
 @query("sql_console_info", "SELECT least(count(*), 1000) AS rows, count(*) > 1000 AS truncated FROM events")
 def sql_console_info(t):
-    return sqlview.sql(t.spark, "SELECT * FROM events;", {"events": t.events}).info
+    return sqlview.sql(t.spark, "SELECT * FROM events;", {"events": t.events}, 1000).info

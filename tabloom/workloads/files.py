@@ -14,7 +14,7 @@ from tabloom.workloads.registry import query
 def csv_round_trip(t):
     path = work_path(t.spark, "csv")
     out.write_delimited(t.pages, path, ";", null_text="\\N", bom=True)
-    return src.read_delimited(t.spark, path).withColumn("page_id", F.col("page_id").cast("bigint"))
+    return src.read_delimited(t.spark, path, multiline=True).withColumn("page_id", F.col("page_id").cast("bigint"))
 
 
 @query("csv_single_line_round_trip", "SELECT o_orderkey, o_totalprice, o_orderdate, o_orderpriority FROM orders")

@@ -83,7 +83,7 @@ def run_history(t):
 
 @query("run_history_kept", f"""SELECT event_type, tick, status FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY tick DESC) AS n FROM {_RUNS}) WHERE n <= 200""")
 def run_history_kept(t):
-    return al.run_history(_judged(t), ["event_type"]).select("event_type", "tick", "status")
+    return al.run_history(_judged(t), ["event_type"], keep=al.KEEP_RUNS).select("event_type", "tick", "status")
 
 
 @query("paused_schedules", f"""SELECT event_type, count(*) AS pauses FROM (SELECT event_type, status, island, row_number() OVER (PARTITION BY event_type, island ORDER BY tick)
@@ -130,13 +130,27 @@ def _event_stream(t):
     return st.file_stream(t.spark, t.folder, t.events.schema, glob="events.parquet")
 
 
-@query("summary_stream", """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+@query("summary_stream", """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS revenue,
+  max(value) AS highest, min(value) AS lowest, CAST(round(sum(CAST(value AS DECIMAL(18,2))) / count(*), 6) AS DOUBLE) AS mean
   FROM events WHERE event_type <> 'error' GROUP BY 1, 2""")
 def summary_stream(t):
     target = work_path(t.spark, "summary")
-    st.maintain_summary(_event_stream(t), "ts", {"n": F.count(F.lit(1)), "revenue": F.sum(F.col("value").cast("decimal(18,2)"))},
-                        target, ["event_type"], F.col("event_type") != "error")
-    return st.read_summary(t.spark, target, ["event_type"]).withColumn("revenue", F.col("revenue").cast("double"))
+    # Rows arrive in two loads, so that every function has parts to merge.
+    money, stored = F.col("value").cast("decimal(18,2)"), work_path(t.spark, "arrivals")
+    for odd in (0, 1):
+        t.events.where(F.col("event_id") % 2 == odd).write.mode("append").parquet(stored)
+        st.maintain_summary(st.file_stream(t.spark, stored, t.events.schema), "ts", {
+            "n": ("count", F.lit(1)), "revenue": ("sum", money), "highest": ("max", F.col("value")), "lowest": ("min", F.col("value")),
+            "mean": ("avg", money)}, target, ["event_type"], F.col("event_type") != "error")
+    rows = st.read_summary(t.spark, target, ["event_type"])
+    return rows.withColumn("revenue", F.col("revenue").cast("double")).withColumn("mean", F.round("mean", 6).cast("double"))
+
+
+@query("summary_compacted", """SELECT CAST(ts AS DATE) AS day, count(*) AS n, max(value) AS highest FROM events GROUP BY 1""")
+def summary_compacted(t):
+    target = work_path(t.spark, "summary")
+    st.maintain_summary(_event_stream(t), "ts", {"n": ("count", F.lit(1)), "highest": ("max", F.col("value"))}, target)
+    return st.compact_summary(t.spark, target)
 
 
 @query("alert_stream", f"""SELECT event_type, tick, fired, fired AND NOT coalesce(lag(fired) OVER (PARTITION BY event_type ORDER BY tick), false) AS notify

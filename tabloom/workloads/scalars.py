@@ -54,7 +54,7 @@ def prepare_values(t):
                                   for n, (kind, ty) in made.items()])
 
 
-@query("prepare_errors", """SELECT event_id, '"' || event_type || '" is not a yes/no value' AS error FROM events""")
+@query("prepare_errors", """SELECT event_id, 'cannot read "' || event_type || '" as true or false' AS error FROM events""")
 def prepare_errors(t):
     return t.events.select("event_id", pr.prepare(F.col("event_type"), "bool")["error"].alias("error"))
 

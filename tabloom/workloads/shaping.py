@@ -141,7 +141,7 @@ def explode_json(t):
 @query("match_keys", """SELECT name, kind, rows FROM (
   SELECT 'event:' || event_id AS name, 'hash' AS kind, 1::BIGINT AS rows FROM events
   UNION ALL SELECT 'doc:' || doc_id, 'list', len(string_split(text, chr(10))) FROM documents)
-  WHERE regexp_full_match(name, '[ed].*:.*7[13]') ORDER BY name LIMIT 5000""")
+  WHERE regexp_full_match(name, '[ed].*:.*7[13]') ORDER BY name""")
 def match_keys(t):
     return s.match_keys(_kv(t).where(F.col("type").isin("hash", "list")), "[ed]*:*7[13]")
 

@@ -50,7 +50,7 @@ def test_page_limits_and_flags(spark):
     assert [r.id for r in page.rows.collect()] == [10, 11, 12, 13, 14] and page.info.first().truncated
     last = b.page(df, 995, 0, [F.col("id")])
     assert last.rows.count() == 5 and not last.info.first().truncated and last.info.first().limit == 200
-    assert b.page_limit(100_001) == 200 and b.page_limit(100_000) == 100_000
+    assert b.page_limit(None) == b.page_limit(0) == 200 and b.page_limit(150_000) == 150_000
 
 
 def test_page_after_walks_everything(spark):
@@ -150,7 +150,7 @@ def test_flavour_errors(rows):
     text = v.as_text_field(rows, "name")
     with pytest.raises(ValueError, match="text field matches words"):
         b.narrow(text, [Filter("name", "endswith", "x")], compile_filter=v.search_index_filter)
-    with pytest.raises(ValueError, match="1 to 100"):
+    with pytest.raises(ValueError, match="between 1 and 100"):
         b.narrow(rows, [Filter("id", "in")], compile_filter=v.item_filter)
     with pytest.raises(ValueError):
         b.narrow(rows, [Filter("name", "contains", "x")], compile_filter=v.wide_column_filter)
@@ -177,3 +177,55 @@ def test_console_refuses_writes(spark, text):
 def test_console_reads(spark):
     out = sqlview.sql(spark, "WITH x AS (SELECT id FROM t) SELECT * FROM x ORDER BY id;", {"t": spark.range(5000)}, 10)
     assert out.rows.count() == 10 and out.info.first().truncated
+
+
+def test_values_that_a_column_cannot_hold(spark):
+    df = spark.range(8, 13).select("id", F.col("id").cast("decimal(12,2)").alias("d"), F.col("id").cast("int").alias("i"))
+    ids = lambda f: [r.id for r in b.narrow(df, [f]).orderBy("id").collect()]
+    for c in ("id", "i"):
+        assert ids(Filter(c, "=", 10.5)) == [] and ids(Filter(c, "!=", "10.5")) == [8, 9, 10, 11, 12]
+        assert ids(Filter(c, "<", 10.5)) == [8, 9, 10] == ids(Filter(c, "<=", "10.5")) and ids(Filter(c, ">", 10.5)) == [11, 12] == ids(Filter(c, ">=", 10.5))
+        assert ids(Filter(c, "in", values=[10.5, 9])) == [9] and ids(Filter(c, "notin", values=[10.5])) == [8, 9, 10, 11, 12]
+        assert ids(Filter(c, "between", values=[8.5, 10.5])) == [9, 10]
+        assert ids(Filter(c, "<", 10**30)) == [8, 9, 10, 11, 12] and ids(Filter(c, ">", "1e30")) == [] and ids(Filter(c, ">", -10**30)) != []
+        assert ids(Filter(c, "<", float("inf"))) == [8, 9, 10, 11, 12]
+    assert ids(Filter("d", "<", "9.005")) == [8, 9] and ids(Filter("d", "=", "9.005")) == [] and ids(Filter("d", "=", "9.00")) == [9]
+
+
+def test_fractions_reach_the_reader(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).write.parquet(path)
+    plan = b.narrow(spark.read.parquet(path), [Filter("id", "<", 10.5)])._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(id,10)" in plan
+
+
+def test_backslash_in_patterns(spark):
+    df = spark.createDataFrame([("a\\b",), ("a%b",), ("axb",)], "t string")
+    found = lambda p: sorted(r.t for r in b.narrow(df, [Filter("t", "like", p)]).collect())
+    assert found("a\\b") == ["a\\b"] and found("a\\%b") == ["a%b"] and found("a_b") == ["a%b", "a\\b", "axb"] and found("%\\") == []
+
+
+def test_descending_pages_reach_null_keys(spark):
+    df = spark.createDataFrame([(3, 1), (2, None), (2, 5), (1, 1), (None, 2), (None, None)], "k int, n int")
+    for desc in (True, False):
+        seen, last = [], None
+        while rows := [tuple(r) for r in b.page_after(df, ["k", "n"], last, 1, desc).collect()]:
+            seen += rows
+            last = rows[-1]
+        assert seen == [tuple(r) for r in df.orderBy(*b.order_columns(df, [Sort("k", desc), Sort("n", desc)])).collect()] and len(seen) == 6
+
+
+def test_rows_asked_for(spark):
+    from tabloom.operators import sqlview
+    views = {"many": spark.range(400_000)}
+    assert sqlview.sql(spark, "SELECT * FROM many", views, 300_000).rows.count() == 300_000
+    assert sqlview.sql(spark, "SELECT * FROM many", views).rows.count() == 400_000
+    assert b.page(spark.range(200_000), 0, 150_000, [F.col("id")]).rows.count() == 150_000
+
+
+def test_sorts_are_in_order(spark):
+    df = spark.createDataFrame([("10",), ("9",), (None,), (" 2",)], "t string")
+    assert [r.t for r in b.sort_text(df, "t").collect()] == [None, " 2", "9", "10"]
+    assert [r.t for r in b.sort_text(df.union(spark.createDataFrame([("x",)], "t string")).where("t is not null"), "t").collect()] == [" 2", "10", "9", "x"]
+    ids = spark.createDataFrame([("9-2",), ("10-1",), ("9-10",), ("9",)], "id string")
+    assert [r.id for r in b.sort_elements(ids, "stream").collect()] == ["9", "9-2", "9-10", "10-1"]

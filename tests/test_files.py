@@ -1,6 +1,7 @@
 import glob
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def sample(spark):
 
 def test_csv_detects_delimiter_and_repairs_header(spark, tmp_path):
     path = put(tmp_path, "a.csv", b"\xef\xbb\xbfid;name;name;\n1;\"a;b\";\"say \"\"hi\"\"\";x\n2;\"two\nlines\"\n3;c;d;e;extra\n")
-    df = src.read_delimited(spark, path)
+    df = src.read_delimited(spark, path, multiline=True)
     assert df.columns == ["id", "name", "name (2)", "Column 4"]
     assert cells(df) == [("1", "a;b", 'say "hi"', "x"), ("2", "two\nlines", None, None), ("3", "c", "d", "e")]
 
@@ -69,8 +70,9 @@ def test_tsv(spark, tmp_path):
 def test_json_array_order_and_late_fields(spark, tmp_path):
     records = [{"b": 1, "a": {"x": [1, 2]}}, {"c": "t", "b": None}] + [{"b": i} for i in range(600)] + [{"late": 1, "b": 7}]
     df = src.read_json_array(spark, put(tmp_path, "a.json", json.dumps(records)))
-    assert df.columns == ["b", "a", "c"] and df.count() == 603
-    assert cells(df)[:2] == [("1", '{"x":[1,2]}', None), (None, None, "t")]
+    assert df.columns == ["b", "a", "c", "late"] and df.count() == 603 and df.where("late = '1'").count() == 1
+    assert cells(df)[:2] == [("1", '{"x":[1,2]}', None, None), (None, None, "t", None)]
+    assert src.read_json_array(spark, str(tmp_path / "a.json"), sample=500).columns == ["b", "a", "c"]
     with pytest.raises(ValueError, match="array of objects"):
         src.read_json_array(spark, put(tmp_path, "bad.json", '{"a":1}'))
 
@@ -79,6 +81,38 @@ def test_ndjson(spark, tmp_path):
     df = src.read_ndjson(spark, put(tmp_path, "a.ndjson", '{"z":1,"a":true}\n\n  \n{"a":false,"y":12345678901234567890.5}\n'))
     assert df.columns == ["z", "a", "y"]
     assert cells(df) == [("1", "true", None), (None, "false", "12345678901234567890.5")]
+    late = put(tmp_path, "late.ndjson", "".join('{"a":%d}\n' % i for i in range(549)) + '{"late":1}\n' * 51)
+    assert src.read_ndjson(spark, late).columns == ["a", "late"] and src.read_ndjson(spark, late, sample=500).columns == ["a"]
+
+
+def test_blank_cells(spark, tmp_path):
+    """Rows of blanks are rows, and an only column keeps its empty cells."""
+    df = spark.createDataFrame([(" ", " "), ("", ""), ("x", "y"), ("a", "b")], "a string, b string").coalesce(1)
+    out.write_tsv(df, str(tmp_path / "t"))
+    # The last row reads like the header and is still a row.
+    assert sorted(cells(src.read_tsv(spark, str(tmp_path / "t")))) == sorted(tuple(r) for r in df.collect())
+    one = spark.createDataFrame([("x",), ("",), (None,), ("y",)], "a string").coalesce(1)
+    out.write_delimited(one, str(tmp_path / "c"))
+    assert sorted(cells(src.read_delimited(spark, str(tmp_path / "c")))) == [("",), ("",), ("x",), ("y",)]
+    odd = spark.createDataFrame([("\u00a0x", "\u2003y")], "a string, b string")
+    assert out.csv_lines(odd).first().value == '"\u00a0x","\u2003y"'
+
+
+def test_replace_never_shows_an_empty_table(spark, tmp_path, monkeypatch):
+    from tabloom.sinks import load
+    target = str(tmp_path / "table")
+    load.load(spark.range(3), target, "replace")
+
+    def broken(*args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(load, "rename", broken)
+    with pytest.raises(OSError, match="lost"):
+        load.load(spark.range(5), target, "replace")
+    assert load.read_loaded(spark, target).count() == 3
+    assert [n for n in os.listdir(target) if n.startswith("_staging")] == []
+    monkeypatch.undo()
+    assert load.load(spark.range(5), target, "replace").count() == 5 and load.load(spark.range(2), target).count() == 7
 
 
 def test_csv_bytes(sample, tmp_path):
@@ -149,12 +183,12 @@ def test_import_names_record_and_column(spark, tmp_path):
     df = src.read_delimited(spark, put(tmp_path, "b.csv", "id,ok\n" + "\n".join(lines) + "\n"), multiline=False, position=True)
     with pytest.raises(im.RecordError) as e:
         im.import_rows(df, {"id": "id", "ok": "ok"}, META)
-    assert (e.value.record, e.value.column) == (700, "ok") and "not a yes/no value" in e.value.reason
+    assert (e.value.record, e.value.column) == (700, "ok") and "as true or false" in e.value.reason
 
 
 @pytest.mark.parametrize("mapping,message", [
     ({"x": "id"}, "the file has no column"), ({"id": "nope"}, "the table has no column"), ({"id": "id", "ok": "id"}, "mapped twice"),
-    ({"id": ""}, "map at least one"), ({"id": "sum"}, "computed"),
+    ({"id": ""}, "map at least one"), ({"id": "sum"}, "own expression"),
 ])
 def test_mapping_checks(mapping, message):
     with pytest.raises(ValueError, match=message):

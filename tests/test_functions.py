@@ -110,7 +110,7 @@ def test_prepare(spark, value, kind, options, want):
 
 def test_prepare_rejects(spark):
     r = one(spark, "maybe", S, lambda c: prepare.prepare(c, "bool"))
-    assert r.error == '"maybe" is not a yes/no value'
+    assert r.error == 'cannot read "maybe" as true or false'
 
 
 @pytest.mark.parametrize("json,kind,want", [

@@ -150,7 +150,7 @@ def test_summary_survives_new_files(spark, tmp_path):
     for part in ([(day, "a", 1), (day, "b", 2)], [(day, "a", 10), (day + dt.timedelta(days=1), "a", 5)]):
         df = spark.createDataFrame(part, schema)
         df.write.mode("append").parquet(data)
-        st.maintain_summary(st.file_stream(spark, data, df.schema), "ts", {"n": F.count(F.lit(1)), "s": F.sum("v")}, target, ["k"])
+        st.maintain_summary(st.file_stream(spark, data, df.schema), "ts", {"n": ("count", F.lit(1)), "s": ("sum", F.col("v"))}, target, ["k"])
     rows = sorted((str(r.day), r.k, r.n, r.s) for r in st.read_summary(spark, target, ["k"]).collect())
     assert rows == [("2024-01-01", "a", 2, 11), ("2024-01-01", "b", 1, 2), ("2024-01-02", "a", 1, 5)]
 
