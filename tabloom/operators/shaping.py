@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.functions.text import let, quoted
 from tabloom.model import OVERFLOW
@@ -57,12 +57,18 @@ def type_name_of(value: Column, shape: Column | None = None) -> Column:
 
 
 def _fields(df: DataFrame, doc: str, order: Column | None) -> DataFrame:
-    """One row per top-level field: where it stood, its name and its type."""
+    """One row per top-level field: where it stood, its name and its type.
+
+    A document is parsed once; a name that it repeats counts once.
+    """
     parsed = df.select(
         (order if order is not None else F.monotonically_increasing_id()).alias("__doc"),
-        F.json_object_keys(quoted(doc)).alias("__keys"), F.from_json(quoted(doc), FIELD_MAP).alias("__map"))
-    values = parsed.select("__doc", "__map", F.posexplode("__keys").alias("pos", "field")).select(
-        "__doc", "pos", "field", F.try_element_at("__map", F.col("field")).alias("__value"))
+        F.from_json(quoted(doc), FIELD_MAP).alias("__map"))
+    keys, entries = F.map_keys("__map"), F.map_entries("__map")
+    once = F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(
+        F.filter(entries, lambda e, i: F.array_position(F.map_keys("__map"), e["key"]) == i + 1))
+    values = parsed.select("__doc", F.posexplode(once).alias("pos", "__entry")).select(
+        "__doc", "pos", F.col("__entry.key").alias("field"), F.col("__entry.value").alias("__value"))
     # The schema text is its own step, as the type looks at it many times.
     shaped = values.withColumn("__shape", F.schema_of_variant("__value"))
     return shaped.select("__doc", "pos", "field", type_name_of(F.col("__value"), F.col("__shape")).alias("type"))
@@ -80,8 +86,12 @@ def infer_fields(df: DataFrame, doc: str, sample: int | None = None, order: Colu
     if sample:
         docs = docs.limit(sample)
     order_col = F.col("__order") if order is not None else None
-    by_type = _fields(docs, doc, order_col).groupBy("field", "type").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("__doc", "pos")).alias("first"))
+    found = _fields(docs, doc, order_col)
+    # Document and place in one number where that can be, for a hash aggregate.
+    place = F.struct("__doc", "pos")
+    if isinstance(found.schema["__doc"].dataType, T.IntegralType):
+        place = F.col("__doc").cast("decimal(28,0)") * 100_000 + F.col("pos")
+    by_type = found.groupBy("field", "type").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     # At most one row per type name and field from here on.
     stats = by_type.groupBy("field").agg(
         F.sum("n").alias("seen"), F.min("first").alias("first"),
@@ -102,13 +112,25 @@ def infer_fields(df: DataFrame, doc: str, sample: int | None = None, order: Colu
 _COLUMN_TYPES = {"string": "string", "int": "bigint", "long": "bigint", "double": "double", "bool": "boolean"}
 
 
+def _field_path(name: str) -> str | None:
+    """The path of a top-level field; none when its name holds both quotes."""
+    quote = next((q for q in "'\"" if q not in name), None)
+    return f"$[{quote}{name}{quote}]" if quote and "\\" not in name else None
+
+
 def _typed_field(name: str, type_name: str) -> Column:
-    value = F.try_element_at("__map", F.lit(name))
-    target = _COLUMN_TYPES.get(type_name)
+    """A field of the document in ``__doc``, looked up by its name's place in the document's dictionary."""
+    path, target = _field_path(name), _COLUMN_TYPES.get(type_name)
+    if path is None:
+        value = F.try_element_at(F.try_variant_get("__doc", "$", FIELD_MAP), F.lit(name))
+        path = "$"
+    else:
+        value = F.col("__doc")
     if target:
-        return F.try_variant_get(value, "$", target).alias(name)
+        return F.try_variant_get(value, path, target).alias(name)
     # Anything else keeps its JSON text.
-    return F.when(~F.is_variant_null(value), F.to_json(value)).alias(name)
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(~F.is_variant_null(found), F.to_json(found)).alias(name)
 
 
 def docs_to_rows(df: DataFrame, doc: str, columns: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -116,17 +138,22 @@ def docs_to_rows(df: DataFrame, doc: str, columns: Mapping[str, str] | None = No
 
     ``columns`` maps field names to document types; without it they are
     inferred from all documents.  The other fields of a document go into one
-    JSON object in the ``…`` column, NULL when there are none.
+    JSON object in the ``…`` column, NULL when there are none.  Text that is
+    no JSON object stands there whole, as ``{"$unreadable": …}``.
     """
     if columns is None:
         # Field names are a schema: one row for each column of the result.
         columns = {r.field: r.type for r in infer_fields(df, doc).select("field", "type").collect()}
     names = list(columns)
-    parsed = df.select(*[quoted(k) for k in keep], F.from_json(quoted(doc), FIELD_MAP).alias("__map"))
-    rest = F.map_filter("__map", lambda k, _: ~k.isin(*names)) if names else F.col("__map")
+    parsed = df.select(*[quoted(k).alias(f"__k{i}") for i, k in enumerate(keep)], quoted(doc).alias("__text"),
+                       F.try_parse_json(quoted(doc)).alias("__doc"))
+    whole = F.try_variant_get("__doc", "$", FIELD_MAP)
+    rest = F.map_filter(whole, lambda k, _: ~k.isin(*names)) if names else whole
+    unread = F.col("__text").isNotNull() & whole.isNull()
     return parsed.select(
-        *[quoted(k) for k in keep], *[_typed_field(n, t) for n, t in columns.items()],
-        F.when(F.size(rest) > 0, F.to_json(rest)).alias(OVERFLOW))
+        *[F.col(f"__k{i}").alias(k) for i, k in enumerate(keep)], *[_typed_field(n, t) for n, t in columns.items()],
+        F.when(F.size(rest) > 0, F.to_json(rest)).when(
+            unread, F.to_json(F.struct(F.col("__text").alias("$unreadable")))).alias(OVERFLOW))
 
 
 def hits_to_rows(df: DataFrame, source: str, hit_id: str, fixed: Mapping[str, str] | None = None,
@@ -143,7 +170,7 @@ def hits_to_rows(df: DataFrame, source: str, hit_id: str, fixed: Mapping[str, st
             F.collect_set(F.when(F.col("type") != "null", F.col("type"))).alias("types"))
         for r in ranked.orderBy("first", "field").collect():
             columns[r.field] = r.types[0] if len(r.types) == 1 else "mixed"
-    parsed = df.select(quoted(hit_id).alias("__hit"), F.from_json(quoted(source), FIELD_MAP).alias("__map"))
+    parsed = df.select(quoted(hit_id).alias("__hit"), F.try_parse_json(quoted(source)).alias("__doc"))
     return parsed.select(F.col("__hit").cast("string").alias("_id"),
                          *[_typed_field(n, t) for n, t in columns.items() if n != "_id"])
 

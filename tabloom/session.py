@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,6 +41,7 @@ def local_session(cpus: str | int = "*", name: str = "tabloom") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", _own_folder())
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
@@ -47,11 +50,19 @@ def local_session(cpus: str | int = "*", name: str = "tabloom") -> SparkSession:
     return spark
 
 
+def _own_folder() -> str:
+    """A folder of this process alone, gone when it ends."""
+    folder = tempfile.mkdtemp(prefix="tabloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def work_root(spark: SparkSession) -> str:
     """The folder for intermediate tables, from ``spark.checkpoint.dir``.
 
     A cluster must name a shared folder there: a machine-local folder would
-    vanish with its machine.  Only a local master gets a temporary folder.
+    vanish with its machine.  Only a local master that names none gets a
+    folder of its own, which goes when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -59,7 +70,7 @@ def work_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="tabloom-")
+        root = _own_folder()
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

@@ -125,7 +125,7 @@ def read_tsv(spark: SparkSession, path: str, header: bool = True, position: bool
     first = [_unescape(p) for p in line.split("\t")] if head else []
     names = header_names(first, len(first)) if header else numbered_names(len(first))
     # Read as lines: a delimited reader would pass over lines of blanks only.
-    df = spark.read.option("lineSep", "\n").text(path)
+    df = spark.read.text(path, lineSep="\n")
     if position:
         df = positioned(df)
     if header:
@@ -222,7 +222,7 @@ def read_json_array(spark: SparkSession, path: str, sample: int | None = None, a
 
 def _array_fields(spark: SparkSession, path: str, sample: int | None) -> list[str]:
     """Field names of the records in all files, in the order first seen."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
     records = files.where(F.trim("value") != "").select(F.explode(F.from_json("value", "array<string>")).alias("value"))
     if sample:
         records = records.limit(sample)

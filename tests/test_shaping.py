@@ -50,3 +50,24 @@ def test_fields_set_and_unset(spark):
     df = docs(spark, '{"a":1,"b":2}').select(F.from_json("doc", s.FIELD_MAP).alias("m"))
     out = df.select(F.to_json(s.fields_set(F.col("m"), {"c": F.parse_json(F.lit("3"))}, ["a"]))).first()[0]
     assert out == '{"b":2,"c":3}'
+
+
+def test_unreadable_and_repeated(spark):
+    df = docs(spark, '{"a":1,"a":2,"b":1}', "no json", '[1]', None, '{"a":3}')
+    rows = {r.field: r for r in s.infer_fields(df, "doc", order=F.col("n")).collect()}
+    assert rows["a"].seen == 2 and rows["a"].percent == 40 and rows["b"].seen == 1
+    out = s.docs_to_rows(df.where("n > 0"), "doc", {"a": "int"}, keep=["n"]).orderBy("n").collect()
+    assert [r.a for r in out] == [None, None, None, 3]
+    assert [r["…"] for r in out] == ['{"$unreadable":"no json"}', '{"$unreadable":"[1]"}', None, None]
+
+
+def test_odd_field_names(spark):
+    df = docs(spark, '{"a.b":1,"it\'s":2,"q\\"x":3,"$":4," ":5,"b\\\\c":6}')
+    names = {"a.b": "int", "it's": "int", 'q"x': "int", "$": "int", " ": "int", "b\\c": "int"}
+    assert tuple(s.docs_to_rows(df, "doc", names).first()) == (1, 2, 3, 4, 5, 6, None)
+
+
+def test_fields_by_hash_aggregate(spark):
+    plan = s.infer_fields(docs(spark, '{"a":1}'), "doc", order=F.col("n"))._jdf.queryExecution().executedPlan().toString()
+    by_type = plan[plan.rindex("partial_count"):]
+    assert "SortAggregate" not in by_type
