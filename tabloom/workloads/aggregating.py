@@ -55,9 +55,11 @@ def distinct_count_exact(t):
     return a.distinct_count(t.events, ["event_type"], "user_id", "visitors")
 
 
-@query("distinct_count_approx")
+@query("distinct_count_approx", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near FROM lineitem GROUP BY 1")
 def distinct_count_approx(t):
-    return a.distinct_count(t.lineitem, ["l_returnflag"], "l_partkey", "parts", approx=True)
+    near = a.distinct_count(t.lineitem, ["l_returnflag"], "l_partkey", "about", approx=True)
+    return a.distinct_count(t.lineitem, ["l_returnflag"], "l_partkey", "parts").join(near, "l_returnflag").select(
+        "l_returnflag", "parts", (F.abs(F.col("about") - F.col("parts")) < 0.1 * F.col("parts")).alias("near"))
 
 
 @query("page_views", """SELECT event_type, count(*) AS views, count(DISTINCT user_id) AS visitors FROM events

@@ -160,7 +160,10 @@ def clipped_page(t):
     return b.clip(t.documents, 1000, [F.col("doc_id")], 300_000)
 
 
-@query("snapshot_rows")
+@query("snapshot_rows", """WITH j AS (SELECT *, strlen(CAST(json_object('page_id', page_id, 'url', url, 'html', html) AS VARCHAR)) AS size FROM pages ORDER BY page_id LIMIT 500),
+  r AS (SELECT *, row_number() OVER (ORDER BY page_id) AS n, count(*) OVER () AS have, sum(size) OVER (ORDER BY page_id) AS run FROM j),
+  k AS (SELECT max(n) AS keep FROM r, range(0, 10) AS h(i) WHERE n = have // CAST(pow(2, i) AS BIGINT) AND run <= 200000)
+  SELECT page_id, url, html FROM r, k WHERE n <= keep""")
 def snapshot_rows(t):
     return b.snapshot(t.pages, [F.col("page_id")], 200_000)
 

@@ -32,25 +32,27 @@ def import_rows(t):
 @query("import_errors", """SELECT o_orderpriority AS value, count(*) AS rows, 'o_custkey' AS "column" FROM orders WHERE o_orderkey % 10 = 3 GROUP BY 1""")
 def import_errors(t):
     path = work_path(t.spark, "bad")
-    bad = t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 10 == 3, F.col("o_orderpriority")).otherwise(
-        F.col("o_custkey").cast("string")).alias("o_custkey"))
+    bad = t.orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 10 == 3, F.col("o_orderpriority")).otherwise(
+        F.col("o_custkey").cast("string")))
     out.write_tsv(bad, path)
     records = src.read_tsv(t.spark, path, position=True)
-    errors = im.import_errors(records, im.check_mapping(["o_orderkey", "o_custkey"], {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey"}, ORDERS))
+    errors = im.import_errors(records, im.check_mapping(t.orders.columns, {c: c for c in t.orders.columns}, ORDERS))
     return errors.groupBy(F.regexp_extract("reason", '^"(.*)" does not fit', 1).alias("value"), "column").agg(
         F.count(F.lit(1)).alias("rows"))
 
 
-@query("import_json", "SELECT event_id, user_id, value, event_type FROM events")
+@query("import_json", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def import_json(t):
     path = work_path(t.spark, "ndjson")
-    out.write_ndjson(t.events.select("event_id", "user_id", "value", "event_type"), path)
+    out.write_ndjson(t.events, path)
     records = src.read_ndjson(t.spark, path, as_variant=True, position=True)
-    meta = TableMeta("events", (ColumnMeta("event_id", "int"), ColumnMeta("user_id", "int"), ColumnMeta("value", "float"), ColumnMeta("event_type")))
+    meta = TableMeta("events", (ColumnMeta("event_id", "int"), ColumnMeta("ts", "datetime"), ColumnMeta("user_id", "int"), ColumnMeta("event_type"),
+                                ColumnMeta("value", "float"), ColumnMeta("props")))
     return im.import_rows(records, {c.name: c.name for c in meta.columns}, meta)
 
 
-@query("import_preview")
+@query("import_preview", """SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '…' ELSE text END AS text, lang, source, n_chars
+  FROM documents ORDER BY doc_id LIMIT 20""")
 def import_preview(t):
     return im.import_preview(t.documents.orderBy("doc_id"))
 

@@ -17,13 +17,27 @@ def csv_round_trip(t):
     return src.read_delimited(t.spark, path, multiline=True).withColumn("page_id", F.col("page_id").cast("bigint"))
 
 
-@query("csv_single_line_round_trip", "SELECT o_orderkey, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+@query("csv_single_line_round_trip", "SELECT * FROM orders")
 def csv_single_line_round_trip(t):
     path = work_path(t.spark, "csv")
-    out.write_delimited(t.orders.select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"), path, gzip=True)
-    rows = src.read_delimited(t.spark, path, multiline=False)
-    return rows.select(F.col("o_orderkey").cast("bigint"), F.col("o_totalprice").cast("double"),
-                       F.col("o_orderdate").cast("timestamp_ntz"), "o_orderpriority")
+    out.write_delimited(t.orders, path, gzip=True)
+    rows = src.read_delimited(t.spark, path)
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in t.orders.schema.fields])
+
+
+@query("csv_one_column_round_trip", "SELECT CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS text FROM documents")
+def csv_one_column_round_trip(t):
+    path = work_path(t.spark, "csv")
+    out.write_delimited(t.documents.select(F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 2 == 0, "")).otherwise(F.col("text")).alias("text")), path)
+    return src.read_delimited(t.spark, path, multiline=True)
+
+
+@query("tsv_blank_round_trip", "SELECT CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS a, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE source END AS b FROM documents")
+def tsv_blank_round_trip(t):
+    path = work_path(t.spark, "tsv")
+    blank = F.col("doc_id") % 3 == 0
+    out.write_tsv(t.documents.select(F.when(blank, "").otherwise(F.col("lang")).alias("a"), F.when(blank, " ").otherwise(F.col("source")).alias("b")), path)
+    return src.read_tsv(t.spark, path)
 
 
 @query("tsv_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -34,12 +48,12 @@ def tsv_round_trip(t):
         "n_chars", F.col("n_chars").cast("bigint"))
 
 
-@query("ndjson_round_trip", "SELECT event_id, user_id, event_type, value, props FROM events")
+@query("ndjson_round_trip", "SELECT event_id, ts, user_id, event_type, value, props FROM events")
 def ndjson_round_trip(t):
     path = work_path(t.spark, "ndjson")
-    out.write_ndjson(t.events.select("event_id", "user_id", "event_type", "value", "props"), path)
+    out.write_ndjson(t.events, path)
     rows = src.read_ndjson(t.spark, path)
-    return rows.select(F.col("event_id").cast("bigint"), F.col("user_id").cast("bigint"), "event_type", F.col("value").cast("double"), "props")
+    return rows.select(*[F.col(f.name).cast(f.dataType) for f in t.events.schema.fields])
 
 
 @query("json_array_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
@@ -62,9 +76,10 @@ def documents_round_trip(t):
     return docs_to_rows(lines, "value", {"doc_id": "int", "lang": "string", "source": "string", "n_chars": "int"}).drop("…")
 
 
-@query("csv_lines", """SELECT o_orderkey || ',' || regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') || ',' || o_orderpriority AS value FROM orders""")
+@query("csv_lines", """SELECT o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',' || regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') || ','
+  || strftime(o_orderdate, '%Y-%m-%d 00:00:00') || ',' || o_orderpriority AS value FROM orders""")
 def csv_lines(t):
-    return out.csv_lines(t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority"))
+    return out.csv_lines(t.orders)
 
 
 @query("csv_quoting", """SELECT CASE WHEN text LIKE '%,%' OR text LIKE '%"%' OR contains(text, chr(10)) OR contains(text, chr(13)) OR regexp_matches(text, '^\\s')
@@ -129,10 +144,11 @@ def lake_orc_partitions(t):
     return src.read_lake(t.spark, path, "orc").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
 
 
-@query("lake_csv", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation")
+@query("lake_csv", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM nation")
 def lake_csv(t):
     path = work_path(t.spark, "lakecsv")
-    t.nation.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name")).write.option("header", "true").csv(path)
+    t.nation.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("region")
+                    ).write.option("header", "true").csv(path)
     return src.read_lake(t.spark, path, "csv")
 
 
@@ -157,11 +173,10 @@ def load_replace(t):
     return ld.load(t.customer.where("c_acctbal > 0"), path, "replace")
 
 
-@query("load_chunked", "SELECT o_orderkey, o_totalprice FROM orders")
+@query("load_chunked", "SELECT * FROM orders")
 def load_chunked(t):
     path = work_path(t.spark, "chunked")
-    rows = t.orders.select("o_orderkey", "o_totalprice")
-    report = ld.load_chunked(rows, path, commit_every=20_000, files_per_commit=4)
+    report = ld.load_chunked(t.orders, path, commit_every=20_000, files_per_commit=4)
     if report.failed:
         raise RuntimeError(report.failed)
-    return t.spark.read.parquet(path).drop("chunk")
+    return t.spark.read.parquet(path).drop("chunk")
\ No newline at end of file

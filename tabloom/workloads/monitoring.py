@@ -153,6 +153,18 @@ def summary_compacted(t):
     return st.compact_summary(t.spark, target)
 
 
+@query("windowed_summary", """SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, max(value) AS highest FROM events GROUP BY 1, 2""")
+def windowed_summary(t):
+    """Complete windows of a stream that ends: the watermark passes them all."""
+    windows = st.windowed_summary(_event_stream(t).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day",
+                                  {"n": F.count(F.lit(1)), "highest": F.max("value")}, ["event_type"])
+    target = work_path(t.spark, "windows")
+    st.run_available(windows, lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{target}/batch={epoch}"), f"{target}/_checkpoint", "complete")
+    last = t.spark.read.parquet(target)
+    return last.where(F.col("batch") == last.agg(F.max("batch")).scalar()).select(
+        F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "highest")
+
+
 @query("alert_stream", f"""SELECT event_type, tick, fired, fired AND NOT coalesce(lag(fired) OVER (PARTITION BY event_type ORDER BY tick), false) AS notify
   FROM (SELECT *, first_value >= 60 AS fired FROM {_OBS_SQL})""")
 def alert_stream(t):

@@ -108,7 +108,16 @@ def sql_literals(t):
         lit.literal("postgresql", F.col("lang").cast("binary"), T.BinaryType()).alias("bytea"))
 
 
-@query("sql_literals_by_dialect")
+_PLAIN_DIALECTS = [d for d in lit.DIALECTS if d not in ("mssql", "oracle")]
+_PRICE_SQL, _WHEN_SQL = "regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '')", "strftime(o_orderdate, '%Y-%m-%d 00:00:00')"
+
+
+@query("sql_literals_by_dialect", "SELECT o_orderkey, " + ", ".join(
+    [f"{_PRICE_SQL} AS {d}_o_totalprice" for d in lit.DIALECTS]
+    + [f"chr(39) || {_WHEN_SQL} || chr(39) AS {d}_o_orderdate, chr(39) || o_orderpriority || chr(39) AS {d}_o_orderpriority" for d in _PLAIN_DIALECTS]
+    + [f"'N' || chr(39) || {_WHEN_SQL} || chr(39) AS mssql_o_orderdate, 'N' || chr(39) || o_orderpriority || chr(39) AS mssql_o_orderpriority",
+       f"'TO_TIMESTAMP(' || chr(39) || {_WHEN_SQL} || chr(39) || ', ' || chr(39) || 'YYYY-MM-DD HH24:MI:SS' || chr(39) || ')' AS oracle_o_orderdate, "
+       "chr(39) || o_orderpriority || chr(39) AS oracle_o_orderpriority"]) + " FROM orders")
 def sql_literals_by_dialect(t):
     o = t.orders
     kinds = {"o_orderdate": "datetime"}
@@ -220,23 +229,32 @@ def digest_orders(t):
     return v.digest(t.orders)
 
 
-@query("digest_lineitem", f"""SELECT count(*) AS rows, {_h(_INT.format("l_orderkey"))} AS sum_l_orderkey, {_h(_FLT.format("l_extendedprice"))} AS sum_l_extendedprice,
-  {_h(_DAY.format("l_shipdate"))} AS sum_l_shipdate, {_h("l_returnflag")} AS sum_l_returnflag FROM lineitem""")
+@query("digest_lineitem", "SELECT count(*) AS rows, " + ", ".join(
+    [f"{_h(_INT.format(c))} AS sum_{c}" for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+    + [f"{_h(_FLT.format(c))} AS sum_{c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    + [f"{_h(_DAY.format('l_shipdate'))} AS sum_l_shipdate",
+       f"{_h('l_returnflag')} AS sum_l_returnflag", f"{_h('l_linestatus')} AS sum_l_linestatus"]) + " FROM lineitem")
 def digest_lineitem(t):
-    return v.digest(t.lineitem.select("l_orderkey", "l_extendedprice", "l_shipdate", "l_returnflag"))
+    return v.digest(t.lineitem)
+
+
+_CUSTOMER_CELLS = [_INT.format("c_custkey"), "c_name", _INT.format("c_nationkey"), _FLT.format("c_acctbal"), "c_mktsegment"]
 
 
-@query("digest_row_hash", f"""SELECT count(*) AS rows, {_h(_INT.format("c_custkey"))} AS sum_c_custkey, {_h("c_name")} AS sum_c_name,
-  {_h(_INT.format("c_custkey") + " || chr(31) || c_name")} AS sum_row FROM customer""")
+@query("digest_row_hash", "SELECT count(*) AS rows, " + ", ".join(
+    f"{_h(cell)} AS sum_{name}" for cell, name in zip(_CUSTOMER_CELLS, ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))
+    + f", {_h(' || chr(31) || '.join(_CUSTOMER_CELLS))} AS sum_row FROM customer")
 def digest_row_hash(t):
-    return v.digest(t.customer.select("c_custkey", "c_name"), row_hash=True)
+    return v.digest(t.customer, row_hash=True)
 
 
-@query("fingerprint_result", """WITH d AS (SELECT md5(chr(1) || o_orderkey || chr(31) || chr(1) || o_orderstatus) AS d FROM orders),
+@query("fingerprint_result", """WITH d AS (SELECT md5(concat_ws(chr(31), chr(1) || o_orderkey, chr(1) || o_custkey, chr(1) || o_orderstatus,
+    chr(1) || regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', ''), chr(1) || strftime(o_orderdate, '%Y-%m-%d 00:00:00'), chr(1) || o_orderpriority)) AS d FROM orders),
   s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(d, 1, 15) AS BIGINT)) AS a, sum(CAST('0x' || substr(d, 17, 15) AS BIGINT)) AS b FROM d)
-  SELECT n AS rows, sha256('o_orderkey' || chr(31) || 'o_orderstatus' || chr(31) || chr(30) || chr(30) || 'o_orderkey asc' || chr(30) || n || chr(30) || a || chr(30) || b) AS hash FROM s""")
+  SELECT n AS rows, sha256(concat_ws(chr(31), 'o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority') || chr(31) || chr(30)
+    || chr(30) || 'o_orderkey asc' || chr(30) || n || chr(30) || a || chr(30) || b) AS hash FROM s""")
 def fingerprint_result(t):
-    return v.fingerprint(t.orders.select("o_orderkey", "o_orderstatus"), [Sort("o_orderkey")])
+    return v.fingerprint(t.orders, [Sort("o_orderkey")])
 
 
 @query("normalized_cells", f"""SELECT l_orderkey, l_linenumber, {_FLT.format("l_tax")} AS tax, {_DAY.format("l_shipdate")} AS shipped, l_returnflag AS flag FROM lineitem""")
