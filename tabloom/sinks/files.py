@@ -46,12 +46,20 @@ def tsv_lines(df: DataFrame, null_text: str = "") -> DataFrame:
 
 
 def _with_head(lines: DataFrame, head: str) -> DataFrame:
-    """The head line on top of every part file."""
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": [head]})
-        yield from batches
+    """``head`` in front of the first row of every part file.
+
+    Numbers of rows restart in each task's range of ids, so the first row is
+    known without a shuffle and without leaving the JVM.
+    """
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    return lines.select(F.when(first, F.concat(F.lit(head), F.col("value"))).otherwise(F.col("value")).alias("value"))
 
-    return lines.mapInPandas(add, _LINE)
+
+def _headed(df: DataFrame, lines: DataFrame, head: str, path: str, mode: str, gzip: bool) -> None:
+    """Write lines below a head line; a table without rows is its head line."""
+    _text(_with_head(lines, head + "\n"), path, mode, gzip)
+    if df.sparkSession.read.text(path).limit(1).count() == 0:
+        _text(df.sparkSession.range(0, 1, 1, 1).select(F.lit(head).alias("value")), path, "overwrite", gzip)
 
 
 def _text(lines: DataFrame, path: str, mode: str, gzip: bool) -> None:
@@ -63,7 +71,7 @@ def _text(lines: DataFrame, path: str, mode: str, gzip: bool) -> None:
 
 def write_delimited(df: DataFrame, path: str, delimiter: str = ",", header: bool = True, null_text: str = "",
                     bom: bool = False, mode: str = "errorifexists", gzip: bool = False) -> None:
-    """CSV with minimal quoting; every part file has its own header."""
+    """CSV with minimal quoting; every part file with rows has its own header."""
     delimiter = check_delimiter(delimiter)
     df = hide_row_key(df)
     lines = csv_lines(df, delimiter, null_text)
@@ -71,26 +79,13 @@ def write_delimited(df: DataFrame, path: str, delimiter: str = ",", header: bool
         names = [n.replace('"', '""') for n in df.columns]
         quoted_names = [f'"{n}"' if any(ch in n for ch in (delimiter, '"', "\r", "\n")) or n[:1].isspace() else n for n in names]
         head = delimiter.join(quoted_names)
-        if not header:
-            lines = _first_marked(lines)
-        else:
-            lines = _with_head(lines, (BOM if bom else "") + head)
+        if header:
+            _headed(df, lines, (BOM if bom else "") + head, path, mode, gzip)
+            return
+        lines = _with_head(lines, BOM)
     _text(lines, path, mode, gzip)
 
 
-def _first_marked(lines: DataFrame) -> DataFrame:
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
-        for batch in batches:
-            if first and len(batch):
-                batch = batch.copy()
-                batch.iloc[0, 0] = BOM + batch.iloc[0, 0]
-                first = False
-            yield batch
-
-    return lines.mapInPandas(mark, _LINE)
-
-
 def write_tsv(df: DataFrame, path: str, header: bool = True, null_text: str = "", mode: str = "errorifexists",
               gzip: bool = False) -> None:
     df = hide_row_key(df)
@@ -102,7 +97,8 @@ def write_tsv(df: DataFrame, path: str, header: bool = True, null_text: str = ""
             for raw, written in escapes:
                 n = n.replace(raw, written)
             names.append(n)
-        lines = _with_head(lines, "\t".join(names))
+        _headed(df, lines, "\t".join(names), path, mode, gzip)
+        return
     _text(lines, path, mode, gzip)
 
 

@@ -6,14 +6,16 @@ from tabloom.functions import geometry
 from tabloom.operators import geo, joins as j
 from tabloom.workloads.registry import query
 
-_LON, _LAT = "4.8 + ({k} % 180) / 1000.0::DOUBLE", "52.3 + ({k} % 100) / 1000.0::DOUBLE"
+_LON = "4.8 + ({k} % 180) / 1000.0::DOUBLE + (({k} // 9000) % 300) * 0.3::DOUBLE"
+_LAT = "-60 + ({k} % 100) / 1000.0::DOUBLE + ((({k} // 9000) // 300) % 500) * 0.2::DOUBLE"
 
 
 def points(df, key):
-    """A point per row, spread over a small town by the key."""
+    """A point per row; every 9,000 keys fill a small town of their own, so density does not grow with the table."""
     k = F.col(key)
-    return df.select(k.alias("id"), (F.lit(4.8) + (k % 180) / F.lit(1000.0)).alias("lon"),
-                     (F.lit(52.3) + (k % 100) / F.lit(1000.0)).alias("lat"))
+    town = F.floor(k / 9000)
+    return df.select(k.alias("id"), (F.lit(4.8) + (k % 180) / F.lit(1000.0) + (town % 300) * F.lit(0.3)).alias("lon"),
+                     (F.lit(-60) + (k % 100) / F.lit(1000.0) + (F.floor(town / 300) % 500) * F.lit(0.2)).alias("lat"))
 
 
 def sql_points(table, key):
@@ -61,7 +63,7 @@ def map_features(t):
     return geo.features(t.customer.select(k.alias("id"), F.format_string("POINT (%d %d)", k, k + 1).alias("shape")), "shape", "id")
 
 
-_SUPPLIERS, _CUSTOMERS = sql_points("supplier", "s_suppkey"), sql_points("customer", "c_custkey * 7")
+_SUPPLIERS, _CUSTOMERS = sql_points("supplier", "s_suppkey"), sql_points("customer", "(c_custkey * 7)")
 
 
 @query("radius_join_degrees", f"""SELECT p.id, c.id AS center FROM {sql_points("customer", "c_custkey")} p JOIN {_SUPPLIERS} c
@@ -84,9 +86,9 @@ def radius_join_meters(t):
 
 
 @query("nearest_points", f"""SELECT p.id, round({_HAVERSINE.format(a="p", b="c")}, 2) AS meters FROM {sql_points("orders", "o_orderkey")} p,
-  (SELECT 4.9::DOUBLE AS lon, 52.35::DOUBLE AS lat) c ORDER BY round({_HAVERSINE.format(a="p", b="c")}, 6), p.id LIMIT 25""")
+  (SELECT 4.9::DOUBLE AS lon, -59.95::DOUBLE AS lat) c ORDER BY round({_HAVERSINE.format(a="p", b="c")}, 6), p.id LIMIT 25""")
 def nearest_points(t):
-    found = j.nearest(points(t.orders, "o_orderkey"), 4.9, 52.35, 25, ties=["id"])
+    found = j.nearest(points(t.orders, "o_orderkey"), 4.9, -59.95, 25, ties=["id"])
     return found.select("id", F.round("distance", 2).alias("meters"))
 
 

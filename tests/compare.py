@@ -61,7 +61,7 @@ def main(folder, names):
     from tabloom.session import local_session
     from tabloom.workloads import ORACLES, QUERIES
 
-    spark, con = local_session(8), connect(folder)
+    spark, con = local_session(os.environ.get("BENCH_CPUS", "8")), connect(folder)
     bad = 0
     for name in names or QUERIES:
         started = time.time()
