@@ -7,7 +7,7 @@ import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -102,22 +102,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, group: Column, order: list[Column], name: str, rows_a_block: int = 100_000) -> DataFrame:
-    """Add gapless numbers from 0 within ``group``, by ``order``, without one task for a group.
+# Rows of a group that are numbered together.
+BLOCK_ROWS = 1000
 
-    ``df`` must be a stored table, as it is read three times.  Rows go to
-    blocks by a hash of their order columns; a block is numbered alone and
-    starts after the counts of the blocks before it.  The sequence is that of
-    (block, order), so callers that need one order overall must not use it.
-    """
-    from pyspark.sql import Window
 
-    blocks = max(1, df.count() // rows_a_block)
-    df = df.withColumns({"_group": group, "_block": F.pmod(F.xxhash64(F.lit(97), *order), F.lit(blocks))})
+def numbered(df: DataFrame, group: Column, size: Column, order: list[Column], name: str) -> DataFrame:
+    """Add gapless numbers from 0 within ``group``, without one task for a group.
+
+    ``size`` is the number of rows of a row's group.  Rows go to blocks of
+    about ``BLOCK_ROWS`` by a hash of their order columns; a block is numbered
+    alone, by ``order``, and starts after the counts of the blocks before it.
+    The sequence is that of (block, order), so callers that need one order
+    overall must not use it.  ``df`` is read twice: it should be a stored
+    table.
+    """
+    df = df.withColumns({"_group": group, "_block": F.pmod(F.xxhash64(F.lit(97), *order), F.lit(1) + F.floor(size / BLOCK_ROWS))})
     before = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = df.groupBy("_group", "_block").agg(F.count("*").alias("_n")).select(
         "_group", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = F.row_number().over(Window.partitionBy("_group", "_block").orderBy(*order))
-    rows = df.withColumn("_at", inside)
-    return rows.join(bases, ["_group", "_block"]).withColumn(name, F.col("_base") + F.col("_at") - 1).drop(
-        "_group", "_block", "_base", "_at")
+    return df.withColumn("_at", inside).join(bases, ["_group", "_block"]).withColumn(
+        name, F.col("_base") + F.col("_at") - 1).drop("_group", "_block", "_base", "_at")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import lower_ascii, map_rows, prepare, same_columns, stored
-from tabloom.llm.graphs import components
+from tabloom.llm.graphs import components, merge
 
 SHINGLE = 5
 PERCENT = 75         # links need 100 * intersection >= PERCENT * union
@@ -118,38 +118,98 @@ def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: in
     ``members``: (bucket, node, n), n being the set's size; ``sets`` gives
     (node, hashes) for a frame of nodes.
 
-    A bucket's members are compared with its pivot alone, so a bucket of m
-    gives m - 1 pairs.  Where members of one bucket are then still in
-    different components, further rounds take more pivots, and compare them
-    with members of other components only, until every pair of a bucket lies
-    in one component or has been compared: no link between members of a
-    bucket is lost.
+    A bucket is a star: its members are compared with one pivot alone, the
+    member that meets most others over all its buckets, so a bucket of m
+    gives m - 1 pairs.  Nodes of buckets that then still hold different
+    components are compared once more, now by rare shingles (``complete``),
+    which finds every link among them.
     """
-    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    active = stored(members.join(shared.select("bucket"), "bucket"), "buckets")
+    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")
+                                           ).where("lo < hi")
+    # As far as a bucket tells, a set may share all that it has.
+    active = stored(members.join(shared.select("bucket", "size"), "bucket").withColumn("met", F.col("n")), "buckets")
     whole = stored(sets(active.select("node").distinct()), "sets")
-    edges, labels, pivots_a_bucket = None, None, 1
+    degree = active.groupBy("node").agg(F.sum("size").alias("degree"))
+    pivots = active.join(degree, "node").groupBy("bucket").agg(F.max_by("node", "degree").alias("pivot"))
+    alone = active.withColumn("comp", F.col("node"))
+    edges = stored(confirmed(stars(alone, pivots, percent), whole, percent), "edges")
+    labels = stored(components(edges), "labels")
+    nodes = unsettled(labelled(active, labels)).select("node").distinct()
+    return complete(whole.join(nodes, "node", "left_semi"), labels, percent)
+
+
+def labelled(active: DataFrame, labels: DataFrame) -> DataFrame:
+    return active.join(labels, "node", "left").select("bucket", "node", "n", "met", F.coalesce("component", "node").alias("comp"))
+
+
+def unsettled(at: DataFrame) -> DataFrame:
+    """The rows of buckets with several components."""
+    several = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    return at.join(several.select("bucket"), "bucket")
+
+
+def stars(at: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a pivot and the members of its bucket that are in another component and can be similar enough.
+
+    ``met`` bounds what a set shares with others: a pair needs
+    (100 + percent) * shared >= percent * (sum of both sizes).
+    """
+    # The pivot's own size and component stand in the bucket too.
+    own = pivots.join(at.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("met").alias("pm"), F.col("comp").alias("pc")),
+                      ["bucket", "pivot"]).distinct()
+    fits = (F.col("p.pc") != F.col("m.comp")) & ((100 + percent) * F.least("pm", "met") >= percent * (F.col("pn") + F.col("n")))
+    return at.alias("m").join(own.alias("p"), (F.col("m.bucket") == F.col("p.bucket")) & fits).select(
+        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def rare_shingles(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node, n, met, comp): each set's rarest shingles, so many that two sets similar enough share one.
+
+    ``shared`` has the shingles that several sets have (bucket, node, n,
+    seen).  Of a set of n, n - ceil(n * percent / 100) + 1 shingles are taken
+    in one order for all sets: first those that no other component has, which
+    link nothing and are only counted, then rare ones.  ``met`` counts the
+    shingles that other components have, which bounds what a set can share
+    with them.
+    """
+    at = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    several = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    own = Window.partitionBy("node")
+    placed = at.join(several.select("bucket"), "bucket").withColumn("met", F.count("*").over(own)).withColumn(
+        "place", F.row_number().over(own.orderBy("seen", "bucket")) + F.col("n") - F.col("met"))
+    return placed.where((100 * F.col("met") >= percent * F.col("n"))
+                        & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select(
+        "bucket", "node", "n", "met", "comp")
+
+
+def complete(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Components with every link among ``sets``, given those known so far.
+
+    Nodes meet at their rare shingles.  In rounds, members of a bucket are
+    compared with some pivots, if they are in other components; pivots that
+    had their turn leave.  As components grow, fewer shingles lie between
+    them, and a set's rare shingles become a part of those it had before; so
+    the rounds end when no pair of a bucket is left that is neither compared
+    nor in one component.
+    """
+    every = sets.select("node", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("bucket"))
+    seen = every.groupBy("bucket").agg(F.count("*").alias("seen")).where("seen > 1")
+    shared, done, pivots_a_bucket = stored(every.join(seen, "bucket"), "shared"), None, 1
     while True:
-        at = active.withColumn("comp", F.col("node")) if labels is None else active.join(labels, "node", "left").select(
-            "bucket", "node", "n", F.coalesce("component", "node").alias("comp"))
-        open_ = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        at = stored(at.join(open_.select("bucket"), "bucket"), "open")
-        if edges is not None and at.isEmpty():
+        at = rare_shingles(shared, labels, percent)
+        if done is not None:
+            at = at.join(done, ["bucket", "node"], "left_anti")
+        at = stored(unsettled(at), "open")
+        if at.count() == 0:
             return labels
         slot = F.pmod(F.xxhash64("node", "bucket"), F.lit(pivots_a_bucket))
-        pivots = at.groupBy("bucket", slot.alias("slot")).agg(F.min("node").alias("pivot"))
-        # The pivot's size and component come from the same table.
-        own = at.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-        pivots = stored(pivots.drop("slot").join(own, ["bucket", "pivot"]).distinct(), "pivots")
-        close = (F.col("p.pc") != F.col("m.comp")) & (100 * F.least("pn", "n") >= percent * F.greatest("pn", "n"))
-        pairs = at.alias("m").join(pivots.alias("p"), (F.col("m.bucket") == F.col("p.bucket")) & close).select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = stored(confirmed(pairs, whole, percent), "edges")
-        edges = found if edges is None else edges.union(found)
-        active = at.select("bucket", "node", "n").join(
-            pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        labels = stored(components(edges), "labels")
-        active = stored(active, "buckets")
+        pivots = stored(at.groupBy("bucket", slot.alias("slot")).agg(F.min("node").alias("pivot")).drop("slot"), "pivots")
+        found = stored(confirmed(stars(at, pivots, percent), sets, percent), "edges")
+        labels = stored(merge(labels, found), "labels")
+        turn = pivots.select("bucket", F.col("pivot").alias("node"))
+        done = turn if done is None else done.union(turn)
+        # Sets without a rare shingle between components have none later on.
+        shared = stored(shared.join(at.select("node").distinct(), "node", "left_semi"), "shared")
         pivots_a_bucket *= SPREAD
 
 

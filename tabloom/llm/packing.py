@@ -58,7 +58,14 @@ def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
             n = min(left, room)
             out[-1].append((length, n))
             taken, left = taken + n, left - n
-    return [g for g in out if g]
+    merged: list[list[tuple[int, int]]] = []
+    for group in filter(None, out):
+        # Neighbours that round up to one size are one group.
+        if merged and merged[-1][0][0] == group[0][0]:
+            merged[-1] += group
+        else:
+            merged.append(group)
+    return merged
 
 
 def configurations(sizes: list[int], capacity: int) -> list[tuple[int, ...]]:
@@ -216,7 +223,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     cut_up = stored(pieces(docs, capacity, tokenizer, end, with_ids), "pieces")
     counts = {r.length: r.n for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = places(plan(counts, capacity))
-    ranked = numbered(cut_up, F.col("length"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank")
+    # By length, how many pieces have it.
+    sizes = F.array(*[F.lit(counts.get(k, 0)).cast("long") for k in range(capacity + 1)])
+    ranked = numbered(cut_up, F.col("length"), F.get(sizes, F.col("length").cast("int")), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank")
 
     def run(rows: dict[str, list]) -> dict[str, list]:
         length, rank = np.array(rows["length"]), np.array(rows.pop("rank"))

@@ -99,7 +99,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     shard = F.size(F.filter("_ends", lambda x: x <= F.col("_at")))
     # Exchange, and the second permutation.
     there = sent.withColumn("shard", shard).withColumn("_key", mix(2)).drop("_ends", "_part", "_at")
-    return numbered(stored(there, "sent"), F.col("shard"), [F.col("_key"), F.col("doc_id"), F.col("text_crc32")], "slot"
+    return numbered(stored(there, "sent"), F.col("shard"), F.lit(sum(sizes.values()) // shards), [F.col("_key"), F.col("doc_id"), F.col("text_crc32")], "slot"
                     ).drop("_key")
 
 
