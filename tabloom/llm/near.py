@@ -17,7 +17,9 @@ PERCENT = 75         # links need 100 * intersection >= PERCENT * union
 # 48 bands of 4 values: a pair at the threshold shares no bucket with a probability of 1e-8.
 BANDS, VALUES = 48, 4
 # Pivots of an unsettled bucket grow by this factor from round to round.
-SPREAD = 8
+SPREAD = 64
+# Parts of all shingles, by their hash, in which two sets' counts bound what they share.
+PARTS = 64
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -104,19 +106,24 @@ def sketches(docs: DataFrame, bands: int = BANDS, values: int = VALUES) -> DataF
     return map_rows(docs.select("doc_id", "text"), run, "doc_id long, d1 long, d2 long, n long, buckets array<long>")
 
 
-def shingle_sets(docs: DataFrame, name: str = "node") -> DataFrame:
-    """(node, hashes): the whole shingle set of every text."""
+def part_counts(hashes: np.ndarray) -> np.ndarray:
+    return np.bincount((hashes & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(node, hashes, parts): the whole shingle set of every text, and how many of it lie in each part."""
     def run(rows: dict[str, list]) -> dict[str, list]:
-        return {name: rows["doc_id"], "hashes": [shingles(text_words(t)).view(np.int64) for t in rows["text"]]}
+        sets = [shingles(text_words(t)) for t in rows["text"]]
+        return {"node": rows["doc_id"], "hashes": [s.view(np.int64) for s in sets], "parts": [part_counts(s) for s in sets]}
 
-    return map_rows(docs.select("doc_id", "text"), run, f"{name} long, hashes array<long>")
+    return map_rows(docs.select("doc_id", "text"), run, "node long, hashes array<long>, parts array<smallint>")
 
 
 def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int = PERCENT) -> DataFrame:
     """(node, component) of all nodes that share a bucket with a similar one.
 
     ``members``: (bucket, node, n), n being the set's size; ``sets`` gives
-    (node, hashes) for a frame of nodes.
+    (node, hashes, parts) for a frame of nodes.
 
     A bucket is a star: its members are compared with one pivot alone, the
     member that meets most others over all its buckets, so a bucket of m
@@ -151,13 +158,19 @@ def unsettled(at: DataFrame) -> DataFrame:
 def stars(at: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     """Pairs of a pivot and the members of its bucket that are in another component and can be similar enough.
 
-    ``met`` bounds what a set shares with others: a pair needs
-    (100 + percent) * shared >= percent * (sum of both sizes).
+    A pair needs (100 + percent) * shared >= percent * (sum of both sizes).
+    ``met`` bounds what a set shares with others; where ``parts`` is there,
+    two sets share no more than the smaller count of each part, added up.
+    Pairs beyond these bounds are never made.
     """
+    counted = ["parts"] if "parts" in at.columns else []
     # The pivot's own size and component stand in the bucket too.
-    own = pivots.join(at.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("met").alias("pm"), F.col("comp").alias("pc")),
-                      ["bucket", "pivot"]).distinct()
+    own = pivots.join(at.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("met").alias("pm"), F.col("comp").alias("pc"),
+                                   *[F.col(c).alias("pparts") for c in counted]), ["bucket", "pivot"])
     fits = (F.col("p.pc") != F.col("m.comp")) & ((100 + percent) * F.least("pm", "met") >= percent * (F.col("pn") + F.col("n")))
+    if counted:
+        smaller = F.aggregate(F.zip_with("m.parts", "p.pparts", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x.cast("int"))
+        fits = fits & ((100 + percent) * smaller >= percent * (F.col("pn") + F.col("n")))
     return at.alias("m").join(own.alias("p"), (F.col("m.bucket") == F.col("p.bucket")) & fits).select(
         F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
@@ -199,7 +212,7 @@ def complete(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         at = rare_shingles(shared, labels, percent)
         if done is not None:
             at = at.join(done, ["bucket", "node"], "left_anti")
-        at = stored(unsettled(at), "open")
+        at = stored(unsettled(at).join(sets.select("node", "parts"), "node"), "open")
         if at.count() == 0:
             return labels
         slot = F.pmod(F.xxhash64("node", "bucket"), F.lit(pivots_a_bucket))

@@ -46,10 +46,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
 
 
 def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
-    """Linear grouping: lengths from the largest down in groups of equal cardinality, as (length, count)."""
-    total, out, taken = sum(counts.values()), [[]], 0
-    for length in sorted(counts, reverse=True):
-        left = counts[length]
+    """Linear grouping: lengths from the largest down in groups of equal cardinality, as (length, count).
+
+    A length with twice a group's share or more is a group alone, so nothing
+    is rounded up to or from it.
+    """
+    total = sum(counts.values())
+    alone = {k for k, n in counts.items() if n * groups >= 2 * total}
+    rest = {k: n for k, n in counts.items() if k not in alone}
+    total, groups = sum(rest.values()), max(1, groups - len(alone))
+    out: list[list[tuple[int, int]]] = [[]]
+    taken = 0
+    for length in sorted(rest, reverse=True):
+        left = rest[length]
         while left:
             room = (total * len(out)) // groups - taken
             if room <= 0:
@@ -65,7 +74,7 @@ def grouped(counts: dict[int, int], groups: int) -> list[list[tuple[int, int]]]:
             merged[-1] += group
         else:
             merged.append(group)
-    return merged
+    return merged + [[(k, counts[k])] for k in sorted(alone, reverse=True)]
 
 
 def configurations(sizes: list[int], capacity: int) -> list[tuple[int, ...]]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import ddl, free_name, lower_ascii, map_rows, prepare, same_columns, stored
 from tabloom.llm.graphs import components
-from tabloom.llm.near import SHINGLE, _probes, bands_of, link
+from tabloom.llm.near import SHINGLE, _probes, bands_of, link, part_counts
 
 MIN_WORDS = 50           # a passage that counts as repeated
 # 12 bands of 3 values: a paragraph at the threshold is missed with a probability of 0.002.
@@ -71,7 +71,7 @@ def paragraphs(words: Words, probes: np.ndarray | None) -> list[dict]:
         if end - at >= MIN_WORDS:
             own = np.unique(words.hashes[at:end - SHINGLE + 1])
             out.append({"key": words.digest(at, end), "start": int(words.starts[at]), "end": int(words.ends[end - 1]), "n": len(own)}
-                       | ({"buckets": bands_of(own, BANDS, VALUES, probes)} if probes is not None else {"hashes": own.view(np.int64)}))
+                       | ({"buckets": bands_of(own, BANDS, VALUES, probes)} if probes is not None else {"hashes": own.view(np.int64), "parts": part_counts(own)}))
         at = end
     return out
 
@@ -94,9 +94,9 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_sets(docs: DataFrame) -> DataFrame:
-    """(node, hashes) of every paragraph of ``docs``."""
+    """(node, hashes, parts) of every paragraph of ``docs``."""
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out = {"node": [], "hashes": []}
+        out = {"node": [], "hashes": [], "parts": []}
         for text in rows["text"]:
             words = Words(text)
             if words.n >= MIN_WORDS:
@@ -104,9 +104,10 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
                 for p in paragraphs(words, None):
                     out["node"].append(p["key"])
                     out["hashes"].append(p["hashes"])
+                    out["parts"].append(p["parts"])
         return out
 
-    return map_rows(docs.select("text"), run, "node long, hashes array<long>")
+    return map_rows(docs.select("text"), run, "node long, hashes array<long>, parts array<smallint>")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         holders = nodes.join(keys, "key", "left_semi").select(F.col("source").alias("doc_id")).distinct()
         found = paragraph_sets(docs.join(holders, "doc_id", "left_semi"))
         # Some of a holder's other paragraphs may not be wanted, or stand in several holders.
-        return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
+        return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
     linked = stored(link(members, sets), "linked")
     comp = nodes.join(linked.select(F.col("node").alias("key"), "component"), "key", "left").withColumn(
