@@ -98,7 +98,7 @@ def _timetables(t):
     names = {"0": ("15 */6 * * *", "UTC"), "1": ("30 8 * * 1-5", "Europe/Amsterdam"), "2": ("0 18 L * *", "America/New_York")}
     base = cron.timetable_frame(t.spark, names)
     s = t.supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("name"), (F.col("s_suppkey") % 3).cast("string").alias("kind"))
-    return s.join(F.broadcast(base), s.kind == base.schedule).drop("schedule", "kind").withColumnRenamed("name", "schedule")
+    return s.join(base, s.kind == base.schedule).drop("schedule", "kind").withColumnRenamed("name", "schedule")
 
 
 @query("cron_ticks", """SELECT 's' || s_suppkey AS schedule, tick FROM supplier, LATERAL (
