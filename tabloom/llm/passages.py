@@ -15,10 +15,11 @@ MIN_WORDS = 50           # a passage that counts as repeated
 # 12 bands of 3 values: a paragraph at the threshold is missed with a probability of 0.002.
 BANDS, VALUES = 12, 3
 # Windows start at the smallest of SPREAD neighbouring shingle hashes.  Two texts that share
-# WINDOW + SPREAD - 1 words, one less than MIN_WORDS, share one such window.
+# WINDOW + SPREAD - 1 words, one less than MIN_WORDS, share one such window.  Windows are seeds:
+# they tell where runs of MIN_WORDS words need to be compared.
 WINDOW, SPREAD = 30, 20
 
-UNITS = ("doc_id long, windows array<struct<key:long,start:int,end:int>>, "
+UNITS = ("doc_id long, key long, start int, end int, windows array<struct<key:long,at:int>>, "
          "paragraphs array<struct<key:long,start:int,end:int,n:int,buckets:array<long>>>")
 
 _SPACE = np.zeros(256, bool)
@@ -33,7 +34,7 @@ class Words:
         self.raw, self.words = raw, raw.split()
         self.n = len(self.words)
 
-    def places(self) -> None:
+    def places(self, hashes: bool = True) -> None:
         data = np.frombuffer(self.raw, np.uint8)
         inside = ~_SPACE[data]
         edges = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
@@ -46,7 +47,9 @@ class Words:
         line = b" ".join(self.words)
         stops = np.cumsum([len(w) + 1 for w in self.words]) - 1
         begins = np.concatenate(([0], stops[:-1] + 1))
-        self.line, self.begins, self.stops = line, begins, stops
+        self.line, self.begins, self.stops = line, begins.tolist(), stops.tolist()
+        if not hashes:
+            return
         hash_of = xxhash.xxh3_64_intdigest
         self.hashes = np.array([hash_of(line[a:b]) for a, b in zip(begins[:self.n - SHINGLE + 1].tolist(),
                                                                    stops[SHINGLE - 1:].tolist())], np.uint64)
@@ -60,8 +63,7 @@ def windows(words: Words) -> list[dict]:
     places = words.n - WINDOW + 1
     h = words.hashes[:places]
     picked = np.unique(np.lib.stride_tricks.sliding_window_view(h, SPREAD).argmin(axis=1) + np.arange(places - SPREAD + 1))
-    return [{"key": words.digest(p, p + WINDOW), "start": int(words.starts[p]), "end": int(words.ends[p + WINDOW - 1])}
-            for p in picked.tolist()]
+    return [{"key": words.digest(p, p + WINDOW), "at": p} for p in picked.tolist()]
 
 
 def paragraphs(words: Words, probes: np.ndarray | None) -> list[dict]:
@@ -79,13 +81,16 @@ def paragraphs(words: Words, probes: np.ndarray | None) -> list[dict]:
 def units(docs: DataFrame) -> DataFrame:
     def run(rows: dict[str, list]) -> dict[str, list]:
         probes = _probes(BANDS * VALUES, 64)
-        out = {"doc_id": [], "windows": [], "paragraphs": []}
+        out = {"doc_id": [], "key": [], "start": [], "end": [], "windows": [], "paragraphs": []}
         for doc_id, text in zip(rows["doc_id"], rows["text"]):
             words = Words(text)
             if doc_id is None or words.n < MIN_WORDS:
                 continue
             words.places()
             out["doc_id"].append(doc_id)
+            out["key"].append(words.digest(0, words.n))
+            out["start"].append(int(words.starts[0]))
+            out["end"].append(int(words.ends[-1]))
             out["windows"].append(windows(words))
             out["paragraphs"].append(paragraphs(words, probes))
         return out
@@ -93,6 +98,27 @@ def units(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), run, UNITS)
 
 
+def runs(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc_id, key, start, end) of all runs of ``MIN_WORDS`` words with one of ``seeds`` (doc_id, at) inside."""
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        out = {"doc_id": [], "key": [], "start": [], "end": []}
+        for doc_id, text, at in zip(rows["doc_id"], rows["text"], rows["at"]):
+            words = Words(text)
+            if words.n < MIN_WORDS:
+                continue
+            words.places(hashes=False)
+            first = np.unique(np.array(at)[:, None] - np.arange(MIN_WORDS - WINDOW + 1))
+            first = first[(first >= 0) & (first <= words.n - MIN_WORDS)]
+            out["doc_id"] += [doc_id] * len(first)
+            out["key"] += [words.digest(p, p + MIN_WORDS) for p in first.tolist()]
+            out["start"] += words.starts[first].tolist()
+            out["end"] += words.ends[first + MIN_WORDS - 1].tolist()
+        return out
+
+    places = seeds.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
+    return map_rows(docs.join(places, "doc_id"), run, "doc_id long, key long, start int, end int")
+
+
 def paragraph_sets(docs: DataFrame) -> DataFrame:
     """(node, hashes, parts) of every paragraph of ``docs``."""
     def run(rows: dict[str, list]) -> dict[str, list]:
@@ -121,9 +147,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Paragraphs are lines of ``MIN_WORDS`` words or more.  Equal ones are one
     node; others collide in MinHash bands and are linked by the exact Jaccard
     index of their shingle sets.  As a repeated passage may stand inside
-    different paragraphs, windows of ``WINDOW`` words whose starts depend on
-    nearby words alone are compared too: every common run of ``MIN_WORDS``
-    words has one, and a run's windows together cover it but for its ends.
+    different paragraphs, every run of ``MIN_WORDS`` words that a smaller
+    document has too is cut, so a passage goes from its first word to its
+    last.  Such a run holds a shared window of ``WINDOW`` words, whose starts
+    depend on nearby words alone; only runs around these are made.  Equal
+    documents are compared with others once.
 
     doc_id names a document: nothing is cut between rows with one id, and
     rows without an id are left alone.  Null, empty and short texts have
@@ -133,11 +161,18 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     spark = prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     every = stored(units(docs), "units")
-    wins = every.select("doc_id", F.inline("windows"))
-    owners = wins.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
-    cut = wins.join(owners.select("key", "source"), "key").where("doc_id <> source").select("doc_id", "start", "end", "source")
-
-    lines = every.select("doc_id", F.inline("paragraphs"))
+    classes = every.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
+    copies = every.join(classes.select("key", "source"), "key").where("doc_id <> source").select("doc_id", "start", "end", "source")
+    # A row that repeats an id with another text is no copy.
+    firsts = every.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+
+    wins = firsts.select("doc_id", F.inline("windows"))
+    same = wins.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    found = stored(runs(docs, wins.join(same.select("key"), "key").select("doc_id", "at")), "runs")
+    owners = found.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
+    cut = found.join(owners.select("key", "source"), "key").where("doc_id <> source").select("doc_id", "start", "end", "source")
+
+    lines = firsts.select("doc_id", F.inline("paragraphs"))
     nodes = lines.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
     members = lines.select(F.explode("buckets").alias("bucket"), F.col("key").alias("node"), F.col("n").cast("long").alias("n"))
 
@@ -156,26 +191,32 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     more = lines.select("doc_id", "key", "start", "end").join(owner.where("source < last").select("key", "source"), "key").where(
         "doc_id <> source").select("doc_id", "start", "end", "source")
 
-    spans = stored(cut.unionByName(more).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "source"))).alias("s")
-                                                               ).select("doc_id", merged(F.col("s")).alias("s")), "spans")
-    flat = spans.select("doc_id", F.inline("s"))
+    flat = stored(merged(cut.unionByName(more)), "spans")
+    # What a copy's first document has lost to smaller ones, the copy has lost to them too.
+    lost = flat.groupBy(F.col("doc_id").alias("source")).agg(F.min("source").alias("least"))
+    flat = flat.unionByName(copies.distinct().join(lost, "source", "left").select("doc_id", "start", "end", F.least("source", "least").alias("source")))
     groups = components(flat.select(F.col("doc_id").alias("a"), F.col("source").alias("b")).distinct())
     return flat.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id").select(
         "doc_id", "start", "end", F.col("source").alias("source_doc_id"), F.col("component").alias("component_id"))
 
 
-def merged(spans):
-    """Sorted spans with overlapping and touching ones joined; the smallest source stays."""
-    def add(done, x):
-        last = F.try_element_at(done, F.lit(-1))
-        wide = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"),
-                        F.least(last["source"], x["source"]).alias("source"))
-        return F.when(F.coalesce(x["start"] <= last["end"] + 1, F.lit(False)),
-                      F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(wide))).otherwise(
-            F.concat(done, F.array(x)))
+def merged(spans: DataFrame) -> DataFrame:
+    """Each document's spans with overlapping and touching ones joined; the smallest source stays."""
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        out = {"doc_id": [], "start": [], "end": [], "source": []}
+        for doc_id, starts, ends, sources in zip(rows["doc_id"], rows["start"], rows["end"], rows["source"]):
+            starts, ends, sources = np.array(starts), np.array(ends), np.array(sources)
+            order = np.argsort(starts, kind="stable")
+            starts, ends = starts[order], np.maximum.accumulate(ends[order])
+            first = np.flatnonzero(np.append(True, starts[1:] > ends[:-1] + 1))
+            out["doc_id"] += [doc_id] * len(first)
+            out["start"] += starts[first].tolist()
+            out["end"] += np.maximum.reduceat(ends, first).tolist()
+            out["source"] += np.minimum.reduceat(sources[order], first).tolist()
+        return out
 
-    kind = "array<struct<start:int,end:int,source:bigint>>"
-    return F.aggregate(spans, F.array().cast(kind), lambda d, x: add(d, x).cast(kind))
+    lists = spans.groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("start", "end", "source")])
+    return map_rows(lists, run, "doc_id long, start int, end int, source long")
 
 
 def cut_passages(docs: DataFrame) -> DataFrame:

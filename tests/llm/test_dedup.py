@@ -118,6 +118,19 @@ def test_window_guarantee():
         assert keys[0] & keys[1]
 
 
+def test_passage_goes_to_its_ends(spark):
+    """Exactly the words that a smaller document has go, also where a window's smallest owner has less of the passage."""
+    rng = random.Random(12)
+    new = lambda n: [f"g{rng.randrange(10**9)}" for _ in range(n)]
+    short, long = new(50), new(60)
+    part = new(10) + long[12:47] + new(30)
+    texts = {1: part, 2: new(90) + short + new(20) + long + new(80), 3: new(33) + short + new(70), 4: new(7) + long + new(100),
+             5: new(20) + short[:49] + new(40)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    clean = {r.doc_id: r.text.split() for r in passages.cut_passages(docs).collect()}
+    assert clean == texts | {3: texts[3][:33] + texts[3][83:], 4: texts[4][:7] + texts[4][67:]}
+
+
 def test_near_paragraph(spark):
     """A paragraph with an edit every 25 words shares no window, but is linked by its bands and its sets."""
     rng = random.Random(2)
