@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import ddl, free_name, lower_ascii, map_rows, prepare, same_columns, stored
 from tabloom.llm.graphs import components
-from tabloom.llm.near import SHINGLE, _probes, bands_of, link, part_counts
+from tabloom.llm.near import BANDS, SHINGLE, VALUES, _probes, bands_of, link, part_counts
 
 MIN_WORDS = 50           # a passage that counts as repeated
-# 12 bands of 3 values: a paragraph at the threshold is missed with a probability of 0.002.
-BANDS, VALUES = 12, 3
 # Windows start at the smallest of SPREAD neighbouring shingle hashes.  Two texts that share
 # WINDOW + SPREAD - 1 words, one less than MIN_WORDS, share one such window.  Windows are seeds:
 # they tell where runs of MIN_WORDS words need to be compared.

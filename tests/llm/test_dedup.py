@@ -131,6 +131,19 @@ def test_passage_goes_to_its_ends(spark):
     assert clean == texts | {3: texts[3][:33] + texts[3][83:], 4: texts[4][:7] + texts[4][67:]}
 
 
+def test_recall_of_paragraph_bands():
+    """Paragraphs at the threshold share a bucket, short and long ones."""
+    rng, missed = np.random.default_rng(8), 0
+    probes = near._probes(passages.BANDS * passages.VALUES, 64)
+    for k in range(3000):
+        n = (46, 53, 140)[k % 3]
+        rest = -(-n // 7)  # 6 of 8 parts are shared: an index of 0.75 or just below
+        both, a, b = (rng.integers(0, 2**63, m, dtype=np.int64).astype(np.uint64) for m in (n - rest, rest, rest))
+        x, y = (passages.bands_of(np.unique(np.concatenate((both, z))), passages.BANDS, passages.VALUES, probes) for z in (a, b))
+        missed += not set(x.tolist()) & set(y.tolist())
+    assert missed == 0
+
+
 def test_near_paragraph(spark):
     """A paragraph with an edit every 25 words shares no window, but is linked by its bands and its sets."""
     rng = random.Random(2)
