@@ -96,17 +96,25 @@ def units(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), run, UNITS)
 
 
-def runs(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(doc_id, key, start, end) of all runs of ``MIN_WORDS`` words with one of ``seeds`` (doc_id, at) inside."""
+def runs(docs: DataFrame, seeds: DataFrame, gone: DataFrame) -> DataFrame:
+    """(doc_id, key, start, end) of all runs of ``MIN_WORDS`` words with one of ``seeds`` (doc_id, at) inside.
+
+    Runs with a part in a span of ``gone`` (doc_id, start, end; disjoint) are left out.
+    """
     def run(rows: dict[str, list]) -> dict[str, list]:
         out = {"doc_id": [], "key": [], "start": [], "end": []}
-        for doc_id, text, at in zip(rows["doc_id"], rows["text"], rows["at"]):
+        for doc_id, text, at, lost, until in zip(rows["doc_id"], rows["text"], rows["at"], rows["lost"], rows["until"]):
             words = Words(text)
             if words.n < MIN_WORDS:
                 continue
             words.places(hashes=False)
             first = np.unique(np.array(at)[:, None] - np.arange(MIN_WORDS - WINDOW + 1))
             first = first[(first >= 0) & (first <= words.n - MIN_WORDS)]
+            if lost:
+                # The first span that ends behind the run's start must begin behind its end.
+                lost, until = np.append(np.sort(lost), len(text)), np.sort(until)
+                after = lost[np.searchsorted(until, words.starts[first], "right")]
+                first = first[after >= words.ends[first + MIN_WORDS - 1]]
             out["doc_id"] += [doc_id] * len(first)
             out["key"] += [words.digest(p, p + MIN_WORDS) for p in first.tolist()]
             out["start"] += words.starts[first].tolist()
@@ -114,7 +122,8 @@ def runs(docs: DataFrame, seeds: DataFrame) -> DataFrame:
         return out
 
     places = seeds.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    return map_rows(docs.join(places, "doc_id"), run, "doc_id long, key long, start int, end int")
+    holes = gone.groupBy("doc_id").agg(F.collect_list("start").alias("lost"), F.collect_list("end").alias("until"))
+    return map_rows(docs.join(places, "doc_id").join(holes, "doc_id", "left"), run, "doc_id long, key long, start int, end int")
 
 
 def paragraph_sets(docs: DataFrame) -> DataFrame:
@@ -151,6 +160,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     depend on nearby words alone; only runs around these are made.  Equal
     documents are compared with others once.
 
+    Paragraphs go first.  A document keeps runs for others only outside of
+    the paragraphs that it loses, so each equal passage stays in a document.
+
     doc_id names a document: nothing is cut between rows with one id, and
     rows without an id are left alone.  Null, empty and short texts have
     nothing to cut; whole texts are read; an empty table gives an empty
@@ -161,15 +173,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     every = stored(units(docs), "units")
     classes = every.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
     copies = every.join(classes.select("key", "source"), "key").where("doc_id <> source").select("doc_id", "start", "end", "source")
-    # A row that repeats an id with another text is no copy.
+    # doc_id names a document: rows with one id go together.
     firsts = every.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
 
-    wins = firsts.select("doc_id", F.inline("windows"))
-    same = wins.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    found = stored(runs(docs, wins.join(same.select("key"), "key").select("doc_id", "at")), "runs")
-    owners = found.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
-    cut = found.join(owners.select("key", "source"), "key").where("doc_id <> source").select("doc_id", "start", "end", "source")
-
     lines = firsts.select("doc_id", F.inline("paragraphs"))
     nodes = lines.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
     members = lines.select(F.explode("buckets").alias("bucket"), F.col("key").alias("node"), F.col("n").cast("long").alias("n"))
@@ -186,8 +192,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "component", F.coalesce("component", "key"))
     first = comp.groupBy("component").agg(F.min("source").alias("source"), F.max("last").alias("last")).where("source < last")
     owner = comp.join(first.select("component", "source"), "component").select("key", comp["last"], first["source"])
-    more = lines.select("doc_id", "key", "start", "end").join(owner.where("source < last").select("key", "source"), "key").where(
-        "doc_id <> source").select("doc_id", "start", "end", "source")
+    more = stored(merged(lines.select("doc_id", "key", "start", "end").join(owner.where("source < last").select("key", "source"), "key").where(
+        "doc_id <> source").select("doc_id", "start", "end", "source")), "paragraphs")
+
+    # What a paragraph's cut takes away can't be kept for others.
+    wins = firsts.select("doc_id", F.inline("windows"))
+    same = wins.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    found = stored(runs(docs, wins.join(same.select("key"), "key").select("doc_id", "at"), more), "runs")
+    owners = found.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
+    cut = found.join(owners.select("key", "source"), "key").where("doc_id <> source").select("doc_id", "start", "end", "source")
 
     flat = stored(merged(cut.unionByName(more)), "spans")
     # What a copy's first document has lost to smaller ones, the copy has lost to them too.

@@ -144,6 +144,17 @@ def test_recall_of_paragraph_bands():
     assert missed == 0
 
 
+def test_no_passage_vanishes(spark):
+    """What a document loses with a near paragraph, it can't keep for others."""
+    rng = random.Random(14)
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    long, own = new(600), new(60)
+    texts = {1: long, 2: long[:300] + own + long[300:], 3: new(80) + own + new(90), 4: own + new(70), 5: new(30) + long[:100] + new(10)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    clean = {r.doc_id: r.text.split() for r in passages.cut_passages(docs).collect()}
+    assert clean == {1: texts[1], 3: texts[3], 4: texts[4][60:], 5: texts[5][:30] + texts[5][130:]}
+
+
 def test_near_paragraph(spark):
     """A paragraph with an edit every 25 words shares no window, but is linked by its bands and its sets."""
     rng = random.Random(2)
