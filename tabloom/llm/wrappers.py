@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,10 @@ MAIN = ("article", "main")
 # Pages that must have the same text in one place before it counts as part of the template.
 CONSTANT_PAGES = 8
 HOSTS_HELD = 1000
+# Bits of one alignment's table that are held; larger ones are halved.
+TABLE_BITS = 1 << 27
+# Texts up to this length stand in the wrapper as they are, longer ones by their digest.
+TEXT_CHARS = 200
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -126,12 +131,16 @@ def expression(element: Element) -> dict:
     kids = []
     if not element.hidden:
         for kid in element.kids:
-            kids.append({"s": "#", "n": 1, "c": len(kid[0]), "l": kid[1], "t": kid[0][:200]} if isinstance(kid, tuple)
+            kids.append({"s": "#", "n": 1, "c": len(kid[0]), "l": kid[1], "t": token(kid[0])} if isinstance(kid, tuple)
                         else expression(kid))
     out = {"s": element.symbol, "n": 1, "k": squares(kids)}
     return out | ({"h": 1} if element.hidden else {}) | ({"m": 1} if element.main else {})
 
 
+def token(text: str) -> str:
+    return text if len(text) <= TEXT_CHARS else "#" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def squares(kids: list[dict]) -> list[dict]:
     """Fold neighbours that repeat, single ones and pairs, into repeated groups."""
     one: list[dict] = []
@@ -172,32 +181,57 @@ def align(a: dict, b: dict, same_page: bool = False) -> dict:
 
 
 def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence; for long sequences of the next equal symbols in turn."""
-    if a == b:
-        return [(i, i) for i in range(len(a))]
-    if len(a) * len(b) > 40_000:
-        out, j = [], 0
-        for i, s in enumerate(a):
-            try:
-                j = b.index(s, j)
-            except ValueError:
-                continue
-            out.append((i, j))
-            j += 1
-        return out
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    """Places of a longest common subsequence."""
+    start, end = 0, 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    out = [(i, i) for i in range(start)]
+    left = [(a[start:len(a) - end], b[start:len(b) - end], start, start)]
+    while left:
+        x, y, i, j = left.pop()
+        if len(x) > 1 and len(x) * len(y) > TABLE_BITS:
+            # Where to cut y, so that both halves of x share most: only two rows are held.
+            half = len(x) // 2
+            fore, back = shared(rows_of(x[:half], y)[-1], len(y)), shared(rows_of(x[:half - 1:-1], y[::-1])[-1], len(y))
+            cut = max(range(len(y) + 1), key=lambda k: fore[k] + back[len(y) - k])
+            left += [(x[half:], y[cut:], i + half, j + cut), (x[:half], y[:cut], i, j)]
+            continue
+        rows, n, m = rows_of(x, y, True), len(x), len(y)
+        found = []
+        while n and m:
+            if rows[n] >> (m - 1) & 1:
+                m -= 1
+            elif not rows[n - 1] >> (m - 1) & 1:
+                n -= 1
+            else:
+                n, m = n - 1, m - 1
+                found.append((i + n, j + m))
+        out += found[::-1]
+    return out + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
+
+
+def rows_of(a: list[str], b: list[str], every: bool = False) -> list[int]:
+    """The last or every row of the table of common lengths: bit j is 0 where b[:j + 1] shares more than b[:j]."""
+    at: dict[str, int] = {}
+    for j, s in enumerate(b):
+        at[s] = at.get(s, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    rows = [row]
+    for s in a:
+        met = row & at.get(s, 0)
+        row = (row + met | row - met) & full
+        if every:
+            rows.append(row)
+    return rows if every else [row]
+
+
+def shared(row: int, n: int) -> list[int]:
+    """The common lengths that a row stands for, from the empty part of b on."""
+    out = [0]
+    for bit in f"{row:0{n}b}"[::-1] if n else "":
+        out.append(out[-1] + (bit == "0"))
     return out
 
 
@@ -208,6 +242,8 @@ def containers(wrapper: dict) -> list[str]:
     have; else the innermost element with nearly all variable text that
     stands neither in links nor in parts that are left out.
     """
+    # Alignment may leave several optional nodes with one path, so counts and masses are added up by path.
+    pages: dict[str, int] = {}
     marked: list[str] = []
 
     def mass(node: dict) -> int:
@@ -215,26 +251,34 @@ def containers(wrapper: dict) -> list[str]:
             return 0 if node["t"] is not None and node["n"] >= CONSTANT_PAGES else node["c"] - node["l"]
         return 0 if node.get("h") else sum(mass(k) for k in node["k"])
 
-    def walk(node: dict, path: str) -> None:
+    def walk(node: dict, path: str, pick: bool) -> None:
         for kid in node.get("k", ()):
             if kid["s"] == "#" or kid.get("h"):
                 continue
             own = path if kid.get("g") else f"{path}/{kid['s']}"
-            if kid.get("m") and 2 * kid["n"] >= wrapper["n"]:
+            if pick and kid.get("m") and 2 * pages[own] >= wrapper["n"]:
                 marked.append(own)
-            else:
-                walk(kid, own)
+                continue
+            if kid.get("m"):
+                pages[own] = pages.get(own, 0) + kid["n"]
+            walk(kid, own, pick)
 
-    walk(wrapper, "")
+    walk(wrapper, "", False)
+    walk(wrapper, "", True)
     if marked:
         return sorted(set(marked))
-    node, path = wrapper, ""
-    while True:
-        inner = [k for k in node["k"] if k["s"] != "#" and not k.get("r") and 10 * mass(k) >= 9 * max(1, mass(node))]
-        if not inner or not mass(node):
-            return [path] if path else []
-        node = inner[0]
-        path = path if node.get("g") else f"{path}/{node['s']}"
+    nodes, path, whole = [wrapper], "", mass(wrapper)
+    while whole:
+        inner: dict[str, list[dict]] = {}
+        for kid in (k for n in nodes for k in n["k"]):
+            if kid["s"] != "#":
+                inner.setdefault(kid["s"], []).append(kid)
+        inside = {s: sum(map(mass, kids)) for s, kids in inner.items() if not any(k.get("r") for k in kids)}
+        down = [s for s, m in inside.items() if 10 * m >= 9 * whole]
+        if not down:
+            break
+        nodes, path, whole = inner[down[0]], f"{path}/{down[0]}", inside[down[0]]
+    return [path] if path else []
 
 
 def main_text(page: str | None, paths: list[str]) -> str:

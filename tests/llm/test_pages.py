@@ -63,6 +63,48 @@ def test_long_sequences():
     assert all(a[i] == b[j] for i, j in found) and found == sorted(found) and len(found) > 50
 
 
+def plain_length(a, b):
+    row = [0] * (len(b) + 1)
+    for s in a:
+        new = [0]
+        for j, t in enumerate(b):
+            new.append(row[j] + 1 if s == t else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_alignment_is_longest(monkeypatch):
+    """At every size, in one table and in halves."""
+    import random
+    rng = random.Random(4)
+    lists = [([rng.choice("abcdefgh"[:k]) for _ in range(rng.randrange(60))], [rng.choice("abcdefgh"[:k]) for _ in range(rng.randrange(60))])
+             for k in (1, 2, 4, 8) for _ in range(40)]
+    jump = [f"x{i}" for i in range(250)]
+    lists += [(["end", *jump], [*jump[:200], "y", *jump[200:], "end"]), ([rng.choice("abcd") for _ in range(300)], [rng.choice("abcde") for _ in range(280)])]
+    for bits in (wrappers.TABLE_BITS, 50):
+        monkeypatch.setattr(wrappers, "TABLE_BITS", bits)
+        for a, b in lists:
+            found = wrappers.matches(a, b)
+            assert all(a[i] == b[j] for i, j in found) and len(found) == plain_length(a, b)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+
+
+def merged_wrapper(pages):
+    whole = None
+    for p in pages:
+        own = wrappers.expression(wrappers.parse(p))
+        whole = own if whole is None else wrappers.align(whole, own)
+    return whole
+
+
+def test_counts_of_one_path_and_long_texts():
+    # The order of two parts splits the article over two nodes, each with under half of the pages.
+    kid = lambda n: {"s": "article", "n": n, "o": 1, "m": 1, "k": [{"s": "#", "n": n, "c": 90, "l": 0, "t": None}]}
+    assert wrappers.containers({"s": "#root", "n": 10, "k": [kid(4), {"s": "div", "n": 10, "k": []}, kid(4)]}) == ["/article"]
+    whole = merged_wrapper([f"<div class=a><p>{'same ' * 60}{i}</div><div class=b>x {i}</div>" for i in range(9)])
+    assert whole["k"][0]["k"][0]["k"][0]["t"] is None and whole["k"][0]["k"][0]["k"][0]["c"] > 2700
+
+
 def test_extract(spark):
     rows = [(i, f"https://Host{i % 2}.example/{i}", body(i) if i % 2 else ARTICLE, "x", "y") for i in range(40)]
     rows += [(90, None, None, "", ""), (91, "", "", "", ""), (92, "no address", "<p>" + "long text " * 60_000, "", ""), rows[1]]
