@@ -239,8 +239,8 @@ def containers(wrapper: dict) -> list[str]:
     """Paths of the elements that hold the article, by what the whole host's pages have in common.
 
     The outermost ``article`` or ``main`` elements that half of the pages
-    have; else the innermost element with nearly all variable text that
-    stands neither in links nor in parts that are left out.
+    have; else the innermost element with all variable text that stands
+    neither in links nor in parts that are left out.
     """
     # Alignment may leave several optional nodes with one path, so counts and masses are added up by path.
     pages: dict[str, int] = {}
@@ -274,7 +274,7 @@ def containers(wrapper: dict) -> list[str]:
             if kid["s"] != "#":
                 inner.setdefault(kid["s"], []).append(kid)
         inside = {s: sum(map(mass, kids)) for s, kids in inner.items() if not any(k.get("r") for k in kids)}
-        down = [s for s, m in inside.items() if 10 * m >= 9 * whole]
+        down = [s for s, m in inside.items() if m == whole]
         if not down:
             break
         nodes, path, whole = inner[down[0]], f"{path}/{down[0]}", inside[down[0]]

@@ -105,6 +105,15 @@ def test_counts_of_one_path_and_long_texts():
     assert whole["k"][0]["k"][0]["k"][0]["t"] is None and whole["k"][0]["k"][0]["k"][0]["c"] > 2700
 
 
+def test_no_variable_text_beside_the_container():
+    """A lead beside the body and the other layout of a few pages stay."""
+    long = lambda i: "".join(f"<p>part {k} of {i} in many words</p>" for k in range(40))
+    pages = [f"<body><div class=page><div class=lead>Lead {i}.</div><div class=text><div class=inner>{long(i)}</div></div></div></body>" for i in range(20)]
+    pages.append("<body><div class=page><div class=old>Old layout.</div></div></body>")
+    paths = wrappers.containers(merged_wrapper(pages))
+    assert wrappers.main_text(pages[3], paths).startswith("Lead 3.\npart 0 of 3") and wrappers.main_text(pages[20], paths) == "Old layout."
+
+
 def test_extract(spark):
     rows = [(i, f"https://Host{i % 2}.example/{i}", body(i) if i % 2 else ARTICLE, "x", "y") for i in range(40)]
     rows += [(90, None, None, "", ""), (91, "", "", "", ""), (92, "no address", "<p>" + "long text " * 60_000, "", ""), rows[1]]
