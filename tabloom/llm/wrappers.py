@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,7 +18,8 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
              "strike strong sub sup time tt u var wbr input picture source".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea noscript iframe xmp template svg math canvas object audio video".split())
-HIDDEN_TAGS = set("head nav header footer aside form button select menu dialog fieldset".split())
+NEVER_SHOWN = set("head button select menu".split())
+HIDDEN_TAGS = set("nav header footer aside form dialog fieldset".split())
 HIDDEN_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 # Words in class names and ids of parts that are not the article.
 HIDDEN_WORDS = set("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar
@@ -43,9 +44,13 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    """A block element: its symbol (tag, id, classes), whether it is left out, and its elements and text blocks."""
+    """A block element: its symbol (tag, id, classes), whether it is left out, and its elements and text blocks.
 
-    __slots__ = ("tag", "symbol", "hidden", "main", "kids")
+    Names, roles and most tags are hints (``soft``): they leave out no
+    element that holds an article, or most of what varies on a host's pages.
+    """
+
+    __slots__ = ("tag", "symbol", "hidden", "soft", "main", "kids")
 
     def __init__(self, tag: str, attributes: str = ""):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip() else {}
@@ -54,10 +59,12 @@ class Element:
         self.tag, self.kids = tag, []
         self.symbol = tag + ("." + re.sub(r"\d+", "0", ".".join(names.split())) if names else "")
         self.main = tag in MAIN or role == "main"
-        self.hidden = tag in HIDDEN_TAGS or role in HIDDEN_ROLES or bool(found) and (
+        self.hidden = tag in NEVER_SHOWN or bool(found) and (
             found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""))
+        self.soft = not self.hidden and (tag in HIDDEN_TAGS or role in HIDDEN_ROLES)
         if names and not self.hidden and not self.main and tag not in ("html", "body"):
-            self.hidden = any(w.lower() in HIDDEN_WORDS for w in _WORD.findall(names))
+            self.soft = self.soft or any(w.lower() in HIDDEN_WORDS for w in _WORD.findall(names))
+        self.hidden = self.hidden or self.soft
 
 
 def parse(page: str | None) -> Element:
@@ -116,6 +123,9 @@ def parse(page: str | None) -> Element:
             if open_[-1].tag == "p" or open_[-1].tag in ENDED_BY.get(tag, ()):
                 open_.pop()
             new = Element(tag, m[2])
+            if new.main and not new.hidden:
+                for above in open_:
+                    above.hidden = above.hidden and not above.soft
             open_[-1].kids.append(new)
             if tag not in VOID:
                 open_.append(new)
@@ -123,24 +133,31 @@ def parse(page: str | None) -> Element:
     return root
 
 
-# A wrapper node is a dict: s symbol, n pages that have it, o optional, r repeated, m main, h hidden, k nodes inside;
-# for text (s is "#"): c characters, l of them in links, t the text while all pages agree, else None.
+# A wrapper node is a dict: s symbol, n pages that have it, o optional, r repeated, m main, h hidden on all of them, w by
+# a hint alone, k nodes inside;
+# for text (s is "#"): c characters, l of them in links, t the texts while all pages agree, else None.
 
 def expression(element: Element) -> dict:
     """One page as an expression: repeated neighbours are already one group."""
     kids = []
-    if not element.hidden:
+    if not element.hidden or element.soft:
         for kid in element.kids:
             kids.append({"s": "#", "n": 1, "c": len(kid[0]), "l": kid[1], "t": token(kid[0])} if isinstance(kid, tuple)
                         else expression(kid))
     out = {"s": element.symbol, "n": 1, "k": squares(kids)}
-    return out | ({"h": 1} if element.hidden else {}) | ({"m": 1} if element.main else {})
+    return out | ({"h": 1} if element.hidden else {}) | ({"w": 1} if element.soft else {}) | ({"m": 1} if element.main else {})
 
 
 def token(text: str) -> str:
     return text if len(text) <= TEXT_CHARS else "#" + xxhash.xxh3_128_hexdigest(text.encode("utf-8", "surrogatepass"))
 
 
+def several(a: str, b: str) -> str:
+    """The texts of a repeated group, one a line, or a digest of many: other pages may have the same list."""
+    text = f"{a}\n{b}"
+    return text if len(text) <= 10 * TEXT_CHARS else token(text)
+
+
 def squares(kids: list[dict]) -> list[dict]:
     """Fold neighbours that repeat, single ones and pairs, into repeated groups."""
     one: list[dict] = []
@@ -168,9 +185,10 @@ def squares(kids: list[dict]) -> list[dict]:
 def align(a: dict, b: dict, same_page: bool = False) -> dict:
     """One expression for both: what only one of them has is optional, texts that differ become slots."""
     out = {"s": a["s"], "n": max(a["n"], b["n"]) if same_page else a["n"] + b["n"]}
-    out |= {f: 1 for f in "orhmg" if a.get(f) or b.get(f)}
+    out |= {f: 1 for f in "ormgw" if a.get(f) or b.get(f)} | ({"h": 1} if a.get("h") and b.get("h") else {})
     if a["s"] == "#":
-        return out | {"c": a["c"] + b["c"], "l": a["l"] + b["l"], "t": a["t"] if a["t"] == b["t"] else None}
+        same = several(a["t"], b["t"]) if same_page else a["t"] if a["t"] == b["t"] else None
+        return out | {"c": a["c"] + b["c"], "l": a["l"] + b["l"], "t": same}
     kids, i, j = [], 0, 0
     for x, y in matches([k["s"] for k in a["k"]], [k["s"] for k in b["k"]]):
         kids += [k | {"o": 1} for k in a["k"][i:x]] + [k | {"o": 1} for k in b["k"][j:y]]
@@ -235,6 +253,54 @@ def shared(row: int, n: int) -> list[int]:
     return out
 
 
+def held(node: dict, inside: Callable[[dict], bool], memo: dict[int, int]) -> int:
+    """Variable characters outside links in ``node``, in elements that ``inside`` lets in."""
+    if node["s"] == "#":
+        return 0 if node["t"] is not None and node["n"] >= CONSTANT_PAGES else node["c"] - node["l"]
+    if id(node) not in memo:
+        memo[id(node)] = sum(held(k, inside, memo) for k in node["k"] if k["s"] == "#" or inside(k))
+    return memo[id(node)]
+
+
+def shown(wrapper: dict) -> list[str]:
+    """Paths of elements that hints would leave out, but that hold an article or most of the host's variable text."""
+    memo: dict[int, int] = {}
+    every = lambda k: not k.get("h") or bool(k.get("w"))
+    whole, by, plain = held(wrapper, every, memo), {}, set()
+
+    def walk(node: dict, path: str) -> None:
+        for kid in node["k"]:
+            if kid["s"] != "#":
+                own = path if kid.get("g") else f"{path}/{kid['s']}"
+                if kid.get("w"):
+                    by[own] = by.get(own, 0) + held(kid, every, memo)
+                    if not kid.get("h"):
+                        plain.add(own)
+                walk(kid, own)
+
+    walk(wrapper, "")
+    return sorted(plain | {p for p, m in by.items() if 2 * m > whole})
+
+
+def template(wrapper: dict, paths: list[str]) -> list[str]:
+    """Path and text of the blocks that are the same on all pages, if others vary inside the containers."""
+    found, varies = set(), False
+
+    def walk(node: dict, path: str, inside: bool) -> None:
+        nonlocal varies
+        for kid in node["k"]:
+            if kid["s"] != "#":
+                own = path if kid.get("g") else f"{path}/{kid['s']}"
+                walk(kid, own, inside or own in paths)
+            elif kid["t"] is None:
+                varies = varies or inside
+            elif kid["n"] == wrapper["n"] >= CONSTANT_PAGES:
+                found.update(f"{path}\n{t}" for t in kid["t"].split("\n"))
+
+    walk(wrapper, "", not paths)
+    return sorted(found) if varies else []
+
+
 def containers(wrapper: dict) -> list[str]:
     """Paths of the elements that hold the article, by what the whole host's pages have in common.
 
@@ -246,14 +312,22 @@ def containers(wrapper: dict) -> list[str]:
     pages: dict[str, int] = {}
     marked: list[str] = []
 
-    def mass(node: dict) -> int:
-        if node["s"] == "#":
-            return 0 if node["t"] is not None and node["n"] >= CONSTANT_PAGES else node["c"] - node["l"]
-        return 0 if node.get("h") else sum(mass(k) for k in node["k"])
+    visible = set(shown(wrapper))
+
+    def label(node: dict, path: str) -> dict:
+        """The wrapper without what is left out."""
+        kids = []
+        for kid in node["k"]:
+            own = path if kid["s"] == "#" or kid.get("g") else f"{path}/{kid['s']}"
+            if kid["s"] == "#":
+                kids.append(kid)
+            elif not kid.get("h") or own in visible:
+                kids.append(label(kid, own))
+        return node | {"k": kids}
 
     def walk(node: dict, path: str, pick: bool) -> None:
-        for kid in node.get("k", ()):
-            if kid["s"] == "#" or kid.get("h"):
+        for kid in node["k"]:
+            if kid["s"] == "#":
                 continue
             own = path if kid.get("g") else f"{path}/{kid['s']}"
             if pick and kid.get("m") and 2 * pages[own] >= wrapper["n"]:
@@ -263,6 +337,8 @@ def containers(wrapper: dict) -> list[str]:
                 pages[own] = pages.get(own, 0) + kid["n"]
             walk(kid, own, pick)
 
+    wrapper, memo = label(wrapper, ""), {}
+    mass = lambda k: held(k, lambda _: True, memo)
     walk(wrapper, "", False)
     walk(wrapper, "", True)
     if marked:
@@ -281,20 +357,24 @@ def containers(wrapper: dict) -> list[str]:
     return [path] if path else []
 
 
-def main_text(page: str | None, paths: list[str]) -> str:
-    """The text blocks inside the containers; those of the whole page if it has none of them."""
-    wanted = set(paths)
+def main_text(page: str | None, paths: list[str], visible: list[str] = (), constant: list[str] = ()) -> str:
+    """The text blocks inside the containers; those of the whole page if it has none of them.
+
+    ``visible`` are paths that hints don't leave out; ``constant`` blocks belong to the template.
+    """
+    wanted, visible, constant = set(paths), set(visible), set(constant)
 
     def collect(element: Element, path: str, inside: bool, out: list[str]) -> bool:
         met = False
         for kid in element.kids:
             if isinstance(kid, tuple):
-                if inside:
+                if inside and not (constant and f"{path}\n{token(kid[0])}" in constant):
                     out.append(kid[0])
-            elif not kid.hidden:
+            else:
                 own = f"{path}/{kid.symbol}"
-                here = own in wanted
-                met = collect(kid, own, inside or here, out) or here or met
+                if not kid.hidden or kid.soft and own in visible:
+                    here = own in wanted
+                    met = collect(kid, own, inside or here, out) or here or met
         return met
 
     root, out = parse(page), []
@@ -304,7 +384,7 @@ def main_text(page: str | None, paths: list[str]) -> str:
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, pages, wrapper as JSON, containers) from all pages of every host.
+    """(host, pages, wrapper as JSON, containers, visible, constant) from all pages of every host.
 
     A task aligns the pages that it reads into one expression for each host;
     these are aligned over tasks in two steps, one row at a time, so a host
@@ -348,7 +428,9 @@ def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> Da
 
     def finish(rows: dict[str, list]) -> dict[str, list]:
         every = [json.loads(w) for w in rows["wrapper"]]
-        return rows | {"pages": [w["n"] for w in every], "containers": [containers(w) for w in every]}
+        paths = [containers(w) for w in every]
+        return rows | {"pages": [w["n"] for w in every], "containers": paths, "visible": [shown(w) for w in every],
+                       "constant": [template(w, p) for w, p in zip(every, paths)]}
 
     kind = "host string, wrapper string"
     parts = map_stream(pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("html")), fold, kind)
@@ -356,7 +438,7 @@ def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> Da
     some = map_stream(parts.repartition("host", "slot").sortWithinPartitions("host").select("host", "wrapper"), join, kind)
     # Whether a task saw one slot or several, each host's rows stand together.
     whole = map_stream(some.repartition("host").sortWithinPartitions("host"), join, kind)
-    return map_rows(whole, finish, "host string, pages long, wrapper string, containers array<string>")
+    return map_rows(whole, finish, "host string, pages long, wrapper string, containers array<string>, visible array<string>, constant array<string>")
 
 
 def host_of(url):
@@ -372,11 +454,12 @@ def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> Dat
     gives an empty table; other columns are ignored.
     """
     rows = pages.select("page_id", F.col(url).alias("url"), F.col(page).alias("html")).withColumn("host", host_of(F.col("url")))
-    learned = stored(infer_wrappers(rows, "url", "html").select("host", "containers"), "containers")
+    learnt = ["containers", "visible", "constant"]
+    learned = stored(infer_wrappers(rows, "url", "html").select("host", *learnt), "containers")
 
     def run(batch: dict[str, list]) -> dict[str, list]:
-        texts = [main_text(t, c or []) for t, c in zip(batch["html"], batch["containers"])]
+        texts = [main_text(t, *(x or [] for x in own)) for t, *own in zip(batch["html"], *(batch[c] for c in learnt))]
         return {"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return map_rows(rows.join(learned, "host", "left").select("page_id", "url", "html", "containers"), run,
+    return map_rows(rows.join(learned, "host", "left").select("page_id", "url", "html", *learnt), run,
                     "page_id long, url string, text string, n_chars long")

@@ -114,6 +114,29 @@ def test_no_variable_text_beside_the_container():
     assert wrappers.main_text(pages[3], paths).startswith("Lead 3.\npart 0 of 3") and wrappers.main_text(pages[20], paths) == "Old layout."
 
 
+def taken(pages):
+    whole = merged_wrapper(pages)
+    paths = wrappers.containers(whole)
+    return [wrappers.main_text(p, paths, wrappers.shown(whole), wrappers.template(whole, paths)) for p in pages]
+
+
+@pytest.mark.parametrize("around", ["div class=content-with-sidebar", "div class=has-sidebar", "div id=share-page", "form", "header"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_hints_hide_no_article(around, tag):
+    close = around.split()[0]
+    pages = [f"<body><div class=menu>Menu {i}</div><{around}><{tag}><p>Text {i} of the page.<p>And more of {i}.</{tag}></{close}></body>" for i in range(12)]
+    assert taken(pages) == [f"Text {i} of the page.\nAnd more of {i}." for i in range(12)]
+    assert taken(pages[:1]) == ["Text 0 of the page.\nAnd more of 0."]
+
+
+def test_template_inside_the_container():
+    """Blocks that all pages share go, those that some share stay."""
+    own = lambda i: f"<h1>Title {i}</h1>" + ("<h2>Notes</h2>" if i % 2 else "") + f"<p>Text {i}.</p>"
+    pages = [f"<body><article><div class=box>Printed from our site</div><ul><li>One<li>Two</ul>{own(i)}<div class=end>Call us</div></article></body>" for i in range(20)]
+    assert taken(pages) == [f"Title {i}\n" + ("Notes\n" if i % 2 else "") + f"Text {i}." for i in range(20)]
+    assert taken(pages[:7])[0].startswith("Printed from our site\nOne\nTwo\nTitle 0")
+
+
 def test_extract(spark):
     rows = [(i, f"https://Host{i % 2}.example/{i}", body(i) if i % 2 else ARTICLE, "x", "y") for i in range(40)]
     rows += [(90, None, None, "", ""), (91, "", "", "", ""), (92, "no address", "<p>" + "long text " * 60_000, "", ""), rows[1]]
