@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -18,6 +19,8 @@ SEPARATORS = ("|", "»", "›", ">", "•", "·", "/", "-", "*")
 NOTICES = ("all rights reserved", "cookie policy", "accept cookies", "privacy policy", "terms of use", "terms of service",
            "enable javascript", "click here", "read more", "sign in", "log in", "lorem ipsum", "subscribe to")
 
+_NOTICE = re.compile(b"(?<![a-z0-9\x80-\xff])(?:" + b"|".join(x.encode() for x in NOTICES) + b")(?![a-z0-9\x80-\xff])")
+
 MIN_WORDS = 50
 MAX_REPEAT = 50      # percent of words in repeated windows
 MAX_LOSS = 50        # percent of words in failing lines
@@ -29,8 +32,15 @@ RESULT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
           "kept boolean, n_lines long, n_bad_lines long, n_bad_words long, bad_rules string")
 
 
-def line_rule(line: str, words: list[str]) -> str | None:
-    """The rule that a line with words fails, if any."""
+def is_notice(line: str, words: list[str], substrings: bool) -> bool:
+    if len(words) > NOTICE_WORDS:
+        return False
+    low = lower_ascii(line)
+    return any(x.encode() in low for x in NOTICES) if substrings else bool(_NOTICE.search(low))
+
+
+def line_rule(line: str, words: list[str], substrings: bool = False) -> str | None:
+    """The rule that a line with words, judged alone, fails, if any.  Notices are whole words unless ``substrings``."""
     n = len(words)
     if 5 * sum(w in SEPARATORS for w in words) >= n:
         return "navigation"
@@ -46,11 +56,32 @@ def line_rule(line: str, words: list[str]) -> str | None:
         return "dull"
     if not any(w.endswith(TERMINAL) for w in words):
         return "punctuation"
-    if n <= NOTICE_WORDS:
-        low = lower_ascii(line)
-        if any(x.encode() in low for x in NOTICES):
-            return "notice"
-    return None
+    return "notice" if is_notice(line, words, substrings) else None
+
+
+def join_wrapped(lines: list[tuple[str, list[str]]], rules: list[str | None]) -> None:
+    """Take back ``punctuation`` from lines of a sentence that has its mark in another line.
+
+    A line that doesn't end with a mark goes on in the next one, if that is
+    neither blank nor fails another rule.
+    """
+    unit: list[int] = []
+
+    def close() -> None:
+        if any(rules[i] is None for i in unit):
+            for i in unit:
+                if rules[i]:
+                    rules[i] = "notice" if is_notice(*lines[i], False) else None
+        unit.clear()
+
+    for i, (_, words) in enumerate(lines):
+        if not words or rules[i] not in (None, "punctuation"):
+            close()
+            continue
+        unit.append(i)
+        if words[-1].endswith(TERMINAL):
+            close()
+    close()
 
 
 def repeat_words(words: list) -> int:
@@ -70,8 +101,11 @@ def ascii_split(line: str) -> list[str]:
     return [w.decode() for w in line.encode().split()]
 
 
-def judge(text: str | None) -> tuple[tuple, str | None]:
-    """The counts and the verdict on one text, and the text without failing lines."""
+def judge(text: str | None, alone: bool = False) -> tuple[tuple, str | None]:
+    """The counts and the verdict on one text, and the text without failing lines.
+
+    ``alone``: each line is judged by itself and notices as substrings, as the SQL of ``op9_quality`` says.
+    """
     text = text or ""
     words = text.encode().split()
     n = len(words)
@@ -79,13 +113,15 @@ def judge(text: str | None) -> tuple[tuple, str | None]:
     n_symbols = sum(text.count(c) for c in SYMBOLS)
     repeats = repeat_words(words)
     seen, dups, lines, bad, bad_words, good, rules = set(), 0, 0, 0, 0, [], set()
-    for line in text.split("\n"):
-        own = ascii_split(line)
+    cut = [(line, ascii_split(line)) for line in text.split("\n")]
+    found = [line_rule(line, own, alone) if own else None for line, own in cut]
+    if not alone and "punctuation" in found:
+        join_wrapped(cut, found)
+    for (line, own), rule in zip(cut, found):
         if own:
             lines += 1
             dups += line in seen
             seen.add(line)
-            rule = line_rule(line, own)
             if rule:
                 bad += 1
                 bad_words += len(own)
@@ -98,11 +134,12 @@ def judge(text: str | None) -> tuple[tuple, str | None]:
         text if not bad else "\n".join(good))
 
 
-def judge_documents(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
+def judge_documents(docs: DataFrame, text: str = "text", with_text: bool = False, alone: bool = False) -> DataFrame:
     """``docs`` without its text, with the counts, the verdict and, if asked, the cleaned text.
 
     Lines are the parts between line feeds; a line without words is neither
-    judged nor removed.  A document goes if its failing lines hold more than
+    judged nor removed.  Lines of one wrapped sentence are judged together,
+    unless ``alone`` is asked for (see ``judge``).  A document goes if its failing lines hold more than
     ``MAX_LOSS`` percent of its words, if it has under ``MIN_WORDS`` words or
     more than ``MAX_REPEAT`` percent of repeated windows.
 
@@ -114,7 +151,7 @@ def judge_documents(docs: DataFrame, text: str = "text", with_text: bool = False
     names = [x.split()[0] for x in RESULT.split(", ")]
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        found = [judge(t) for t in rows["text"]]
+        found = [judge(t, alone) for t in rows["text"]]
         out = {"doc_id": rows["doc_id"]} | {n: [f[0][i] for f in found] for i, n in enumerate(names)}
         return out | ({"cleaned": [f[1] for f in found]} if with_text else {})
 

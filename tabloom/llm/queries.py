@@ -107,7 +107,7 @@ j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_words, base_failed,
        NOT base_failed AND 100 * n_bad_words <= {MAX_LOSS} * n_words AS kept FROM j""")
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return judge_documents(table(spark, folder, "documents")).select(
+    return judge_documents(table(spark, folder, "documents"), alone=True).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_words", "base_failed", "kept")
 
 

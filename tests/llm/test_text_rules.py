@@ -89,6 +89,20 @@ def test_quality_lines():
     assert not quality.judge(words + "\n" + " | ".join(f"x{i}" for i in range(90)))[0][6]
 
 
+def test_quality_wrapped_lines():
+    """Wrapped prose keeps each line; notices are whole words."""
+    import textwrap
+    sentence = "the survey of this region was carried out by several groups over more than twenty years with varying methods that follow"
+    prose = "\n".join(textwrap.wrap(" ".join(" ".join(f"{w}{k}" for w in sentence.split()) + "." for k in range(3)), 80))
+    got = quality.judge(f"{prose}\n\nlast words\nwithout an end")
+    assert got[0][6] and got[1] == prose + "\n" and got[0][9] == 5
+    for line in ("A new design in wood.", "They assign in turn.", "See the catalog in print.", "A dialog in verse."):
+        assert quality.line_rule(line, quality.ascii_split(line)) is None
+    for line in ("Sign in.", "Please (log in) here.", "READ MORE!"):
+        assert quality.judge(line)[1] == ""
+    assert quality.judge("All rights reserved\nof a text.")[0][10] == "notice"
+
+
 @given(st.lists(st.sampled_from("abcd"), max_size=40))
 @settings(max_examples=60, deadline=None)
 def test_repeat_words(words):
