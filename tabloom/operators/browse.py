@@ -100,6 +100,12 @@ def compare(op: str, col: Column, value, dtype: T.DataType) -> Column:
     return col >= F.lit(str(below + step)).cast(dtype)
 
 
+def among(col: Column, values: Sequence, dtype: T.DataType) -> Column:
+    """Whether a column has one of ``values``; those it cannot hold are none of its values."""
+    held = [v for v in values if _unfit(v, dtype) is None]
+    return col.isin(*[argument(v, dtype) for v in held]) if held else col.isNotNull() & F.lit(False)
+
+
 def like_pattern(text: str) -> str:
     """Only ``%`` and ``_`` are special, and a backslash only before one of them."""
     return re.sub(r"\\(?![%_])", r"\\\\", text)
@@ -121,10 +127,9 @@ def predicate(df: DataFrame, f: Filter) -> Column:
     if f.op in ("in", "notin"):
         if not f.values:
             return F.lit(f.op == "notin")
-        held = [v for v in f.values if _unfit(v, dtype) is None]
-        if not held:
+        if all(_unfit(v, dtype) is not None for v in f.values):
             return col.isNotNull() & F.lit(f.op == "notin")
-        found = col.isin(*[argument(v, dtype) for v in held])
+        found = among(col, f.values, dtype)
         return found if f.op == "in" else ~found
     if f.op == "null":
         return col.isNull()
@@ -287,11 +292,16 @@ def count(df: DataFrame, filters: Iterable[Filter] = (), search: str = "", where
     return narrow(df, filters, search, where).agg(F.count(F.lit(1)).alias("rows")).withColumn("exact", F.lit(True))
 
 
-def count_estimate(df: DataFrame, estimate: int | None = None, filters: Iterable[Filter] = (), search: str = "",
+def count_estimate(df: DataFrame, estimate: int | DataFrame | None = None, filters: Iterable[Filter] = (), search: str = "",
                    where: str = "", exact: bool = True) -> DataFrame:
-    """An exact count, or with ``exact=False`` the estimate of an unfiltered table that has one."""
+    """An exact count, or with ``exact=False`` the estimate of an unfiltered table that has one.
+
+    ``estimate`` is a number, or a row with ``rows`` such as ``describe.footer_rows`` makes of a table's footers.
+    """
     filters = list(filters)
     if not exact and estimate is not None and not filters and not search.strip() and not where.strip():
+        if isinstance(estimate, DataFrame):
+            return estimate.select("rows", F.lit(False).alias("exact"))
         return df.sparkSession.range(1).select(F.lit(estimate).cast("bigint").alias("rows"), F.lit(False).alias("exact"))
     return count(df, filters, search, where)
 

@@ -14,14 +14,23 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.functions.text import plain_float, quoted
 from tabloom.model import Filter
-from tabloom.operators.browse import COMPARE, argument, field_of, plain_text
+from tabloom.operators.browse import COMPARE, among, compare, field_of, plain_text
 
 _TEXT = T.StringType
 
 
 def _need_two(f: Filter) -> None:
     if len(f.values) != 2:
-        raise ValueError(f"{f.column}: between needs two values")
+        raise ValueError(f"{f.column}: a range takes a lower and an upper value")
+
+
+def _between(col: Column, f: Filter, dtype: T.DataType) -> Column:
+    return compare(">=", col, f.values[0], dtype) & compare("<=", col, f.values[1], dtype)
+
+
+def _holds(col: Column, value, dtype: T.DataType) -> Column:
+    """Whether an array has an element equal to ``value``."""
+    return F.exists(col, lambda x: compare("=", x, value, dtype))
 
 
 def _or_missing(test: Column) -> Column:
@@ -50,10 +59,10 @@ def document_filter(df: DataFrame, f: Filter) -> Column:
     if f.op in ("=", "!="):
         if f.value is None:
             return col.isNull() if f.op == "=" else col.isNotNull()
-        test = col == argument(f.value, dtype)
+        test = compare("=", col, f.value, dtype)
         return test if f.op == "=" else _or_missing(~test)
     if f.op in COMPARE:
-        return COMPARE[f.op](col, argument(f.value, dtype))
+        return compare(f.op, col, f.value, dtype)
     if f.op == "contains":
         return F.lower(text).contains(wanted.lower())
     if f.op == "startswith":
@@ -68,7 +77,7 @@ def document_filter(df: DataFrame, f: Filter) -> Column:
         return text.rlike("(?i)" + wanted)
     if f.op in ("in", "notin"):
         values = [v for v in f.values if v is not None]
-        found = F.coalesce(col.isin(*[argument(v, dtype) for v in values]), F.lit(False)) if values else F.lit(False)
+        found = F.coalesce(among(col, values, dtype), F.lit(False)) if values else F.lit(False)
         if len(values) < len(f.values):
             found = found | col.isNull()
         return found if f.op == "in" else ~found
@@ -80,7 +89,7 @@ def document_filter(df: DataFrame, f: Filter) -> Column:
         return (col.isNull() | (col == "")) if isinstance(dtype, _TEXT) else col.isNull()
     if f.op == "between":
         _need_two(f)
-        return col.between(argument(f.values[0], dtype), argument(f.values[1], dtype))
+        return _between(col, f, dtype)
     raise ValueError(f"unknown filter operator {f.op!r}")
 
 
@@ -131,15 +140,15 @@ def search_index_filter(df: DataFrame, f: Filter) -> Column:
     dtype, col = field.dataType, quoted(f.column)
     wanted = str(f.value)
     if f.op in ("=", "!="):
-        test = words_of(col).contains(f" {_needle_words(wanted)} ") if _is_text(field) else col == argument(f.value, dtype)
+        test = words_of(col).contains(f" {_needle_words(wanted)} ") if _is_text(field) else compare("=", col, f.value, dtype)
         return test if f.op == "=" else _or_missing(~test)
     if f.op in COMPARE:
-        return COMPARE[f.op](col, argument(f.value, dtype))
+        return compare(f.op, col, f.value, dtype)
     if f.op == "between":
         _need_two(f)
-        return col.between(argument(f.values[0], dtype), argument(f.values[1], dtype))
+        return _between(col, f, dtype)
     if f.op in ("in", "notin"):
-        found = col.isin(*[argument(v, dtype) for v in f.values]) if f.values else F.lit(False)
+        found = among(col, f.values, dtype) if f.values else F.lit(False)
         return found if f.op == "in" else _or_missing(~found)
     if f.op in ("contains", "startswith", "endswith", "like", "notlike"):
         if _is_text(field):
@@ -181,19 +190,20 @@ def item_filter(df: DataFrame, f: Filter) -> Column:
     col = quoted(f.column)
     element = dtype.elementType if isinstance(dtype, T.ArrayType) else dtype
     if f.op in COMPARE:
-        test = F.coalesce(COMPARE[f.op](col, argument(f.value, dtype)), F.lit(f.op == "!="))
+        # An item without the attribute differs from every value.
+        test = ~F.coalesce(compare("=", col, f.value, dtype), F.lit(False)) if f.op == "!=" else compare(f.op, col, f.value, dtype)
     elif f.op == "between":
         _need_two(f)
-        test = col.between(argument(f.values[0], dtype), argument(f.values[1], dtype))
+        test = _between(col, f, dtype)
     elif f.op in ("in", "notin"):
         if not 1 <= len(f.values) <= 100:
-            raise ValueError(f"{f.column}: give between 1 and 100 values to in")
-        test = F.coalesce(col.isin(*[argument(v, dtype) for v in f.values]), F.lit(False))
+            raise ValueError(f"{f.column}: a list of values has 1 to 100 of them")
+        test = F.coalesce(among(col, f.values, dtype), F.lit(False))
         test = test if f.op == "in" else ~test
     elif f.op == "startswith":
         test = col.startswith(str(f.value))
     elif f.op == "contains":
-        test = F.array_contains(col, argument(f.value, element)) if isinstance(dtype, T.ArrayType) \
+        test = _holds(col, f.value, element) if isinstance(dtype, T.ArrayType) \
             else plain_text(col, dtype).contains(str(f.value))
     elif f.op == "null":
         test = col.isNull()
@@ -226,19 +236,19 @@ def wide_column_filter(df: DataFrame, f: Filter) -> Column:
     dtype = field_of(df, f.column).dataType
     col = quoted(f.column)
     if f.op in ("=", "<", "<=", ">", ">="):
-        return COMPARE[f.op](col, argument(f.value, dtype))
+        return compare(f.op, col, f.value, dtype)
     if f.op == "between":
         _need_two(f)
-        return (col >= argument(f.values[0], dtype)) & (col <= argument(f.values[1], dtype))
+        return _between(col, f, dtype)
     if f.op == "in":
         if not f.values:
             raise ValueError(f"{f.column}: in needs a value")
-        return col.isin(*[argument(v, dtype) for v in f.values])
+        return among(col, f.values, dtype)
     if f.op == "contains":
         if isinstance(dtype, T.ArrayType):
-            return F.array_contains(col, argument(f.value, dtype.elementType))
+            return _holds(col, f.value, dtype.elementType)
         if isinstance(dtype, T.MapType):
-            return F.array_contains(F.map_values(col), argument(f.value, dtype.valueType))
+            return _holds(F.map_values(col), f.value, dtype.valueType)
         raise ValueError(f"{f.column}: only whole values and ranges can be looked up here")
     raise ValueError(f"{f.column}: filters are =, <, <=, >, >=, between, in and (for collections) contains")
 

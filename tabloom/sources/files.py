@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabloom.functions.text import quoted, tsv_unescape
 from tabloom.model import detect_format, header_names, numbered_names
+from tabloom.sources import records
 
 # The delimiters tried, in order of preference, and how much of
 # a file is looked at to find the delimiter and the header.
@@ -21,6 +22,7 @@ _NO_NULL = "\x00\x01no null\x01\x00"
 
 POSITION = "__position"
 _ODD = "__odd_record"
+_ORDER = "__order"
 
 
 def positioned(df: DataFrame) -> DataFrame:
@@ -80,18 +82,20 @@ def _named(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool = True,
-                   multiline: bool = False, position: bool = False) -> DataFrame:
+                   multiline: bool | None = None, position: bool = False) -> DataFrame:
     """CSV as text columns.
 
     Short rows are padded with NULL, long rows cut to the header's width,
-    empty fields stay empty text.  Large files split; ``multiline=True`` is for
-    files whose fields hold line breaks, and makes each file one task.
+    empty fields stay empty text.  Files split, and so do those whose fields
+    hold line breaks: what quotes each block leaves open is found first, and
+    blocks are cut into records knowing it.  ``multiline=False`` spares that
+    look where it is known that no field holds a line break.
     """
     head = first_bytes(spark, path).decode("utf-8", "replace").removeprefix("\ufeff")
     if delimiter == "\\t":
         delimiter = "\t"
     if delimiter is not None and len(delimiter) != 1:
-        raise ValueError("the delimiter must be a single character")
+        raise ValueError("a delimiter is one character")
     sep = delimiter or detect_delimiter(head)
     first = _split_first_record(head, sep)
     names = header_names(first, len(first)) if header else numbered_names(len(first))
@@ -99,14 +103,20 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None,
     # Rows of another width come with their raw text, which tells how many
     # fields they had; the reader gives NULL for empty and for missing ones.
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*raw, _ODD]])
-    df = (spark.read.schema(schema).option("columnNameOfCorruptRecord", _ODD)
-          .option("sep", sep).option("quote", '"').option("escape", '"').option("header", str(header).lower())
-          .option("multiLine", str(multiline).lower()).option("mode", "PERMISSIVE").option("enforceSchema", "true")
-          .option("nullValue", _NO_NULL).option("emptyValue", "").option("encoding", "UTF-8")
-          .option("maxCharsPerColumn", "-1")
-          .csv(path))
-    if position:
-        df = positioned(df)
+    options = {"columnNameOfCorruptRecord": _ODD, "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE",
+               "nullValue": _NO_NULL, "emptyValue": "", "maxCharsPerColumn": "-1"}
+    found = None if multiline is False or not raw else records.quoted_records(spark, path, sep)
+    if found is None:
+        df = spark.read.schema(schema).options(**options).option("header", str(header).lower()).option(
+            "enforceSchema", "true").option("encoding", "UTF-8").csv(path)
+        if position:
+            df = positioned(df)
+    else:
+        if header:
+            found = found.where(~F.col(records.FIRST))
+        here = F.struct(F.col(records.FILE).alias("file"), F.col(records.BLOCK).alias("block"), F.col(records.ROW).alias("row"))
+        parsed = F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "), {**options, "multiLine": "true"})
+        df = found.select(parsed.alias("r"), here.alias(POSITION)).select("r.*", POSITION)
     outside = F.regexp_replace(F.col(_ODD), '"(?:[^"]|"")*"', "")
     fields = F.length(outside) - F.length(F.replace(outside, F.lit(sep), F.lit(""))) + 1
     cols = []
@@ -140,15 +150,15 @@ def read_tsv(spark: SparkSession, path: str, header: bool = True, position: bool
 
 
 def _without_first_lines(lines: DataFrame, first: str) -> DataFrame:
-    """Lines of files without the first line of each file that starts with the header ``first``.
+    """Lines of files without each file's first line, if that is the header ``first``.
 
-    Only a file's first block is looked at for it, so at most one row for
-    each file takes part in the join.
+    The same line further down is a record.  The join has one row for each file.
     """
     head = F.regexp_replace("value", "^\ufeff|\r$", "") == first.removesuffix("\r")
     placed = lines.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__line"))
-    heads = placed.where(head & (F.col("_metadata.file_block_start") == 0)).groupBy("__file").agg(F.min("__line").alias("__line"))
-    return placed.join(heads, ["__file", "__line"], "left_anti").drop("__file", "__line")
+    tops = placed.where(F.col("_metadata.file_block_start") == 0).groupBy("__file").agg(F.min("__line").alias("__top"))
+    tops = tops.withColumnRenamed("__file", "__of")
+    return placed.join(tops, (F.col("__file") == F.col("__of")) & (F.col("__line") == F.col("__top")) & head, "left_anti").drop("__file", "__line")
 
 
 def _unescape(text: str) -> str:
@@ -156,25 +166,35 @@ def _unescape(text: str) -> str:
 
 
 def _first_seen_fields(lines: DataFrame, column: str, sample: int | None) -> list[str]:
-    """Field names by the record that first had them, then by their place in it."""
-    head = (lines.limit(sample) if sample else lines).withColumn("__n", F.monotonically_increasing_id())
-    # Record and place in one number, so that the minimum is a hash aggregate.
-    place = F.col("__n") * 1024 + F.least("pos", F.lit(1023))
-    fields = head.select("__n", F.posexplode(F.json_object_keys(quoted(column))).alias("pos", "field")).groupBy(
-        "field").agg(F.min(place).alias("first")).orderBy("first", "field")
+    """Field names by the record that first had them, then by their place in it.
+
+    Records stand in the order of ``_ORDER`` if the lines have it, else as they are read.
+    """
+    head = lines.limit(sample) if sample else lines
+    order = F.col(_ORDER) if _ORDER in lines.columns else F.struct(F.monotonically_increasing_id().alias("n"))
+    parts = [order[f.name].alias(f"__o{i}") for i, f in enumerate(head.select(order.alias("o")).schema["o"].dataType.fields)]
+    keys = [f"__o{i}" for i in range(len(parts))]
+    fields = head.select(*parts, F.posexplode(F.json_object_keys(quoted(column))).alias("pos", "field")).groupBy("field").agg(
+        F.min(F.struct(*keys, "pos")).alias("first")).orderBy("first", "field")
     return [r.field for r in fields.collect()]
 
 
 def _lay_out(lines: DataFrame, column: str, fields: Sequence[str], as_variant: bool) -> DataFrame:
-    kept = [F.col(POSITION)] if POSITION in lines.columns else []
-    parsed = lines.select(*kept, F.from_json(quoted(column), "map<string,variant>", {"mode": "FAILFAST"}).alias("__map"))
+    """A column for each field, by position: names may differ in case alone or hold any character."""
+    kept = [POSITION] if POSITION in lines.columns else []
+    schema = T.StructType([T.StructField(f, T.VariantType()) for f in fields])
+    raw = [f"__c{i}" for i in range(len(fields))]
+    if not fields:
+        return lines.select(*kept)
+    parsed = lines.select(F.from_json(quoted(column), schema, {"mode": "FAILFAST"}).alias("__r"), *kept)
+    flat = parsed.select("__r.*", *kept).toDF(*raw, *kept)
     cells = []
-    for f in fields:
-        value = F.try_element_at("__map", F.lit(f))
+    for c, f in zip(raw, fields):
+        value = F.col(c)
         if not as_variant:
             value = F.when(~F.is_variant_null(value), F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))
         cells.append(value.alias(f))
-    return parsed.select(*cells, *kept)
+    return flat.select(*cells, *kept)
 
 
 def read_ndjson(spark: SparkSession, path: str, sample: int | None = None, as_variant: bool = False,
@@ -196,40 +216,21 @@ def read_json_array(spark: SparkSession, path: str, sample: int | None = None, a
                     position: bool = False) -> DataFrame:
     """Files that each hold an array of objects: ``[ {…}, {…} ]``.
 
-    A file is one JSON text and cannot be split, so large data belongs in
-    many files.  Fields are those of all records, or with ``sample`` of the
-    first ones.
+    Files split at closing braces; how deep a block begins is found first.
+    Fields are those of all records, or with ``sample`` of the first ones.
     """
     head = first_bytes(spark, path, 4096).decode("utf-8", "replace").removeprefix("\ufeff").lstrip()
     if head and not head.startswith("["):
-        raise ValueError("expected an array of objects at the top of the JSON file")
-    fields = _array_fields(spark, path, sample)
-    raw = [f"c{i}" for i in range(len(fields))]
-    # With a schema there is no pass over the data to find one.
-    schema = T.StructType([T.StructField(f, T.VariantType()) for f in fields])
-    records = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
-    if position:
-        records = positioned(records)
-    records = records.toDF(*raw, *([POSITION] if position else []))
-    cells = []
-    for c, f in zip(raw, fields):
-        value = F.col(c)
-        if not as_variant:
-            value = F.when(~F.is_variant_null(value), F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(value)))
-        cells.append(value.alias(f))
-    return records.select(*cells, *([F.col(POSITION)] if position else []))
-
-
-def _array_fields(spark: SparkSession, path: str, sample: int | None) -> list[str]:
-    """Field names of the records in all files, in the order first seen."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    records = files.where(F.trim("value") != "").select(F.explode(F.from_json("value", "array<string>")).alias("value"))
+        raise ValueError("a JSON file needs an array of objects at its top")
+    found = records.array_records(spark, path)
     if sample:
-        records = records.limit(sample)
-    odd = records.where(F.json_object_keys("value").isNull()).limit(1).collect()
-    if odd:
+        found = found.orderBy(records.FILE, records.BLOCK, records.ROW).limit(sample)
+    if found.where(~F.col("value").startswith("{")).limit(1).collect():
         raise ValueError("a record of the JSON array is not a JSON object")
-    return _first_seen_fields(records, "value", None)
+    fields = _first_seen_fields(found.withColumn(_ORDER, F.struct(records.FILE, records.BLOCK, records.ROW)), "value", None)
+    lines = found if not sample else records.array_records(spark, path)
+    here = F.struct(F.col(records.FILE).alias("file"), F.col(records.BLOCK).alias("block"), F.col(records.ROW).alias("row"))
+    return _lay_out(lines.select("value", *([here.alias(POSITION)] if position else [])), "value", fields, as_variant)
 
 
 def read_lake(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
@@ -247,5 +248,5 @@ def read_file(spark: SparkSession, path: str, fmt: str | None = None, **options)
     fmt = fmt or detect_format(path)
     readers = {"csv": read_delimited, "tsv": read_tsv, "json": read_json_array, "ndjson": read_ndjson}
     if fmt not in readers:
-        raise ValueError(f"files of type {fmt!r} cannot be imported into a table")
+        raise ValueError(f"no reader makes a table of {fmt!r} files")
     return readers[fmt](spark, path, **options)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabloom.model import Filter, Sort, TableMeta
-from tabloom.operators import browse as b, sqlview
+from tabloom.operators import browse as b, describe, ranges, sqlview
 from tabloom.workloads.registry import query
 
 REQUEST = b.Browse(
@@ -109,10 +109,20 @@ def count_exact(t):
     return b.count(t.lineitem, [Filter("l_returnflag", "=", "R")], search="r")
 
 
-@query("count_estimate", "SELECT count(*) AS rows, true AS exact FROM lineitem")
+@query("count_estimate", """SELECT count(*) AS rows, false AS exact FROM lineitem UNION ALL SELECT count(*), true FROM lineitem WHERE l_quantity > 10.5""")
 def count_estimate(t):
-    # No statistics are kept for plain files, so the exact count is taken.
-    return b.count_estimate(t.lineitem)
+    known = b.count_estimate(t.lineitem, describe.footer_rows(t.spark, t.path("lineitem")), exact=False)
+    # A filter leaves no estimate.
+    return known.unionByName(b.count_estimate(t.lineitem, describe.footer_rows(t.spark, t.path("lineitem")), [Filter("l_quantity", ">", 10.5)], exact=False))
+
+
+@query("page_deep", """(SELECT 'line' AS place, * FROM lineitem ORDER BY l_orderkey, l_linenumber OFFSET (SELECT count(*) * 3 // 4 FROM lineitem) LIMIT 100)""")
+def page_deep(t):
+    """A page three quarters down, found by an index of key ranges."""
+    key = ["l_orderkey", "l_linenumber"]
+    index = ranges.range_index(t.lineitem, key, 32)
+    rows = t.lineitem.count()
+    return ranges.page_at(t.lineitem, key, rows * 3 // 4, 100, index).select(F.lit("line").alias("place"), "*")
 
 
 @query("sort_keys", "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier ORDER BY s_nationkey DESC, s_acctbal")

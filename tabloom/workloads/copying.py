@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tabloom.model import ColumnMeta, ForeignKey, TableMeta
+from tabloom.operators import ranges
 from tabloom.plans import imports as im, migration as mg, types as ty
 from tabloom.session import work_path
 from tabloom.sinks import files as out
@@ -111,3 +112,19 @@ def migrate_tables(t):
         links = tuple(ForeignKey((c,), parent, (pc,)) for c, parent, pc in ([fk[name]] if name in fk else []))
         tables[name] = (df, TableMeta.of(df, name, [df.columns[0]], foreign_keys=links))
     return mg.Migration(tables, work_path(t.spark, "migration")).run().drop("notes")
+
+
+@query("verify_rows", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'missing' ELSE 'changed' END AS change,
+  CASE WHEN o_orderkey % 4 = 0 THEN '' WHEN o_orderkey % 4 = 1 THEN 'o_totalprice' ELSE 'o_custkey,o_orderstatus' END AS columns
+  FROM orders WHERE o_orderkey % 997 = 5 UNION ALL SELECT -o_orderkey, 'extra', '' FROM orders WHERE o_orderkey % 997 = 5""")
+def verify_rows(t):
+    """A copy with rows left out, changed and added."""
+    hit, kind = F.col("o_orderkey") % 997 == 5, F.col("o_orderkey") % 4
+    copy = t.orders.where(~(hit & (kind == 0))).withColumns({
+        "o_totalprice": F.when(hit & (kind == 1), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")),
+        "o_custkey": F.when(hit & (kind > 1), F.col("o_custkey") + 1).otherwise(F.col("o_custkey")),
+        "o_orderstatus": F.when(hit & (kind > 1), "X").otherwise(F.col("o_orderstatus"))})
+    copy = copy.unionByName(t.orders.where(hit).withColumn("o_orderkey", -F.col("o_orderkey")))
+    path = work_path(t.spark, "copy")
+    copy.write.parquet(path)
+    return ranges.verify_rows(t.orders, t.spark.read.parquet(path), ["o_orderkey"]).withColumn("columns", F.array_join("columns", ","))

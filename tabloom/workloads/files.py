@@ -14,7 +14,7 @@ from tabloom.workloads.registry import query
 def csv_round_trip(t):
     path = work_path(t.spark, "csv")
     out.write_delimited(t.pages, path, ";", null_text="\\N", bom=True)
-    return src.read_delimited(t.spark, path, multiline=True).withColumn("page_id", F.col("page_id").cast("bigint"))
+    return src.read_delimited(t.spark, path).withColumn("page_id", F.col("page_id").cast("bigint"))
 
 
 @query("csv_single_line_round_trip", "SELECT * FROM orders")
@@ -29,7 +29,7 @@ def csv_single_line_round_trip(t):
 def csv_one_column_round_trip(t):
     path = work_path(t.spark, "csv")
     out.write_delimited(t.documents.select(F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 2 == 0, "")).otherwise(F.col("text")).alias("text")), path)
-    return src.read_delimited(t.spark, path, multiline=True)
+    return src.read_delimited(t.spark, path)
 
 
 @query("tsv_blank_round_trip", "SELECT CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS a, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE source END AS b FROM documents")
@@ -156,7 +156,25 @@ def lake_csv(t):
 def lake_files(t):
     path = work_path(t.spark, "lake")
     t.customer.repartition(3).write.parquet(path)
-    return describe.lake_facts(src.read_lake(t.spark, path)).select("rows", "files")
+    return describe.lake_facts(t.spark, path).select("rows", "files")
+
+
+@query("lake_files_orc", "SELECT count(*) AS rows, 2::BIGINT AS files FROM orders")
+def lake_files_orc(t):
+    path = work_path(t.spark, "lake")
+    t.orders.repartition(2).write.orc(path)
+    return describe.lake_facts(t.spark, path, "orc").select("rows", "files")
+
+
+@query("tsv_header_rows", """SELECT CAST(c_custkey AS VARCHAR) AS a, c_name AS b FROM customer UNION ALL SELECT 'a', 'b' FROM customer WHERE c_custkey % 10 = 3""")
+def tsv_header_rows(t):
+    """Files with and without the header, some with rows that look like it."""
+    path = work_path(t.spark, "tsv")
+    rows = t.customer.select(F.col("c_custkey").cast("string").alias("a"), F.col("c_name").alias("b"), F.col("c_custkey") % 10 == 3)
+    rows = rows.select("a", "b").unionByName(rows.where(rows[2]).select(F.lit("a").alias("a"), F.lit("b").alias("b")))
+    out.write_tsv(rows.repartition(3), f"{path}/with")
+    out.write_tsv(rows.limit(0).coalesce(1), f"{path}/empty")
+    return src.read_tsv(t.spark, f"{path}/with")
 
 
 @query("load_append", "SELECT * FROM nation UNION ALL SELECT * FROM nation")

@@ -24,14 +24,18 @@ _LABELLED = "(SELECT d.doc_id, lang, source, quality, toxic FROM documents d LEF
   count(*) FILTER (WHERE quality > 0) AS gt, count(*) FILTER (WHERE quality IN (1)) AS ins, count(*) FILTER (WHERE quality IS NULL OR quality NOT IN (1)) AS notins,
   count(*) FILTER (WHERE quality IS NULL) AS nulls, count(*) FILTER (WHERE quality IS NOT NULL) AS notnulls, count(*) FILTER (WHERE lang IS NULL OR lang = '') AS empties,
   count(*) FILTER (WHERE contains(lower(lang), 'e')) AS holds, count(*) FILTER (WHERE lang IS NULL OR NOT lower(lang) LIKE 'e_') AS notlikes,
-  count(*) FILTER (WHERE regexp_matches(lang, '^d', 'i')) AS matches, count(*) FILTER (WHERE quality BETWEEN 0 AND 1) AS betweens FROM {_LABELLED}""")
+  count(*) FILTER (WHERE regexp_matches(lang, '^d', 'i')) AS matches, count(*) FILTER (WHERE quality BETWEEN 0 AND 1) AS betweens,
+  count(*) FILTER (WHERE doc_id < 10.5) AS below, count(*) FILTER (WHERE doc_id = 10.5) AS never, count(*) FILTER (WHERE quality IS NULL OR quality <> 0.5) AS always,
+  count(*) FILTER (WHERE doc_id IN (9, 10.5, 11)) AS held, count(*) FILTER (WHERE doc_id BETWEEN 9.5 AND 40.5) AS within FROM {_LABELLED}""")
 def document_filters(t):
     return _counts(_labelled(t), v.document_filter, {
         "eq": Filter("quality", "=", 1), "ne": Filter("quality", "!=", 1), "gt": Filter("quality", ">", 0),
         "ins": Filter("quality", "in", values=[1]), "notins": Filter("quality", "notin", values=[1]),
         "nulls": Filter("quality", "null"), "notnulls": Filter("quality", "notnull"), "empties": Filter("lang", "empty"),
         "holds": Filter("lang", "contains", "E"), "notlikes": Filter("lang", "notlike", "E_"),
-        "matches": Filter("lang", "regexp", "^D"), "betweens": Filter("quality", "between", values=[0, 1])})
+        "matches": Filter("lang", "regexp", "^D"), "betweens": Filter("quality", "between", values=[0, 1]),
+        "below": Filter("doc_id", "<", 10.5), "never": Filter("doc_id", "=", "10.5"), "always": Filter("quality", "!=", "0.5"),
+        "held": Filter("doc_id", "in", values=["9", 10.5, 11]), "within": Filter("doc_id", "between", values=[9.5, "40.5"])})
 
 
 @query("document_rows", f"""SELECT * FROM {_LABELLED} WHERE (toxic IS NULL OR toxic <> 1)
@@ -47,15 +51,18 @@ _WORDS = "(' ' || trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', '
 @query("search_index_filters", f"""SELECT count(*) FILTER (WHERE lang = 'en') AS term, count(*) FILTER (WHERE NOT coalesce(lang = 'en', false)) AS not_term,
   count(*) FILTER (WHERE contains({_WORDS.format("text")}, ' that and ')) AS phrase, count(*) FILTER (WHERE contains({_WORDS.format("text")}, ' der d')) AS prefix,
   count(*) FILTER (WHERE starts_with(lower(source), 'w')) AS starts, count(*) FILTER (WHERE NOT coalesce(lower(source) LIKE 'w%', false)) AS notlikes,
-  count(*) FILTER (WHERE regexp_full_match(lang, 'e[ns]')) AS anchored, count(*) FILTER (WHERE quality IS NULL) AS missing, count(*) FILTER (WHERE n_chars >= 500) AS ranged
-  FROM (SELECT d.*, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
+  count(*) FILTER (WHERE regexp_full_match(lang, 'e[ns]')) AS anchored, count(*) FILTER (WHERE quality IS NULL) AS missing, count(*) FILTER (WHERE n_chars >= 500) AS ranged,
+  count(*) FILTER (WHERE n_chars > 500.5) AS above, count(*) FILTER (WHERE n_chars = 500.5) AS never, count(*) FILTER (WHERE n_chars BETWEEN 99.5 AND 500.5) AS within,
+  count(*) FILTER (WHERE NOT coalesce(quality IN (0.5, 1), false)) AS notins FROM (SELECT d.*, quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
 def search_index_filters(t):
     df = v.as_text_field(t.documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left"), "text")
     return _counts(df, v.search_index_filter, {
         "term": Filter("lang", "=", "en"), "not_term": Filter("lang", "!=", "en"), "phrase": Filter("text", "contains", "That, and"),
         "prefix": Filter("text", "startswith", "der D"), "starts": Filter("source", "startswith", "W"),
         "notlikes": Filter("source", "notlike", "W%"), "anchored": Filter("lang", "regexp", "e[ns]"),
-        "missing": Filter("quality", "null"), "ranged": Filter("n_chars", ">=", 500)})
+        "missing": Filter("quality", "null"), "ranged": Filter("n_chars", ">=", 500), "above": Filter("n_chars", ">", "500.5"),
+        "never": Filter("n_chars", "=", "500.5"), "within": Filter("n_chars", "between", values=[99.5, 500.5]),
+        "notins": Filter("quality", "notin", values=[0.5, 1])})
 
 
 @query("search_index_rows", f"""SELECT doc_id, lang FROM documents WHERE lang <> 'en'
@@ -83,15 +90,17 @@ _ITEMS = """(SELECT o_orderkey, o_orderstatus, o_totalprice, string_split(o_orde
   count(*) FILTER (WHERE coalesce(starts_with(note, '5-L'), false)) AS starts, count(*) FILTER (WHERE coalesce(starts_with(note, '5-l'), false)) AS starts_case,
   count(*) FILTER (WHERE list_contains(tags, 'LOW')) AS element, count(*) FILTER (WHERE coalesce(contains(note, 'MED'), false)) AS holds,
   count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) AS ins, count(*) FILTER (WHERE NOT coalesce(note IN ('5-LOW'), false)) AS notins,
-  count(*) FILTER (WHERE note IS NULL) AS nulls, count(*) FILTER (WHERE note IS NOT NULL) AS notnulls, count(*) FILTER (WHERE o_totalprice BETWEEN 100 AND 60000) AS betweens
-  FROM {_ITEMS}""")
+  count(*) FILTER (WHERE note IS NULL) AS nulls, count(*) FILTER (WHERE note IS NOT NULL) AS notnulls, count(*) FILTER (WHERE o_totalprice BETWEEN 100 AND 60000) AS betweens,
+  count(*) FILTER (WHERE o_orderkey < 10.5) AS below, count(*) FILTER (WHERE o_orderkey = 10.5) AS never, count(*) FILTER (WHERE o_orderkey IN (9, 10.5)) AS held,
+  count(*) FILTER (WHERE o_orderkey <> 10.5) AS always FROM {_ITEMS}""")
 def item_filters(t):
     return _counts(_items(t), v.item_filter, {
         "eq": Filter("o_orderstatus", "=", "F"), "ne": Filter("note", "!=", "5-LOW"), "starts": Filter("note", "startswith", "5-L"),
         "starts_case": Filter("note", "startswith", "5-l"), "element": Filter("tags", "contains", "LOW"),
         "holds": Filter("note", "contains", "MED"), "ins": Filter("o_orderstatus", "in", values=["F", "O"]),
         "notins": Filter("note", "notin", values=["5-LOW"]), "nulls": Filter("note", "null"), "notnulls": Filter("note", "notnull"),
-        "betweens": Filter("o_totalprice", "between", values=[100, 60000])})
+        "betweens": Filter("o_totalprice", "between", values=[100, 60000]), "below": Filter("o_orderkey", "<", 10.5),
+        "never": Filter("o_orderkey", "=", "10.5"), "held": Filter("o_orderkey", "in", values=[9, 10.5]), "always": Filter("o_orderkey", "!=", 10.5)})
 
 
 @query("item_search", f"""SELECT o_orderkey, note FROM {_ITEMS} WHERE contains(o_orderstatus, 'LOW') OR list_contains(tags, 'LOW')
@@ -103,14 +112,18 @@ def item_search(t):
 @query("wide_column_filters", """SELECT count(*) FILTER (WHERE l_orderkey = 7) AS eq, count(*) FILTER (WHERE l_quantity < 10) AS lt,
   count(*) FILTER (WHERE l_quantity >= 5 AND l_quantity <= 9) AS betweens, count(*) FILTER (WHERE l_returnflag IN ('A', 'N')) AS ins,
   count(*) FILTER (WHERE list_contains([l_returnflag, l_linestatus], 'O')) AS element,
-  count(*) FILTER (WHERE list_contains([l_returnflag, l_linestatus], 'R')) AS map_value FROM lineitem""")
+  count(*) FILTER (WHERE list_contains([l_returnflag, l_linestatus], 'R')) AS map_value, count(*) FILTER (WHERE l_orderkey <= 10.5) AS below,
+  count(*) FILTER (WHERE l_orderkey = 10.5) AS never, count(*) FILTER (WHERE l_linenumber IN (1, 2.5)) AS held,
+  count(*) FILTER (WHERE l_orderkey BETWEEN 9.5 AND 40.5) AS within FROM lineitem""")
 def wide_column_filters(t):
     df = t.lineitem.withColumn("flags", F.array("l_returnflag", "l_linestatus")).withColumn(
         "attrs", F.create_map(F.lit("flag"), "l_returnflag", F.lit("status"), "l_linestatus"))
     return _counts(df, v.wide_column_filter, {
         "eq": Filter("l_orderkey", "=", 7), "lt": Filter("l_quantity", "<", 10),
         "betweens": Filter("l_quantity", "between", values=[5, 9]), "ins": Filter("l_returnflag", "in", values=["A", "N"]),
-        "element": Filter("flags", "contains", "O"), "map_value": Filter("attrs", "contains", "R")})
+        "element": Filter("flags", "contains", "O"), "map_value": Filter("attrs", "contains", "R"),
+        "below": Filter("l_orderkey", "<=", 10.5), "never": Filter("l_orderkey", "=", "10.5"), "held": Filter("l_linenumber", "in", values=[1, 2.5]),
+        "within": Filter("l_orderkey", "between", values=["9.5", 40.5])})
 
 
 def _kv(t):

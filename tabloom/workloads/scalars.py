@@ -4,7 +4,7 @@ from pyspark.sql import functions as F, types as T
 
 from tabloom.functions import canon as c, convert as cv, literals as lit, prepare as pr, text as tx
 from tabloom.model import Canon, Sort
-from tabloom.operators import verify as v
+from tabloom.operators import ranges, verify as v
 from tabloom.workloads.registry import query
 
 S = T.StringType()
@@ -257,6 +257,17 @@ def fingerprint_result(t):
     return v.fingerprint(t.orders, [Sort("o_orderkey")])
 
 
+@query("fingerprint_sequence", """WITH d AS (SELECT md5(concat_ws(chr(31), chr(1) || o_orderkey, chr(1) || o_custkey, chr(1) || o_orderstatus, chr(1) || o_orderpriority)) AS d,
+    o_totalprice, o_orderkey, o_custkey FROM orders),
+  p AS (SELECT md5((row_number() OVER (ORDER BY o_totalprice DESC, o_custkey, d) - 1) || ':' || d) AS h FROM d),
+  s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS a, sum(CAST('0x' || substr(h, 17, 15) AS BIGINT)) AS b FROM p)
+  SELECT n AS rows, sha256(concat_ws(chr(31), 'o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority') || chr(31) || chr(30)
+    || chr(30) || n || chr(30) || a || chr(30) || b) AS hash FROM s""")
+def fingerprint_sequence(t):
+    return ranges.sequence_fingerprint(t.orders, [Sort("o_totalprice", True), Sort("o_custkey")],
+                                       ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
 @query("normalized_cells", f"""SELECT l_orderkey, l_linenumber, {_FLT.format("l_tax")} AS tax, {_DAY.format("l_shipdate")} AS shipped, l_returnflag AS flag FROM lineitem""")
 def normalized_cells(t):
     li = t.lineitem

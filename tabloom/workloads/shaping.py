@@ -165,12 +165,23 @@ def describe_table(t):
     return d.describe(t.orders, TableMeta.of(t.orders, "orders", ["o_orderkey"]))
 
 
-@query("lake_facts", "SELECT 1::BIGINT AS files, count(*) AS rows FROM lineitem")
+@query("lake_facts", "SELECT 1::BIGINT AS files, count(*) AS rows, true AS has_bytes, true AS has_change FROM lineitem")
 def lake_facts(t):
-    return d.lake_facts(t.lineitem).select("files", "rows")
+    return d.lake_facts(t.spark, t.path("lineitem")).select(
+        "files", "rows", (F.col("bytes") > F.col("rows")).alias("has_bytes"), (F.col("last_change") < F.now()).alias("has_change"))
 
 
-@query("list_objects", """SELECT name, rows FROM (SELECT 'lineitem' AS name, count(*) AS rows FROM lineitem UNION ALL
+@query("list_objects", """SELECT name, rows, 1::BIGINT AS files, true AS has_size FROM (SELECT 'lineitem' AS name, count(*) AS rows FROM lineitem UNION ALL
   SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'nation', count(*) FROM nation)""")
 def list_objects(t):
-    return d.list_objects(t.spark, {n: getattr(t, n) for n in ("lineitem", "orders", "documents", "nation")}).select("name", "rows")
+    found = d.list_objects(t.spark, {n: t.path(n) for n in ("lineitem", "orders", "documents", "nation")})
+    return found.select("name", "rows", "files", (F.col("size").isNotNull() & (F.col("bytes") > 0)).alias("has_size"))
+
+
+@query("column_bounds", """SELECT * FROM (VALUES (1, 'l_orderkey', 'bigint', (SELECT CAST(min(l_orderkey) AS VARCHAR) FROM lineitem), (SELECT CAST(max(l_orderkey) AS VARCHAR) FROM lineitem)),
+  (2, 'l_partkey', 'bigint', (SELECT CAST(min(l_partkey) AS VARCHAR) FROM lineitem), (SELECT CAST(max(l_partkey) AS VARCHAR) FROM lineitem)),
+  (3, 'l_suppkey', 'bigint', (SELECT CAST(min(l_suppkey) AS VARCHAR) FROM lineitem), (SELECT CAST(max(l_suppkey) AS VARCHAR) FROM lineitem)),
+  (4, 'l_linenumber', 'int', (SELECT CAST(min(l_linenumber) AS VARCHAR) FROM lineitem), (SELECT CAST(max(l_linenumber) AS VARCHAR) FROM lineitem)))
+  v(position, "column", type, low, high)""")
+def column_bounds(t):
+    return d.column_bounds(t.spark, t.path("lineitem")).where("type in ('bigint', 'int')")
