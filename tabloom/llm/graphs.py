@@ -24,17 +24,6 @@ def components(edges: DataFrame) -> DataFrame:
         links.select("v", "v").distinct())
 
 
-def merge(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """``labels`` (node, component) with further edges (a, b): only components that these join are worked on."""
-    name = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-    between = edges.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
-        F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
-    moved = stored(components(between), "merged")
-    known = labels.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
-        "node", F.coalesce("to", "component").alias("component"))
-    return known.union(moved.join(labels.select("node"), "node", "left_anti"))
-
-
 def _stars(links: DataFrame) -> bool:
     """Whether each upper node has one link, and none to a node that has one itself."""
     ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(links.select("v", F.lit(0)))

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import lower_ascii, map_rows, prepare, same_columns, stored
-from tabloom.llm.graphs import components, merge
+from tabloom.llm.common import lower_ascii, map_rows, prepare, same_columns, stored, to_arrow
+from tabloom.llm.graphs import components
 
 SHINGLE = 5
 PERCENT = 75         # links need 100 * intersection >= PERCENT * union
 # 48 bands of 4 values: a pair at the threshold shares no bucket with a probability of 1e-8.
 BANDS, VALUES = 48, 4
-# Pivots of an unsettled bucket grow by this factor from round to round.
-SPREAD = 64
-# Parts of all shingles, by their hash, in which two sets' counts bound what they share.
-PARTS = 64
+# Shingles of a group that are compared in one place.
+CELL = 1 << 20
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -106,142 +105,135 @@ def sketches(docs: DataFrame, bands: int = BANDS, values: int = VALUES) -> DataF
     return map_rows(docs.select("doc_id", "text"), run, "doc_id long, d1 long, d2 long, n long, buckets array<long>")
 
 
-def part_counts(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((hashes & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
-
-
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(node, hashes, parts): the whole shingle set of every text, and how many of it lie in each part."""
+    """(node, hashes): the whole shingle set of every text."""
     def run(rows: dict[str, list]) -> dict[str, list]:
-        sets = [shingles(text_words(t)) for t in rows["text"]]
-        return {"node": rows["doc_id"], "hashes": [s.view(np.int64) for s in sets], "parts": [part_counts(s) for s in sets]}
+        return {"node": rows["doc_id"], "hashes": [shingles(text_words(t)).view(np.int64) for t in rows["text"]]}
 
-    return map_rows(docs.select("doc_id", "text"), run, "node long, hashes array<long>, parts array<smallint>")
+    return map_rows(docs.select("doc_id", "text"), run, "node long, hashes array<long>")
 
 
-def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int = PERCENT) -> DataFrame:
+def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
     """(node, component) of all nodes that share a bucket with a similar one.
 
     ``members``: (bucket, node, n), n being the set's size; ``sets`` gives
-    (node, hashes, parts) for a frame of nodes.
-
-    A bucket is a star: its members are compared with one pivot alone, the
-    member that meets most others over all its buckets, so a bucket of m
-    gives m - 1 pairs.  Nodes of buckets that then still hold different
-    components are compared once more, now by rare shingles (``complete``),
-    which finds every link among them.
+    (node, hashes) for a frame of nodes; ``known`` (a, b) are links there are in any case.
+
+    A bucket is a star around its smallest node: a bucket of m gives m - 1
+    edges.  Buckets with one centre are one group, so a node goes once to each
+    of its centres and not to each of its buckets.  All members of a group are
+    compared where it is read, on whole sets; of what is similar a group
+    returns a forest, so rows stay in proportion to edges.  A group with more
+    than ``CELL`` shingles is cut into blocks, and every two blocks are a cell
+    of their own, so no task holds more than that and no pair is left out.
     """
-    shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")
-                                           ).where("lo < hi")
-    # As far as a bucket tells, a set may share all that it has.
-    active = stored(members.join(shared.select("bucket", "size"), "bucket").withColumn("met", F.col("n")), "buckets")
-    whole = stored(sets(active.select("node").distinct()), "sets")
-    degree = active.groupBy("node").agg(F.sum("size").alias("degree"))
-    pivots = active.join(degree, "node").groupBy("bucket").agg(F.max_by("node", "degree").alias("pivot"))
-    alone = active.withColumn("comp", F.col("node"))
-    edges = stored(confirmed(stars(alone, pivots, percent), whole, percent), "edges")
-    labels = stored(components(edges), "labels")
-    nodes = unsettled(labelled(active, labels)).select("node").distinct()
-    return complete(whole.join(nodes, "node", "left_semi"), labels, percent)
-
-
-def labelled(active: DataFrame, labels: DataFrame) -> DataFrame:
-    return active.join(labels, "node", "left").select("bucket", "node", "n", "met", F.coalesce("component", "node").alias("comp"))
-
-
-def unsettled(at: DataFrame) -> DataFrame:
-    """The rows of buckets with several components."""
-    several = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    return at.join(several.select("bucket"), "bucket")
-
-
-def stars(at: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a pivot and the members of its bucket that are in another component and can be similar enough.
-
-    A pair needs (100 + percent) * shared >= percent * (sum of both sizes).
-    ``met`` bounds what a set shares with others; where ``parts`` is there,
-    two sets share no more than the smaller count of each part, added up.
-    Pairs beyond these bounds are never made.
-    """
-    counted = ["parts"] if "parts" in at.columns else []
-    # The pivot's own size and component stand in the bucket too.
-    own = pivots.join(at.select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("met").alias("pm"), F.col("comp").alias("pc"),
-                                   *[F.col(c).alias("pparts") for c in counted]), ["bucket", "pivot"])
-    fits = (F.col("p.pc") != F.col("m.comp")) & ((100 + percent) * F.least("pm", "met") >= percent * (F.col("pn") + F.col("n")))
-    if counted:
-        smaller = F.aggregate(F.zip_with("m.parts", "p.pparts", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x.cast("int"))
-        fits = fits & ((100 + percent) * smaller >= percent * (F.col("pn") + F.col("n")))
-    return at.alias("m").join(own.alias("p"), (F.col("m.bucket") == F.col("p.bucket")) & fits).select(
-        F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-
-
-def rare_shingles(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(bucket, node, n, met, comp): each set's rarest shingles, so many that two sets similar enough share one.
-
-    ``shared`` has the shingles that several sets have (bucket, node, n,
-    seen).  Of a set of n, n - ceil(n * percent / 100) + 1 shingles are taken
-    in one order for all sets: first those that no other component has, which
-    link nothing and are only counted, then rare ones.  ``met`` counts the
-    shingles that other components have, which bounds what a set can share
-    with them.
-    """
-    at = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    several = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    own = Window.partitionBy("node")
-    placed = at.join(several.select("bucket"), "bucket").withColumn("met", F.count("*").over(own)).withColumn(
-        "place", F.row_number().over(own.orderBy("seen", "bucket")) + F.col("n") - F.col("met"))
-    return placed.where((100 * F.col("met") >= percent * F.col("n"))
-                        & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select(
-        "bucket", "node", "n", "met", "comp")
-
-
-def complete(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Components with every link among ``sets``, given those known so far.
-
-    Nodes meet at their rare shingles.  In rounds, members of a bucket are
-    compared with some pivots, if they are in other components; pivots that
-    had their turn leave.  As components grow, fewer shingles lie between
-    them, and a set's rare shingles become a part of those it had before; so
-    the rounds end when no pair of a bucket is left that is neither compared
-    nor in one component.
+    shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
+    stars = stored(members.join(shared.select("bucket", "centre"), "bucket").select("centre", "node", "n").distinct(), "stars")
+    load = stars.groupBy("centre").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks")).where("blocks > 1")
+    own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")
+    other = F.explode(F.expr("sequence(0, blocks - 1)"))
+    cells = stars.join(load, "centre", "left").fillna(1, ["blocks"]).select("centre", "node", own.alias("own"), other.alias("other")).select(
+        "centre", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    whole = sets(stars.select("node").distinct()).select("node", "hashes")
+    dealt = cells.join(whole, "node").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "node")
+    found = forests(dealt, percent)
+    return components(stored(found if known is None else found.unionByName(known), "edges"))
+
+
+def forests(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b): edges that join what is similar within each cell of ``dealt``, whose rows stand cell by cell."""
+    schema = "a long, b long"
+    kind = to_arrow(dealt.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, held = None, [], []
+        a, b = [], []
+
+        def close() -> None:
+            for x, y in similar(held, percent):
+                a.append(min(nodes[x], nodes[y]))
+                b.append(max(nodes[x], nodes[y]))
+
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(3)]))
+            ids, cells = batch.column(3).to_pylist(), batch.column(4)
+            values, ends = cells.values.to_numpy(), cells.offsets.to_numpy()
+            for i, now in enumerate(keys):
+                if now != key:
+                    close()
+                    key, nodes, held = now, [], []
+                nodes.append(ids[i])
+                # A copy: views would keep whole batches.
+                held.append(values[ends[i]:ends[i + 1]].copy())
+            if a:
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=kind)
+                a, b = [], []
+        close()
+        yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=kind)
+
+    return dealt.select("centre", "i", "j", "node", "hashes").mapInArrow(run, schema)
+
+
+def similar(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A forest that joins the similar ones of some sets (each with distinct values): pairs of their places.
+
+    A set is compared with all others at once, over lists of who has each of
+    its values.  Those that are already joined need not be compared with each
+    other, so sets of the largest component are left out while there is one.
     """
-    every = sets.select("node", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("bucket"))
-    seen = every.groupBy("bucket").agg(F.count("*").alias("seen")).where("seen > 1")
-    shared, done, pivots_a_bucket = stored(every.join(seen, "bucket"), "shared"), None, 1
+    m = len(sets)
+    if m < 2:
+        return []
+    sizes = np.array([len(x) for x in sets])
+    if m == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True)) if 100 * sizes.min() >= percent * sizes.max() else 0
+        return [(0, 1)] if (100 + percent) * both >= percent * sizes.sum() and both else []
+    values, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    order = np.argsort(values, kind="stable")
+    owner, values = owner[order], values[order]
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    counts = np.diff(np.append(starts, len(values)))
+    # Values of several sets: ``holders`` by value, and the values of each set.
+    often = counts > 1
+    holders = owner[np.repeat(often, counts)]
+    counts = counts[often]
+    begins = np.cumsum(counts) - counts
+    by_set = np.argsort(holders, kind="stable")
+    value_of = np.repeat(np.arange(len(counts)), counts)[by_set]
+    met = np.bincount(holders, minlength=m)
+    edge = np.append(0, np.cumsum(met))
+    # What a set shares with all others bounds what it shares with one.
+    able = 100 * met >= percent * sizes
+    comp, done, out = np.arange(m), ~able, []
+
+    def scan(x: int) -> None:
+        own = value_of[edge[x]:edge[x + 1]]
+        n = counts[own]
+        at = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(holders[at], minlength=m)
+        for y in np.flatnonzero(able & ((100 + percent) * both >= percent * (sizes + sizes[x]))).tolist():
+            if comp[y] != comp[x]:
+                low, high = sorted((comp[x], comp[y]))
+                comp[comp == high] = low
+                out.append((x, y))
+        done[x] = True
+
+    if able.any():
+        scan(int(np.where(able, met, -1).argmax()))
     while True:
-        at = rare_shingles(shared, labels, percent)
-        if done is not None:
-            at = at.join(done, ["bucket", "node"], "left_anti")
-        at = stored(unsettled(at).join(sets.select("node", "parts"), "node"), "open")
-        if at.count() == 0:
-            return labels
-        slot = F.pmod(F.xxhash64("node", "bucket"), F.lit(pivots_a_bucket))
-        pivots = stored(at.groupBy("bucket", slot.alias("slot")).agg(F.min("node").alias("pivot")).drop("slot"), "pivots")
-        found = stored(confirmed(stars(at, pivots, percent), sets, percent), "edges")
-        labels = stored(merge(labels, found), "labels")
-        turn = pivots.select("bucket", F.col("pivot").alias("node"))
-        done = turn if done is None else done.union(turn)
-        # Sets without a rare shingle between components have none later on.
-        shared = stored(shared.join(at.select("node").distinct(), "node", "left_semi"), "shared")
-        pivots_a_bucket *= SPREAD
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("i"), F.size("x").alias("p"), F.size("y").alias("q")
-                                                         ).where(100 * F.col("i") >= percent * (F.col("p") + F.col("q") - F.col("i"))
-                                                                 ).select("a", "b")
+        left = np.flatnonzero(~done)
+        todo = left[comp[left] != np.bincount(comp[left], minlength=1).argmax()] if len(left) else left
+        if not len(todo):
+            return out
+        scan(int(todo[0]))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: n_shingles, the smallest doc_id it is linked with, and whether it stays.
 
     Equal texts are one class before any bucket is made, so a group of copies
-    is one node however large it is.  doc_id names a document: repeated rows
-    with one id are linked with each other and answered alike.
+    is one node however large it is.  doc_id names a document: rows with one
+    id are linked with each other and answered alike, also with other texts.
 
     Null and empty texts have an empty set, are linked with nothing and stay;
     rows without an id do so too, with a null component; an empty table gives
@@ -256,10 +248,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = real.join(classes.select("d1", "d2", F.col("node").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
     members = first.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("node"), "n")
 
+    if every.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
+        docs = docs.dropDuplicates()
+
     def sets(nodes: DataFrame) -> DataFrame:
         return shingle_sets(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
 
-    linked = link(members, sets)
+    linked = link(members, sets, one_id(real, classes))
     copies = classes.where("copies > 1").select("d1", "d2", F.col("node").alias("class"))
     named = every.join(copies, ["d1", "d2"], "left").withColumn(
         "node", F.when(F.col("n") > 0, F.coalesce("class", "doc_id")))
@@ -269,6 +264,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 
+def one_id(real: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): an id and the nodes of its texts, for ids with several texts."""
+    several = real.groupBy("doc_id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("doc_id")
+    return real.join(several, "doc_id").join(classes.select("d1", "d2", "node"), ["d1", "d2"]).select(
+        F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of linked documents the smallest id stays, columns unchanged."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import ddl, free_name, lower_ascii, map_rows, prepare, same_columns, stored
 from tabloom.llm.graphs import components
-from tabloom.llm.near import BANDS, SHINGLE, VALUES, _probes, bands_of, link, part_counts
+from tabloom.llm.near import BANDS, SHINGLE, VALUES, _probes, bands_of, link
 
 MIN_WORDS = 50           # a passage that counts as repeated
 # Windows start at the smallest of SPREAD neighbouring shingle hashes.  Two texts that share
@@ -71,7 +71,7 @@ def paragraphs(words: Words, probes: np.ndarray | None) -> list[dict]:
         if end - at >= MIN_WORDS:
             own = np.unique(words.hashes[at:end - SHINGLE + 1])
             out.append({"key": words.digest(at, end), "start": int(words.starts[at]), "end": int(words.ends[end - 1]), "n": len(own)}
-                       | ({"buckets": bands_of(own, BANDS, VALUES, probes)} if probes is not None else {"hashes": own.view(np.int64), "parts": part_counts(own)}))
+                       | ({"buckets": bands_of(own, BANDS, VALUES, probes)} if probes is not None else {"hashes": own.view(np.int64)}))
         at = end
     return out
 
@@ -127,9 +127,9 @@ def runs(docs: DataFrame, seeds: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def paragraph_sets(docs: DataFrame) -> DataFrame:
-    """(node, hashes, parts) of every paragraph of ``docs``."""
+    """(node, hashes) of every paragraph of ``docs``."""
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out = {"node": [], "hashes": [], "parts": []}
+        out = {"node": [], "hashes": []}
         for text in rows["text"]:
             words = Words(text)
             if words.n >= MIN_WORDS:
@@ -137,10 +137,9 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
                 for p in paragraphs(words, None):
                     out["node"].append(p["key"])
                     out["hashes"].append(p["hashes"])
-                    out["parts"].append(p["parts"])
         return out
 
-    return map_rows(docs.select("text"), run, "node long, hashes array<long>, parts array<smallint>")
+    return map_rows(docs.select("text"), run, "node long, hashes array<long>")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
