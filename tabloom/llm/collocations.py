@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import lower_ascii, map_rows, prepare, stored, to_arrow
+from tabloom.llm.common import key_filter, lower_ascii, map_rows, passes, prepare, stored, to_arrow
 
 LONGEST = 5              # words of a phrase
 MIN_COUNT = 100
@@ -20,9 +20,7 @@ TOP = 2000
 FIRST_SHARE = 0.25
 # Words of one row of keys, and windows that a task counts together.
 CHUNK_WORDS = 8192
-COUNT_WINDOWS = 1 << 21
-# A filter of keys has 16 bits for each, and no more than this in all.
-FILTER_BITS = 27
+COUNT_WINDOWS = 1 << 20
 SALTS = 32
 
 _BREAKS = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if b == 9 else b for b in range(256))
@@ -79,23 +77,6 @@ def chunks(keys: np.ndarray) -> list[np.ndarray]:
     return [keys[a:b] for a, b in zip(starts, ends) if b > a]
 
 
-def key_filter(keys: DataFrame, name: str = "key") -> np.ndarray:
-    """A bounded set of bits that tells which keys can be wanted; those that pass by chance are sorted out by exact joins."""
-    n = keys.count()
-    bits = 1 << min(FILTER_BITS, max(16, (16 * n).bit_length()))
-    cell = F.shiftright(F.col(name).bitwiseAND(F.lit(bits - 1)), 6).cast("int").alias("cell")
-    rows = keys.select(cell, F.expr(f"shiftleft(1L, cast(`{name}` & 63 as int))").alias("bit")).groupBy("cell").agg(
-        F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows.column("cell").to_numpy()] = rows.column("bits").to_numpy()
-    return out
-
-
-def passes(cells: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.int64(64 * len(cells) - 1)
-    return (cells[at >> 6] >> (at & 63)) & 1 == 1
-
-
 def scan(rows: DataFrame, work: Callable[[np.ndarray], Iterator[list[np.ndarray]]], schema: str) -> DataFrame:
     """Apply ``work`` to the keys of each batch of ``rows``, put in a row with breaks between."""
     kind = to_arrow(rows.sparkSession, schema)
@@ -309,9 +290,14 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, n: int = TOP, long
     """
     prepare(docs.sparkSession)
     rows = stored(tokens(docs), "tokens")
-    vocab = stored(rows.select("lang", F.inline("vocab")).groupBy("lang", "key").agg(F.sum("n").alias("f"), F.min("word").alias("word")), "vocab")
-    totals = vocab.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = stored(vocab.where(F.col("f") >= min_count).join(totals, "lang").withColumn("bound", F.expr("1000 * n div f")), "words")
+    vocab = rows.select("lang", F.inline("vocab"))
+    counts = stored(vocab.groupBy("lang", "key").agg(F.sum("n").alias("f")), "vocab")
+    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+    often = counts.where(F.col("f") >= min_count)
+    # Texts of words are only looked up for those that count.
+    spelt = vocab.join(often.select("lang", "key"), ["lang", "key"], "left_semi").select("lang", "key", "word").distinct().groupBy("lang", "key").agg(
+        F.min("word").alias("word"))
+    words = stored(often.join(spelt, ["lang", "key"]).join(totals, "lang").withColumn("bound", F.expr("1000 * n div f")), "words")
     words = stored(frontier(words, min_count), "frontier")
     word, counts, found = key_filter(words), words.select("key", "f"), None
     order = [F.col("score").desc(), F.col("a").desc()]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import lower_ascii, map_rows, prepare, same_columns, stored, to_arrow
+from tabloom.llm.common import key_filter, lower_ascii, map_rows, passes, prepare, same_columns, stored, to_arrow
 from tabloom.llm.graphs import components
 
 SHINGLE = 5
@@ -105,10 +105,15 @@ def sketches(docs: DataFrame, bands: int = BANDS, values: int = VALUES) -> DataF
     return map_rows(docs.select("doc_id", "text"), run, "doc_id long, d1 long, d2 long, n long, buckets array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(node, hashes): the whole shingle set of every text."""
+def shingle_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(node, hashes): the whole shingle sets of the texts whose id ``wanted`` lets through."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+
     def run(rows: dict[str, list]) -> dict[str, list]:
-        return {"node": rows["doc_id"], "hashes": [shingles(text_words(t)).view(np.int64) for t in rows["text"]]}
+        there = [i for i, d in enumerate(rows["doc_id"]) if d is not None]
+        ids = np.array([rows["doc_id"][i] for i in there], np.int64)
+        at = [there[k] for k in np.flatnonzero(passes(sent.value, ids))]
+        return {"node": [rows["doc_id"][i] for i in at], "hashes": [shingles(text_words(rows["text"][i])).view(np.int64) for i in at]}
 
     return map_rows(docs.select("doc_id", "text"), run, "node long, hashes array<long>")
 
@@ -117,7 +122,7 @@ def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], known: Data
     """(node, component) of all nodes that share a bucket with a similar one.
 
     ``members``: (bucket, node, n), n being the set's size; ``sets`` gives
-    (node, hashes) for a frame of nodes; ``known`` (a, b) are links there are in any case.
+    (node, hashes) for at least a frame of nodes; ``known`` (a, b) are links there are in any case.
 
     A bucket is a star around its smallest node: a bucket of m gives m - 1
     edges.  Buckets with one centre are one group, so a node goes once to each
@@ -128,14 +133,15 @@ def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], known: Data
     of their own, so no task holds more than that and no pair is left out.
     """
     shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
-    stars = stored(members.join(shared.select("bucket", "centre"), "bucket").select("centre", "node", "n").distinct(), "stars")
+    # Both sides grow with the documents, so neither is ever broadcast.
+    stars = stored(members.join(shared.select("bucket", "centre").hint("merge"), "bucket").select("centre", "node", "n").distinct(), "stars")
     load = stars.groupBy("centre").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks")).where("blocks > 1")
     own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")
     other = F.explode(F.expr("sequence(0, blocks - 1)"))
     cells = stars.join(load, "centre", "left").fillna(1, ["blocks"]).select("centre", "node", own.alias("own"), other.alias("other")).select(
         "centre", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     whole = sets(stars.select("node").distinct()).select("node", "hashes")
-    dealt = cells.join(whole, "node").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "node")
+    dealt = cells.join(whole.hint("merge"), "node").repartition("centre", "i", "j").sortWithinPartitions("centre", "i", "j", "node")
     found = forests(dealt, percent)
     return components(stored(found if known is None else found.unionByName(known), "edges"))
 
@@ -162,9 +168,12 @@ def forests(dealt: DataFrame, percent: int) -> DataFrame:
                 if now != key:
                     close()
                     key, nodes, held = now, [], []
+                own = values[ends[i]:ends[i + 1]]
+                if nodes and nodes[-1] == ids[i] and np.array_equal(held[-1], own):
+                    continue
                 nodes.append(ids[i])
                 # A copy: views would keep whole batches.
-                held.append(values[ends[i]:ends[i + 1]].copy())
+                held.append(own.copy())
             if a:
                 yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema=kind)
                 a, b = [], []
@@ -252,7 +261,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         docs = docs.dropDuplicates()
 
     def sets(nodes: DataFrame) -> DataFrame:
-        return shingle_sets(docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"))
+        return shingle_sets(docs, key_filter(nodes, "node"))
 
     linked = link(members, sets, one_id(real, classes))
     copies = classes.where("copies > 1").select("d1", "d2", F.col("node").alias("class"))

@@ -2,28 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import ddl, free_name, lower_ascii, map_rows, prepare, same_columns, stored
+from tabloom.llm.common import ddl, free_name, key_filter, lower_ascii, map_rows, passes, prepare, same_columns, stored, to_arrow, worker_state
 from tabloom.llm.graphs import components
-from tabloom.llm.near import BANDS, SHINGLE, VALUES, _probes, bands_of, link
+from tabloom.llm.near import SHINGLE, _probes, bands_of, link
 
 MIN_WORDS = 50           # a passage that counts as repeated
+# With independent values a pair at the threshold shares no bucket with a probability of 3e-8.
+BANDS, VALUES = 32, 3
 # Windows start at the smallest of SPREAD neighbouring shingle hashes.  Two texts that share
 # WINDOW + SPREAD - 1 words, one less than MIN_WORDS, share one such window.  Windows are seeds:
 # they tell where runs of MIN_WORDS words need to be compared.
 WINDOW, SPREAD = 30, 20
 
-UNITS = ("doc_id long, key long, start int, end int, windows array<struct<key:long,at:int>>, "
-         "paragraphs array<struct<key:long,start:int,end:int,n:int,buckets:array<long>>>")
+UNITS = ("doc_id long, key long, start int, end int, win_key array<long>, "
+         "line_key array<long>, line_start array<int>, line_end array<int>, "
+         "new_key array<long>, new_n array<int>, new_buckets array<array<long>>")
+# Word keys that a worker keeps.
+CACHE_WORDS = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
+class _Keys(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = key = xxhash.xxh3_64_intdigest(word)
+        return key
+
+
+def word_keys(words: list[bytes]) -> np.ndarray:
+    state = worker_state()
+    cache = getattr(state, "word_keys", None)
+    if cache is None or len(cache) > CACHE_WORDS:
+        cache = state.word_keys = _Keys()
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+def run_keys(keys: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every ``n`` neighbouring keys, put together from runs of 1, 2, 4, ..."""
+    out, have, power, size = None, 0, keys, 1
+    while size <= n:
+        if n & size:
+            if out is None:
+                out = power
+            else:
+                many = len(power) - have
+                out = _pair(out[:max(many, 0)], power[have:])
+            have += size
+        if size * 2 <= n:
+            power = _pair(power[:-size], power[size:])
+        size *= 2
+    return out[:max(len(keys) - n + 1, 0)]
+
+
 class Words:
     """The words of a text, their places in characters, and a hash for each place where a shingle starts."""
 
@@ -32,7 +77,7 @@ class Words:
         self.raw, self.words = raw, raw.split()
         self.n = len(self.words)
 
-    def places(self, hashes: bool = True) -> None:
+    def places(self) -> None:
         data = np.frombuffer(self.raw, np.uint8)
         inside = ~_SPACE[data]
         edges = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
@@ -42,104 +87,158 @@ class Words:
         breaks = np.flatnonzero(data == 10)
         # Words before each line's end.
         self.line_ends = np.append(np.searchsorted(first, breaks), self.n)
-        line = b" ".join(self.words)
-        stops = np.cumsum([len(w) + 1 for w in self.words]) - 1
-        begins = np.concatenate(([0], stops[:-1] + 1))
-        self.line, self.begins, self.stops = line, begins.tolist(), stops.tolist()
-        if not hashes:
-            return
-        hash_of = xxhash.xxh3_64_intdigest
-        self.hashes = np.array([hash_of(line[a:b]) for a, b in zip(begins[:self.n - SHINGLE + 1].tolist(),
-                                                                   stops[SHINGLE - 1:].tolist())], np.uint64)
+        self.keys = word_keys(self.words)
+        self.hashes = run_keys(self.keys, SHINGLE)
 
     def digest(self, a: int, b: int) -> int:
         """A hash of words a to b - 1."""
-        return xxhash.xxh3_64_intdigest(self.line[self.begins[a]:self.stops[b - 1]]) - (1 << 63)
+        return xxhash.xxh3_64_intdigest(b" ".join(self.words[a:b])) - (1 << 63)
 
 
-def windows(words: Words) -> list[dict]:
+def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) of the windows of a text with ``MIN_WORDS`` words or more."""
     places = words.n - WINDOW + 1
     h = words.hashes[:places]
     picked = np.unique(np.lib.stride_tricks.sliding_window_view(h, SPREAD).argmin(axis=1) + np.arange(places - SPREAD + 1))
-    return [{"key": words.digest(p, p + WINDOW), "at": p} for p in picked.tolist()]
+    return run_keys(words.keys, WINDOW)[picked].view(np.int64), picked
 
 
-def paragraphs(words: Words, probes: np.ndarray | None) -> list[dict]:
-    """Lines of ``MIN_WORDS`` words or more, with their buckets, or with their whole sets without ``probes``."""
-    out, at = [], 0
+def paragraphs(words: Words) -> Iterator[tuple[int, int, int]]:
+    """(key, first word, end) of the lines of ``MIN_WORDS`` words or more."""
+    at = 0
     for end in words.line_ends.tolist():
         if end - at >= MIN_WORDS:
-            own = np.unique(words.hashes[at:end - SHINGLE + 1])
-            out.append({"key": words.digest(at, end), "start": int(words.starts[at]), "end": int(words.ends[end - 1]), "n": len(own)}
-                       | ({"buckets": bands_of(own, BANDS, VALUES, probes)} if probes is not None else {"hashes": own.view(np.int64)}))
+            yield words.digest(at, end), at, end
         at = end
-    return out
+
+
+def paragraph_set(words: Words, at: int, end: int) -> np.ndarray:
+    return np.unique(words.hashes[at:end - SHINGLE + 1])
 
 
 def units(docs: DataFrame) -> DataFrame:
+    """Each text's extent, window keys and paragraphs; buckets of the distinct ones."""
+    names = [x.split()[0] for x in UNITS.split(", ")]
+
     def run(rows: dict[str, list]) -> dict[str, list]:
-        probes = _probes(BANDS * VALUES, 64)
-        out = {"doc_id": [], "key": [], "start": [], "end": [], "windows": [], "paragraphs": []}
+        probes, out = _probes(BANDS * VALUES, 64), {n: [] for n in names}
         for doc_id, text in zip(rows["doc_id"], rows["text"]):
             words = Words(text)
             if doc_id is None or words.n < MIN_WORDS:
                 continue
             words.places()
-            out["doc_id"].append(doc_id)
-            out["key"].append(words.digest(0, words.n))
-            out["start"].append(int(words.starts[0]))
-            out["end"].append(int(words.ends[-1]))
-            out["windows"].append(windows(words))
-            out["paragraphs"].append(paragraphs(words, probes))
+            lines, seen = list(paragraphs(words)), {}
+            for key, at, end in lines:
+                if key not in seen:
+                    own = paragraph_set(words, at, end)
+                    seen[key] = len(own), bands_of(own, BANDS, VALUES, probes)
+            for name, value in zip(names, (
+                    doc_id, words.digest(0, words.n), int(words.starts[0]), int(words.ends[-1]), windows(words)[0],
+                    [x[0] for x in lines], [int(words.starts[x[1]]) for x in lines], [int(words.ends[x[2] - 1]) for x in lines],
+                    list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()])):
+                out[name].append(value)
         return out
 
     return map_rows(docs.select("doc_id", "text"), run, UNITS)
 
 
-def runs(docs: DataFrame, seeds: DataFrame, gone: DataFrame) -> DataFrame:
-    """(doc_id, key, start, end) of all runs of ``MIN_WORDS`` words with one of ``seeds`` (doc_id, at) inside.
+def known(ids: list[int | None], cells: np.ndarray | None, taken: bool) -> list[int]:
+    """Places of the ids that a filter lets through, or (``taken`` false) of the others; never of nulls."""
+    there = np.array([i is not None for i in ids], bool)
+    if cells is not None:
+        there &= passes(cells, np.array([i or 0 for i in ids], np.int64)) == taken
+    return np.flatnonzero(there).tolist()
+
+
+RUNS = "doc_id long, key long, start int, end int"
+
+
+def runs(docs: DataFrame, seeds: np.ndarray, aside: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, key, start, end) of all runs of ``MIN_WORDS`` words around windows that ``seeds`` lets through.
 
-    Runs with a part in a span of ``gone`` (doc_id, start, end; disjoint) are left out.
+    Documents that ``aside`` lets through are left out.  Where ``docs`` has ``lost`` and ``until`` (begins and ends of disjoint spans), runs with a part in a span are left out.
     """
+    sent = docs.sparkSession.sparkContext.broadcast((seeds, aside))
+    holes = "lost" in docs.columns
+
     def run(rows: dict[str, list]) -> dict[str, list]:
-        out = {"doc_id": [], "key": [], "start": [], "end": []}
-        for doc_id, text, at, lost, until in zip(rows["doc_id"], rows["text"], rows["at"], rows["lost"], rows["until"]):
+        parts: list[list] = [[], [], [], []]
+        seeds, aside = sent.value
+        for i in known(rows["doc_id"], aside, False):
+            doc_id, text = rows["doc_id"][i], rows["text"][i]
             words = Words(text)
             if words.n < MIN_WORDS:
                 continue
-            words.places(hashes=False)
-            first = np.unique(np.array(at)[:, None] - np.arange(MIN_WORDS - WINDOW + 1))
-            first = first[(first >= 0) & (first <= words.n - MIN_WORDS)]
-            if lost:
+            words.places()
+            key, at = windows(words)
+            at = at[passes(seeds, key)]
+            if not len(at):
+                continue
+            # Places that lie in reach of a window.
+            reach = np.zeros(words.n + 1, np.int32)
+            np.add.at(reach, np.maximum(at - (MIN_WORDS - WINDOW), 0), 1)
+            np.add.at(reach, at + 1, -1)
+            first = np.flatnonzero(np.cumsum(reach[:words.n - MIN_WORDS + 1]) > 0)
+            if holes and rows["lost"][i]:
                 # The first span that ends behind the run's start must begin behind its end.
-                lost, until = np.append(np.sort(lost), len(text)), np.sort(until)
+                lost, until = np.append(np.sort(rows["lost"][i]), len(text)), np.sort(rows["until"][i])
                 after = lost[np.searchsorted(until, words.starts[first], "right")]
                 first = first[after >= words.ends[first + MIN_WORDS - 1]]
-            out["doc_id"] += [doc_id] * len(first)
-            out["key"] += [words.digest(p, p + MIN_WORDS) for p in first.tolist()]
-            out["start"] += words.starts[first].tolist()
-            out["end"] += words.ends[first + MIN_WORDS - 1].tolist()
-        return out
+            for part, values in zip(parts, (np.full(len(first), doc_id), run_keys(words.keys, MIN_WORDS)[first].view(np.int64),
+                                            words.starts[first], words.ends[first + MIN_WORDS - 1])):
+                part.append(values)
+        return {n.split()[0]: np.concatenate(p) if p else [] for n, p in zip(RUNS.split(", "), parts)}
 
-    places = seeds.groupBy("doc_id").agg(F.collect_set("at").alias("at"))
-    holes = gone.groupBy("doc_id").agg(F.collect_list("start").alias("lost"), F.collect_list("end").alias("until"))
-    return map_rows(docs.join(places, "doc_id").join(holes, "doc_id", "left"), run, "doc_id long, key long, start int, end int")
+    return map_rows(docs.select("doc_id", "text", *(["lost", "until"] if holes else [])), run, RUNS)
 
 
-def paragraph_sets(docs: DataFrame) -> DataFrame:
-    """(node, hashes) of every paragraph of ``docs``."""
+SPANS = "doc_id long, start int, end int, source long"
+
+
+def later(found: DataFrame) -> DataFrame:
+    """(doc_id, start, end, source) of the runs that a smaller document has too, ``source`` being the smallest."""
+    kind = to_arrow(found.sparkSession, SPANS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last_source = None, None
+        for batch in batches:
+            key, doc, start, end = (batch.column(i).to_numpy() for i in range(4))
+            if not len(key):
+                continue
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            source = np.repeat(doc[first], np.diff(np.append(first, len(key))))
+            if key[0] == last_key:
+                source[:first[1] if len(first) > 1 else len(key)] = last_source
+            last_key, last_source = key[-1], source[-1]
+            at = doc != source
+            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (doc, start, end, source)], schema=kind)
+
+    return found.repartition("key").sortWithinPartitions("key", "doc_id").select("key", "doc_id", "start", "end").mapInArrow(run, SPANS)
+
+
+def paragraph_sets(docs: DataFrame, owners: np.ndarray, wanted: np.ndarray) -> DataFrame:
+    """(node, hashes) of the paragraphs whose key, crossed with the document's id, ``wanted`` lets through.
+
+    ``owners`` tells which documents are read for that.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((owners, wanted))
+
     def run(rows: dict[str, list]) -> dict[str, list]:
         out = {"node": [], "hashes": []}
-        for text in rows["text"]:
-            words = Words(text)
-            if words.n >= MIN_WORDS:
-                words.places()
-                for p in paragraphs(words, None):
-                    out["node"].append(p["key"])
-                    out["hashes"].append(p["hashes"])
+        owners, wanted = sent.value
+        for i in known(rows["doc_id"], owners, True):
+            words = Words(rows["text"][i])
+            if words.n < MIN_WORDS:
+                continue
+            words.places()
+            lines = {key: (at, end) for key, at, end in paragraphs(words)}
+            keys = np.array(list(lines), np.int64)
+            for key in keys[passes(wanted, keys ^ np.int64(rows["doc_id"][i]))].tolist():
+                out["node"].append(key)
+                out["hashes"].append(paragraph_set(words, *lines[key]).view(np.int64))
         return out
 
-    return map_rows(docs.select("text"), run, "node long, hashes array<long>")
+    return map_rows(docs.select("doc_id", "text"), run, "node long, hashes array<long>")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -159,6 +258,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     depend on nearby words alone; only runs around these are made.  Equal
     documents are compared with others once.
 
+    Texts are read where they are: which of them matter is told by filters of
+    bounded size, and what passes by chance meets nothing later on.  Only
+    texts that lose paragraphs are joined with what they lose.
+
     Paragraphs go first.  A document keeps runs for others only outside of
     the paragraphs that it loses, so each equal passage stays in a document.
 
@@ -171,35 +274,38 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     every = stored(units(docs), "units")
     classes = every.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
-    copies = every.join(classes.select("key", "source"), "key").where("doc_id <> source").select("doc_id", "start", "end", "source")
+    copies = stored(every.join(classes.select("key", "source"), "key").where("doc_id <> source").select("doc_id", "start", "end", "source"), "copies")
     # doc_id names a document: rows with one id go together.
-    firsts = every.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = copies.select("doc_id").distinct()
+    firsts = every.join(gone, "doc_id", "left_anti")
 
-    lines = firsts.select("doc_id", F.inline("paragraphs"))
-    nodes = lines.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
-    members = lines.select(F.explode("buckets").alias("bucket"), F.col("key").alias("node"), F.col("n").cast("long").alias("n"))
+    lines = firsts.select("doc_id", F.inline(F.arrays_zip("line_key", "line_start", "line_end"))).toDF("doc_id", "key", "start", "end")
+    nodes = stored(lines.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")), "paragraphs")
+    # Each paragraph goes into its buckets once, from its first document.
+    new = firsts.select("doc_id", F.inline(F.arrays_zip("new_key", "new_n", "new_buckets"))).toDF("source", "key", "n", "buckets")
+    members = new.join(nodes.select("key", "source"), ["key", "source"]).select(
+        F.explode("buckets").alias("bucket"), F.col("key").alias("node"), F.col("n").cast("long").alias("n"))
 
     def sets(wanted: DataFrame) -> DataFrame:
-        keys = wanted.select(F.col("node").alias("key"))
-        holders = nodes.join(keys, "key", "left_semi").select(F.col("source").alias("doc_id")).distinct()
-        found = paragraph_sets(docs.join(holders, "doc_id", "left_semi"))
-        # Some of a holder's other paragraphs may not be wanted, or stand in several holders.
-        return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        own = stored(nodes.join(wanted.select(F.col("node").alias("key")), "key", "left_semi").select(
+            "source", F.col("key").bitwiseXOR(F.col("source")).alias("crossed")), "wanted")
+        return paragraph_sets(docs, key_filter(own.select("source").distinct(), "source"), key_filter(own, "crossed"))
 
     linked = stored(link(members, sets), "linked")
     comp = nodes.join(linked.select(F.col("node").alias("key"), "component"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
     first = comp.groupBy("component").agg(F.min("source").alias("source"), F.max("last").alias("last")).where("source < last")
-    owner = comp.join(first.select("component", "source"), "component").select("key", comp["last"], first["source"])
-    more = stored(merged(lines.select("doc_id", "key", "start", "end").join(owner.where("source < last").select("key", "source"), "key").where(
-        "doc_id <> source").select("doc_id", "start", "end", "source")), "paragraphs")
+    owner = comp.join(first.select("component", "source"), "component").select("key", first["source"])
+    more = stored(merged(lines.join(owner, "key").where("doc_id <> source").select("doc_id", "start", "end", "source")), "cut-paragraphs")
 
     # What a paragraph's cut takes away can't be kept for others.
-    wins = firsts.select("doc_id", F.inline("windows"))
-    same = wins.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    found = stored(runs(docs, wins.join(same.select("key"), "key").select("doc_id", "at"), more), "runs")
-    owners = found.groupBy("key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
-    cut = found.join(owners.select("key", "source"), "key").where("doc_id <> source").select("doc_id", "start", "end", "source")
+    shared = firsts.select("doc_id", F.explode("win_key").alias("key")).groupBy("key").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
+    seeds = key_filter(stored(shared, "windows"))
+    holes = more.groupBy("doc_id").agg(F.collect_list("start").alias("lost"), F.collect_list("end").alias("until"))
+    aside = key_filter(gone.union(holes.select("doc_id")).distinct(), "doc_id")
+    joined = only(docs, aside).join(gone, "doc_id", "left_anti").join(holes, "doc_id", "left")
+    cut = later(runs(docs, seeds, aside).unionByName(runs(joined, seeds)))
 
     flat = stored(merged(cut.unionByName(more)), "spans")
     # What a copy's first document has lost to smaller ones, the copy has lost to them too.
@@ -210,6 +316,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "doc_id", "start", "end", F.col("source").alias("source_doc_id"), F.col("component").alias("component_id"))
 
 
+def only(docs: DataFrame, cells: np.ndarray) -> DataFrame:
+    """The documents that a filter lets through."""
+    sent = docs.sparkSession.sparkContext.broadcast(cells)
+
+    def run(rows: dict[str, list]) -> dict[str, list]:
+        at = known(rows["doc_id"], sent.value, True)
+        return {c: [v[i] for i in at] for c, v in rows.items()}
+
+    return map_rows(docs, run, "doc_id long, text string")
+
+
 def merged(spans: DataFrame) -> DataFrame:
     """Each document's spans with overlapping and touching ones joined; the smallest source stays."""
     def run(rows: dict[str, list]) -> dict[str, list]:

@@ -114,7 +114,7 @@ def test_window_guarantee():
             side = lambda: [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 80))]
             w = passages.Words(" ".join(side() + run + side()))
             w.places()
-            keys.append({x["key"] for x in passages.windows(w)})
+            keys.append(set(passages.windows(w)[0].tolist()))
         assert keys[0] & keys[1]
 
 
@@ -131,6 +131,102 @@ def test_passage_goes_to_its_ends(spark):
     assert clean == texts | {3: texts[3][:33] + texts[3][83:], 4: texts[4][:7] + texts[4][67:]}
 
 
+def test_run_keys():
+    """Equal runs have equal keys and others do not, at any length."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 3, 4000).astype(np.uint64)
+    for n in (1, 2, 3, 5, 30, 31, 50):
+        got = passages.run_keys(keys, n)
+        runs = [tuple(keys[i:i + n].tolist()) for i in range(len(keys) - n + 1)]
+        assert len(got) == len(runs) and len(set(zip(runs, got.tolist()))) == len(set(runs)) == len(set(got.tolist()))
+    assert len(passages.run_keys(keys[:4], 5)) == 0
+
+
+def brute_passages(texts):
+    """Words that stay: near paragraphs first, then every run of MIN_WORDS that a smaller document has outside its own cuts."""
+    least = passages.MIN_WORDS
+    words = {i: near.text_words(t) for i, t in texts.items()}
+    first = {}
+    for i in sorted(words):
+        if len(words[i]) >= least:
+            first.setdefault(tuple(words[i]), i)
+    copies = {i for i, w in words.items() if len(w) >= least and first[tuple(w)] != i}
+    gone = {i: set(range(len(words[i]))) if i in copies else set() for i in words}
+    lines = []
+    for i in sorted(words):
+        at = 0
+        for line in (texts[i] or "").split("\n"):
+            n = len(near.text_words(line))
+            if n >= least and i not in copies:
+                lines.append((i, at, at + n, set(near.shingles(words[i][at:at + n]).tolist())))
+            at += n
+    comp = list(range(len(lines)))
+    for x in range(len(lines)):
+        for y in range(x):
+            both = len(lines[x][3] & lines[y][3])
+            if 100 * both >= 75 * len(lines[x][3] | lines[y][3]):
+                comp = [comp[y] if c == comp[x] else c for c in comp]
+    owner = {}
+    for x, (i, *_rest) in enumerate(lines):
+        owner[comp[x]] = min(owner.get(comp[x], i), i)
+    for x, (i, a, b, _s) in enumerate(lines):
+        if owner[comp[x]] != i:
+            gone[i] |= set(range(a, b))
+    has = {}
+    for i in sorted(words):
+        if i not in copies:
+            for a in range(len(words[i]) - least + 1):
+                if not gone[i] & set(range(a, a + least)):
+                    has.setdefault(tuple(words[i][a:a + least]), []).append((i, a))
+    for places in has.values():
+        for i, a in places:
+            if i != places[0][0]:
+                gone[i] |= set(range(a, a + least))
+    return {i: [w for k, w in enumerate(words[i]) if k not in gone[i]] for i in words}
+
+
+def test_passages_against_all_pairs(spark):
+    """Whole results on a corpus of copies, shared passages, near paragraphs and a paragraph that a third of all documents have."""
+    rng = random.Random(21)
+    new = lambda n: [f"b{rng.randrange(10**8)}" for _ in range(n)]
+    common, pool, notes = new(55), [new(rng.randrange(40, 120)) for _ in range(12)], [new(70) for _ in range(6)]
+    texts = {}
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.random()
+            if kind < 0.3:
+                a, b = sorted(rng.sample(range(120), 2))
+                parts.append(new(rng.randrange(0, 30)) + rng.choice(pool)[a:b] + new(rng.randrange(0, 30)))
+            elif kind < 0.5:
+                near_one = list(rng.choice(notes))
+                for k in rng.sample(range(70), rng.randrange(0, 4)):
+                    near_one[k] = new(1)[0]
+                parts.append(near_one)
+            else:
+                parts.append(new(rng.randrange(1, 90)))
+        if i % 3 == 0:
+            parts.insert(rng.randrange(len(parts) + 1), common)
+        texts[i] = "\n".join(" ".join(p) for p in parts)
+    texts |= {200: texts[7], 201: texts[7].upper(), 202: None, 203: "", 204: texts[5] + "\n" + texts[9]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    clean = {r.doc_id: near.text_words(r.text) for r in passages.cut_passages(docs).collect()}
+    want = brute_passages(texts)
+    assert {i: w for i, w in want.items() if w} == {i: w for i, w in clean.items() if w}
+
+
+def test_one_id_with_two_texts(spark):
+    """Rows of one id are answered alike, and nothing is cut between them."""
+    rng = random.Random(31)
+    new = lambda n: " ".join(f"i{rng.randrange(10**8)}" for _ in range(n))
+    a, b, c = new(80), new(90), new(100)
+    docs = spark.createDataFrame([(5, a), (5, b), (7, b), (7, c), (9, c), (9, a + "\n" + b), (8, new(60))], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near.near_duplicates(docs).collect()}
+    assert got == {(5, 5, True), (7, 5, False), (9, 5, False), (8, 8, True)}
+    cut = {(r.doc_id, r.source_doc_id) for r in passages.repeated_passages(docs).collect()}
+    assert all(x != y for x, y in cut) and {x for x, _ in cut} == {7, 9}
+
+
 def test_recall_of_paragraph_bands():
     """Paragraphs at the threshold share a bucket, short and long ones."""
     rng, missed = np.random.default_rng(8), 0
