@@ -5,16 +5,19 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tabloom.llm.common import worker_state
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
-# Words of the cache's younger half; when it is full it becomes the older one, from which words still met come back.
-CACHE_WORDS = 400_000
+# Parts that a worker keeps the ids of, parts that are learnt in one call, and characters that are cut in one go.
+CACHE_WORDS = 800_000
 BATCH_WORDS = 20_000
-# Marks that are a piece of their own behind a letter and before white space.
-_MARKS = ".,;:!?"
+BATCH_CHARS = 8_000_000
+# White space other than single spaces and line feeds, which are looked at on their own.
+_OTHER_SPACE = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
 
 
 def default_path(name: str = TOKENIZER) -> str:
@@ -30,7 +33,9 @@ class Encoder:
     space or line feed between visible characters, nor between a letter and
     a mark.  So a text is cut there, each distinct part is encoded once by
     the tokenizers library, many in one call, and the ids are put in a row.
-    Texts with any other white space are encoded as they are.
+    Texts with any other white space, and texts that hold a special token's
+    own string, are encoded as they are: what the library makes of such a
+    string stays its decision.
     """
 
     def __init__(self, path: str):
@@ -38,55 +43,81 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings of special tokens in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         # Ids that begin with a space or a line feed: in a row of parts, the first of each.
         self.opens = np.array([n.startswith(("Ġ", "Ċ")) for n in names], bool)
-        self.marks = {m: self._plain(m).tobytes() for m in _MARKS}
-        self.parts: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Keep the ids of parts, which start with a line feed or stand behind a space."""
-        back = new & self.older.keys()
-        self.parts.update((p, self.older[p]) for p in back)
-        marked = [p for p in new - back if p[-1:] in self.marks and p[:-1].isalpha()]
-        stems = {p[:-1] for p in marked} - self.parts.keys()
-        own = [*((new - back).difference(marked) | stems) - self.parts.keys()]
-        for k in range(0, len(own), BATCH_WORDS):
-            batch = own[k:k + BATCH_WORDS]
-            ids = self._plain("".join(p if p[0] == "\n" else " " + p for p in batch))
-            starts = np.flatnonzero(self.opens[ids])
-            raw, ends = ids.tobytes(), np.append(starts[1:], len(ids)) * 4
-            if len(starts) != len(batch):
+        starts, sizes, kept, used = [self.starts], [self.sizes], [self.ids], len(self.ids)
+        for k in range(0, len(new), BATCH_WORDS):
+            batch = new[k:k + BATCH_WORDS]
+            ids = self._plain("".join([p if p[0] == "\n" else " " + p for p in batch]))
+            first = np.flatnonzero(self.opens[ids])
+            if len(first) != len(batch):
                 raise ValueError("this vocabulary joins words: its ids can't be cached by word")
-            self.parts.update(zip(batch, [raw[a:b] for a, b in zip((starts * 4).tolist(), ends.tolist())]))
-        self.parts.update((p, self.parts[p[:-1]] + self.marks[p[-1]]) for p in marked)
-
-    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
-        texts = [t or "" for t in texts]
-        cut = [t.replace("\n", " \n").split(" ") if plain_spaces(t) else None for t in texts]
-        rows = [c[1:] for c in cut if c]
-        every = set().union(*rows)
-        if len(self.parts) > CACHE_WORDS:
-            self.older, self.parts = self.parts, {}
-        new = every - self.parts.keys()
+            self.rows.update(zip(batch, range(len(self.rows), len(self.rows) + len(batch))))
+            starts.append(first + used)
+            sizes.append(np.diff(np.append(first, len(ids))))
+            kept.append(ids)
+            used += len(ids)
+        self.starts, self.sizes, self.ids = (np.concatenate(x) for x in (starts, sizes, kept))
+
+    def _cut(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts with plain spaces: cut into parts, and each distinct part looked up once."""
+        if len(self.rows) > CACHE_WORDS:
+            self._forget()
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        ends, told = parts.offsets.to_numpy(), parts.values.dictionary_encode()
+        words = told.dictionary.to_pylist()
+        found = list(map(self.rows.get, words))
+        new = [w for w, row in zip(words, found) if row is None]
         if new:
             self._learn(new)
-        get = self.parts.__getitem__
-        return [np.frombuffer(self._plain(c[0]).tobytes() + b"".join(map(get, c[1:])), np.uint32) if c else self._plain(t)
-                for c, t in zip(cut, texts)]
+            found = list(map(self.rows.__getitem__, words))
+        row = np.array(found, np.int64)[told.indices.to_numpy()]
+        start, size = self.starts[row], self.sizes[row]
+        # A text's first part stands behind nothing.
+        firsts = [self._plain(words[i]) for i in told.indices.to_numpy()[ends[:-1]].tolist()]
+        size[ends[:-1]] = [len(x) for x in firsts]
+        start[ends[:-1]] = len(self.ids) + np.cumsum(size[ends[:-1]]) - size[ends[:-1]]
+        after = np.cumsum(size)
+        at = np.repeat(start - (after - size), size) + np.arange(after[-1])
+        return np.split(np.concatenate((self.ids, *firsts))[at], after[ends[1:-1] - 1])
+
+    def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        held, chars = [], 0
+        for i, t in enumerate(texts):
+            if not t or not plain_spaces(t) or any(x in t for x in self.special):
+                out[i] = self._plain(t or "")
+                continue
+            held.append(i)
+            chars += len(t)
+            if chars > BATCH_CHARS:
+                for k, ids in zip(held, self._cut([texts[k] for k in held])):
+                    out[k] = ids
+                held, chars = [], 0
+        if held:
+            for k, ids in zip(held, self._cut([texts[k] for k in held])):
+                out[k] = ids
+        return out
 
 
 def plain_spaces(text: str) -> bool:
     """Whether all white space is single spaces and line feeds between visible characters."""
-    return (len(text.split()) == text.count(" ") + text.count("\n") + 1
+    return (bool(text) and text[0] not in " \n" and text[-1] not in " \n"
             and not any(x in text for x in ("  ", " \n", "\n ", "\n\n"))
-            and not text[0].isspace() and not text[-1].isspace())
+            and not any(x in text for x in _OTHER_SPACE))
 
 
 def encoder(path: str) -> Encoder:

@@ -18,7 +18,6 @@ from tabloom.session import work_path
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -27,6 +26,19 @@ def own():
     return Encoder(default_path())
 
 
+def test_special_strings(own, plain):
+    """Their strings in a text are what the library makes of them."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>", "a <|endoftext| > b", "a b"]
+    assert [x.tolist() for x in own.encode_many(texts)] == [plain(t) for t in texts]
+    assert plain(texts[0]) == [64, 220, 50256, 275]
+
+
+def test_groups_of_texts(own, plain, monkeypatch):
+    monkeypatch.setattr("tabloom.llm.tokens.BATCH_CHARS", 30)
+    texts = ["one two, three%%%", None, "", "four\nFive six's", " lead", "x" * 90, "seven eight\n\nnine"] * 3
+    assert [x.tolist() for x in own.encode_many(texts)] == [plain(t) for t in texts]
+
+
 @given(st.lists(st.text(st.sampled_from(" \n\t\r\x0b\x1c\x85   ab1é.,!'Ġ🙂中<|>"), max_size=20), max_size=4))
 @settings(max_examples=300, deadline=None)
 def test_cache_equals_tokenizer(own, plain, texts):
