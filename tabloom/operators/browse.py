@@ -137,7 +137,7 @@ def predicate(df: DataFrame, f: Filter) -> Column:
         return col.isNotNull()
     if f.op == "between":
         if len(f.values) != 2:
-            raise ValueError("between needs two values")
+            raise ValueError("a range takes a lower and an upper value")
         return compare(">=", col, f.values[0], dtype) & compare("<=", col, f.values[1], dtype)
     text = plain_text(col, dtype)
     wanted = str(f.value)
@@ -156,7 +156,7 @@ def predicate(df: DataFrame, f: Filter) -> Column:
         return (col.isNull() | (text == "")) if isinstance(dtype, T.StringType) else col.isNull()
     if f.op == "regexp":
         return text.rlike(wanted)
-    raise ValueError(f"unknown filter operator {f.op!r}")
+    raise ValueError(f"{f.op!r} is no filter")
 
 
 def search_predicate(df: DataFrame, words: str) -> Column | None:

@@ -66,7 +66,7 @@ def cast_inputs(df: DataFrame, changes: Sequence[Mapping[str, Any]], key: Sequen
         for k in key:
             given = change.get("key", change.get("values", {}) if change["op"] == "insert" else {})
             if k not in given and change["op"] != "insert":
-                raise EditError(f"missing key column {k!r}")
+                raise EditError(f"change {i + 1} has no value for key {k!r}")
             cols.append(input_value(given.get(k), field_of(df, k).dataType).alias(f"key_{k}"))
         for f in touched:
             given = change.get("values", {})
@@ -144,7 +144,7 @@ def validate(df: DataFrame, changes: DataFrame, key: Sequence[str], version: str
     """Raise for the first change that cannot be applied."""
     unknown = changes.where(~F.col("op").isin("insert", "update", "delete")).limit(1).collect()
     if unknown:
-        raise EditError(f"unknown edit operation {unknown[0].op!r}")
+        raise EditError(f"{unknown[0].op!r} is no change")
     wrong = match_counts(df, changes, key, small).where("rows <> 1").orderBy("change_id").limit(1).collect()
     if wrong:
         r = wrong[0]

@@ -90,7 +90,7 @@ def document_filter(df: DataFrame, f: Filter) -> Column:
     if f.op == "between":
         _need_two(f)
         return _between(col, f, dtype)
-    raise ValueError(f"unknown filter operator {f.op!r}")
+    raise ValueError(f"{f.op!r} is no filter of documents")
 
 
 def document_search(df: DataFrame, words: str) -> Column | None:
@@ -153,7 +153,7 @@ def search_index_filter(df: DataFrame, f: Filter) -> Column:
     if f.op in ("contains", "startswith", "endswith", "like", "notlike"):
         if _is_text(field):
             if f.op in ("endswith", "like", "notlike"):
-                raise ValueError(f"{f.column}: a text field matches words; use contains or startswith")
+                raise ValueError(f"{f.column}: analysed text is matched by contains and startswith alone")
             end = "" if f.op == "startswith" else " "
             return words_of(col).contains(f" {_needle_words(wanted)}{end}")
         test = plain_text(col, dtype).rlike(_wildcard(wanted, f.op))
@@ -164,7 +164,7 @@ def search_index_filter(df: DataFrame, f: Filter) -> Column:
         return col.isNull()
     if f.op == "notnull":
         return col.isNotNull()
-    raise ValueError(f"{f.column}: unsupported filter {f.op!r}")
+    raise ValueError(f"{f.column}: {f.op!r} is no filter of indexes")
 
 
 def search_index_search(df: DataFrame, words: str) -> Column | None:
@@ -242,7 +242,7 @@ def wide_column_filter(df: DataFrame, f: Filter) -> Column:
         return _between(col, f, dtype)
     if f.op == "in":
         if not f.values:
-            raise ValueError(f"{f.column}: in needs a value")
+            raise ValueError(f"{f.column}: an empty list matches nothing")
         return among(col, f.values, dtype)
     if f.op == "contains":
         if isinstance(dtype, T.ArrayType):

@@ -99,12 +99,12 @@ def verify(source: DataFrame, target: DataFrame, canons: Mapping[str, Canon] | N
     differing = F.filter(F.array(*[F.when(F.col("s")[f"sum_{n}"] != F.col("t")[f"sum_{n}"], n) for n in names])
                          if names else F.array().cast("array<string>"), lambda x: x.isNotNull())
     compared = F.lit(mode == "contents" and not appended) & same
-    note = "rows were added to an existing table, so its contents were not compared" if appended else ""
+    note = "appended to rows that were there before: contents left unread" if appended else ""
     return pair.select(
         F.col("s.rows").alias("source_rows"), F.col("t.rows").alias("target_rows"),
         F.when(F.lit(appended), "").when(same, "match").otherwise("differ").alias("counts"),
         F.when(~compared, "skipped").when(F.size(differing) == 0, "match").otherwise("differ").alias("contents"),
         F.when(compared, differing).otherwise(F.array().cast("array<string>")).alias("columns"),
         F.when(F.lit(bool(note)), note).when(~same & F.lit(mode == "contents"),
-                                             "the row counts differ, so the contents were not compared")
+                                             "unequal counts: contents left unread")
         .otherwise("").alias("note"))

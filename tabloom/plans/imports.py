@@ -45,18 +45,18 @@ def check_mapping(file_columns: Sequence[str], mapping: Mapping[str, str], meta:
         if not target:
             continue
         if source not in file_columns:
-            raise ValueError(f"the file has no column {source!r}")
+            raise ValueError(f"{source!r} is not among the file's columns")
         column = meta.column(target)
         if column is None:
-            raise ValueError(f"the table has no column {target!r}")
+            raise ValueError(f"{target!r} is not among the table's columns")
         if column.generated:
-            raise ValueError(f"{target} is filled by its own expression and cannot be mapped")
+            raise ValueError(f"{target} takes its values from an expression, not from a file")
         if target in used:
-            raise ValueError(f"column {target} is mapped twice")
+            raise ValueError(f"two file columns go to {target}")
         used.add(target)
         out[source] = column
     if not out:
-        raise ValueError("map at least one column of the file to the table")
+        raise ValueError("no file column goes to any table column")
     return out
 
 

@@ -193,7 +193,7 @@ def insert_statements(df: DataFrame, dialect: str, table: str, batch_rows: int =
     """
     check_dialect(dialect)
     if not table:
-        raise ValueError("enter the table name for the INSERT statements")
+        raise ValueError("INSERT statements need a table")
     df = hide_row_key(df)
     size = min(batch_rows if batch_rows > 0 else 100, MAX_ROWS.get(dialect, 1 << 30))
     kinds = kinds or {}

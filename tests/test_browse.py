@@ -148,9 +148,9 @@ def test_key_value_compares_numbers_then_text(spark):
 
 def test_flavour_errors(rows):
     text = v.as_text_field(rows, "name")
-    with pytest.raises(ValueError, match="text field matches words"):
+    with pytest.raises(ValueError, match="analysed text"):
         b.narrow(text, [Filter("name", "endswith", "x")], compile_filter=v.search_index_filter)
-    with pytest.raises(ValueError, match="between 1 and 100"):
+    with pytest.raises(ValueError, match="1 to 100"):
         b.narrow(rows, [Filter("id", "in")], compile_filter=v.item_filter)
     with pytest.raises(ValueError):
         b.narrow(rows, [Filter("name", "contains", "x")], compile_filter=v.wide_column_filter)

@@ -122,7 +122,7 @@ def test_csv_bytes(sample, tmp_path):
     assert text_of(tmp_path / "o") == want
     out.write_delimited(sample, str(tmp_path / "p"), ";", header=False, bom=True)
     assert text_of(tmp_path / "p").startswith("﻿1;")
-    with pytest.raises(ValueError, match="single character"):
+    with pytest.raises(ValueError, match="one character"):
         out.write_delimited(sample, str(tmp_path / "q"), '"')
 
 
@@ -187,8 +187,8 @@ def test_import_names_record_and_column(spark, tmp_path):
 
 
 @pytest.mark.parametrize("mapping,message", [
-    ({"x": "id"}, "the file has no column"), ({"id": "nope"}, "the table has no column"), ({"id": "id", "ok": "id"}, "mapped twice"),
-    ({"id": ""}, "map at least one"), ({"id": "sum"}, "own expression"),
+    ({"x": "id"}, "among the file's columns"), ({"id": "nope"}, "among the table's columns"), ({"id": "id", "ok": "id"}, "two file columns"),
+    ({"id": ""}, "no file column goes"), ({"id": "sum"}, "from an expression"),
 ])
 def test_mapping_checks(mapping, message):
     with pytest.raises(ValueError, match=message):
