@@ -9,7 +9,7 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import numbered, prepare, stored
+from tabloom.llm.common import free_name, numbered, prepare, stored
 
 SHARDS = 24
 SEED = 20_240_601
@@ -78,12 +78,15 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
 
     A null text has no bytes and checksum 0; null ids are rows like others;
     equal rows are interchangeable, so their ties do not matter; an empty
-    table gives an empty table; ``carry`` names further columns to take along.
+    table gives an empty table; ``carry`` names further columns to take
+    along; one with a name that the result has itself gets an underscore.
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-                       *(carry or []))
+    own = docs.limit(0).selectExpr("1 as doc_id", "1 as size", "1 as text_crc32", "1 as shard", "1 as slot", "1 as _key", "1 as _part", "1 as _at",
+                                   "1 as _sent", "1 as _ends", "1 as _group", "1 as _block", "1 as _base")
+    taken = [F.col(f"`{c}`").alias(free_name(own, c)) for c in carry or []]
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *taken)
     mix = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "doc_id", "text_crc32", "size")
     # First permutation: positions in the order of the hash, within the partition as it was read.
     placed = rows.withColumn("_key", mix(1)).sortWithinPartitions("_key", "doc_id", "text_crc32").drop("_key").withColumns({

@@ -30,8 +30,8 @@ subscribe subscription signup login search pagination pager toolbar copyright di
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
             "option": {"option"}}
 MAIN = ("article", "main")
-# Pages that must have the same text in one place before it counts as part of the template.
-CONSTANT_PAGES = 8
+# Elements whose text stays, however often it is the same: it names or is what the article says.
+SAID = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "dt", "dd", "th", "td", "caption", "figcaption", "blockquote", "pre", "legend", "summary"}
 HOSTS_HELD = 1000
 # Bits of one alignment's table that are held; larger ones are halved.
 TABLE_BITS = 1 << 27
@@ -256,7 +256,8 @@ def shared(row: int, n: int) -> list[int]:
 def held(node: dict, inside: Callable[[dict], bool], memo: dict[int, int]) -> int:
     """Variable characters outside links in ``node``, in elements that ``inside`` lets in."""
     if node["s"] == "#":
-        return 0 if node["t"] is not None and node["n"] >= CONSTANT_PAGES else node["c"] - node["l"]
+        # What one page alone has is not known to be the same on others.
+        return 0 if node["t"] is not None and node["n"] > 1 else node["c"] - node["l"]
     if id(node) not in memo:
         memo[id(node)] = sum(held(k, inside, memo) for k in node["k"] if k["s"] == "#" or inside(k))
     return memo[id(node)]
@@ -283,7 +284,11 @@ def shown(wrapper: dict) -> list[str]:
 
 
 def template(wrapper: dict, paths: list[str]) -> list[str]:
-    """Path and text of the blocks that are the same on all pages, if others vary inside the containers."""
+    """Path and text of the template's blocks, if others vary inside the containers.
+
+    Being the same on all pages is one sign, and standing mostly in links is
+    the other that is asked for; headings, paragraphs and the like never go.
+    """
     found, varies = set(), False
 
     def walk(node: dict, path: str, inside: bool) -> None:
@@ -294,7 +299,8 @@ def template(wrapper: dict, paths: list[str]) -> list[str]:
                 walk(kid, own, inside or own in paths)
             elif kid["t"] is None:
                 varies = varies or inside
-            elif kid["n"] == wrapper["n"] >= CONSTANT_PAGES:
+            elif (kid["n"] == wrapper["n"] > 1 and 2 * kid["l"] >= kid["c"]
+                  and re.split(r"[.\0]", path.rsplit("/", 1)[-1])[0] not in SAID):
                 found.update(f"{path}\n{t}" for t in kid["t"].split("\n"))
 
     walk(wrapper, "", not paths)
@@ -306,7 +312,8 @@ def containers(wrapper: dict) -> list[str]:
 
     The outermost ``article`` or ``main`` elements that half of the pages
     have; else the innermost element with all variable text that stands
-    neither in links nor in parts that are left out.
+    neither in links nor in parts that are left out, as long as more text
+    stands inside than outside.
     """
     # Alignment may leave several optional nodes with one path, so counts and masses are added up by path.
     pages: dict[str, int] = {}
@@ -343,14 +350,18 @@ def containers(wrapper: dict) -> list[str]:
     walk(wrapper, "", True)
     if marked:
         return sorted(set(marked))
-    nodes, path, whole = [wrapper], "", mass(wrapper)
+    def text(node: dict) -> int:
+        """Characters outside links, whether they vary or not."""
+        return node["c"] - node["l"] if node["s"] == "#" else sum(map(text, node["k"]))
+
+    nodes, path, whole, total = [wrapper], "", mass(wrapper), text(wrapper)
     while whole:
         inner: dict[str, list[dict]] = {}
         for kid in (k for n in nodes for k in n["k"]):
             if kid["s"] != "#":
                 inner.setdefault(kid["s"], []).append(kid)
         inside = {s: sum(map(mass, kids)) for s, kids in inner.items() if not any(k.get("r") for k in kids)}
-        down = [s for s, m in inside.items() if m == whole]
+        down = [s for s, m in inside.items() if m == whole and 2 * sum(map(text, inner[s])) >= total]
         if not down:
             break
         nodes, path, whole = inner[down[0]], f"{path}/{down[0]}", inside[down[0]]
@@ -435,9 +446,9 @@ def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> Da
     kind = "host string, wrapper string"
     parts = map_stream(pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("html")), fold, kind)
     parts = stored(parts.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(32))), "wrappers")
-    some = map_stream(parts.repartition("host", "slot").sortWithinPartitions("host").select("host", "wrapper"), join, kind)
+    some = map_stream(parts.repartition("host", "slot").sortWithinPartitions("host", "wrapper").select("host", "wrapper"), join, kind)
     # Whether a task saw one slot or several, each host's rows stand together.
-    whole = map_stream(some.repartition("host").sortWithinPartitions("host"), join, kind)
+    whole = map_stream(some.repartition("host").sortWithinPartitions("host", "wrapper"), join, kind)
     return map_rows(whole, finish, "host string, pages long, wrapper string, containers array<string>, visible array<string>, constant array<string>")
 
 

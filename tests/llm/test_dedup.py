@@ -293,6 +293,9 @@ def test_shards(docs, texts, nothing):
         assert (r.size, r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
     assert sorted(by) == list(range(5)) and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    carried = shards.shuffle_into_shards(docs.withColumn("size", docs.n_chars), carry=["lang", "size", "shard"])
+    assert carried.columns[:3] == ["doc_id", "size", "text_crc32"] and {"lang", "size_", "shard_", "shard", "slot"} <= set(carried.columns)
+    assert {r.shard_ for r in carried.collect()} == {"s"}
     again = shards.shuffle_into_shards(docs, shards=5, seed=2).collect()
     assert {(r.doc_id, r.shard, r.slot) for r in again} != {(r.doc_id, r.shard, r.slot) for r in rows}
     plan = shards.shuffle_into_shards(docs)._jdf.queryExecution().executedPlan().toString()

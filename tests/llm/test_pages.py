@@ -1,5 +1,7 @@
 """Wrappers and the text that they take from pages."""
 
+import random
+
 import pytest
 
 from tabloom.llm import wrappers
@@ -130,11 +132,12 @@ def test_hints_hide_no_article(around, tag):
 
 
 def test_template_inside_the_container():
-    """Blocks that all pages share go, those that some share stay."""
+    """Linked blocks that all pages share go; what stands in plain text stays, as a constant alone is no sign."""
     own = lambda i: f"<h1>Title {i}</h1>" + ("<h2>Notes</h2>" if i % 2 else "") + f"<p>Text {i}.</p>"
-    pages = [f"<body><article><div class=box>Printed from our site</div><ul><li>One<li>Two</ul>{own(i)}<div class=end>Call us</div></article></body>" for i in range(20)]
+    pages = [f"<body><article><div class=box><a href=/p>Printed from our site</a></div><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul>{own(i)}<div class=end>Call <a href=/us>us at home</a></div></article></body>" for i in range(20)]
     assert taken(pages) == [f"Title {i}\n" + ("Notes\n" if i % 2 else "") + f"Text {i}." for i in range(20)]
-    assert taken(pages[:7])[0].startswith("Printed from our site\nOne\nTwo\nTitle 0")
+    # At any number of pages.
+    assert taken(pages[:7]) == taken(pages)[:7]
 
 
 def test_extract(spark):
@@ -159,3 +162,34 @@ def test_query_keeps_articles_whole(spark, sf):
     for r in QUERIES["op7_pages"](spark, sf).collect():
         inner = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         assert r.text.split() == html.unescape(re.sub(r"<[^>]+>", " ", inner)).split()
+
+
+@pytest.mark.parametrize("pages", [1, 2, 5, 8, 50])
+def test_constant_headings_stay(spark, pages):
+    """What an article says stays at any number of pages, and what only the template links to goes."""
+    rows = []
+    for i in range(pages):
+        body = f"<h1>Recipe</h1><p>Dish number {i} is made of {i + 3} things and tastes well.</p><h2>Ingredients</h2><ul><li>Salt</li><li>{i} eggs</li></ul>" \
+               f"<h2>Method</h2><p>Stir.</p><table><tr><th>Time</th><td>{i} min</td></tr></table><div class='x'><a href='/all'>All recipes</a></div>"
+        rows.append((i, f"https://r.example/{i}", f"<html><body><div class='top'>Site</div><article>{body}</article></body></html>"))
+    got = {r.page_id: r.text for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(pages):
+        want = ["Recipe", f"Dish number {i} is made of {i + 3} things and tastes well.", "Ingredients", "Salt", f"{i} eggs", "Method", "Stir.", "Time", f"{i} min"]
+        assert got[i].split("\n") == want + (["All recipes"] if pages == 1 else [])
+
+
+def test_copies_of_one_page(spark):
+    """Pages that differ in a date at the bottom alone keep their article."""
+    page = "<html><body><div class='b'><h1>One title</h1><p>{}</p></div><div class='d'>Seen on day {}</div></body></html>"
+    rows = [(i, "https://c.example/x", page.format("Long text. " * 30, i)) for i in range(9)]
+    got = wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("One title" in r.text and "Long text." in r.text for r in got)
+
+
+def test_order_of_rows_does_not_matter(spark):
+    rng = random.Random(8)
+    rows = [(i, f"https://o.example/{i}", "<html><body>" + "".join(
+        f"<div class='k{rng.randrange(6)}'><p>{rng.random()}</p></div>" for _ in range(rng.randrange(1, 9))) + "</body></html>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    runs = [sorted(map(tuple, wrappers.extract_pages(df).collect())) for _ in range(2)]
+    assert runs[0] == runs[1]
