@@ -40,7 +40,7 @@ def lake_files(spark: SparkSession, path: str) -> DataFrame:
         F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
-def footers(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def footers(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
     """A table whose counts and bounds Spark takes from Parquet or ORC footers, read by the executors.
 
     That is what the second version of Spark's file sources does with an
@@ -55,7 +55,7 @@ def footers(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
         spark.conf.set("spark.sql.sources.useV1SourceList", listed)
 
 
-def footer_rows(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+def footer_rows(spark: SparkSession, path: str | list[str], fmt: str = "parquet") -> DataFrame:
     """One row: ``rows``, added up from the footers of all files."""
     return footers(spark, path, fmt).agg(F.count(F.lit(1)).alias("rows"))
 

@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from tabloom.operators.describe import footer_rows
 from tabloom.session import work_path
 
 # Fixed value: rows per committed chunk.
@@ -25,55 +27,114 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Give a finished file its name, if no other has it: of two writers one gets it, the other a ``FileExistsError``."""
     fs, src = _fs(spark, source)
-    dst = spark._jvm.org.apache.hadoop.fs.Path(target)
-    if not fs.rename(src, dst):
-        raise OSError(f"could not move {source} to {target}")
+    jvm, dst = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(target)
+    try:
+        if fs.getScheme() == "file":
+            # A local rename would replace what is there; a link is made or refused.
+            at = lambda p: jvm.java.nio.file.Paths.get(fs.makeQualified(p).toUri())
+            jvm.java.nio.file.Files.createLink(at(dst), at(src))
+            fs.delete(src, False)
+        else:
+            kinds = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            kinds[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(src.toUri(), spark._jsc.hadoopConfiguration()).rename(src, dst, kinds)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            raise FileExistsError(target) from None
+        raise OSError(f"could not name {target}: {e.java_exception}") from e
 
 
-def load(df: DataFrame, target: str, mode: str = "append", fmt: str = "parquet") -> DataFrame:
-    """All rows or none, into a versioned folder.
+class LoadConflict(RuntimeError):
+    """Another writer changed the target meanwhile; nothing of this load is visible."""
 
-    A version is a sub-folder ``v=<n>`` of the target.  Rows are first written
-    to a staging folder beside it; one rename publishes them, so a failed job
-    leaves the target as it was.  ``replace`` starts a new generation, which
-    readers take by the highest number.
+
+def load(df: DataFrame, target: str, mode: str = "append", fmt: str = "parquet") -> DataFrame:
+    """All rows or none, as a new version of the target.
+
+    Rows go to a batch folder of their own, which nobody reads until a
+    version names it: a small file with the batches that are current from
+    then on, put in place only if no other writer took its number.  Versions
+    follow each other, so a load goes by the one that it began with: appends
+    move on to the next number with what is there then, while a ``replace``
+    of a target that has changed raises ``LoadConflict``.  A failed load leaves
+    the target as it was.
     """
     if mode not in ("append", "replace"):
         raise ValueError(f"unknown load mode {mode!r}")
-    spark = df.sparkSession
-    staging, part = f"{target.rstrip('/')}/_staging-{uuid.uuid4().hex[:8]}", f"b={uuid.uuid4().hex[:12]}"
-    fs, held = _fs(spark, staging)
+    spark, root, batch = df.sparkSession, target.rstrip("/"), f"b={uuid.uuid4().hex[:16]}"
+    version = max(versions(spark, root), default=0)
     try:
-        df.write.format(fmt).save(f"{staging}/{part}")
-        now = max(_generations(spark, target), default=0)
-        if mode == "append" and now:
-            rename(spark, f"{staging}/{part}", f"{target.rstrip('/')}/g={now}/{part}")
-        else:
-            # The generation appears with its rows in it.
-            rename(spark, staging, f"{target.rstrip('/')}/g={now + 1}")
-    finally:
+        df.write.format(fmt).save(f"{root}/{batch}")
+        while True:
+            held = batches(spark, root, version) if version and mode == "append" else []
+            try:
+                _publish(spark, root, version + 1, [*held, batch])
+                break
+            except FileExistsError:
+                if mode == "replace":
+                    raise LoadConflict(f"{target} has a version {version + 1} already") from None
+                version = max(versions(spark, root))
+    except BaseException:
+        fs, held = _fs(spark, f"{root}/{batch}")
         fs.delete(held, True)
+        raise
     return read_loaded(spark, target, fmt, df.schema)
 
 
-def _generations(spark: SparkSession, target: str) -> list[int]:
-    fs, p = _fs(spark, target)
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    return [int(n[2:]) for n in names if n.startswith("g=") and n[2:].isdigit()]
+def _publish(spark: SparkSession, root: str, version: int, held: list[str]) -> None:
+    draft = f"{root}/_versions/.draft-{uuid.uuid4().hex[:16]}"
+    fs, p = _fs(spark, draft)
+    try:
+        out = fs.create(p, False)
+        out.write(bytearray("\n".join(held).encode()))
+        out.close()
+        rename(spark, draft, f"{root}/_versions/{version}")
+    finally:
+        fs.delete(p, False)
+
+
+def versions(spark: SparkSession, target: str) -> list[int]:
+    """The numbers of a target's versions."""
+    return _committed(spark, f"{target.rstrip('/')}/_versions")
 
 
-def read_loaded(spark: SparkSession, target: str, fmt: str = "parquet", schema=None) -> DataFrame:
-    """The current generation of a loaded target."""
-    generations = _generations(spark, target)
-    if not generations:
+def batches(spark: SparkSession, target: str, version: int) -> list[str]:
+    """The folders that are one version."""
+    fs, p = _fs(spark, f"{target.rstrip('/')}/_versions/{version}")
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode().split("\n")
+    finally:
+        stream.close()
+
+
+def read_loaded(spark: SparkSession, target: str, fmt: str = "parquet", schema=None, version: int | None = None) -> DataFrame:
+    """The current version of a loaded target, or an earlier one."""
+    version = version or max(versions(spark, target), default=0)
+    if not version:
         raise FileNotFoundError(target)
-    reader = spark.read.format(fmt).option("recursiveFileLookup", "true")
+    reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(f"{target.rstrip('/')}/g={max(generations)}")
+    # A batch's name looks like a partition's; without a base path it is none.
+    return reader.option("recursiveFileLookup", "true").load([f"{target.rstrip('/')}/{b}" for b in batches(spark, target, version)])
+
+
+def forget_versions(spark: SparkSession, target: str, keep: int = 1) -> int:
+    """Delete all versions but the last ``keep`` and the batches that only they have; how many batches went.
+
+    Batches that no version names are left alone: another writer may be about to publish them.
+    """
+    known = sorted(versions(spark, target))
+    old, last = known[:-keep], known[-keep:]
+    used = {b for v in last for b in batches(spark, target, v)}
+    gone = {b for v in old for b in batches(spark, target, v)} - used
+    for name in [*gone, *[f"_versions/{v}" for v in old]]:
+        fs, p = _fs(spark, f"{target.rstrip('/')}/{name}")
+        fs.delete(p, True)
+    return len(gone)
 
 
 @dataclass
@@ -117,7 +178,7 @@ def load_chunked_files(spark: SparkSession, source: str, schema: T.StructType, t
         failed = str(e).split("\n", 1)[0]
     done = _committed(spark, f"{root}/_checkpoint/commits")
     paths = [f"{root}/chunk={i}" for i in done if path_exists(spark, f"{root}/chunk={i}")]
-    rows = spark.read.parquet(*paths).count() if paths else 0
+    rows = footer_rows(spark, paths).first().rows if paths else 0
     return ChunkReport(len(paths), rows, failed)
 
 

@@ -197,4 +197,16 @@ def load_chunked(t):
     report = ld.load_chunked(t.orders, path, commit_every=20_000, files_per_commit=4)
     if report.failed:
         raise RuntimeError(report.failed)
-    return t.spark.read.parquet(path).drop("chunk")
\ No newline at end of file
+    return t.spark.read.parquet(path).drop("chunk")
+
+@query("load_versions", """SELECT 1 AS version, count(*) AS rows FROM customer UNION ALL SELECT 2, 2 * count(*) FROM customer
+  UNION ALL SELECT 3, count(*) FROM customer WHERE c_acctbal > 0""")
+def load_versions(t):
+    """Each version of a target that was loaded, appended to and replaced."""
+    path = work_path(t.spark, "target")
+    ld.load(t.customer, path)
+    ld.load(t.customer, path)
+    ld.load(t.customer.where("c_acctbal > 0"), path, "replace")
+    counts = [ld.read_loaded(t.spark, path, version=v).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(v).alias("version"), "rows")
+              for v in ld.versions(t.spark, path)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])

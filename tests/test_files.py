@@ -217,3 +217,50 @@ def test_chunks_before_a_failure_stay(spark, tmp_path):
     assert report.rows % 20 == 0 and report.rows < 100 and report.committed == report.rows // 20
     whole = ld.load_chunked(rows, str(tmp_path / "d"), commit_every=20)
     assert (whole.committed, whole.rows, whole.failed) == (5, 100, "")
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """Of two loads that began with one version, a replace is refused if it comes second, and appends both count."""
+    target = str(tmp_path / "t")
+    ld.load(spark.range(3), target)
+    plain, met = ld._publish, []
+
+    def late(spark_, root, version, held):
+        # Another writer is quicker.
+        if not met:
+            met.append(version)
+            ld.load(spark.range(100, 110), target, "replace" if mode == "replace" else "append")
+        plain(spark_, root, version, held)
+
+    for mode in ("append", "replace"):
+        met.clear()
+        monkeypatch.setattr(ld, "_publish", late)
+        if mode == "append":
+            assert ld.load(spark.range(5), target).count() == 3 + 10 + 5
+        else:
+            with pytest.raises(ld.LoadConflict):
+                ld.load(spark.range(5), target, "replace")
+            assert ld.read_loaded(spark, target).count() == 10
+        monkeypatch.undo()
+    assert len([n for n in os.listdir(target) if n.startswith("b=")]) == 4
+    assert ld.versions(spark, target) == [1, 2, 3, 4] and ld.read_loaded(spark, target, version=2).count() == 13
+    assert ld.forget_versions(spark, target) == 3 and ld.read_loaded(spark, target).count() == 10
+
+
+def test_threads_that_load(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    target = str(tmp_path / "t")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: ld.load(spark.range(i * 10, i * 10 + 10), target), range(6)))
+    assert sorted(r.id for r in ld.read_loaded(spark, target).collect()) == list(range(60))
+    assert len(ld.versions(spark, target)) == 6
+
+
+def test_names_are_given_once(spark, tmp_path):
+    (tmp_path / "a").write_text("1")
+    (tmp_path / "b").write_text("2")
+    (tmp_path / "c").write_text("3")
+    ld.rename(spark, str(tmp_path / "a"), str(tmp_path / "x"))
+    with pytest.raises(FileExistsError):
+        ld.rename(spark, str(tmp_path / "b"), str(tmp_path / "x"))
+    assert (tmp_path / "x").read_text() == "1" and not (tmp_path / "a").exists() and (tmp_path / "b").exists()
