@@ -32,8 +32,10 @@ def run_available(stream: DataFrame, commit: Callable[[DataFrame, int], None], c
     query.awaitTermination()
 
 
+# Bits of a sketch's registers: estimates are about 1 % off.
+SKETCH_BITS = 14
 # How parts of a summary become one, by function; an average is kept as a sum and a count.
-MERGES = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "total": F.sum, "number": F.sum}
+MERGES = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max, "total": F.sum, "number": F.sum, "sketch": F.hll_union_agg}
 
 
 def _parts(aggs: Mapping[str, tuple[str, Column]]) -> list[Column]:
@@ -42,6 +44,8 @@ def _parts(aggs: Mapping[str, tuple[str, Column]]) -> list[Column]:
     for name, (kind, col) in aggs.items():
         if kind == "avg":
             out += [F.sum(col).alias(f"total:{name}"), F.count(col).alias(f"number:{name}")]
+        elif kind == "distinct":
+            out.append(F.hll_sketch_agg(col, F.lit(SKETCH_BITS)).alias(f"sketch:{name}"))
         elif kind in ("sum", "count", "min", "max"):
             out.append(getattr(F, kind)(col).alias(f"{kind}:{name}"))
         else:
@@ -58,8 +62,9 @@ def maintain_summary(stream: DataFrame, ts: str, aggs: Mapping[str, tuple[str, C
                      condition: Column | None = None) -> None:
     """A summary by day kept up to date as rows arrive, late ones included.
 
-    ``aggs`` gives a function (sum, count, min, max or avg) and a column for
-    each name.  Every batch appends its own partial aggregates under its batch
+    ``aggs`` gives a function (sum, count, min, max, avg or distinct) and a
+    column for each name; distinct values are estimated from sketches of a
+    fixed size, which merge as sums do.  Every batch appends its own partial aggregates under its batch
     number, so a repeated batch replaces itself; ``read_summary`` merges them.
     """
     rows = stream if condition is None else stream.where(condition)
@@ -83,7 +88,9 @@ def _finished(merged: DataFrame, keys: Sequence[str]) -> DataFrame:
     for c in merged.columns:
         kind, _, name = c.partition(":")
         if c not in keys and kind != "number":
-            out.append((F.try_divide(quoted(c), quoted(f"number:{name}")) if kind == "total" else quoted(c)).alias(name))
+            shown = {"total": lambda c=c, name=name: F.try_divide(quoted(c), quoted(f"number:{name}")),
+                     "sketch": lambda c=c: F.hll_sketch_estimate(quoted(c))}.get(kind, lambda c=c: quoted(c))
+            out.append(shown().alias(name))
     return merged.select(*out)
 
 

@@ -146,11 +146,14 @@ def summary_stream(t):
     return rows.withColumn("revenue", F.col("revenue").cast("double")).withColumn("mean", F.round("mean", 6).cast("double"))
 
 
-@query("summary_compacted", """SELECT CAST(ts AS DATE) AS day, count(*) AS n, max(value) AS highest FROM events GROUP BY 1""")
+@query("summary_compacted", """SELECT CAST(ts AS DATE) AS day, count(*) AS n, max(value) AS highest, true AS visitors_near FROM events GROUP BY 1""")
 def summary_compacted(t):
     target = work_path(t.spark, "summary")
-    st.maintain_summary(_event_stream(t), "ts", {"n": ("count", F.lit(1)), "highest": ("max", F.col("value"))}, target)
-    return st.compact_summary(t.spark, target)
+    st.maintain_summary(_event_stream(t), "ts", {"n": ("count", F.lit(1)), "highest": ("max", F.col("value")),
+                                                 "visitors": ("distinct", F.col("user_id"))}, target)
+    exact = t.events.select(F.to_date("ts").alias("day"), "user_id").distinct().groupBy("day").agg(F.count("user_id").alias("exact"))
+    return st.compact_summary(t.spark, target).join(exact, "day").select(
+        "day", "n", "highest", (F.abs(F.col("visitors") - F.col("exact")) <= 0.05 * F.col("exact")).alias("visitors_near"))
 
 
 @query("windowed_summary", """SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, max(value) AS highest FROM events GROUP BY 1, 2""")
