@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.geometry import EARTH_RADIUS, haversine
 from tabloom.functions.text import quoted
+from tabloom.session import materialize
+
+# Points of a grid cell that stay together, and rows that a fuller cell is cut into at most.
+DENSE_CELL = 20_000
+MOST_ROWS = 64
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Mapping[str, str], columns: Sequence[str]) -> DataFrame:
@@ -75,12 +80,18 @@ def update_from(df: DataFrame, key: Sequence[str], source: DataFrame, source_key
 
 
 def radius_join(points: DataFrame, centers: DataFrame, radius: float, *, lon: str = "lon", lat: str = "lat",
-                c_lon: str = "c_lon", c_lat: str = "c_lat", metric: str = "meters") -> DataFrame:
+                c_lon: str = "c_lon", c_lat: str = "c_lat", metric: str = "meters", dense: int = DENSE_CELL) -> DataFrame:
     """Pairs of points and centers within ``radius``, with their ``distance``.
 
     ``meters`` measures great circles, ``degrees`` measures on the plane.
     Both sides get a grid cell no smaller than the radius; a center looks
     into its own and the neighbouring cells, so the join is by equality.
+
+    A cell with more than ``dense`` points is cut into parts, as many on each
+    side as bring them below that if its points are spread; a part takes its
+    own points, and a center looks only into the parts that its circle
+    reaches.  Points on one spot are dealt over parts of the same place, so no
+    part holds more.
     """
     if metric == "degrees":
         height = radius
@@ -113,9 +124,47 @@ def radius_join(points: DataFrame, centers: DataFrame, radius: float, *, lon: st
     if metric == "meters":
         cells = F.filter(cells, lambda c: (c >= low) & (c <= high))
     looked = looked.withColumn("__ccell", F.explode(F.array_distinct(cells)))
-    pairs = gridded.join(looked, (F.col("__band") == F.col("__cband")) & (F.col("__cell") == F.col("__ccell")))
+    gridded, looked = _cut_dense(gridded, looked, dense, height, width, radius if metric == "degrees" else height, quoted(lon), quoted(lat),
+                                 quoted(c_lat))
+    same = [(F.col(a) == F.col(b)) for a, b in (("__band", "__cband"), ("__cell", "__ccell"), ("__row", "__crow"), ("__part", "__cpart"))]
+    pairs = gridded.join(looked, same)
     return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).drop(
-        "__band", "__cell", "__cband", "__ccell")
+        "__band", "__cell", "__row", "__part", "__cband", "__ccell", "__crow", "__cpart")
+
+
+def _cut_dense(points: DataFrame, centers: DataFrame, dense: int, height: float, width, reach: float, lon: Column, lat: Column,
+               c_lat: Column) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the row and part of a cell: 0 and 0, but for cells with more than ``dense`` points.
+
+    A dense cell has rows of equal height; points that share a row are dealt
+    over its parts by a hash, so a row on which all points stand is cut too.
+    Only dense cells have an entry, which is few rows.
+    """
+    rows = F.least(F.ceil(F.sqrt(F.col("n") / dense)), F.lit(MOST_ROWS)).cast("int")
+    counts = points.groupBy("__band", "__cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > dense)
+    by_row = F.greatest(F.lit(0), F.least(F.col("__rows") - 1, F.floor((lat - F.col("__band") * height) / height * F.col("__rows")))).cast("int")
+    cells = materialize(counts.select(F.col("__band").alias("__b"), F.col("__cell").alias("__c"), rows.alias("__rows")), "dense-cells")
+    if cells.isEmpty():
+        return (points.withColumns({"__row": F.lit(0), "__part": F.lit(0)}), centers.withColumns({"__crow": F.lit(0), "__cpart": F.lit(0)}))
+    at = (F.col("__band") == F.col("__b")) & (F.col("__cell") == F.col("__c"))
+    placed = points.join(cells, at, "left").withColumn("__row", F.when(F.col("__rows").isNotNull(), by_row).otherwise(0)).drop("__b", "__c")
+    full = placed.where(F.col("__rows").isNotNull()).groupBy("__band", "__cell", "__row", "__rows").agg(F.count(F.lit(1)).alias("n"))
+    # Parts of each row of the dense cells.
+    parts = materialize(full.select(F.col("__band").alias("__b"), F.col("__cell").alias("__c"), F.col("__row").alias("__r"), F.col("__rows").alias("__k"),
+                                    F.ceil(F.col("n") / dense).cast("int").alias("__parts")), "dense-parts")
+    here = (F.col("__band") == F.col("__b")) & (F.col("__cell") == F.col("__c")) & (F.col("__row") == F.col("__r"))
+    salt = F.pmod(F.xxhash64(lon, lat, F.monotonically_increasing_id()), F.coalesce("__parts", F.lit(1))).cast("int")
+    placed = placed.drop("__rows").join(parts.drop("__k"), here, "left").withColumn("__part", salt).drop("__b", "__c", "__r", "__parts")
+    looks = (F.col("__cband") == F.col("__b")) & (F.col("__ccell") == F.col("__c"))
+    step = F.lit(height) / F.col("__k")
+    low = F.col("__cband") * height + F.col("__r") * step
+    # A row is in reach if its nearest edge is; a little more, as places were rounded.
+    slack = step * 1e-6
+    near = (c_lat + reach + slack >= low) & (c_lat - reach - slack <= low + step)
+    inside = centers.join(parts, looks).where(near).withColumn("__cpart", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    inside = inside.withColumn("__crow", F.col("__r")).drop("__b", "__c", "__r", "__k", "__parts")
+    others = centers.join(parts.select("__b", "__c").distinct(), looks, "left_anti").withColumns({"__cpart": F.lit(0), "__crow": F.lit(0)})
+    return placed, others.unionByName(inside)
 
 
 def nearest(points: DataFrame, at_lon: float, at_lat: float, k: int, *, lon: str = "lon", lat: str = "lat",

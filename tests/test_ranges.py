@@ -190,3 +190,25 @@ def test_numbers_no_column_holds(spark, flavour):
     assert kept("<", 10.5) == [9, 10] and kept(">=", "10.5") == [11] and kept("=", "10.5") == []
     assert kept("between", values=[9.5, 10.5]) == [10] and kept("in", values=["9", 10.5]) == [9]
     assert kept(">", 10**30) == [] and kept("<=", 10**30) == [9, 10, 11]
+
+
+@pytest.mark.parametrize("metric, radius", [("degrees", 0.02), ("meters", 1500.0)])
+def test_dense_cells_are_cut(spark, metric, radius):
+    """A third of all points on one spot, a third on a street, and the rest spread: the same pairs, in small parts."""
+    from tabloom.operators import joins
+
+    k = F.col("id")
+    spots = spark.range(6000).select("id", F.when(k % 3 == 0, 4.9).when(k % 3 == 1, F.lit(4.9) + (k % 500) / 1e5).otherwise(F.lit(4) + (k % 770) / 500.0).alias("lon"),
+                                     F.when(k % 3 == 0, 52.3).when(k % 3 == 1, F.lit(52.3) + (k % 700) / 4e4).otherwise(F.lit(52) + (k % 650) / 700.0).alias("lat"))
+    centers = spark.range(30).select(k.alias("center"), (F.lit(4.88) + k / 700.0).alias("c_lon"), (F.lit(52.28) + k / 900.0).alias("c_lat"))
+    of = lambda dense: joins.radius_join(spots, centers, radius, metric=metric, dense=dense)
+    want = sorted((r.id, r.center) for r in of(10**9).collect())
+    assert sorted((r.id, r.center) for r in of(100).collect()) == want and len(want) > 6000
+    assert of(100).columns == of(10**9).columns
+    near = joins.radius_join(spots, centers, radius, metric=metric, dense=100)
+    # The parts of the join: none has far more points than asked for.
+    gridded = spots.withColumns({"__band": F.floor(F.col("lat") / 0.02), "__cell": F.floor(F.col("lon") / 0.02)})
+    placed, _ = joins._cut_dense(gridded, centers.withColumns({"__cband": F.floor(F.col("c_lat") / 0.02), "__ccell": F.floor(F.col("c_lon") / 0.02)}),
+                                 100, 0.02, None, 0.02, F.col("lon"), F.col("lat"), F.col("c_lat"))
+    parts = [r["count"] for r in placed.groupBy("__band", "__cell", "__row", "__part").count().collect()]
+    assert max(parts) < 200 and near.count() == len(want)
