@@ -101,7 +101,7 @@ def versions(spark: SparkSession, target: str) -> list[int]:
 
 
 def batches(spark: SparkSession, target: str, version: int) -> list[str]:
-    """The folders that are one version."""
+    """The folders, or single files, that are one version."""
     fs, p = _fs(spark, f"{target.rstrip('/')}/_versions/{version}")
     stream = fs.open(p)
     try:
@@ -130,7 +130,9 @@ def forget_versions(spark: SparkSession, target: str, keep: int = 1) -> int:
     known = sorted(versions(spark, target))
     old, last = known[:-keep], known[-keep:]
     used = {b for v in last for b in batches(spark, target, v)}
-    gone = {b for v in old for b in batches(spark, target, v)} - used
+    # A folder of which single files are still named stays, and so does a file of a folder that is.
+    held = used | {b.split("/")[0] for b in used}
+    gone = {b for v in old for b in batches(spark, target, v) if b not in held and b.split("/")[0] not in used}
     for name in [*gone, *[f"_versions/{v}" for v in old]]:
         fs, p = _fs(spark, f"{target.rstrip('/')}/{name}")
         fs.delete(p, True)

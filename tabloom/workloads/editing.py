@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from tabloom.operators import edits as e
+from tabloom.session import work_path
+from tabloom.sinks.edit import edit_loaded
+from tabloom.sinks.load import load
 from tabloom.workloads.registry import query
 
 KEY = ["o_orderkey"]
@@ -36,6 +39,16 @@ def apply_edits(t):
     return e.apply_edits(t.orders, order_changes(t), KEY).table
 
 
+@query("edit_loaded_files", """SELECT * REPLACE (CASE WHEN o_orderkey % 50 = 0 AND o_orderkey <= 2000 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice)
+  FROM orders WHERE NOT (o_orderkey % 50 = 1 AND o_orderkey <= 2000) UNION ALL
+  SELECT * REPLACE ((SELECT max(o_orderkey) FROM orders) + 1 + o_orderkey AS o_orderkey) FROM orders WHERE o_orderkey % 50 = 2 AND o_orderkey <= 2000""")
+def edit_loaded_files(t):
+    """Changes of few keys in a table of many files."""
+    path = work_path(t.spark, "files")
+    load(t.orders.repartitionByRange(24, "o_orderkey"), path)
+    return edit_loaded(t.spark, path, order_changes(t).where("change_id <= 2000"), KEY).table
+
+
 @query("edited_rows", _EDITED)
 def edited_rows(t):
     return e.edited(t.orders, order_changes(t), KEY)

@@ -1,7 +1,7 @@
 import os
 
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 from tabloom.operators import edits as e
 
@@ -95,3 +95,31 @@ def test_edit_markers(spark):
     frame = e.cast_inputs(t, [up(1, raw={"$bin": "AP8="}, list="[3,4]")], ["id"])
     r = frame.first()
     assert r.set_raw == b"\x00\xff" and r.set_list == [3, 4] and r.has_raw
+
+
+def test_only_touched_files_are_written(spark, tmp_path):
+    """Ten changes in a table of 200 files write at most ten files, and name the others as they are."""
+    from tabloom.sinks import edit, load
+
+    target = str(tmp_path / "t")
+    rows = spark.range(4000).select("id", (F.col("id") * 2).alias("v")).repartitionByRange(200, "id")
+    load.load(rows, target)
+    before = set(load.read_loaded(spark, target).inputFiles())
+    changes = e.cast_inputs(rows, [{"op": "update", "key": {"id": i}, "values": {"v": -1}} for i in (5, 6, 900, 2000)]
+                             + [{"op": "delete", "key": {"id": i}} for i in (7, 3999, 2500)]
+                             + [{"op": "insert", "values": {"id": 9000 + i, "v": 1}} for i in range(3)], ["id"])
+    out = edit.edit_loaded(spark, target, changes, ["id"])
+    after = set(out.table.inputFiles())
+    want = {i: -1 if i in (5, 6, 900, 2000) else 2 * i for i in range(4000) if i not in (7, 3999, 2500)} | {9000 + i: 1 for i in range(3)}
+    assert {r.id: r.v for r in out.table.collect()} == want and out.applied == 10
+    assert len(before) > 150 and len(after - before) <= 10 and len(before & after) >= len(before) - 6
+    with pytest.raises(e.EditError):
+        edit.edit_loaded(spark, target, e.cast_inputs(rows, [{"op": "delete", "key": {"id": 7}}], ["id"]), ["id"])
+    assert load.versions(spark, target) == [1, 2]
+    assert load.read_loaded(spark, target, version=1).count() == 4000
+    load.forget_versions(spark, target)
+    assert load.read_loaded(spark, target).count() == len(want)
+    # Only inserts, and a table that another writer changed meanwhile.
+    more = e.cast_inputs(rows, [{"op": "insert", "values": {"id": 1, "v": 2}}], ["id"])
+    with pytest.raises(e.EditError):
+        edit.edit_loaded(spark, target, more, ["id"])
