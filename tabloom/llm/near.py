@@ -83,6 +83,38 @@ def bands_of(hashes: np.ndarray, bands: int, values: int, probes: np.ndarray) ->
     return _mixed(mixed + np.arange(bands, dtype=np.uint64) * _ODD[0]).view(np.int64)
 
 
+def many_bands(sets: list[np.ndarray], bands: int, values: int, probes: np.ndarray) -> np.ndarray:
+    """``bands_of`` for many sets (sorted, distinct and not empty) at once: a row for each."""
+    bins = bands * values
+    sizes = np.array([len(s) for s in sets])
+    row, hashes = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    place = row * bins + (((hashes >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    values_at, full = np.zeros(len(sets) * bins, np.uint64), np.zeros(len(sets) * bins, bool)
+    values_at[place[first]], full[place[first]] = hashes[first], True
+    out, left = values_at.copy(), np.flatnonzero(~full)
+    for t in range(probes.shape[1]):
+        if not len(left):
+            break
+        at = left % bins
+        origin = left - at + probes[at, t]
+        got = full[origin]
+        out[left[got]] = values_at[origin[got]]
+        left = left[~got]
+    if len(left):
+        # After so many tries the next full bin to the right is taken, or the set's first.
+        filled = place[first]
+        nxt = np.searchsorted(filled, left)
+        starts = np.searchsorted(filled, left // bins * bins)
+        same = (nxt < len(filled)) & (filled[np.minimum(nxt, len(filled) - 1)] // bins == left // bins)
+        out[left] = values_at[filled[np.where(same, nxt, starts)]]
+    rows = out.reshape(len(sets), bands, values)
+    mixed = np.zeros((len(sets), bands), np.uint64)
+    for i in range(values):
+        mixed = _mixed(mixed + rows[:, :, i] * _ODD[i % 4])
+    return _mixed(mixed + np.arange(bands, dtype=np.uint64) * _ODD[0]).view(np.int64)
+
+
 def text_words(text: str | None) -> list[bytes]:
     return lower_ascii(text).split()
 
@@ -90,17 +122,19 @@ def text_words(text: str | None) -> list[bytes]:
 def sketches(docs: DataFrame, bands: int = BANDS, values: int = VALUES) -> DataFrame:
     """doc_id, a 128-bit digest of the words (two longs), the set's size, and the buckets."""
     def run(rows: dict[str, list]) -> dict[str, list]:
-        probes = _probes(bands * values, 64)
-        out = {"doc_id": rows["doc_id"], "d1": [], "d2": [], "n": [], "buckets": []}
+        probes, sets = _probes(bands * values, 64), []
+        out = {"doc_id": rows["doc_id"], "d1": [], "d2": []}
         for text in rows["text"]:
             words = text_words(text)
             d = xxhash.xxh3_128_digest(b" ".join(words))
-            own = shingles(words)
+            sets.append(shingles(words))
             out["d1"].append(int.from_bytes(d[:8], "little", signed=True))
             out["d2"].append(int.from_bytes(d[8:], "little", signed=True))
-            out["n"].append(len(own))
-            out["buckets"].append(bands_of(own, bands, values, probes) if len(own) else np.zeros(0, np.int64))
-        return out
+        buckets: list = [np.zeros(0, np.int64)] * len(sets)
+        some = [i for i, s in enumerate(sets) if len(s)]
+        for i, row in zip(some, many_bands([sets[i] for i in some], bands, values, probes) if some else ()):
+            buckets[i] = row
+        return out | {"n": [len(s) for s in sets], "buckets": buckets}
 
     return map_rows(docs.select("doc_id", "text"), run, "doc_id long, d1 long, d2 long, n long, buckets array<long>")
 
@@ -118,10 +152,11 @@ def shingle_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), run, "node long, hashes array<long>")
 
 
-def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], known: DataFrame | None = None, percent: int = PERCENT) -> DataFrame:
+def link(members: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], DataFrame], known: DataFrame | None = None,
+         percent: int = PERCENT) -> DataFrame:
     """(node, component) of all nodes that share a bucket with a similar one.
 
-    ``members``: (bucket, node, n), n being the set's size; ``sets`` gives
+    ``members``: (bucket, node); ``sizes``: (node, n), n being the set's size; ``sets`` gives
     (node, hashes) for at least a frame of nodes; ``known`` (a, b) are links there are in any case.
 
     A bucket is a star around its smallest node: a bucket of m gives m - 1
@@ -134,8 +169,8 @@ def link(members: DataFrame, sets: Callable[[DataFrame], DataFrame], known: Data
     """
     shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last")
     # Both sides grow with the documents, so neither is ever broadcast.
-    stars = stored(members.join(shared.select("bucket", "centre").hint("merge"), "bucket").select("centre", "node", "n").distinct(), "stars")
-    load = stars.groupBy("centre").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks")).where("blocks > 1")
+    stars = stored(members.join(shared.select("bucket", "centre").hint("merge"), "bucket").select("centre", "node").distinct(), "stars")
+    load = stars.join(sizes, "node").groupBy("centre").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks")).where("blocks > 1")
     own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")
     other = F.explode(F.expr("sequence(0, blocks - 1)"))
     cells = stars.join(load, "centre", "left").fillna(1, ["blocks"]).select("centre", "node", own.alias("own"), other.alias("other")).select(
@@ -255,7 +290,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(real.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
     # One text of each class, found by id and digest.
     first = real.join(classes.select("d1", "d2", F.col("node").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
-    members = first.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("node"), "n")
+    members = first.select(F.explode("buckets").alias("bucket"), F.col("doc_id").alias("node"))
+    sizes = first.select(F.col("doc_id").alias("node"), "n")
 
     if every.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").limit(1).count():
         docs = docs.dropDuplicates()
@@ -263,7 +299,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def sets(nodes: DataFrame) -> DataFrame:
         return shingle_sets(docs, key_filter(nodes, "node"))
 
-    linked = link(members, sets, one_id(real, classes))
+    linked = link(members, sizes, sets, one_id(real, classes))
     copies = classes.where("copies > 1").select("d1", "d2", F.col("node").alias("class"))
     named = every.join(copies, ["d1", "d2"], "left").withColumn(
         "node", F.when(F.col("n") > 0, F.coalesce("class", "doc_id")))

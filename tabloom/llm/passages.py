@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import ddl, free_name, key_filter, lower_ascii, map_rows, passes, prepare, same_columns, stored, to_arrow, worker_state
 from tabloom.llm.graphs import components
-from tabloom.llm.near import SHINGLE, _probes, bands_of, link
+from tabloom.llm.near import SHINGLE, _probes, link, many_bands
 
 MIN_WORDS = 50           # a passage that counts as repeated
 # With independent values a pair at the threshold shares no bucket with a probability of 3e-8.
@@ -95,11 +95,24 @@ class Words:
         return xxhash.xxh3_64_intdigest(b" ".join(self.words[a:b])) - (1 << 63)
 
 
+def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """The least or greatest of every ``size`` neighbours, from those of 2, 4, 8, ..."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        values = pick(values[:-step], values[step:])
+        have += step
+    return values
+
+
 def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(keys, places) of the windows of a text with ``MIN_WORDS`` words or more."""
     places = words.n - WINDOW + 1
     h = words.hashes[:places]
-    picked = np.unique(np.lib.stride_tricks.sliding_window_view(h, SPREAD).argmin(axis=1) + np.arange(places - SPREAD + 1))
+    # A place is picked if it is the least of some SPREAD neighbours: the greatest of those neighbourhoods' least values is its own.
+    least = _sliding(h, SPREAD, np.minimum)
+    edge = np.zeros(SPREAD - 1, np.uint64)
+    picked = np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), SPREAD, np.maximum) == h)
     return run_keys(words.keys, WINDOW)[picked].view(np.int64), picked
 
 
@@ -121,7 +134,7 @@ def units(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in UNITS.split(", ")]
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        probes, out = _probes(BANDS * VALUES, 64), {n: [] for n in names}
+        probes, out, sets = _probes(BANDS * VALUES, 64), {n: [] for n in names}, []
         for doc_id, text in zip(rows["doc_id"], rows["text"]):
             words = Words(text)
             if doc_id is None or words.n < MIN_WORDS:
@@ -130,13 +143,17 @@ def units(docs: DataFrame) -> DataFrame:
             lines, seen = list(paragraphs(words)), {}
             for key, at, end in lines:
                 if key not in seen:
-                    own = paragraph_set(words, at, end)
-                    seen[key] = len(own), bands_of(own, BANDS, VALUES, probes)
+                    seen[key] = paragraph_set(words, at, end)
+            sets += seen.values()
             for name, value in zip(names, (
                     doc_id, words.digest(0, words.n), int(words.starts[0]), int(words.ends[-1]), windows(words)[0],
                     [x[0] for x in lines], [int(words.starts[x[1]]) for x in lines], [int(words.ends[x[2] - 1]) for x in lines],
-                    list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()])):
+                    list(seen), [len(x) for x in seen.values()], None)):
                 out[name].append(value)
+        # The buckets of all paragraphs at once.
+        buckets = many_bands(sets, BANDS, VALUES, probes) if sets else np.zeros((0, BANDS), np.int64)
+        ends = np.cumsum([len(x) for x in out["new_key"]])
+        out["new_buckets"] = [list(buckets[a:b]) for a, b in zip([0, *ends[:-1]], ends)] if len(ends) else []
         return out
 
     return map_rows(docs.select("doc_id", "text"), run, UNITS)
@@ -177,7 +194,7 @@ def runs(docs: DataFrame, seeds: np.ndarray, aside: np.ndarray | None = None) ->
             # Places that lie in reach of a window.
             reach = np.zeros(words.n + 1, np.int32)
             np.add.at(reach, np.maximum(at - (MIN_WORDS - WINDOW), 0), 1)
-            np.add.at(reach, at + 1, -1)
+            reach[at + 1] -= 1
             first = np.flatnonzero(np.cumsum(reach[:words.n - MIN_WORDS + 1]) > 0)
             if holes and rows["lost"][i]:
                 # The first span that ends behind the run's start must begin behind its end.
@@ -284,14 +301,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # Each paragraph goes into its buckets once, from its first document.
     new = firsts.select("doc_id", F.inline(F.arrays_zip("new_key", "new_n", "new_buckets"))).toDF("source", "key", "n", "buckets")
     members = new.join(nodes.select("key", "source"), ["key", "source"]).select(
-        F.explode("buckets").alias("bucket"), F.col("key").alias("node"), F.col("n").cast("long").alias("n"))
+        F.explode("buckets").alias("bucket"), F.col("key").alias("node"))
+    sizes = new.groupBy(F.col("key").alias("node")).agg(F.max("n").alias("n"))
 
     def sets(wanted: DataFrame) -> DataFrame:
         own = stored(nodes.join(wanted.select(F.col("node").alias("key")), "key", "left_semi").select(
             "source", F.col("key").bitwiseXOR(F.col("source")).alias("crossed")), "wanted")
         return paragraph_sets(docs, key_filter(own.select("source").distinct(), "source"), key_filter(own, "crossed"))
 
-    linked = stored(link(members, sets), "linked")
+    linked = stored(link(members, sizes, sets), "linked")
     comp = nodes.join(linked.select(F.col("node").alias("key"), "component"), "key", "left").withColumn(
         "component", F.coalesce("component", "key"))
     first = comp.groupBy("component").agg(F.min("source").alias("source"), F.max("last").alias("last")).where("source < last")

@@ -60,6 +60,17 @@ def test_keep_one(docs, texts):
     assert {r.doc_id for r in kept.collect()} == {None} | {i for i, v in brute(texts).items() if v[2]}
 
 
+def test_bands_of_many_sets():
+    """Many at once are the same as one by one, also where few bins are full."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64) << np.uint64(1)) for n in (1, 2, 3, 5, 40, 96, 400, 3000, 1, 7)]
+    for bands, values in ((48, 4), (32, 3)):
+        for tries in (64, 2):
+            probes = near._probes(bands * values, tries)
+            got = near.many_bands(sets, bands, values, probes)
+            assert all((row == near.bands_of(s, bands, values, probes)).all() for row, s in zip(got, sets))
+
+
 def test_recall_of_bands():
     """Pairs at the threshold share a bucket."""
     rng, missed = np.random.default_rng(5), 0
@@ -131,6 +142,16 @@ def test_passage_goes_to_its_ends(spark):
     assert clean == texts | {3: texts[3][:33] + texts[3][83:], 4: texts[4][:7] + texts[4][67:]}
 
 
+def test_windows_are_least_of_neighbours():
+    rng = random.Random(6)
+    for n in (50, 51, 69, 300):
+        w = passages.Words(" ".join(f"z{rng.randrange(40)}" for _ in range(n)))
+        w.places()
+        h = w.hashes[:n - passages.WINDOW + 1]
+        want = {p for i in range(len(h) - passages.SPREAD + 1) for p in range(i, i + passages.SPREAD) if h[p] == h[i:i + passages.SPREAD].min()}
+        assert set(passages.windows(w)[1].tolist()) == want
+
+
 def test_run_keys():
     """Equal runs have equal keys and others do not, at any length."""
     rng = np.random.default_rng(3)
@@ -235,7 +256,7 @@ def test_recall_of_paragraph_bands():
         n = (46, 53, 140)[k % 3]
         rest = -(-n // 7)  # 6 of 8 parts are shared: an index of 0.75 or just below
         both, a, b = (rng.integers(0, 2**63, m, dtype=np.int64).astype(np.uint64) for m in (n - rest, rest, rest))
-        x, y = (passages.bands_of(np.unique(np.concatenate((both, z))), passages.BANDS, passages.VALUES, probes) for z in (a, b))
+        x, y = (near.bands_of(np.unique(np.concatenate((both, z))), passages.BANDS, passages.VALUES, probes) for z in (a, b))
         missed += not set(x.tolist()) & set(y.tolist())
     assert missed == 0
 
