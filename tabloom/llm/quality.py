@@ -32,15 +32,12 @@ RESULT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
           "kept boolean, n_lines long, n_bad_lines long, n_bad_words long, bad_rules string")
 
 
-def is_notice(line: str, words: list[str], substrings: bool) -> bool:
-    if len(words) > NOTICE_WORDS:
-        return False
-    low = lower_ascii(line)
-    return any(x.encode() in low for x in NOTICES) if substrings else bool(_NOTICE.search(low))
+def is_notice(line: str, words: list[str]) -> bool:
+    return len(words) <= NOTICE_WORDS and bool(_NOTICE.search(lower_ascii(line)))
 
 
-def line_rule(line: str, words: list[str], substrings: bool = False) -> str | None:
-    """The rule that a line with words, judged alone, fails, if any.  Notices are whole words unless ``substrings``."""
+def line_rule(line: str, words: list[str]) -> str | None:
+    """The rule that a line with words, judged alone, fails, if any.  Notices are whole words."""
     n = len(words)
     if 5 * sum(w in SEPARATORS for w in words) >= n:
         return "navigation"
@@ -56,7 +53,7 @@ def line_rule(line: str, words: list[str], substrings: bool = False) -> str | No
         return "dull"
     if not any(w.endswith(TERMINAL) for w in words):
         return "punctuation"
-    return "notice" if is_notice(line, words, substrings) else None
+    return "notice" if is_notice(line, words) else None
 
 
 def join_wrapped(lines: list[tuple[str, list[str]]], rules: list[str | None]) -> None:
@@ -71,7 +68,7 @@ def join_wrapped(lines: list[tuple[str, list[str]]], rules: list[str | None]) ->
         if any(rules[i] is None for i in unit):
             for i in unit:
                 if rules[i]:
-                    rules[i] = "notice" if is_notice(*lines[i], False) else None
+                    rules[i] = "notice" if is_notice(*lines[i]) else None
         unit.clear()
 
     for i, (_, words) in enumerate(lines):
@@ -101,11 +98,8 @@ def ascii_split(line: str) -> list[str]:
     return [w.decode() for w in line.encode().split()]
 
 
-def judge(text: str | None, alone: bool = False) -> tuple[tuple, str | None]:
-    """The counts and the verdict on one text, and the text without failing lines.
-
-    ``alone``: each line is judged by itself and notices as substrings, as the SQL of ``op9_quality`` says.
-    """
+def judge(text: str | None) -> tuple[tuple, str | None]:
+    """The counts and the verdict on one text, and the text without failing lines."""
     text = text or ""
     words = text.encode().split()
     n = len(words)
@@ -114,8 +108,8 @@ def judge(text: str | None, alone: bool = False) -> tuple[tuple, str | None]:
     repeats = repeat_words(words)
     seen, dups, lines, bad, bad_words, good, rules = set(), 0, 0, 0, 0, [], set()
     cut = [(line, ascii_split(line)) for line in text.split("\n")]
-    found = [line_rule(line, own, alone) if own else None for line, own in cut]
-    if not alone and "punctuation" in found:
+    found = [line_rule(line, own) if own else None for line, own in cut]
+    if "punctuation" in found:
         join_wrapped(cut, found)
     for (line, own), rule in zip(cut, found):
         if own:
@@ -134,13 +128,13 @@ def judge(text: str | None, alone: bool = False) -> tuple[tuple, str | None]:
         text if not bad else "\n".join(good))
 
 
-def judge_documents(docs: DataFrame, text: str = "text", with_text: bool = False, alone: bool = False) -> DataFrame:
+def judge_documents(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
     """``docs`` without its text, with the counts, the verdict and, if asked, the cleaned text.
 
     Lines are the parts between line feeds; a line without words is neither
-    judged nor removed.  Lines of one wrapped sentence are judged together,
-    unless ``alone`` is asked for (see ``judge``).  A document goes if its failing lines hold more than
-    ``MAX_LOSS`` percent of its words, if it has under ``MIN_WORDS`` words or
+    judged nor removed.  Lines of one wrapped sentence are judged together.
+    A document goes if its failing lines hold more than ``MAX_LOSS`` percent
+    of its words, if it has under ``MIN_WORDS`` words or
     more than ``MAX_REPEAT`` percent of repeated windows.
 
     A null or empty text has no words and fails; a text of any length is read
@@ -151,7 +145,7 @@ def judge_documents(docs: DataFrame, text: str = "text", with_text: bool = False
     names = [x.split()[0] for x in RESULT.split(", ")]
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        found = [judge(t, alone) for t in rows["text"]]
+        found = [judge(t) for t in rows["text"]]
         out = {"doc_id": rows["doc_id"]} | {n: [f[0][i] for f in found] for i, n in enumerate(names)}
         return out | ({"cleaned": [f[1] for f in found]} if with_text else {})
 

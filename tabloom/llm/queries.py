@@ -88,18 +88,25 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS tex
 tri AS (SELECT rid, i, concat(w[i], ' ', w[i + 1], ' ', w[i + 2]) AS win FROM d, unnest(range(1, len(w) - 1)) AS t(i)),
 again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM tri) WHERE n > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM again, unnest(range(i, i + 3)) AS u(p) GROUP BY rid),
-lines AS (SELECT rid, line, regexp_extract_all(line, '{TOKEN_SQL}') AS lw
-          FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)),
+lines AS (SELECT rid, i, ls[i] AS line, regexp_extract_all(ls[i], '{TOKEN_SQL}') AS lw
+          FROM (SELECT rid, string_split(text, chr(10)) AS ls FROM d), unnest(range(1, len(ls) + 1)) AS t(i)),
 dup AS (SELECT rid, sum(n - 1) AS n FROM (SELECT rid, line, count(*) AS n FROM lines WHERE len(lw) > 0 GROUP BY rid, line)
         GROUP BY rid),
-bad AS (SELECT rid, sum(len(lw)) AS n FROM lines WHERE len(lw) > 0 AND (
+hard AS (SELECT *, len(lw) > 0 AND (
     5 * len([x FOR x IN lw IF x IN ({_strings(SEPARATORS)})]) >= len(lw)
     OR 10 * len(regexp_extract_all(line, '[#*$%&|<>]')) > length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g'))
     OR (len(lw) >= {SHOUT_WORDS} AND len(regexp_extract_all(line, '[A-Z]')) > len(regexp_extract_all(line, '[a-z]')))
-    OR (len(lw) >= {DULL_WORDS} AND 5 * len(list_distinct(lw)) < len(lw))
-    OR len([x FOR x IN lw IF {" OR ".join(f"ends_with(x, {_strings([t])})" for t in TERMINAL)}]) = 0
-    OR (len(lw) <= {NOTICE_WORDS} AND ({" OR ".join(f"contains({_LOWER.format('line')}, {_strings([n])})" for n in NOTICES)})))
-    GROUP BY rid),
+    OR (len(lw) >= {DULL_WORDS} AND 5 * len(list_distinct(lw)) < len(lw))) AS hard,
+    len([x FOR x IN lw IF {" OR ".join(f"ends_with(x, {_strings([t])})" for t in TERMINAL)}]) = 0 AS dry,
+    len(lw) > 0 AND ({" OR ".join(f"ends_with(lw[len(lw)], {_strings([t])})" for t in TERMINAL)}) AS ends,
+    len(lw) <= {NOTICE_WORDS} AND regexp_matches({_LOWER.format('line')},
+        '(^|[^a-z0-9\\x{{80}}-\\x{{10FFFF}}])({"|".join(NOTICES)})($|[^a-z0-9\\x{{80}}-\\x{{10FFFF}}])') AS notice FROM lines),
+own AS (SELECT *, len(lw) > 0 AND NOT hard AND (dry OR NOT notice) AS part FROM hard),
+joined AS (SELECT *, part AND coalesce(lag(part AND NOT ends) OVER (PARTITION BY rid ORDER BY i), false) AS goes_on FROM own),
+unit AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS unit FROM joined),
+told AS (SELECT *, bool_or(part AND NOT dry) OVER (PARTITION BY rid, unit) AS marked FROM unit),
+bad AS (SELECT rid, sum(len(lw)) AS n FROM told WHERE len(lw) > 0 AND (
+    hard OR (NOT dry AND notice) OR (dry AND (NOT marked OR notice))) GROUP BY rid),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
       CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars,
       CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
@@ -110,7 +117,7 @@ j AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_words, base_failed,
        NOT base_failed AND 100 * n_bad_words <= {MAX_LOSS} * n_words AS kept FROM j""")
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return judge_documents(table(spark, folder, "documents"), alone=True).select(
+    return judge_documents(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_bad_words", "base_failed", "kept")
 
 

@@ -34,3 +34,29 @@ def test_stages(spark, sf):
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
     ran = corpus_pipeline.run(spark, sf)
     assert sorted(map(tuple, ran.collect())) == sorted(map(tuple, packed.select(ran.columns).collect()))
+
+
+def test_stages_of_nothing(spark, sf):
+    """An empty table, and one of which the first stage keeps nothing, pass through all stages."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for start in (docs.limit(0), docs.limit(3).withColumn("text", docs.doc_id.cast("string"))):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            path = work_path(spark, name)
+            stage(spark, now, sf).write.parquet(path)
+            now = spark.read.parquet(path)
+            assert now.count() == 0
+            assert name == "packing" or now.columns == docs.columns
+
+
+def test_repeated_ids(spark, sf):
+    """Rows with one id and different texts are documents that stay or go together."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 600").limit(30)
+    twice = docs.unionByName(docs.withColumn("doc_id", docs.doc_id * 0 + 7))
+    now = twice
+    for name, stage in corpus_pipeline.STAGES:
+        path = work_path(spark, name)
+        stage(spark, now, sf).write.parquet(path)
+        now = spark.read.parquet(path)
+    pieces = now.groupBy("doc_id", "piece", "start").count().count()
+    assert now.count() >= pieces > 0
