@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tabloom.functions.text import quoted
-from tabloom.operators.runs import block_of, previous
 from tabloom.session import work_path
 from tabloom.sinks.load import path_exists
 from tabloom.streaming.alerts import Rule, judged
@@ -108,38 +108,65 @@ def windowed_summary(stream: DataFrame, ts: str, every: str, aggs: Mapping[str,
         *[c.alias(n) for n, c in aggs.items()])
 
 
+# State of keys in a store that writes what has changed.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def with_last(stream: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], again: str) -> DataFrame:
+    """Each row of a stream with the ``values`` of its key's row before, and the ``again`` of the one before that.
+
+    Rows of a key stand in ``order`` within a batch.  A key's last row is kept
+    as keyed state, so a batch writes the state of its own keys only.
+    """
+    kept = T.StructType([stream.schema[v] for v in values] + [T.StructField(f"prev_{again}", stream.schema[again].dataType)])
+    added = [T.StructField("known", T.BooleanType())] + [T.StructField(f"prev_{f.name}", f.dataType) for f in kept]
+    names, place = stream.columns, [stream.columns.index(v) for v in values]
+    at, old, shown = stream.columns.index(order), values.index(again), [*names, *[f.name for f in added]]
+
+    # Defined here, so that it travels by value to the workers.
+    class Last(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.last = handle.getValueState("last", kept)
+
+        def handleInputRows(self, key, rows, timerValues):
+            held = tuple(self.last.get()) if self.last.exists() else None
+            for row in sorted(rows, key=lambda r: r[at]):
+                yield Row(*shown)(*row, held is not None, *(held or [None] * (len(place) + 1)))
+                held = (*[row[i] for i in place], held[old] if held else None)
+            self.last.update(held)
+
+        def close(self) -> None:
+            pass
+
+    return stream.groupBy(*[quoted(k) for k in keys]).transformWithState(
+        Last(), T.StructType([*[stream.schema[n] for n in names], *added]), "append", "none")
+
+
 def alert_stream(stream: DataFrame, rule: Rule, keys: Sequence[str], target: str, tick: str = "tick") -> None:
     """Judge a stream of observations, remembering each key's last one.
 
     Batch by batch this equals ``alerts.alert`` over the whole history when
-    ticks arrive in order.  The state is a table with one row per key, stored
-    beside the results under the batch's number.
+    ticks arrive in order.  A key's last observation is keyed state of the
+    query; results are stored under their batch's number.
     """
-    spark = stream.sparkSession
-    root = target.rstrip("/")
+    spark, root = stream.sparkSession, target.rstrip("/")
+    chained = with_last(stream, keys, tick, ["rows", "value", "hash"], "hash")
 
     def commit(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumn("__held", F.lit(None).cast("boolean"))
-        if epoch > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{root}/state/epoch={epoch - 1}"))
-        block = block_of(quoted(tick))
-        chained = previous(rows, keys, tick, ["hash"], block)
         fired, seen, error = judged(rule, F.col("rows"), F.col("value"), F.col("hash"), F.col("prev_hash"))
-        known = chained.withColumn("fired", F.coalesce("__held", fired)).withColumn("seen", seen).withColumn("error", error)
-        before = previous(known, keys, tick, ["fired"], block)
-        notify = F.col("fired") & ~F.coalesce("prev_fired", F.lit(False)) if rule.edge else F.col("fired")
-        # Stored once; the results and the next state are both read from it.
-        part = f"{root}/judged/epoch={epoch}"
-        before.withColumn("notify", notify).drop("prev_hash", "prev_fired").write.mode("overwrite").parquet(part)
-        done = spark.read.parquet(part)
-        done.where(F.col("__held").isNull()).drop("__held").write.mode("overwrite").parquet(f"{root}/alerts/batch={epoch}")
-        last = done.groupBy(*[quoted(k) for k in keys]).agg(
-            F.max_by(F.struct(*[quoted(c) for c in batch.columns if c not in keys], F.col("fired").alias("__held")),
-                     quoted(tick)).alias("__last"))
-        last.select(*[quoted(k) for k in keys], "__last.*").select(*[quoted(c) for c in batch.columns], "__held").write.mode(
-            "overwrite").parquet(f"{root}/state/epoch={epoch}")
-
-    run_available(stream, commit, f"{root}/_checkpoint")
+        before, _, _ = judged(rule, F.col("prev_rows"), F.col("prev_value"), F.col("prev_hash"), F.col("prev_prev_hash"))
+        held = F.col("known") & before
+        out = batch.select(*[quoted(c) for c in stream.columns], fired.alias("fired"), seen.alias("seen"), error.alias("error"), held.alias("held"))
+        notify = F.col("fired") & ~F.coalesce("held", F.lit(False)) if rule.edge else F.col("fired")
+        out.withColumn("notify", notify).drop("held").write.mode("overwrite").parquet(f"{root}/alerts/batch={epoch}")
+
+    name, provider = STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        run_available(chained, commit, f"{root}/_checkpoint")
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def read_alerts(spark: SparkSession, target: str) -> DataFrame:

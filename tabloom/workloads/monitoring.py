@@ -59,7 +59,7 @@ def alert_changed_quiet(t):
 
 
 @query("alert_text_error", f"""SELECT event_type, tick, false AS fired,
-  'the alert compares the first column with a number, but the value is "' || event_type || '"' AS error FROM {_OBS_SQL}""")
+  'a number is expected in the first column, not "' || event_type || '"' AS error FROM {_OBS_SQL}""")
 def alert_text_error(t):
     obs = _observations(t).withColumn("value", F.col("event_type"))
     return al.alert(obs, al.Rule("value", ">", "1"), ["event_type"]).select("event_type", "tick", "fired", "error")

@@ -75,7 +75,7 @@ def test_alert_truth_table(spark, rule, state, fired, seen):
 
 def test_alert_errors(spark):
     fired, _, error = judge(spark, R("value", ">", "1"), value="A-1")
-    assert not fired and error == 'the alert compares the first column with a number, but the value is "A-1"'
+    assert not fired and error == 'a number is expected in the first column, not "A-1"'
     with pytest.raises(ValueError, match="no result column"):
         al.metric_column(spark.range(1), "missing")
     with pytest.raises(ValueError):
