@@ -26,7 +26,7 @@ UNITS = ("doc_id long, key long, start int, end int, win_key array<long>, "
          "line_key array<long>, line_start array<int>, line_end array<int>, "
          "new_key array<long>, new_n array<int>, new_buckets array<array<long>>")
 # Word keys that a worker keeps.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
