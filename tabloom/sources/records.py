@@ -95,11 +95,15 @@ def quote_blocks(lines: DataFrame, sep: str) -> DataFrame:
     scanned = scanned.withColumn("after", after).withColumn("quoted", F.lag("after", 1, False).over(_blocks()))
     begun = F.when(F.col("after"), F.when(F.col("quoted"), F.col("b.row")).otherwise(F.col("a.row")))
     return scanned.withColumn("begun", begun).select(
-        FILE, BLOCK, "quoted", "open_end", F.last("begun", True).over(_before(_blocks())).alias("begun"))
+        FILE, BLOCK, "quoted", "open_end", F.col("after").alias("left_open"), F.last("begun", True).over(_before(_blocks())).alias("begun"))
 
 
 def quoted_records(spark: SparkSession, path: str, sep: str) -> DataFrame | None:
-    """``value``, place and ``first`` of every record, or None if each record is one line."""
+    """``value``, place and ``first`` of every record, or None if each record is one line.
+
+    Records stand in order within a block; only those that lie across a
+    border of blocks are shuffled once more.
+    """
     lines = pieces(spark, path, "\n")
     blocks = materialize(quote_blocks(lines, sep), "blocks")
     if not blocks.where("open_end").limit(1).collect():
@@ -112,12 +116,15 @@ def quoted_records(spark: SparkSession, path: str, sep: str) -> DataFrame | None
     after = (F.coalesce("set", F.col("quoted").cast("int")) + F.col("turned")) % 2 == 1
     rows = rows.withColumn("after", after).withColumn("inside", F.coalesce(F.lag("after").over(_in_block()), "quoted"))
     first = (F.col(BLOCK) == 0) & (F.row_number().over(_in_block()) == 1)
-    rows = rows.withColumn("key", F.coalesce(F.last(F.when(~F.col("inside"), F.col(ROW)), True).over(_upto(_in_block())), "begun")).select(
-        "value", FILE, BLOCK, ROW, "key", first.alias(FIRST), (~F.col("inside") & ~F.col("after")).alias("whole"))
-    parts = rows.where("not whole").groupBy(FILE, F.col("key").alias(ROW)).agg(
+    rows = rows.withColumn("start", F.last(F.when(~F.col("inside"), F.col(ROW)), True).over(_upto(_in_block())))
+    rows = rows.withColumn("last_start", F.max("start").over(Window.partitionBy(FILE, BLOCK)))
+    cross = F.col("start").isNull() | F.col("left_open") & (F.col("start") == F.col("last_start"))
+    rows = rows.select("value", FILE, BLOCK, ROW, F.coalesce("start", "begun").alias("key"), first.alias(FIRST), cross.alias("cross"))
+    inner = rows.where("not cross").groupBy(FILE, BLOCK, "key").agg(F.max(FIRST).alias(FIRST), _in_order("\n").alias("value")).select(
+        "value", FILE, BLOCK, F.col("key").alias(ROW), FIRST).sortWithinPartitions(FILE, BLOCK, ROW)
+    across = rows.where("cross").groupBy(FILE, F.col("key").alias(ROW)).agg(
         F.min(BLOCK).alias(BLOCK), F.max(FIRST).alias(FIRST), _in_order("\n").alias("value"))
-    every = rows.where("whole").select("value", FILE, BLOCK, ROW, FIRST).unionByName(parts)
-    return every.withColumn("value", F.regexp_replace("value", "\r$", "")).where("value <> ''")
+    return inner.unionByName(across).withColumn("value", F.regexp_replace("value", "\r$", "")).where("value <> ''")
 
 
 def _in_order(between: str) -> Column:
@@ -158,13 +165,15 @@ def array_records(spark: SparkSession, path: str) -> DataFrame:
     carried = blocks.join(closed, [FILE, BLOCK], "left").select(
         FILE, BLOCK, "quoted", "deep", F.last("closed", True).over(_before(_blocks())).alias("carried"))
     rows = _closed(marked, carried)
-    key = F.coalesce(F.last(F.when(F.col("ends"), F.col(ROW)), True).over(_before(_in_block())), "carried", F.lit(-1))
-    rows = rows.select("value", FILE, BLOCK, ROW, "ends", key.alias("key"), F.row_number().over(_in_block()).alias("nth"))
-    one = F.col("ends") & (F.coalesce(F.lag("ends").over(_in_block()), F.lit(False)))
-    rows = rows.withColumn("whole", one)
-    many = rows.where("not whole").groupBy(FILE, "key").agg(
+    rows = rows.withColumn("earlier", F.last(F.when(F.col("ends"), F.col(ROW)), True).over(_before(_in_block())))
+    rows = rows.withColumn("last_end", F.max(F.when(F.col("ends"), F.col(ROW))).over(Window.partitionBy(FILE, BLOCK)))
+    cross = F.col("earlier").isNull() & (F.col(BLOCK) > 0) | F.col("last_end").isNull() | (F.col(ROW) > F.col("last_end"))
+    rows = rows.select("value", FILE, BLOCK, ROW, "ends", F.coalesce("earlier", "carried", F.lit(-1)).alias("key"), cross.alias("cross"))
+    inner = rows.where("not cross").groupBy(FILE, BLOCK, "key").agg(F.min(ROW).alias(ROW), _in_order("}").alias("value")).select(
+        "value", FILE, BLOCK, ROW, "key").sortWithinPartitions(FILE, BLOCK, ROW)
+    across = rows.where("cross").groupBy(FILE, "key").agg(
         F.min(BLOCK).alias(BLOCK), F.min(ROW).alias(ROW), F.max("ends").alias("ends"), _in_order("}").alias("value")).where("ends")
-    every = rows.where("whole").select("value", FILE, BLOCK, ROW, "key").unionByName(many.select("value", FILE, BLOCK, ROW, "key"))
+    every = inner.unionByName(across.select("value", FILE, BLOCK, ROW, "key"))
     opening = F.when(F.col("key") == -1, r"^\s*\[\s*").otherwise(r"^\s*,\s*")
     return every.select(F.concat(F.regexp_replace(F.col("value"), opening, F.lit("")), F.lit("}")).alias("value"), FILE, BLOCK, ROW)
 
