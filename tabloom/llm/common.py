@@ -91,9 +91,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def worker_state() -> types.ModuleType:
-    """A place that lives as long as the worker process does."""
-    return sys.modules.setdefault("_tabloom_worker", types.ModuleType("_tabloom_worker"))
+def worker_state(owner: str) -> types.ModuleType:
+    """A place that lives as long as the worker process does, and is emptied when another ``owner`` asks for it.
+
+    Workers go on from stage to stage, so what one operator keeps must not
+    stand beside what the next one does.
+    """
+    state = sys.modules.setdefault("_tabloom_worker", types.ModuleType("_tabloom_worker"))
+    if getattr(state, "owner", None) != owner:
+        vars(state).clear()
+        state.owner = owner
+    return state
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

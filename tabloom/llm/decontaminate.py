@@ -30,7 +30,7 @@ def windows(text: str | None, size: int = WINDOW) -> set[str]:
 
 def held(name: str, part: list[tuple[str, str]], size: int) -> ahocorasick.Automaton | None:
     """The automaton of a block, built once in a worker process."""
-    state = worker_state()
+    state = worker_state("decontaminate")
     if getattr(state, "automaton", (None,))[0] != (name, size):
         state.automaton = ((name, size), automaton(part, size))
     return state.automaton[1]

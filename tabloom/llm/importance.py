@@ -61,7 +61,7 @@ class Shift:
 
 
 def shifter() -> Shift:
-    state = worker_state()
+    state = worker_state("importance")
     if not hasattr(state, "shifter"):
         state.shifter = Shift()
     return state.shifter

@@ -146,7 +146,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", notices: dict[str, str] =
     names = [x.split()[0] for x in RESULT.split(", ")]
 
     def run(rows: dict[str, list]) -> dict[str, list]:
-        state = worker_state()
+        state = worker_state("licenses")
         key = (tuple(notices.items()), tuple(phrases.items()))
         if getattr(state, "catalog", (None,))[0] != key:
             state.catalog = (key, Catalog(notices, phrases))

@@ -39,7 +39,7 @@ class _Keys(dict):
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
-    state = worker_state()
+    state = worker_state("passages")
     cache = getattr(state, "word_keys", None)
     if cache is None or len(cache) > CACHE_WORDS:
         cache = state.word_keys = _Keys()

@@ -13,7 +13,7 @@ from tabloom.llm.common import worker_state
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
 # Parts that a worker keeps the ids of, parts that are learnt in one call, and characters that are cut in one go.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 BATCH_WORDS = 20_000
 BATCH_CHARS = 8_000_000
 # White space other than single spaces and line feeds, which are looked at on their own.
@@ -122,7 +122,7 @@ def plain_spaces(text: str) -> bool:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a file; it lives as long as the worker."""
-    state = worker_state()
+    state = worker_state("tokens")
     if getattr(state, "encoder", (None,))[0] != path:
         state.encoder = (path, Encoder(path))
     return state.encoder[1]
