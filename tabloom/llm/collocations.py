@@ -234,7 +234,8 @@ def grow(rows: DataFrame, words: DataFrame, word: np.ndarray, starts: DataFrame,
         new = found if new is None else new.unionByName(found)
     # Some may have been counted as tails before.
     counts = known.unionByName(new.join(known, "key", "left_anti"))
-    around = stored(described(rows, first, prefixes, longest).join(new, "key"), "around")
+    # First words that pass the filter by chance are grown in their own lot, if at all.
+    around = stored(described(rows, first, prefixes, longest).join(new, "key").join(starts.select(F.col("key").alias("w1")), "w1", "left_semi"), "around")
     cut = stored(cuts(around, longest), "cuts")
     # Tails begin with other words; those not grown yet are counted on their own.
     missing = stored(cut.where("tail_size > 1").select(F.col("tail").alias("key"), F.col("tail_size").alias("size")).distinct().join(

@@ -174,6 +174,13 @@ def test_collocations(spark, phrases, least, top, longest):
     assert len(got) == len({(r.lang, r.rank) for r in got})
 
 
+def test_collocations_of_many_words(spark):
+    """First words of the second lot that pass the first one's filter by chance are found once."""
+    rows = [("en", ". ".join(f"w{i}" for i in range(4000))) for _ in range(4)] + [("en", ". ".join(f"h{i} t{i}" for i in range(200))) for _ in range(16)]
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"), 4, 2000, 3).collect()
+    assert sorted(tuple(r) for r in got) == sorted(plain_collocations(rows, 4, 2000, 3))
+
+
 def test_collocations_odd(spark, docs, nothing):
     assert collocations.collocations(nothing).count() == 0
     assert collocations.collocations(docs, 10**6).count() == 0
