@@ -42,21 +42,27 @@ def record_number(df: DataFrame, position) -> int:
 
 
 def first_bytes(spark: SparkSession, path: str, size: int = PEEK_BYTES) -> bytes:
-    """The beginning of the first file below ``path``; nothing else is read."""
-    row = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-           .select("path", "length").where("length > 0").orderBy("path").limit(1).collect())
-    if not row:
-        return b""
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(row[0].path)
-    stream = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop_path)
-    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(hadoop_path)
-    try:
-        source = codec.createInputStream(stream) if codec is not None else stream
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(
-            jvm.org.apache.commons.io.input.BoundedInputStream(source, size)))
-    finally:
-        stream.close()
+    """The beginning of the first file with content below ``path``; nothing else is read.
+
+    A compressed file without content has bytes of its own, so it is only
+    known when it is opened.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+            .select("path", "length").where("length > 0").orderBy("path"))
+    for row in rows.toLocalIterator():
+        hadoop_path = jvm.org.apache.hadoop.fs.Path(row.path)
+        stream = hadoop_path.getFileSystem(conf).open(hadoop_path)
+        try:
+            codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(hadoop_path)
+            source = codec.createInputStream(stream) if codec is not None else stream
+            head = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(
+                jvm.org.apache.commons.io.input.BoundedInputStream(source, size)))
+        finally:
+            stream.close()
+        if head:
+            return head
+    return b""
 
 
 def detect_delimiter(head: str) -> str:

@@ -55,6 +55,16 @@ def test_empty_file(spark, tmp_path):
     assert src.read_delimited(spark, put(tmp_path, "e.csv", "")).columns == []
 
 
+def test_gzip_files_without_rows_come_first(spark, tmp_path):
+    """A task without rows leaves a file that is empty, but not of length 0."""
+    put(tmp_path, "part-0.csv.gz", gzip.compress(b""))
+    put(tmp_path, "part-1.csv.gz", gzip.compress(b""))
+    put(tmp_path, "part-2.csv.gz", gzip.compress(b"a|b\n1|2\n"))
+    found = src.read_delimited(spark, str(tmp_path))
+    assert found.columns == ["a", "b"] and cells(found) == [("1", "2")]
+    assert src.first_bytes(spark, put(tmp_path, "none.gz", gzip.compress(b""))) == b""
+
+
 def test_gzip(spark, tmp_path):
     path = put(tmp_path, "z.csv.gz", gzip.compress(b"a|b\n1|2\n"))
     assert cells(src.read_delimited(spark, path)) == [("1", "2")]
