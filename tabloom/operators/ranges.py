@@ -14,7 +14,7 @@ from tabloom.operators.browse import field_of, page_limit
 from tabloom.operators.verify import row_digest
 from tabloom.session import materialize
 
-# Ranges that are compared at once, into how many parts a differing one is cut, and from which size its rows are compared.
+# Ranges that are compared at once, cells for each of them, and from which size rows are compared.
 OPEN_RANGES = 256
 FAN = 64
 LEAF_ROWS = 20_000
@@ -115,36 +115,37 @@ def row_hash(df: DataFrame) -> Column:
 def differing_ranges(source: DataFrame, target: DataFrame, key: str, leaf_rows: int = LEAF_ROWS) -> list[tuple[int, int]]:
     """Ranges of a whole-number key in which the two sides have other rows; they are cut until they are small.
 
-    A level compares counts and sums of row hashes of at most ``OPEN_RANGES``
-    ranges in ``FAN`` parts each, and the next one reads only what differed:
-    its ranges are conditions on the key.  The driver holds ranges, no rows.
+    A level compares counts and sums of row hashes of cells of 2^n keys, as
+    small as leaves ``OPEN_RANGES * FAN`` cells, and the next one reads only
+    what differed: its ranges are conditions on the key.  A level that neither
+    rules out half of its rows nor leaves a ``FAN``-th of the keys is the
+    last, so differences all over the key end the search at once.  The driver
+    holds ranges, no rows.
     """
-    ends = [df.agg(F.min(quoted(key)).alias("a"), F.max(quoted(key)).alias("b")).first() for df in (source, target)]
+    ends = [df.agg(F.min(quoted(key)).alias("a"), F.max(quoted(key)).alias("b"), F.count(F.lit(1)).alias("n")).first() for df in (source, target)]
     known = [(int(r.a), int(r.b)) for r in ends if r.a is not None]
     if not known:
         return []
     open_, done = [(min(a for a, _ in known), max(b for _, b in known))], []
+    rows = max(r.n for r in ends)
     while open_:
-        wide = [max(1, -(-(b - a + 1) // FAN)) for a, b in open_]
-        starts, steps = (F.array(*[F.lit(v).cast("decimal(20,0)") for v in values]) for values in ([a for a, _ in open_], wide))
+        bits = next(n for n in range(65) if sum((b >> n) - (a >> n) + 1 for a, b in open_) <= OPEN_RANGES * FAN)
+        # The sign is all that 64 bits leave, as 63 do.
+        cell = F.shiftright(quoted(key).cast("bigint"), min(bits, 63)).alias("cell")
         inside = reduce(or_, [quoted(key).between(F.lit(a), F.lit(b)) for a, b in open_])
-        sides = []
-        for name, df in (("s", source), ("t", target)):
-            rows = df.where(inside).select(quoted(key).cast("decimal(20,0)").alias("k"), row_hash(df).alias("h"))
-            at = F.size(F.filter(starts, lambda x: x <= F.col("k")))
-            part = F.floor((F.col("k") - F.element_at(starts, at)) / F.element_at(steps, at)).cast("int")
-            sides.append(rows.groupBy(at.alias("range"), part.alias("part")).agg(
-                F.count(F.lit(1)).alias(f"{name}_n"), F.sum("h").alias(f"{name}_h")))
-        # At most OPEN_RANGES * FAN rows.
-        both = sides[0].join(sides[1], ["range", "part"], "full").where(
+        sides = [df.where(inside).select(cell, row_hash(df).alias("h")).groupBy("cell").agg(
+            F.count(F.lit(1)).alias(f"{name}_n"), F.sum("h").alias(f"{name}_h")) for name, df in (("s", source), ("t", target))]
+        both = sides[0].join(sides[1], "cell", "full").where(
             ~(F.col("s_n").eqNullSafe(F.col("t_n")) & F.col("s_h").eqNullSafe(F.col("t_h"))))
-        found = []
-        for r in both.collect():
-            low, high = open_[r.range - 1]
-            a = low + r.part * wide[r.range - 1]
-            found.append((a, min(a + wide[r.range - 1] - 1, high), max(r.s_n or 0, r.t_n or 0)))
+        found = [(r.cell << bits, ((r.cell + 1) << bits) - 1, max(r.s_n or 0, r.t_n or 0)) for r in both.collect()]
         done += [(a, b) for a, b, n in found if n <= leaf_rows or a == b]
-        open_ = _fewer(sorted((a, b) for a, b, n in found if n > leaf_rows and a < b))
+        large = [(a, b, n) for a, b, n in found if n > leaf_rows and a < b]
+        low, high, before = open_[0][0], open_[-1][1], sum(b - a + 1 for a, b in open_)
+        open_ = _fewer(sorted((max(a, low), min(b, high)) for a, b, _ in large))
+        left = sum(n for _, _, n in large)
+        if 2 * left > rows and FAN * sum(b - a + 1 for a, b in open_) > before:
+            done, open_ = done + open_, []
+        rows = left
     return _fewer(sorted(done))
 
 

@@ -182,6 +182,16 @@ def test_differences(spark, tmp_path):
     assert text == {"v100", "changed", "v2000", "v3000", "far", "v1", "n", "m"}
 
 
+def test_differences_all_over_the_key_end_the_search(spark, monkeypatch):
+    """Every cell differs and is larger than a leaf, so no level rules anything out."""
+    monkeypatch.setattr(ranges, "OPEN_RANGES", 2)
+    monkeypatch.setattr(ranges, "FAN", 4)
+    a = spark.range(-300, 1000).select("id", (F.col("id") % 7).alias("v"))
+    b = a.withColumn("v", F.when(F.col("id") % 10 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    assert ranges.differing_ranges(a, b, "id", leaf_rows=5) == [(-300, 999)]
+    assert {r.id for r in ranges.verify_rows(a, b, ["id"], 5).collect()} == set(range(-300, 1000, 10))
+
+
 @pytest.mark.parametrize("flavour", ["document", "search", "item", "wide"])
 def test_numbers_no_column_holds(spark, flavour):
     df = spark.createDataFrame([(9,), (10,), (11,), (None,)], "k long")
