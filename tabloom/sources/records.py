@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tabloom.functions.text import let
 from tabloom.session import materialize
 
 FILE, BLOCK, ROW, FIRST = "__file", "__block", "__row", "__first"
@@ -44,32 +45,38 @@ def _before(window):
 # ---- quoted fields over several lines ------------------------------------------
 
 
-def ends_quoted(line: Column, sep: str, quoted: bool) -> Column:
-    """Whether a line ends inside a quoted field, given that it begins inside one or not.
+def ends_quoted(line: Column, sep: str) -> Column:
+    """Whether a line ends inside a quoted field, as ``from_out`` and ``from_in``: given that it begins outside of one or inside.
 
     A quote opens a field at its first character and closes it before a
-    separator or the line's end; a doubled one, and any other, is text.
+    separator or the line's end; a doubled one, and any other, is text.  The
+    line is split once and walked once for both.
     """
-    parts = F.split(F.regexp_replace(line, "\r$", ""), '"', -1)
-    last = F.size(parts) - 2
-    marks = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p, i: F.struct(
-        p.alias("left"), F.get(parts, i + 1).alias("right"), i.alias("at"), (i == last).alias("last")))
-    state = lambda q, skip: F.struct(q.alias("q"), skip.alias("skip"))
     no, yes = F.lit(False), F.lit(True)
+    state = lambda q, skip: F.struct(q.alias("q"), skip.alias("skip"))
+    pair = lambda out, inside: F.struct(out.alias("from_out"), inside.alias("from_in"))
+
+    def walk(parts: Column) -> Column:
+        last = F.size(parts) - 2
+        marks = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p, i: F.struct(
+            ((F.get(parts, i + 1) == "") & (i != last)).alias("pair"),
+            (F.get(parts, i + 1).startswith(sep) | ((i == last) & (F.get(parts, i + 1) == ""))).alias("ends"),
+            (((i == 0) & (p == "")) | p.endswith(sep)).alias("opens")))
+
+        def step(now: Column, m: Column) -> Column:
+            return F.when(now["skip"], state(yes, no)).when(now["q"], state(m["pair"] | ~m["ends"], m["pair"])).otherwise(state(m["opens"], no))
 
-    def step(now: Column, m: Column) -> Column:
-        pair = (m["right"] == "") & ~m["last"]
-        closes = ~pair & (m["right"].startswith(sep) | (m["last"] & (m["right"] == "")))
-        opens = ((m["at"] == 0) & (m["left"] == "")) | m["left"].endswith(sep)
-        return F.when(now["skip"], state(yes, no)).when(now["q"], state(~closes, pair)).otherwise(state(opens, no))
+        both = F.aggregate(marks, pair(state(no, no), state(yes, no)), lambda now, m: pair(step(now["from_out"], m), step(now["from_in"], m)))
+        return let(both, lambda b: pair(b["from_out"]["q"], b["from_in"]["q"]))
 
-    told = F.aggregate(marks, state(F.lit(quoted), no), step, lambda s: s["q"])
-    return F.when(F.contains(line, F.lit('"')), told).otherwise(F.lit(quoted))
+    split = F.split(F.regexp_replace(line, "\r$", ""), '"', -1)
+    return F.when(F.contains(line, F.lit('"')), let(split, walk)).otherwise(pair(no, yes))
 
 
 def _effects(lines: DataFrame, sep: str) -> DataFrame:
     """Lines with ``from_out`` and ``from_in``: whether they end quoted, from both states."""
-    return lines.withColumns({"from_out": ends_quoted(F.col("value"), sep, False), "from_in": ends_quoted(F.col("value"), sep, True)})
+    return lines.withColumn("ends", ends_quoted(F.col("value"), sep)).withColumns(
+        {"from_out": F.col("ends.from_out"), "from_in": F.col("ends.from_in")}).drop("ends")
 
 
 def quote_blocks(lines: DataFrame, sep: str) -> DataFrame:

@@ -2,6 +2,7 @@ import glob
 import gzip
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from tabloom.functions.literals import quote_ident
 from tabloom.model import ColumnMeta, TableMeta, detect_format
 from tabloom.plans import imports as im
 from tabloom.sinks import files as out, load as ld
-from tabloom.sources import files as src
+from tabloom.sources import files as src, records
 
 
 def put(tmp_path, name, data):
@@ -55,6 +56,31 @@ def test_empty_file(spark, tmp_path):
     assert src.read_delimited(spark, put(tmp_path, "e.csv", "")).columns == []
 
 
+def test_quoted_ends(spark):
+    """Both states' ends against a plain walk; a line is split once, however many quotes it has."""
+    def plain(line, sep, q):
+        line, i, opening = line.removesuffix("\r"), 0, True
+        while i < len(line):
+            if line[i] == '"' and q:
+                if line[i + 1:i + 2] == '"':
+                    i += 1
+                elif i + 1 == len(line) or line[i + 1] == sep:
+                    q = False
+            elif line[i] == '"' and opening:
+                q = True
+            i += 1
+            opening = line[i - 1] == sep
+        return q
+
+    rng = random.Random(5)
+    lines = ["".join(rng.choices('"";ab\r', k=rng.randrange(0, 12))).rstrip("\r") + rng.choice(["", "\r"]) for _ in range(3000)]
+    ends = records.ends_quoted(F.col("value"), ";")
+    got = spark.createDataFrame([(x,) for x in lines], "value string").select("value", ends.alias("e")).collect()
+    for r in got:
+        assert (r.e.from_out, r.e.from_in) == (plain(r.value, ";", False), plain(r.value, ";", True)), r.value
+    assert str(ends).count("split(") == 1
+
+
 def test_gzip_files_without_rows_come_first(spark, tmp_path):
     """A task without rows leaves a file that is empty, but not of length 0."""
     put(tmp_path, "part-0.csv.gz", gzip.compress(b""))
