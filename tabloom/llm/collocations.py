@@ -18,9 +18,10 @@ MIN_COUNT = 100
 TOP = 2000
 # The share of a language's words whose best-bounded first words are grown first; then follows what the bounds leave.
 FIRST_SHARE = 0.25
-# Words of one row of keys, and windows that a task counts together.
-CHUNK_WORDS = 8192
-COUNT_WINDOWS = 1 << 20
+# Words of one row of keys, and windows that a task counts together.  Readers and Arrow batches hold
+# a number of rows whatever their length, so rows are short.
+CHUNK_WORDS = 512
+COUNT_WINDOWS = 1 << 18
 SALTS = 32
 
 _BREAKS = bytes(0x0A if b in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if b == 9 else b for b in range(256))
@@ -85,7 +86,9 @@ def scan(rows: DataFrame, work: Callable[[np.ndarray], Iterator[list[np.ndarray]
         held, size = [], 0
 
         def done() -> Iterator[pa.RecordBatch]:
-            for columns in work(np.concatenate(held)):
+            keys = np.concatenate(held)
+            held.clear()
+            for columns in work(keys):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kind.types)], schema=kind)
 
         for batch in batches:
@@ -95,7 +98,7 @@ def scan(rows: DataFrame, work: Callable[[np.ndarray], Iterator[list[np.ndarray]
                 size += len(keys) + 1
                 if size >= COUNT_WINDOWS:
                     yield from done()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from done()
 

@@ -10,6 +10,7 @@ from collections import Counter
 import pytest
 
 from tabloom.llm import collocations, importance, mixing
+from tabloom.llm.common import BATCH_ROWS
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -191,3 +192,25 @@ def test_chunks_end_at_breaks():
     keys = collocations.np.array([rng.choice([0, 5, 6, 7, 8, 9]) for _ in range(50_000)])
     parts = collocations.chunks(keys)
     assert len(parts) > 3 and (collocations.np.concatenate(parts) == keys).all() and all(p[0] == 0 for p in parts[1:])
+
+
+def test_collocations_rows_are_short(spark):
+    """Whatever number of rows an Arrow batch holds, their keys stay within a few MB."""
+    text = ". ".join(f"a{i} b{i} c{i}" for i in range(30_000))
+    rows = collocations.tokens(spark.createDataFrame([("en", text), (None, text)], "lang string, text string")).select("lang", "keys").collect()
+    assert max(len(r["keys"]) for r in rows) * BATCH_ROWS * 8 < 8 << 20
+    for lang in ("en", "und"):
+        keys = [k for r in rows if r["lang"] == lang for k in r["keys"]]
+        assert sum(k != 0 for k in keys) == 90_000
+
+
+def test_collocations_scan(spark):
+    """All keys reach the work, with a break behind each row, and no more at once than are counted together."""
+    rows = spark.createDataFrame([(list(range(2, 300)),)] * 2000, "keys array<long>").coalesce(1)
+
+    def work(keys):
+        yield [collocations.np.array([len(keys)]), collocations.np.array([int((keys == 0).sum())])]
+
+    seen = collocations.scan(rows, work, "n long, breaks long").collect()
+    assert sum(r["n"] for r in seen) == 2000 * 299 and sum(r["breaks"] for r in seen) == 2000
+    assert max(r["n"] for r in seen) <= collocations.COUNT_WINDOWS + 299
