@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import ddl, free_name, key_filter, lower_ascii, map_rows, passes, prepare, same_columns, stored, to_arrow, worker_state
+from tabloom.llm.common import ddl, free_name, key_filter, lower_ascii, map_rows, passes, prepare, same_columns, stored, to_arrow
 from tabloom.llm.graphs import components
 from tabloom.llm.near import SHINGLE, _probes, link, many_bands
 
@@ -25,47 +25,59 @@ WINDOW, SPREAD = 30, 20
 UNITS = ("doc_id long, key long, start int, end int, win_key array<long>, "
          "line_key array<long>, line_start array<int>, line_end array<int>, "
          "new_key array<long>, new_n array<int>, new_buckets array<array<long>>")
-# Word keys that a worker keeps.
-CACHE_WORDS = 200_000
+# Bytes of a word that are read together, and what is left of them in a shorter one.
+BLOCK = 8
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(BLOCK + 1)], np.uint64)
+# Longer words get their key one by one.
+BLOCK_WORD = 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-
-
-class _Keys(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = key = xxhash.xxh3_64_intdigest(word)
-        return key
-
-
-def word_keys(words: list[bytes]) -> np.ndarray:
-    state = worker_state("passages")
-    cache = getattr(state, "word_keys", None)
-    if cache is None or len(cache) > CACHE_WORDS:
-        cache = state.word_keys = _Keys()
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+_ODD1, _ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SHIFT1, _SHIFT2 = np.uint64(31), np.uint64(29)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * np.uint64(0x9E3779B97F4A7C15) + b
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return x ^ (x >> np.uint64(29))
-
-
-def run_keys(keys: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every ``n`` neighbouring keys, put together from runs of 1, 2, 4, ..."""
-    out, have, power, size = None, 0, keys, 1
-    while size <= n:
-        if n & size:
-            if out is None:
-                out = power
-            else:
-                many = len(power) - have
-                out = _pair(out[:max(many, 0)], power[have:])
-            have += size
-        if size * 2 <= n:
-            power = _pair(power[:-size], power[size:])
-        size *= 2
+    x = a * _ODD1
+    x += b
+    x ^= x >> _SHIFT1
+    x *= _ODD2
+    x ^= x >> _SHIFT2
+    return x
+
+
+def word_keys(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word of ``raw``, all words' first blocks together, then the second ones of those that have them."""
+    blocks = np.ndarray(len(raw) + 1, "<u8", raw + bytes(BLOCK), strides=(1,))
+    sizes = ends - starts
+    keys = _pair(blocks[starts] & _LEFT[np.minimum(sizes, BLOCK)], sizes.astype(np.uint64))
+    some = np.flatnonzero((sizes > BLOCK) & (sizes <= BLOCK_WORD))
+    at, left = starts[some] + BLOCK, sizes[some] - BLOCK
+    while len(some):
+        keys[some] = _pair(keys[some], blocks[at] & _LEFT[np.minimum(left, BLOCK)])
+        more = left > BLOCK
+        some, at, left = some[more], at[more] + BLOCK, left[more] - BLOCK
+    for i in np.flatnonzero(sizes > BLOCK_WORD).tolist():
+        keys[i] = xxhash.xxh3_64_intdigest(raw[starts[i]:ends[i]])
+    return keys
+
+
+def run_keys(keys: np.ndarray, n: int, powers: list[np.ndarray] | None = None) -> np.ndarray:
+    """A hash of every ``n`` neighbouring keys, put together from runs of 1, 2, 4, ...
+
+    ``powers`` keeps these runs for other calls with the same keys.
+    """
+    powers = [] if powers is None else powers
+    if not powers:
+        powers.append(keys)
+    while len(powers) < n.bit_length():
+        power, size = powers[-1], 1 << len(powers) - 1
+        powers.append(_pair(power[:-size], power[size:]))
+    out, have = None, 0
+    for i, power in enumerate(powers[:n.bit_length()]):
+        if n >> i & 1:
+            out = power if out is None else _pair(out[:max(len(power) - have, 0)], power[have:])
+            have += 1 << i
     return out[:max(len(keys) - n + 1, 0)]
 
 
@@ -80,15 +92,22 @@ class Words:
     def places(self) -> None:
         data = np.frombuffer(self.raw, np.uint8)
         inside = ~_SPACE[data]
-        edges = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-        chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        self.starts, self.ends = chars[first], chars[last]
+        edge = np.concatenate(([False], inside, [False]))
+        borders = np.flatnonzero(edge[1:] != edge[:-1])
+        first, last = borders[::2], borders[1::2]
+        if self.raw.isascii():
+            self.starts, self.ends = first, last
+        else:
+            chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+            self.starts, self.ends = chars[first], chars[last]
         breaks = np.flatnonzero(data == 10)
         # Words before each line's end.
         self.line_ends = np.append(np.searchsorted(first, breaks), self.n)
-        self.keys = word_keys(self.words)
-        self.hashes = run_keys(self.keys, SHINGLE)
+        self.keys, self.powers = word_keys(self.raw, first, last), []
+        self.hashes = self.runs(SHINGLE)
+
+    def runs(self, n: int) -> np.ndarray:
+        return run_keys(self.keys, n, self.powers)
 
     def digest(self, a: int, b: int) -> int:
         """A hash of words a to b - 1."""
@@ -113,7 +132,7 @@ def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
     least = _sliding(h, SPREAD, np.minimum)
     edge = np.zeros(SPREAD - 1, np.uint64)
     picked = np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), SPREAD, np.maximum) == h)
-    return run_keys(words.keys, WINDOW)[picked].view(np.int64), picked
+    return words.runs(WINDOW)[picked].view(np.int64), picked
 
 
 def paragraphs(words: Words) -> Iterator[tuple[int, int, int]]:
@@ -201,7 +220,7 @@ def runs(docs: DataFrame, seeds: np.ndarray, aside: np.ndarray | None = None) ->
                 lost, until = np.append(np.sort(rows["lost"][i]), len(text)), np.sort(rows["until"][i])
                 after = lost[np.searchsorted(until, words.starts[first], "right")]
                 first = first[after >= words.ends[first + MIN_WORDS - 1]]
-            for part, values in zip(parts, (np.full(len(first), doc_id), run_keys(words.keys, MIN_WORDS)[first].view(np.int64),
+            for part, values in zip(parts, (np.full(len(first), doc_id), words.runs(MIN_WORDS)[first].view(np.int64),
                                             words.starts[first], words.ends[first + MIN_WORDS - 1])):
                 part.append(values)
         return {n.split()[0]: np.concatenate(p) if p else [] for n, p in zip(RUNS.split(", "), parts)}

@@ -321,3 +321,39 @@ def test_shards(docs, texts, nothing):
     assert {(r.doc_id, r.shard, r.slot) for r in again} != {(r.doc_id, r.shard, r.slot) for r in rows}
     plan = shards.shuffle_into_shards(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_word_keys():
+    """Equal words have equal keys wherever they stand, others do not, at any length; no word is hashed alone but long ones."""
+    rng = random.Random(4)
+    words = [("ab\0é中"[rng.randrange(5)] * rng.randrange(1, 4) + "x" * rng.randrange(0, 90)) for _ in range(3000)]
+    words += ["a", "a\0", "a\0\0", "\0", "a" * 8, "a" * 9, "a" * 16, "a" * 63 + "b", "a" * 64, "a" * 65, "z" * 5000]
+    rng.shuffle(words)
+    raw = passages.lower_ascii("  " + " \n".join(words))
+    data = np.frombuffer(raw, np.uint8)
+    inside = ~passages._SPACE[data]
+    edge = np.concatenate(([False], inside, [False]))
+    borders = np.flatnonzero(edge[1:] != edge[:-1])
+    keys = passages.word_keys(raw, borders[::2], borders[1::2]).tolist()
+    assert len(keys) == len(words) and len(dict(zip(words, keys))) == len(set(words)) == len(set(keys)) == len(set(zip(words, keys)))
+
+
+def test_places_of_words():
+    """Starts and ends count characters, of plain and of other texts."""
+    for text in ("One two\tthree \n four" * 9, " ünë 中文 two\x0bthree \n x" * 9, "", " \n", "a"):
+        w = passages.Words(text)
+        w.places()
+        assert [text[a:b].encode() for a, b in zip(w.starts, w.ends)] == text.encode().split()
+        assert w.n == len(w.starts) == len(w.keys)
+
+
+def test_runs_are_put_together_once(monkeypatch):
+    """Shingles, windows and runs of one text share the runs of 1, 2, 4, ... words that they are made of."""
+    calls, pair = [], passages._pair
+    monkeypatch.setattr(passages, "_pair", lambda a, b: calls.append(1) or pair(a, b))
+    w = passages.Words(" ".join(f"w{i}" for i in range(200)))
+    w.places()
+    passages.windows(w)
+    before = len(calls)
+    assert (passages.run_keys(w.keys, passages.MIN_WORDS) == w.runs(passages.MIN_WORDS)).all()
+    assert before <= 9 and len(calls) - before <= 10
