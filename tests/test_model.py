@@ -118,6 +118,20 @@ def test_radius_join_everywhere(spark, radius):
     assert got == {(a[0], b[0]) for a in points for b in centers if _close(a[1:], b[1:], radius)} and got
 
 
+def test_radius_join_on_the_plane(spark):
+    """Against brute force, borders included; a pair's distance takes products, no calls of pow."""
+    rng = random.Random(5)
+    points = [(i, rng.randrange(-40, 40) / 8, rng.randrange(-40, 40) / 8) for i in range(300)] + [(300, None, 1.0), (301, 1.0, None)]
+    centers = [(i, rng.randrange(-40, 40) / 8, rng.randrange(-40, 40) / 8) for i in range(50)] + [(50, None, None)]
+    p = spark.createDataFrame(points, "id int, lon double, lat double")
+    c = spark.createDataFrame(centers, "cid int, c_lon double, c_lat double")
+    pairs = j.radius_join(p, c, 0.625, metric="degrees")
+    got = {(r.id, r.cid): r.distance for r in pairs.collect()}
+    far = {(a[0], b[0]): math.hypot(a[1] - b[1], a[2] - b[2]) for a in points[:300] for b in centers[:50]}
+    assert got == pytest.approx({k: d for k, d in far.items() if d <= 0.625}) and 0.625 in got.values()
+    assert "POW" not in pairs._jdf.queryExecution().toString().upper()
+
+
 def test_conversion_loss(spark):
     df = spark.createDataFrame([(3.0, 300, "12"), (3.5, 100, "x"), (1e12, 5, "1.5"), (None, None, None)], "d double, n int, s string")
     rows = {r.column: r for r in ty.fit_report(df, {"d": "int", "n": "tinyint", "s": "int"}).collect()}
