@@ -100,6 +100,7 @@ def worker_state(owner: str) -> types.ModuleType:
     state = sys.modules.setdefault("_tabloom_worker", types.ModuleType("_tabloom_worker"))
     if getattr(state, "owner", None) != owner:
         vars(state).clear()
+        pa.default_memory_pool().release_unused()
         state.owner = owner
     return state
 

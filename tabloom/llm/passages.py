@@ -341,8 +341,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     seeds = key_filter(stored(shared, "windows"))
     holes = more.groupBy("doc_id").agg(F.collect_list("start").alias("lost"), F.collect_list("end").alias("until"))
     aside = key_filter(gone.union(holes.select("doc_id")).distinct(), "doc_id")
-    joined = only(docs, aside).join(gone, "doc_id", "left_anti").join(holes, "doc_id", "left")
-    cut = later(runs(docs, seeds, aside).unionByName(runs(joined, seeds)))
+    cut = later(runs(docs, seeds, aside).unionByName(runs(with_holes(docs, aside, gone, holes), seeds)))
 
     flat = stored(merged(cut.unionByName(more)), "spans")
     # What a copy's first document has lost to smaller ones, the copy has lost to them too.
@@ -364,6 +363,15 @@ def only(docs: DataFrame, cells: np.ndarray) -> DataFrame:
     return map_rows(docs, run, "doc_id long, text string")
 
 
+def with_holes(docs: DataFrame, cells: np.ndarray, gone: DataFrame, holes: DataFrame) -> DataFrame:
+    """The documents that a filter lets through and ``gone`` does not have, with what they lose.
+
+    Neither side is broadcast: a task that reads texts here and looks for runs
+    in them would hold two Python workers, and executors keep all they ever had.
+    """
+    return only(docs, cells).join(gone.hint("merge"), "doc_id", "left_anti").join(holes.hint("merge"), "doc_id", "left")
+
+
 def merged(spans: DataFrame) -> DataFrame:
     """Each document's spans with overlapping and touching ones joined; the smallest source stays."""
     def run(rows: dict[str, list]) -> dict[str, list]:

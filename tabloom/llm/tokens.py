@@ -12,10 +12,11 @@ from tabloom.llm.common import worker_state
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
-# Parts that a worker keeps the ids of, parts that are learnt in one call, and characters that are cut in one go.
+# Parts that a worker keeps the ids of, parts that are learnt in one call, and characters that are cut in one go:
+# what is made of these is some 20 times their size.
 CACHE_WORDS = 500_000
 BATCH_WORDS = 20_000
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 1_000_000
 # White space other than single spaces and line feeds, which are looked at on their own.
 _OTHER_SPACE = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
 
@@ -26,6 +27,17 @@ def default_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def put(kept: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """``kept`` with ``values`` from place ``at`` on; where they don't fit, a copy with room for as many again."""
+    end = at + len(values)
+    if end > len(kept):
+        more = np.zeros(2 * end, kept.dtype)
+        more[:at] = kept[:at]
+        kept = more
+    kept[at:end] = values
+    return kept
+
+
 class Encoder:
     """``encode_many(texts)`` gives the tokenizer's own ids for whole texts, as numpy arrays.
 
@@ -51,26 +63,24 @@ class Encoder:
 
     def _forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # By row, where a part's ids begin and how many they are; the first ``used`` of ``ids`` are theirs.
+        self.starts, self.sizes, self.ids, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32), 0
 
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, new: list[str]) -> None:
         """Keep the ids of parts, which start with a line feed or stand behind a space."""
-        starts, sizes, kept, used = [self.starts], [self.sizes], [self.ids], len(self.ids)
         for k in range(0, len(new), BATCH_WORDS):
             batch = new[k:k + BATCH_WORDS]
             ids = self._plain("".join([p if p[0] == "\n" else " " + p for p in batch]))
             first = np.flatnonzero(self.opens[ids])
             if len(first) != len(batch):
                 raise ValueError("this vocabulary joins words: its ids can't be cached by word")
-            self.rows.update(zip(batch, range(len(self.rows), len(self.rows) + len(batch))))
-            starts.append(first + used)
-            sizes.append(np.diff(np.append(first, len(ids))))
-            kept.append(ids)
-            used += len(ids)
-        self.starts, self.sizes, self.ids = (np.concatenate(x) for x in (starts, sizes, kept))
+            n, now = len(self.rows), self.used
+            self.starts, self.sizes = put(self.starts, n, first + now), put(self.sizes, n, np.diff(np.append(first, len(ids))))
+            self.ids, self.used = put(self.ids, now, ids), now + len(ids)
+            self.rows.update(zip(batch, range(n, n + len(batch))))
 
     def _cut(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts with plain spaces: cut into parts, and each distinct part looked up once."""
@@ -89,10 +99,12 @@ class Encoder:
         # A text's first part stands behind nothing.
         firsts = [self._plain(words[i]) for i in told.indices.to_numpy()[ends[:-1]].tolist()]
         size[ends[:-1]] = [len(x) for x in firsts]
-        start[ends[:-1]] = len(self.ids) + np.cumsum(size[ends[:-1]]) - size[ends[:-1]]
+        start[ends[:-1]] = self.used + np.cumsum(size[ends[:-1]]) - size[ends[:-1]]
+        # They stand behind the kept ids until other ones take their place.
+        self.ids = put(self.ids, self.used, np.concatenate(firsts))
         after = np.cumsum(size)
         at = np.repeat(start - (after - size), size) + np.arange(after[-1])
-        return np.split(np.concatenate((self.ids, *firsts))[at], after[ends[1:-1] - 1])
+        return np.split(self.ids[at], after[ends[1:-1] - 1])
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list = [None] * len(texts)

@@ -357,3 +357,18 @@ def test_runs_are_put_together_once(monkeypatch):
     before = len(calls)
     assert (passages.run_keys(w.keys, passages.MIN_WORDS) == w.runs(passages.MIN_WORDS)).all()
     assert before <= 9 and len(calls) - before <= 10
+
+
+def test_one_worker_for_a_task(spark):
+    """However small the tables beside them are, texts are dealt out between two steps in Python, and come with their spans."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id long, text string")
+    gone = spark.createDataFrame([(2,), (8,)], "doc_id long")
+    holes = spark.createDataFrame([(3, [1], [4])], "doc_id long, lost array<int>, until array<int>")
+    cells = np.full(1 << 10, -1, np.int64)
+    found = passages.with_holes(docs, cells, gone, holes)
+    assert sorted(map(tuple, found.collect())) == [(i, f"text {i}", [1] if i == 3 else None, [4] if i == 3 else None)
+                                                   for i in range(9) if i not in (2, 8)]
+    steps = passages.runs(found, cells)
+    steps.collect()
+    plan = steps._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 2 and "Exchange" in plan.split("MapInArrow")[1] and "BroadcastHashJoin" not in plan

@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -53,6 +56,24 @@ def test_cache_turns_over(plain, monkeypatch):
         assert [x.tolist() for x in own.encode_many(texts)] == [plain(t) for t in texts]
 
 
+def test_memory_of_a_batch():
+    """A batch of many texts takes the memory of a part of it: what is made of a batch at once stays with the worker."""
+    script = """
+import random, resource
+from tabloom.llm.tokens import default_path, encoder
+rng, own = random.Random(1), encoder(default_path())
+own.encode_many(["some words"])
+batches = [[" ".join(str(rng.randrange(30_000)) for _ in range(600)) for _ in range(1200)] for _ in range(2)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for texts in batches:
+    own.encode_many(texts)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    grown = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, timeout=120,
+                           cwd=Path(__file__).parents[2]).stdout
+    assert int(grown) < 70
+
+
 @pytest.mark.parametrize("mode", ["byte", "bit"])
 def test_planes_round_trip(mode):
     rng = np.random.default_rng(1)
