@@ -12,11 +12,12 @@ from tabloom.llm.common import worker_state
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
-# Parts that a worker keeps the ids of, parts that are learnt in one call, and characters that are cut in one go:
-# what is made of these is some 20 times their size.
+# Parts that a worker keeps the ids of, parts that are learnt in one call, characters that are cut in one go, and
+# parts that are put in a row together: what is made for these takes most memory.
 CACHE_WORDS = 500_000
 BATCH_WORDS = 20_000
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 8_000_000
+ROW_PARTS = 50_000
 # White space other than single spaces and line feeds, which are looked at on their own.
 _OTHER_SPACE = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
 
@@ -94,17 +95,25 @@ class Encoder:
         if new:
             self._learn(new)
             found = list(map(self.rows.__getitem__, words))
-        row = np.array(found, np.int64)[told.indices.to_numpy()]
+        told = told.indices.to_numpy()
+        row = np.array(found, np.int32)[told]
         start, size = self.starts[row], self.sizes[row]
         # A text's first part stands behind nothing.
-        firsts = [self._plain(words[i]) for i in told.indices.to_numpy()[ends[:-1]].tolist()]
+        firsts = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(
+            [words[i] for i in told[ends[:-1]].tolist()], add_special_tokens=False)]
         size[ends[:-1]] = [len(x) for x in firsts]
         start[ends[:-1]] = self.used + np.cumsum(size[ends[:-1]]) - size[ends[:-1]]
         # They stand behind the kept ids until other ones take their place.
         self.ids = put(self.ids, self.used, np.concatenate(firsts))
-        after = np.cumsum(size)
-        at = np.repeat(start - (after - size), size) + np.arange(after[-1])
-        return np.split(self.ids[at], after[ends[1:-1] - 1])
+        out, i = [], 0
+        while i < len(texts):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + ROW_PARTS, "right")) - 1)
+            n = size[ends[i]:ends[j]]
+            after = np.cumsum(n)
+            at = np.repeat(start[ends[i]:ends[j]] - (after - n), n) + np.arange(after[-1])
+            out += np.split(self.ids[at], after[ends[i + 1:j] - ends[i] - 1])
+            i = j
+        return out
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
