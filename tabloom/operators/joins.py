@@ -15,6 +15,10 @@ from tabloom.session import materialize
 # Points of a grid cell that stay together, and rows that a fuller cell is cut into at most.
 DENSE_CELL = 20_000
 MOST_ROWS = 64
+# For sums: places of a box that are measured one by one, how often a cell is cut, and by what share of the radius a box must clear the circle.
+EDGE_PLACES = 32
+DEEPEST = 15
+CLEAR = 1e-7
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: Mapping[str, str], columns: Sequence[str]) -> DataFrame:
@@ -80,7 +84,8 @@ def update_from(df: DataFrame, key: Sequence[str], source: DataFrame, source_key
 
 
 def radius_join(points: DataFrame, centers: DataFrame, radius: float, *, lon: str = "lon", lat: str = "lat",
-                c_lon: str = "c_lon", c_lat: str = "c_lat", metric: str = "meters", dense: int = DENSE_CELL) -> DataFrame:
+                c_lon: str = "c_lon", c_lat: str = "c_lat", metric: str = "meters", dense: int = DENSE_CELL,
+                sums: Mapping[str, Column] | None = None) -> DataFrame:
     """Pairs of points and centers within ``radius``, with their ``distance``.
 
     ``meters`` measures great circles, ``degrees`` measures on the plane.
@@ -92,12 +97,19 @@ def radius_join(points: DataFrame, centers: DataFrame, radius: float, *, lon: st
     own points, and a center looks only into the parts that its circle
     reaches.  Points on one spot are dealt over parts of the same place, so no
     part holds more.
+
+    With ``sums``, numbers of a point to add up by name, points that lie in one
+    box all within a circle meet its center at once: a row is a center's
+    columns and the sums of some of its points, and the caller adds up a
+    center's rows.  So work grows with the boxes on a circle's edge, not with
+    the pairs.  A box with more than ``dense`` places is cut then, or with
+    more than ``EDGE_PLACES``.
     """
     if metric == "degrees":
         height = radius
         bands_of = F.floor(quoted(c_lat) / height)
         width = lambda band: F.lit(float(radius))
-        distance = F.sqrt(_squared(quoted(lon) - quoted(c_lon)) + _squared(quoted(lat) - quoted(c_lat)))
+        distance = lambda x, y: F.sqrt(_squared(x - quoted(c_lon)) + _squared(y - quoted(c_lat)))
         shifts = [0.0]
     elif metric == "meters":
         # A little more than the radius, so rounding cannot lose a border.
@@ -110,7 +122,7 @@ def radius_join(points: DataFrame, centers: DataFrame, radius: float, *, lon: st
             reach = F.least(F.sin(F.lit(half)) / F.cos(F.radians(edge)), F.lit(1.0))
             return F.degrees(2 * F.asin(reach)) * 1.000001
 
-        distance = haversine(quoted(lon), quoted(lat), quoted(c_lon), quoted(c_lat))
+        distance = lambda x, y: haversine(x, y, quoted(c_lon), quoted(c_lat))
         shifts = [-360.0, 0.0, 360.0]
     else:
         raise ValueError(f"unknown metric {metric!r}")
@@ -124,11 +136,16 @@ def radius_join(points: DataFrame, centers: DataFrame, radius: float, *, lon: st
     if metric == "meters":
         cells = F.filter(cells, lambda c: (c >= low) & (c <= high))
     looked = looked.withColumn("__ccell", F.explode(F.array_distinct(cells)))
+    if sums is not None:
+        # Where a point stands in its cell, from 0 to 1 across and up.
+        across, up = quoted(lon) / width(F.col("__band")) - F.col("__cell"), quoted(lat) / height - F.col("__band")
+        return _sums_within(gridded, looked, radius, sums, distance, metric, min(dense, EDGE_PLACES), quoted(lon), quoted(lat), across, up).select(
+            *[quoted(c) for c in centers.columns], *[quoted(n) for n in sums])
     gridded, looked = _cut_dense(gridded, looked, dense, height, width, radius if metric == "degrees" else height, quoted(lon), quoted(lat),
                                  quoted(c_lat))
     same = [(F.col(a) == F.col(b)) for a, b in (("__band", "__cband"), ("__cell", "__ccell"), ("__row", "__crow"), ("__part", "__cpart"))]
     pairs = gridded.join(looked, same)
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= radius).drop(
+    return pairs.withColumn("distance", distance(quoted(lon), quoted(lat))).where(F.col("distance") <= radius).drop(
         "__band", "__cell", "__row", "__part", "__cband", "__ccell", "__crow", "__cpart")
 
 
@@ -137,6 +154,70 @@ def _squared(x: Column) -> Column:
     return x * x
 
 
+def _sums_within(points: DataFrame, centers: DataFrame, radius: float, sums: Mapping[str, Column], distance, metric: str, most: int,
+                 lon: Column, lat: Column, across: Column, up: Column) -> DataFrame:
+    """Centers with sums of the points within ``radius``, in several rows for a center; see ``radius_join``.
+
+    Points of one place are added up first.  A cell is cut into 16 boxes, with
+    the bounds and sums of their places.  A box wholly within a circle gives
+    its sums, one wholly outside gives nothing; of one on the edge the places
+    are measured if they are at most ``most``, and its 16 parts are looked at
+    otherwise.  Only boxes on some circle's edge are cut further.
+    """
+    total = {f"__s{i}": v for i, v in enumerate(sums.values())}
+    box = ("__band", "__cell", "__x", "__y")
+    seen = tuple(f"__c{b[2:]}" for b in box)
+    own = [c for c in centers.columns if c not in seen]
+    done = [quoted(c) for c in own] + [F.col(s).alias(n) for s, n in zip(total, sums)]
+    looked = materialize(centers.select(F.col("__cband").alias("__b"), F.col("__ccell").alias("__c")).distinct(), "looked-cells")
+    # A place that is not a number is within no radius, and would hide the bounds of its box.
+    finite = (F.abs(lon) < float("inf")) & (F.abs(lat) < float("inf"))
+    near = points.where(finite).join(looked, (F.col("__band") == F.col("__b")) & (F.col("__cell") == F.col("__c")), "left_semi")
+    parts = 4 ** DEEPEST
+    step = lambda share: F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(share * parts))).cast("long")
+    # Equal places have equal steps; max gives one of them.
+    places = materialize(near.groupBy("__band", "__cell", lon.alias("__lon"), lat.alias("__lat")).agg(
+        F.max(step(across)).alias("__x"), F.max(step(up)).alias("__y"), *[F.sum(v).alias(s) for s, v in total.items()]), "places")
+    types = {s: places.schema[s].dataType for s in total}
+    lon, lat = F.col("__lon"), F.col("__lat")
+    middle = [(F.col(f"__low_{a}") + F.col(f"__high_{a}")) / 2 for a in ("lon", "lat")]
+    half = [F.greatest(F.col(f"__high_{a}") - m, m - F.col(f"__low_{a}")) for a, m in zip(("lon", "lat"), middle)]
+    if metric == "degrees":
+        size, clear = F.sqrt(_squared(half[0]) + _squared(half[1])), radius * CLEAR
+    else:
+        # Along a meridian, and then along a parallel, the longest of which is the nearest to the equator.
+        low, high = F.col("__low_lat"), F.col("__high_lat")
+        beyond = F.greatest(F.abs(low), F.abs(high)) > 90
+        nearest_lat = F.when(beyond | ((low <= 0) & (high >= 0)), 0.0).otherwise(F.least(F.abs(low), F.abs(high)))
+        size, clear = EARTH_RADIUS * (F.radians(half[1]) + F.radians(half[0]) * F.cos(F.radians(nearest_lat))), radius * CLEAR + 1e-6
+    found, looking, rest = [], centers.withColumns({"__cx": F.lit(0).cast("long"), "__cy": F.lit(0).cast("long")}), places
+    for level in range(1, DEEPEST + 1):
+        shift = 2 * (DEEPEST - level)
+        at = [F.col("__band"), F.col("__cell"), F.shiftright("__x", shift), F.shiftright("__y", shift)]
+        boxes = materialize(rest.groupBy(*[a.alias(b) for a, b in zip(at, box)]).agg(
+            F.count(F.lit(1)).alias("__n"), F.min(lon).alias("__low_lon"), F.max(lon).alias("__high_lon"), F.min(lat).alias("__low_lat"),
+            F.max(lat).alias("__high_lat"), *[F.try_sum(s).try_cast(t).alias(s) for s, t in types.items()]), "boxes")
+        parent = [F.col("__band"), F.col("__cell"), F.shiftright("__x", 2), F.shiftright("__y", 2)]
+        met = looking.join(boxes, [p == F.col(c) for p, c in zip(parent, seen)]).withColumns({"__far": distance(*middle), "__size": size})
+        # A sum that is NULL may be too large for its type, and no circle need hold all of it: that box is cut.
+        whole = reduce(and_, [F.col(s).isNotNull() for s in total], F.col("__far") + F.col("__size") <= radius - clear)
+        met = materialize(met.where(F.col("__far") - F.col("__size") <= radius + clear).select(
+            *[quoted(c) for c in own], *[F.col(b).alias(c) for b, c in zip(box, seen)], "__n", *total, whole.alias("__whole")), "met")
+        found.append(met.where("__whole").select(*done))
+        edge = met.where(~F.col("__whole")).drop(*total)
+        last = level == DEEPEST
+        here = [a == F.col(c) for a, c in zip(at, seen)]
+        found.append((edge if last else edge.where(F.col("__n") <= most)).join(rest, here).where(distance(lon, lat) <= radius).select(*done))
+        if last:
+            break
+        looking = edge.where(F.col("__n") > most).select(*[quoted(c) for c in own], *seen)
+        cut = materialize(looking.select(*seen).distinct(), "boxes-cut")
+        if cut.isEmpty():
+            break
+        rest = places.join(cut, here, "left_semi")
+    return reduce(DataFrame.unionByName, found)
+
+
 def _cut_dense(points: DataFrame, centers: DataFrame, dense: int, height: float, width, reach: float, lon: Column, lat: Column,
                c_lat: Column) -> tuple[DataFrame, DataFrame]:
     """Both sides with the row and part of a cell: 0 and 0, but for cells with more than ``dense`` points.

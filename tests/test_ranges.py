@@ -222,3 +222,59 @@ def test_dense_cells_are_cut(spark, metric, radius):
                                  100, 0.02, None, 0.02, F.col("lon"), F.col("lat"), F.col("c_lat"))
     parts = [r["count"] for r in placed.groupBy("__band", "__cell", "__row", "__part").count().collect()]
     assert max(parts) < 200 and near.count() == len(want)
+
+
+@pytest.mark.parametrize("metric, radius", [("degrees", 0.02), ("meters", 1500.0), ("meters", 400_000.0)])
+def test_sums_within_a_radius(spark, metric, radius, monkeypatch):
+    """Spots, a street, a crowded square, both sides of the date line and a pole: the sums of the pairs, in far fewer rows."""
+    from tabloom.operators import joins
+
+    rng = random.Random(9)
+    points = [(i, 4.9, 52.3) for i in range(300)] + [(i, 4.9, 52.3 + rng.random() / 50) for i in range(300, 1500)]
+    points += [(i, 4.9 + rng.random() / 50, 52.28 + rng.random() / 50) for i in range(1500, 3500)]
+    points += [(i, rng.choice((179.99, -179.99)) + rng.random() / 100, rng.uniform(-0.01, 0.01)) for i in range(3500, 3800)]
+    points += [(i, rng.uniform(-180, 180), rng.uniform(89.98, 90)) for i in range(3800, 4100)] + points[:40] + points[2000:2040]
+    points += [(5000, None, 52.3), (5001, 4.9, None), (5002, float("nan"), 52.3), (5003, 4.9, float("nan")), (None, 4.9, 52.3)]
+    centers = [(i, 4.9 + rng.uniform(-1, 1) / 40, 52.3 + rng.uniform(-1, 1) / 40) for i in range(20)] + [(20, 4.9, 52.3), (20, 4.9, 52.3), (21, 0.0, 89.99)]
+    centers += [(22, 180.0, 0.0), (23, -180.0, 0.001), (24, None, 1.0), (None, 4.9, 52.31), (26, 100.0, 10.0)]
+    p = spark.createDataFrame(points, "id bigint, lon double, lat double").repartition(3)
+    c = spark.createDataFrame(centers, "center int, c_lon double, c_lat double")
+    total = lambda n, ids: {r.center: (r.n, r.ids) for r in joined.groupBy("center").agg(n.alias("n"), ids.alias("ids")).collect()}
+    joined = joins.radius_join(p, c, radius, metric=metric)
+    want = total(F.count(F.lit(1)), F.sum("id"))
+    assert None in want and 26 not in want and len(want) > 20
+    for places in (joins.EDGE_PLACES, 2):
+        monkeypatch.setattr(joins, "EDGE_PLACES", places)
+        joined = joins.radius_join(p, c, radius, metric=metric, sums={"n": F.lit(1), "ids": F.col("id")})
+        assert joined.columns == ["center", "c_lon", "c_lat", "n", "ids"]
+        assert total(F.sum("n"), F.sum("ids")) == want
+    assert joined.count() * 5 < sum(n for n, _ in want.values())
+
+
+def test_sums_too_large_for_a_whole_box(spark):
+    """A circle adds up what it holds, though all points of the box are too much for the type."""
+    from tabloom.operators import joins
+
+    big = 2**62
+    p = spark.createDataFrame([(big, 0.001, 0.001), (big, 0.009, 0.009), (5, 0.0011, 0.001)], "id bigint, lon double, lat double")
+    c = spark.createDataFrame([(0, 0.0, 0.0), (1, 0.0, 0.02)], "center int, c_lon double, c_lat double")
+    joined = joins.radius_join(p, c, 0.01, metric="degrees", sums={"ids": F.col("id")})
+    assert joined.groupBy("center").agg(F.sum("ids")).collect() == [(0, big + 5)]
+
+
+def test_street_makes_no_row_for_each_pair(spark, tmp_path, monkeypatch):
+    """40,000 points on a street and 500 centers have two million pairs, which the query adds up from a hundredth of the rows."""
+    from tabloom.operators import joins
+    from tabloom.workloads import runner
+
+    spark.range(120_000).withColumnRenamed("id", "o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(500).withColumnRenamed("id", "s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    made, join = [], joins.radius_join
+    monkeypatch.setattr(joins, "radius_join", lambda *a, **b: made.append(join(*a, **b)) or made[-1])
+    got = {r.center: (r.points, r.ids) for r in runner("radius_join_street")(spark, str(tmp_path)).collect()}
+    street = [(i, 52.3 + (i % 1000) / 1000000.0) for i in range(0, 120_000, 3)]
+    lat = {c: 52.3 + (c % 100) / 100000.0 + 0.0000005 for c in range(500)}
+    for c in (0, 7, 50, 99, 499):
+        near = [i for i, y in street if abs(y - lat[c]) <= 0.00005]
+        assert got[c] == (len(near), sum(near))
+    assert len(got) == 500 and made[0].count() * 100 < sum(n for n, _ in got.values()) > 1_900_000
